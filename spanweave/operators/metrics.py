@@ -64,9 +64,7 @@ def store_quality(videos: DataFrame, segments: DataFrame) -> DataFrame:
     dramas = videos.select("drama_id").distinct().agg(F.count(F.lit(1)).alias("dramas"))
     seconds = merged.agg(F.coalesce(F.sum(F.col("end_sec") - F.col("start_sec")), F.lit(0.0)).alias("highlight_sec"))
     total = approved.agg(F.coalesce(F.sum("duration_sec"), F.lit(0.0)).alias("total_sec"))
-    # three one-row tables side by side
-    one = dramas.join(F.broadcast(seconds)).join(F.broadcast(total))
-    return one.select(
+    return one_row(dramas, seconds, total).select(
         "dramas",
         F.round("highlight_sec", 3).alias("highlight_sec"),
         F.round("total_sec", 3).alias("total_sec"),
@@ -159,8 +157,9 @@ def window_quality(windows: DataFrame) -> DataFrame:
 
 
 def one_row(*frames: DataFrame) -> DataFrame:
-    """One-row tables side by side."""
-    return reduce(lambda a, b: a.join(F.broadcast(b)), frames)
+    """Global aggregates side by side: stacked, then folded into one row (no cross join)."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
 def length_summary(predicted: DataFrame, reference: DataFrame, generation: DataFrame, *, width: float = 5.0) -> DataFrame:
@@ -170,18 +169,13 @@ def length_summary(predicted: DataFrame, reference: DataFrame, generation: DataF
     p, r = predicted.select(length), reference.select(length)
     return one_row(
         p.agg(F.max("_len").alias("predicted_max_seconds")),
-        _padded(exact_median(p, [], "_len", "predicted_median_seconds", width), "predicted_median_seconds"),
-        _padded(exact_median(r, [], "_len", "reference_median_seconds", width), "reference_median_seconds"),
+        exact_median(p, [], "_len", "predicted_median_seconds", width),
+        exact_median(r, [], "_len", "reference_median_seconds", width),
         generation.agg(F.avg("generation_sec").alias("mean_generation_sec")),
-        _padded(exact_median(generation, [], "generation_sec", "median_generation_sec", width), "median_generation_sec"),
+        exact_median(generation, [], "generation_sec", "median_generation_sec", width),
     )
 
 
-def _padded(df: DataFrame, *names: str) -> DataFrame:
-    """A global aggregate that yields one row of nulls for no input."""
-    return df.agg(*[F.max(n).alias(n) for n in names])
-
-
 def matched_error(pairs: DataFrame) -> DataFrame:
     """Mean IoU and mean absolute boundary errors of matched pairs (p_start.. t_end, similarity)."""
     return pairs.agg(
@@ -252,8 +246,8 @@ def run_runtime(items: DataFrame, *, width: float = 50.0) -> DataFrame:
         F.count_if(F.col("attempts") > 1).alias("videos_with_multiple_attempts"),
         *[F.sum(c).alias(c) for c in ("requests", "request_errors", "missing_tool_calls", "invalid_tool_requests")],
     )
-    median = _padded(exact_median(items, [], "elapsed_sec", "elapsed_median_sec", width), "elapsed_median_sec")
-    p90 = _padded(nearest_rank(items, [], "elapsed_sec", 0.9, "elapsed_p90_sec", width), "elapsed_p90_sec")
+    median = exact_median(items, [], "elapsed_sec", "elapsed_median_sec", width)
+    p90 = nearest_rank(items, [], "elapsed_sec", 0.9, "elapsed_p90_sec", width)
     return one_row(totals, median, p90)
 
 

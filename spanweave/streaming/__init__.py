@@ -1 +1 @@
-"""spanweave.streaming"""
+"""Structured Streaming forms of the tailing operators; each has a batch twin in operators."""

@@ -1,0 +1,49 @@
+"""Continuous replay of highlight edits, one state per job."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from ..operators.editing import COMMAND, HIGHLIGHT, REPLAYED, JobState
+
+
+class EditReplay(StatefulProcessor):
+    """State: revision, current rows and the last results as JSON text."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("job", "revision long, rows string, history string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            revision, current, history = self.state.get()
+            job = JobState(json.loads(current), revision, json.loads(history))
+        else:
+            job = JobState([])
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(
+            ["command_no", "start_sec", "end_sec", "highlight_id"], kind="stable"
+        )
+        for record in batch.to_dict("records"):
+            record = {k: None if isinstance(v, float) and v != v else v for k, v in record.items()}
+            if record["operation"] is None:
+                job.rows.append({n: record[n] for n in HIGHLIGHT.names})
+            else:
+                job.step(record)
+        self.state.update((job.revision, json.dumps(job.rows), json.dumps(job.history)))
+        yield pd.DataFrame([{**r, "revision": job.revision} for r in job.rows], columns=REPLAYED.names)
+
+    def close(self) -> None:
+        pass
+
+
+def replay_stream(events: DataFrame) -> DataFrame:
+    """Rows of changed jobs after each batch. ``events`` holds initial highlights (no operation,
+    command_no -1) and commands with the columns of both tables plus command_no."""
+    names = [*HIGHLIGHT.names, *[c for c in COMMAND.names if c not in HIGHLIGHT.names], "command_no"]
+    return events.select(*names).groupBy("job_id").transformWithStateInPandas(
+        EditReplay(), outputStructType=REPLAYED, outputMode="Update", timeMode="None"
+    )
