@@ -15,7 +15,7 @@ OCR_HOLD_SEC = 1.5
 
 def strip_space(text) -> Column:
     """Text without any whitespace."""
-    return F.regexp_replace(_c(text), r"\s+", "")
+    return F.regexp_replace(_c(text), r"(?U)\s+", "")
 
 
 def folded_contains(text, needle) -> Column:

@@ -208,3 +208,17 @@ def group_leaks(videos: DataFrame) -> DataFrame:
         videos.groupBy("drama_id").agg(F.min("split").alias("first_split"), F.max("split").alias("last_split"))
         .filter(F.col("first_split") != F.col("last_split"))
     )
+
+
+def cover_violations(expected: DataFrame, records: DataFrame, key: str) -> DataFrame:
+    """Ids that are expected but missing, present but foreign, or present more than once."""
+    seen = records.groupBy(key).agg(F.count(F.lit(1)).alias("predictions"))
+    both = expected.select(key, F.lit(True).alias("expected")).join(seen, key, "full")
+    return both.select(
+        key, F.coalesce("predictions", F.lit(0)).alias("predictions"), F.coalesce("expected", F.lit(False)).alias("expected")
+    ).filter(~F.col("expected") | (F.col("predictions") != 1))
+
+
+def pending(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """Work rows without a finished record (resume)."""
+    return work.join(done.select(key), key, "left_anti")
