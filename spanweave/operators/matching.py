@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
 from .intervalsets import union_spans
 from .rangejoin import contained_join
 
@@ -156,8 +157,10 @@ def match_edges(edges: DataFrame, keys: Sequence[str], solver: Solver, *, extra:
         }
     )
     lone = (F.col("_dp") == 1) & (F.col("_dt") == 1)
-    settled = degree.filter(lone).select(*edges.columns)
-    open_edges = degree.filter(~lone).select(*edges.columns)
+    # three branches read the edges below: written once, the joins that made them run once
+    marked = materialize(degree.withColumn("_lone", lone).select(*edges.columns, "_lone"), "edges")
+    settled = marked.filter("_lone").select(*edges.columns)
+    open_edges = marked.filter("NOT _lone").select(*edges.columns)
     islands = union_spans(
         open_edges.select(*base, F.col("h_start").alias("_is"), F.col("h_end").alias("_ie")),
         base, "_is", "_ie", slice_sec=slice_sec,
@@ -186,7 +189,7 @@ def at_thresholds(edges: DataFrame, thresholds: Sequence[float]) -> DataFrame:
 def two_stage(required: DataFrame, optional: DataFrame, keys: Sequence[str], *, extra: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Required targets first; predictions left over are then matched to optional targets."""
     base = [*keys, *extra]
-    first = match_edges(required, keys, traversal_matching, extra=extra)
+    first = materialize(match_edges(required, keys, traversal_matching, extra=extra), "first_stage")
     rest = optional.join(first.select(*base, "p_no"), [*base, "p_no"], "left_anti")
     return first, match_edges(rest, keys, traversal_matching, extra=extra)
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import labels as lb
 from ..operators import intervalsets as ivs
 from ..operators import tiles as tl
 from . import fixtures as fx
@@ -231,15 +230,19 @@ def _(spark, sf):
 
 @query(
     "gen_sample_grid",
-    fx.with_sql("seg") + """SELECT video_id, seg_no, round(start_sec + i / 2.0, 6) AS t, round(start_sec + i * (end_sec - start_sec) / n, 6) AS step
-FROM (SELECT *, CAST(ceil((end_sec - start_sec) * 2) AS BIGINT) AS n, unnest(range(0, CAST(ceil((end_sec - start_sec) * 2) AS BIGINT))) AS i FROM seg)""",
+    fx.with_sql("seg") + """SELECT video_id, seg_no, count(*) AS n, round(max(start_sec + i / 2.0), 6) AS last_t, round(sum(start_sec + i / 2.0), 6) AS sum_t,
+  round(sum(start_sec + i * (end_sec - start_sec) / n), 4) AS sum_step
+FROM (SELECT *, CAST(ceil((end_sec - start_sec) * 2) AS BIGINT) AS n, unnest(range(0, CAST(ceil((end_sec - start_sec) * 2) AS BIGINT))) AS i FROM seg) GROUP BY video_id, seg_no""",
 )
 def _(spark, sf):
-    times = tl.sample_grid("start_sec", "end_sec", 2.0)
     n = F.ceil((F.col("end_sec") - F.col("start_sec")) * 2)
-    both = F.arrays_zip(times.alias("t"), tl.equal_steps("start_sec", "end_sec", n).alias("step"))
-    return fx.seg(spark, sf).select("video_id", "seg_no", F.explode(both).alias("x")).select(
-        "video_id", "seg_no", F.round("x.t", 6).alias("t"), F.round("x.step", 6).alias("step")
+    times = fx.seg(spark, sf).withColumns(
+        {"t": tl.sample_grid("start_sec", "end_sec", 2.0), "step": tl.equal_steps("start_sec", "end_sec", n)}
+    )
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return times.select(
+        "video_id", "seg_no", F.size("t").cast("bigint").alias("n"), F.round(F.array_max("t"), 6).alias("last_t"),
+        F.round(total("t"), 6).alias("sum_t"), F.round(total("step"), 4).alias("sum_step"),
     )
 
 
@@ -390,5 +393,3 @@ def clip_plans(spark, sf):
 def _(spark, sf):
     return tl.training_text(windows(spark, sf))
 
-
-_ = lb

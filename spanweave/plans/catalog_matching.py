@@ -1 +1,313 @@
-"""Queries."""
+"""Matching, sampling and selection."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import labels as lb
+from ..operators import matching as mt
+from ..operators import sampling as sm
+from ..operators import selection as sel
+from ..session import materialize
+from . import fixtures as fx
+from . import scoring as sg
+from . import windows as wn
+from .catalog_generation import CLIP_SQL, clip_plans, labelled_videos
+from .catalog_intervals import PAIRS_SQL
+from .catalog_joins import EDGES_SQL, sides
+from .registry import query
+
+KEYS = ["video_id"]
+
+
+def edges(spark, sf, threshold):
+    p, t = sides(spark, sf)
+    return sg.iou_edges(p, t, KEYS, threshold)
+
+
+def pair_columns(pairs):
+    return pairs.select("video_id", "p_no", "t_no", F.round("similarity", 6).alias("similarity"))
+
+
+@query("mt_max_cardinality")
+def _(spark, sf):
+    return pair_columns(mt.match_edges(sg.slim(edges(spark, sf, 0.3), KEYS), KEYS, mt.traversal_matching))
+
+
+@query("mt_max_weight_cardinality")
+def _(spark, sf):
+    return pair_columns(mt.match_edges(sg.slim(edges(spark, sf, 0.3), KEYS), KEYS, mt.weighted_cardinality_matching))
+
+
+@query("mt_max_weight")
+def _(spark, sf):
+    return pair_columns(mt.match_edges(sg.slim(edges(spark, sf, 0.0), KEYS), KEYS, mt.weighted_matching))
+
+
+def required_and_optional(spark, sf, threshold):
+    """Edges to positive (required) and to uncertain (optional) targets."""
+    found = edges(spark, sf, threshold)
+    return sg.slim(found.filter("t_kind = 'positive'"), KEYS), sg.slim(found.filter("t_kind = 'uncertain'"), KEYS)
+
+
+@query("mt_two_stage")
+def _(spark, sf):
+    required, optional = mt.two_stage(*required_and_optional(spark, sf, 0.3), KEYS)
+    return pair_columns(required).withColumn("stage", F.lit("required")).unionByName(
+        pair_columns(optional).withColumn("stage", F.lit("optional"))
+    )
+
+
+@query("mt_duplicates")
+def _(spark, sf):
+    required, optional = (materialize(e, "edges") for e in required_and_optional(spark, sf, 0.3))
+    pairs = mt.two_stage(required, optional, KEYS)
+    p, _ = sides(spark, sf)
+    return mt.duplicates(p, required.unionByName(optional), pairs[0].unionByName(pairs[1]), KEYS).select("video_id", "p_no")
+
+
+LONE_SQL = """lone AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY video_id, p_no) AS dp, count(*) OVER (PARTITION BY video_id, t_no) AS dt
+  FROM edges WHERE similarity >= 0.5) WHERE dp = 1 AND dt = 1)"""
+
+
+def lone_pairs(spark, sf, threshold=0.5):
+    """Edges whose two ends have no other edge: final in every kind of matching."""
+    found = edges(spark, sf, threshold)
+    p = found.groupBy("video_id", "p_no").agg(F.count(F.lit(1)).alias("dp")).filter("dp = 1").drop("dp")
+    t = found.groupBy("video_id", "t_no").agg(F.count(F.lit(1)).alias("dt")).filter("dt = 1").drop("dt")
+    return found.join(p, ["video_id", "p_no"], "left_semi").join(t, ["video_id", "t_no"], "left_semi")
+
+
+@query(
+    "mt_unmatched",
+    fx.with_sql("seg", EDGES_SQL, LONE_SQL)
+    + """SELECT video_id, seg_no AS no, 'prediction' AS side FROM seg s WHERE side = 1 AND NOT EXISTS (SELECT 1 FROM lone l WHERE l.video_id = s.video_id AND l.p_no = s.seg_no)
+UNION ALL SELECT video_id, seg_no, 'target' FROM seg s WHERE side = 0 AND NOT EXISTS (SELECT 1 FROM lone l WHERE l.video_id = s.video_id AND l.t_no = s.seg_no)""",
+)
+def _(spark, sf):
+    p, t = sides(spark, sf)
+    pairs = lone_pairs(spark, sf)
+    return mt.unmatched(p, pairs, KEYS, "p_no").select("video_id", F.col("p_no").alias("no"), F.lit("prediction").alias("side")).unionByName(
+        mt.unmatched(t, pairs, KEYS, "t_no").select("video_id", F.col("t_no").alias("no"), F.lit("target").alias("side"))
+    )
+
+
+def video_answers(spark, sf):
+    """One JSON answer per video from its prediction rows; some are cut off and so no JSON.
+
+    An answer is the text of one model call, so its list of spans is short by nature."""
+    span = F.format_string('{"start_sec": %.1f, "end_sec": %.1f}', "start_sec", "end_sec")
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("seg_no", span.alias("x")))), lambda r: r["x"])
+    rows = fx.seg(spark, sf).filter("side = 1").groupBy("video_id").agg(listed.alias("spans"))
+    text = F.concat(F.lit('{"segments": ['), F.array_join(F.coalesce("spans", F.array().cast("array<string>")), ", "), F.lit("]}"))
+    cut = F.col("video_id") % 10 == 7
+    return fx.videos(spark, sf).join(rows, "video_id", "left").select(
+        "video_id", "drama_id", F.when(cut, F.substring(text, 1, 20)).otherwise(text).alias("text"), "duration_sec",
+        F.lit(0.0).alias("core_start"), F.lit(48.0).alias("core_end"),
+    )
+
+
+def scored_answers(spark, sf):
+    _, t = sides(spark, sf)
+    targets = t.filter("t_kind = 'positive'").select("video_id", "t_no", "t_start", "t_end")
+    return sg.soft_f1(video_answers(spark, sf), targets, KEYS)
+
+
+@query("mt_soft_f1")
+def _(spark, sf):
+    return scored_answers(spark, sf).withColumn("score", F.round("score", 6))
+
+
+# --- sampling: one window per video, category by its positives ----------------------------------
+
+SAMPLE_SQL = """samples AS (SELECT concat('w', CAST(v.video_id AS VARCHAR)) AS sample_id, v.drama_id, v.video_id,
+  CASE WHEN coalesce(n, 0) = 0 THEN 'empty' WHEN n = 1 THEN 'single' ELSE 'multiple' END AS category,
+  v.price < 30000 AS focus FROM videos v LEFT JOIN (SELECT video_id, count(*) AS n FROM seg WHERE kind = 'positive' GROUP BY video_id) s ON s.video_id = v.video_id
+  WHERE v.split = 'train')"""
+
+
+def samples(spark, sf):
+    n = fx.seg(spark, sf).filter("kind = 'positive'").groupBy("video_id").agg(F.count(F.lit(1)).alias("n"))
+    v = fx.videos(spark, sf).filter("split = 'train'").join(n, "video_id", "left")
+    return v.select(
+        F.concat(F.lit("w"), "video_id").alias("sample_id"), "drama_id", "video_id",
+        lb.window_category(F.coalesce("n", F.lit(0))).alias("category"), (F.col("price") < 30000).alias("focus"),
+    )
+
+
+QUOTA_SQL = """c AS (SELECT category, count(*) AS n FROM samples GROUP BY category),
+q0 AS (SELECT category, n, (1000 * n) // sum(n) OVER () AS fl, (1000 * n) % sum(n) OVER () AS rest FROM c),
+quota AS (SELECT category, n, CAST(fl + CASE WHEN row_number() OVER (ORDER BY rest DESC, category) <= 1000 - sum(fl) OVER () THEN 1 ELSE 0 END AS BIGINT) AS quota FROM q0)"""
+
+
+@query("smp_quotas", fx.with_sql("seg", "videos", SAMPLE_SQL, QUOTA_SQL) + "SELECT category, n, quota FROM quota")
+def _(spark, sf):
+    return sm.quotas(samples(spark, sf), 1000)
+
+
+DRAW_SQL = """r AS (SELECT *, row_number() OVER (PARTITION BY category, drama_id ORDER BY sha256(concat('42:', sample_id)), sample_id) AS round_no FROM {src}),
+d AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY round_no, sha256(concat('42:', drama_id)), drama_id) AS draw_no FROM r)"""
+
+
+@query(
+    "smp_round_robin",
+    fx.with_sql("seg", "videos", SAMPLE_SQL, QUOTA_SQL, DRAW_SQL.format(src="samples"))
+    + "SELECT sample_id, drama_id, category, round_no, draw_no FROM d JOIN quota USING (category) WHERE draw_no <= quota",
+)
+def _(spark, sf):
+    rows = samples(spark, sf)
+    wanted = sm.quotas(rows, 1000).select("category", F.col("quota").alias("take"))
+    return sm.round_robin(rows, wanted, 42).select("sample_id", "drama_id", "category", "round_no", "draw_no")
+
+
+@query(
+    "smp_focus_stratified",
+    fx.with_sql(
+        "seg", "videos", SAMPLE_SQL, QUOTA_SQL, "f AS (SELECT category, count(*) AS nf FROM samples WHERE focus GROUP BY category)",
+        "reg AS (SELECT * FROM samples WHERE NOT focus)", DRAW_SQL.format(src="reg"),
+    )
+    + """SELECT sample_id, category, focus, sha256(concat('43:', sample_id)) AS shuffle_key FROM samples WHERE focus
+UNION ALL SELECT sample_id, category, focus, sha256(concat('43:', sample_id)) FROM d JOIN quota USING (category) LEFT JOIN f USING (category) WHERE draw_no <= quota - coalesce(nf, 0)""",
+)
+def _(spark, sf):
+    rows = samples(spark, sf)
+    focus = rows.filter("focus").select("sample_id")
+    out = sm.draw_stratified(rows.drop("focus"), focus, sm.quotas(rows, 1000), 42)
+    return out.select("sample_id", "category", "focus", "shuffle_key")
+
+
+@query(
+    "smp_default_size",
+    fx.with_sql("seg", "videos", SAMPLE_SQL)
+    + "SELECT count(*) AS train, count(*) FILTER (focus) AS focus_rows, least(count(*), 2 * count(*) FILTER (focus)) AS size FROM samples",
+)
+def _(spark, sf):
+    n = samples(spark, sf).agg(F.count(F.lit(1)).alias("train"), F.count_if("focus").alias("focus_rows"))
+    return n.withColumn("size", sm.default_size(F.col("train"), F.col("focus_rows")))
+
+
+def scored_windows(spark, sf):
+    """Usable windows scored against answers made from the video's prediction rows."""
+    options = wn.WindowOptions(10.0, 10.0, 20.0)
+    tiles = wn.classify_tiles(labelled_videos(spark, sf), fx.seg(spark, sf), options).filter("outcome IN ('positive', 'empty')")
+    keyed = tiles.withColumn("sample_id", wn.sample_id("video_id", "core_start", "core_end"))
+    windows = keyed.select(
+        "sample_id", "video_id", "drama_id", (F.col("read_end") - F.col("read_start")).alias("view_sec"),
+        (F.col("core_start") - F.col("read_start")).alias("core_start"), (F.col("core_end") - F.col("read_start")).alias("core_end"), "segments",
+    )
+    owned = wn.midpoint_windows(
+        fx.seg(spark, sf).filter("side = 1").select("video_id", "seg_no", "start_sec", "end_sec"),
+        keyed.select("video_id", "tile_no", "sample_id", "core_start", "core_end", "read_start"), 10.0,
+    )
+    span = F.format_string(
+        '{"start_sec": %.1f, "end_sec": %.1f}', F.col("start_sec") - F.col("read_start"), F.col("end_sec") - F.col("read_start")
+    )
+    texts = owned.groupBy("sample_id").agg(F.array_join(F.sort_array(F.collect_list(span)), ", ").alias("t"))
+    answers = keyed.join(texts, "sample_id", "left").select(
+        "sample_id",
+        F.when(F.col("video_id") % 10 == 7, F.lit("cut off")).otherwise(F.concat(F.lit('{"segments": ['), F.coalesce("t", F.lit("")), F.lit("]}"))).alias("text"),
+        (F.col("video_id") % 10 == 7).alias("truncated"), (F.col("video_id") % 60 / 10.0).alias("generation_sec"),
+    )
+    return sg.score_windows(windows, answers)
+
+
+@query("smp_examples")
+def _(spark, sf):
+    return sm.first_examples(scored_windows(spark, sf)["details"])
+
+
+STEP_SQL = """SELECT user_id AS run, event_id AS step, round(value / 500, 3) AS f1, round((event_id % 7) / 7.0, 3) AS recall, (event_id % 3) / 3.0 AS fp FROM events"""
+
+
+@query(
+    "sel_best_step",
+    f"""SELECT run, step AS best_step, f1 AS f1_iou50, recall AS recall_iou30 FROM (SELECT *, row_number() OVER (PARTITION BY run
+  ORDER BY f1 DESC, recall DESC, fp, step) AS rn FROM ({STEP_SQL})) WHERE rn = 1""",
+)
+def _(spark, sf):
+    steps = fx.timeline(spark, sf).select(
+        F.col("job").alias("run"), F.col("pos").alias("step"), F.round(F.col("value") / 500, 3).alias("f1_iou50"),
+        F.round(F.col("pos") % 7 / F.lit(7.0), 3).alias("recall_iou30"), (F.col("pos") % 3 / F.lit(3.0)).alias("empty_window_false_positive_rate"),
+    )
+    return sel.best_step(steps)
+
+
+# plans and decisions per order: event e<line>, decision by part and supplier numbers
+PLAN = [
+    "l_orderkey AS job_id", f"CAST({fx.SEG_NO} AS {{text}}) AS event_id", "CAST(l_quantity AS DOUBLE) AS start_sec",
+    "CAST(l_quantity + 4 + l_linenumber AS DOUBLE) AS end_sec", "CASE WHEN l_tax > 0.07 THEN 'infeasible_duration' ELSE 'ready' END AS status",
+    "l_partkey % 3 <> 0 AS selected", "l_suppkey AS supp", "l_partkey AS part", "l_linenumber AS line",
+]
+
+
+def plan_rows(spark, sf):
+    return fx.table(spark, sf, "lineitem").selectExpr(*[c.format(text="STRING") for c in PLAN])
+
+
+PLAN_SQL = "plans AS (SELECT " + ", ".join(c.format(text="VARCHAR") for c in PLAN) + " FROM lineitem)"
+
+
+@query(
+    "sel_decisions_check",
+    fx.with_sql(
+        PLAN_SQL, "dec AS (SELECT job_id, event_id, selected, CASE WHEN line = 2 THEN event_id END AS dup FROM plans WHERE supp % 10 <> 0 UNION ALL SELECT job_id, event_id, selected, NULL FROM plans WHERE supp % 10 = 9)",
+        "once AS (SELECT job_id, event_id, count(*) AS n, bool_or(selected) AS selected FROM dec GROUP BY job_id, event_id)",
+        "picked AS (SELECT p.job_id, p.event_id, p.start_sec, p.end_sec, p.status FROM plans p JOIN once o ON o.job_id = p.job_id AND o.event_id = p.event_id AND o.selected)",
+        "sums AS (SELECT job_id, count(*) AS c, sum(end_sec - start_sec) AS s FROM picked GROUP BY job_id)",
+        "budget AS (SELECT o_orderkey AS job_id, CASE WHEN o_custkey % 2 = 0 THEN 3 END AS mc, CASE WHEN o_custkey % 3 = 0 THEN 30.0 END AS ms, o_orderstatus <> 'P' AS allow FROM orders)",
+        "seq AS (SELECT p.job_id, p.start_sec, lag(p.end_sec) OVER (PARTITION BY p.job_id ORDER BY p.start_sec, p.event_id) AS pe FROM picked p JOIN budget b ON b.job_id = p.job_id AND NOT b.allow)",
+    )
+    + """SELECT job_id, 'decisions_do_not_cover' AS reason FROM plans p WHERE NOT EXISTS (SELECT 1 FROM once o WHERE o.job_id = p.job_id AND o.event_id = p.event_id AND o.n = 1)
+UNION SELECT job_id, 'infeasible_selected' FROM picked WHERE status = 'infeasible_duration'
+UNION SELECT d.job_id, 'duplicate_of_unselected' FROM dec d WHERE d.dup IS NOT NULL AND NOT EXISTS (SELECT 1 FROM picked p WHERE p.job_id = d.job_id AND p.event_id = d.dup)
+UNION SELECT s.job_id, 'count_budget' FROM sums s JOIN budget b USING (job_id) WHERE s.c > b.mc
+UNION SELECT s.job_id, 'seconds_budget' FROM sums s JOIN budget b USING (job_id) WHERE s.s > b.ms + 1e-9
+UNION SELECT job_id, 'overlap' FROM seq WHERE pe > start_sec""",
+)
+def _(spark, sf):
+    plans = plan_rows(spark, sf)
+    decisions = plans.filter("supp % 10 <> 0").select(
+        "job_id", "event_id", "selected", F.when(F.col("line") == 2, F.col("event_id")).alias("duplicate_of")
+    ).unionByName(plans.filter("supp % 10 = 9").select("job_id", "event_id", "selected", F.lit(None).cast("string").alias("duplicate_of")))
+    budgets = fx.table(spark, sf, "orders").selectExpr(
+        "o_orderkey AS job_id", "CASE WHEN o_custkey % 2 = 0 THEN 3 END AS max_count",
+        "CASE WHEN o_custkey % 3 = 0 THEN 30.0D END AS max_seconds", "o_orderstatus <> 'P' AS allow_overlap",
+    )
+    return sel.decision_violations(plans, decisions, budgets)
+
+
+@query(
+    "sel_publishable",
+    fx.with_sql(PLAN_SQL)
+    + """SELECT job_id, event_id, CASE WHEN status <> 'ready' THEN 'not_ready' WHEN supp % 4 = 0 THEN 'not_reviewed' WHEN line = 5 THEN 'has_issues' ELSE 'no_media' END AS reason
+FROM plans WHERE selected AND (status <> 'ready' OR supp % 4 = 0 OR line = 5 OR part % 5 = 0)""",
+)
+def _(spark, sf):
+    rows = plan_rows(spark, sf).filter("selected").withColumns(
+        {
+            "review": F.when(F.col("supp") % 4 != 0, "seen"),
+            "issues": F.when(F.col("line") == 5, F.array(F.lit("cutoff"))).otherwise(F.array().cast("array<string>")),
+            "media_path": F.when(F.col("part") % 5 != 0, "clip"),
+        }
+    )
+    return sel.unpublishable(rows).select("job_id", "event_id", "reason")
+
+
+@query(
+    "sel_media_align",
+    f"WITH {PAIRS_SQL}, {CLIP_SQL}, " + """pl AS (SELECT video_id, seg_no, line, CAST(fs AS DOUBLE) AS s, CAST(fe AS DOUBLE) AS e, fe - fs > 30 OR fe - fs < 25 AS bad FROM p3),
+sn AS (SELECT *, CASE WHEN line = 6 THEN s + 1 ELSE floor(s / 4) * 4 END AS a, CASE WHEN line = 5 THEN e + 64 ELSE ceil(e / 4) * 4 END AS b FROM pl),
+er AS (SELECT *, CASE WHEN NOT (a >= 0 AND a < b AND b <= 64) THEN 'outside_video' WHEN a > s OR b < e THEN 'discards_content' END AS error FROM sn)
+SELECT video_id, seg_no, CASE WHEN error IS NULL THEN a ELSE s END AS start_sec, CASE WHEN error IS NULL THEN b ELSE e END AS end_sec, error AS align_error,
+  CASE WHEN error IS NOT NULL THEN CASE WHEN bad THEN 'infeasible_duration' ELSE 'draft' END WHEN bad OR b - a > 30 THEN 'infeasible_duration' ELSE 'draft' END AS plan_status FROM er""",
+)
+def _(spark, sf):
+    plans = clip_plans(spark, sf).withColumn("reviewed", F.lit(True))
+    snapped = plans.select(
+        "video_id", "seg_no",
+        F.when(F.col("line") == 6, F.col("start_sec") + 1).otherwise(F.floor(F.col("start_sec") / 4) * 4).cast("double").alias("src_start_sec"),
+        F.when(F.col("line") == 5, F.col("end_sec") + 64).otherwise(F.ceil(F.col("end_sec") / 4) * 4).cast("double").alias("src_end_sec"),
+    )
+    out = sel.align_media(plans, snapped, ["video_id", "seg_no"], max_clip_sec=30.0)
+    return out.select("video_id", "seg_no", "start_sec", "end_sec", "align_error", "plan_status")
+

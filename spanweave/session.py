@@ -7,8 +7,9 @@ shuffle partitions) belongs to the cluster.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RESULT_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -34,21 +35,30 @@ def build_session(app: str = "spanweave", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder; a local one only when none is set on a local master."""
+    """The scratch folder every executor can reach, named by ``spark.checkpoint.dir``.
+
+    Only a local master without that setting gets a temporary folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="spanweave-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="spanweave-")
+    return _LOCAL_FOLDERS[context.applicationId]
+
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a result that several branches read to the shared folder and read it back.
 
-def cut_lineage(df):
-    """Reliable checkpoint in the shared folder (survives the loss of executors)."""
+    The table outlives lost executors, is scanned column by column and has a known size, so the
+    planner can choose joins for it; its folder may be removed when the session has ended."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark).rstrip('/')}/spanweave/{name}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
