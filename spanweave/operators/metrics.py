@@ -310,3 +310,24 @@ def delivery(highlights: DataFrame) -> DataFrame:
 
 def finite_values(df: DataFrame, value: str) -> DataFrame:
     return df.filter(is_finite(value))
+
+
+def all_and_completed(items: DataFrame) -> DataFrame:
+    """Totals over all items (an incomplete one keeps its targets but has no predictions) and over
+    the completed ones, with the completion rate: one scan, conditional sums.
+
+    ``items``: complete, hits, predictions, targets."""
+    done = F.col("complete")
+    live = lambda c: F.sum(F.when(done, F.col(c)).otherwise(0))
+    total = items.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(done).alias("n_done"), live("hits").alias("hits"),
+        live("predictions").alias("predictions"), F.sum("targets").alias("targets"), live("targets").alias("targets_done"),
+    )
+
+    def row(scope, n, targets):
+        return F.struct(F.lit(scope).alias("scope"), F.col(n).alias("videos"), F.col(targets).alias("targets"))
+
+    each = F.explode(F.array(row("all", "n", "targets"), row("completed_only", "n_done", "targets_done")))
+    return total.withColumn("_r", each).select(
+        "_r.scope", "_r.videos", "hits", "predictions", "_r.targets", ratio("n_done", "n").alias("completion_rate")
+    )
