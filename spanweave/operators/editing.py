@@ -175,14 +175,14 @@ def merge_highlights(highlights: DataFrame, targets: DataFrame, *, slice_sec: fl
     rows = targets.join(valid, ["job_id", "command_no"], "left_semi").join(highlights, key)
     order = F.struct("start_sec", "end_sec", "highlight_id")
     # the first of the best-scored rows in time order
-    best = F.struct(F.col("score"), (-F.col("start_sec")).alias("ns"), (-F.col("end_sec")).alias("ne"))
+    best = F.struct((-F.col("score")).alias("ns"), "start_sec", "end_sec", "highlight_id")
     listed = F.sort_array(F.collect_list(F.struct(order.alias("o"), F.col("description").alias("d"), F.col("reason").alias("r"))))
     merged = rows.groupBy("job_id", "command_no").agg(
         F.min_by("highlight_id", order).alias("highlight_id"),
         F.round(F.min("start_sec"), 3).alias("start_sec"),
         F.round(F.max("end_sec"), 3).alias("end_sec"),
         F.max("score").alias("score"),
-        F.max_by("highlight_type", best).alias("highlight_type"),
+        F.min_by("highlight_type", best).alias("highlight_type"),
         F.max("duration_sec").alias("duration_sec"),
         listed.alias("_l"),
     )
@@ -459,3 +459,34 @@ def latest_history(turns: DataFrame, keep: int = 5) -> DataFrame:
 
     w = Window.partitionBy("job_id").orderBy(F.col("pos").desc())
     return turns.withColumn("recency", F.row_number().over(w)).filter(F.col("recency") <= keep)
+
+
+def archive(jobs: DataFrame, statuses: Sequence[str], keyword: str, text_columns: Sequence[str], sort: str = "newest") -> DataFrame:
+    """Jobs filtered by shown status (any of active, completed, partial, failed, all) and keyword,
+    sorted newest, oldest or by name."""
+    from ..functions.labels import display_status, review_ready
+    from ..functions.scalars import folded_contains
+
+    shown = display_status("status", "completion")
+    tests = {
+        "all": F.lit(True),
+        "active": F.col("status").isin("queued", "processing"),
+        "completed": review_ready("status", "completion"),
+        "partial": shown == "partial",
+        "failed": F.col("status") == "failed",
+    }
+    keep = tests[statuses[0]]
+    for name in statuses[1:]:
+        keep = keep | tests[name]
+    needle = keyword.strip()
+    if needle:
+        keep = keep & folded_contains(F.concat_ws(" ", *[F.col(c).cast("string") for c in text_columns]), F.lit(needle))
+    order = {"newest": F.col("created").desc(), "oldest": F.col("created"), "name": F.col("name")}[sort]
+    return jobs.filter(keep).orderBy(order, "job_id")
+
+
+def score_positions(highlights: DataFrame) -> DataFrame:
+    """Highlights with their rank by score (best first) within the job."""
+    keyed = highlights.withColumn("_neg", -F.col("score"))
+    order = [F.col("_neg"), F.col("start_sec"), F.col("highlight_id")]
+    return sliced_rank(keyed, ["job_id"], order, F.floor(F.col("_neg") * 20), "position").drop("_neg")

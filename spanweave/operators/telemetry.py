@@ -152,3 +152,11 @@ def trace_counts(trace: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.count(F.when(request, 1)).alias("requests"),
         F.sum(F.when(request, F.col("elapsed_sec"))).alias("request_sec"),
     )
+
+
+def facts(*parts: DataFrame) -> DataFrame:
+    """Distinct facts per job from their sources (each: job, fact)."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.distinct()

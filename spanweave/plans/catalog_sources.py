@@ -1 +1,229 @@
-"""Queries."""
+"""Sources and sinks, exercised on files and tables that Spark derives from the supplied data."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..functions import labels as lb
+from ..operators import editing, store
+from ..session import shared_folder
+from ..sources import artifacts, journal, manifest, snapshot, subtitles
+from . import fixtures as fx
+from .catalog_editing import HL_SQL, highlights
+from .registry import query
+
+
+def scratch(spark, name: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/spanweave/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "src_manifest",
+    fx.with_sql("videos")
+    + """SELECT CAST(video_id AS VARCHAR) AS video_id, CASE WHEN video_id % 17 = 0 THEN 'blank_id' WHEN video_id % 19 = 0 OR video_id % 23 = 0 THEN 'invalid_duration' END AS reject_reason,
+  CASE WHEN video_id % 17 > 0 AND video_id % 19 > 0 AND video_id % 23 > 0 THEN split END AS split FROM videos""",
+)
+def _(spark, sf):
+    v = fx.videos(spark, sf)
+    lines = v.select(
+        F.to_json(
+            F.struct(
+                F.col("video_id").cast("string").alias("video_id"),
+                F.when(F.col("video_id") % 17 == 0, F.lit("  ")).otherwise(F.col("drama_id")).alias("drama_id"),
+                # a zero length, a missing length, or the real one
+                F.when(F.col("video_id") % 19 == 0, 0.0).when(F.col("video_id") % 23 != 0, F.col("duration_sec")).alias("duration_sec"),
+                F.lit("zh").alias("language"), F.lit("ignored").alias("another_key"),
+            )
+        ).alias("value")
+    )
+    path = scratch(spark, "manifest")
+    lines.write.text(path)
+    good, bad = manifest.split_manifest(manifest.read_manifest(spark, path))
+    none = F.lit(None).cast("string")
+    return good.select("video_id", none.alias("reject_reason"), "split").unionByName(
+        bad.select("video_id", "reject_reason", none.alias("split"))
+    )
+
+
+REG_IN = [
+    f"{fx.SEG_NO} * 0 + l_orderkey * 100 + l_linenumber AS pos", "l_orderkey AS video_id", "concat('d', CAST(o_custkey + CASE WHEN l_suppkey % 40 = 0 THEN 1 ELSE 0 END AS {text})) AS drama_id",
+    "concat('h', CAST(l_orderkey - CASE WHEN l_suppkey % 30 = 0 THEN 100000000 ELSE 0 END AS {text})) AS sha256",
+]
+REG_OLD = ["o_orderkey AS video_id", "concat('d', CAST(o_custkey AS {text})) AS drama_id", "concat('h', CAST(o_orderkey AS {text})) AS sha256"]
+
+
+@query(
+    "src_register",
+    "WITH inc AS (SELECT " + ", ".join(c.format(text="VARCHAR") for c in REG_IN) + " FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber < 3),\n"
+    + "old AS (SELECT " + ", ".join(c.format(text="VARCHAR") for c in REG_OLD) + " FROM orders WHERE o_orderstatus = 'O'),\n"
+    + """b AS (SELECT video_id, drama_id, sha256, NULL AS pos, TRUE AS old FROM old UNION ALL SELECT video_id, drama_id, sha256, pos, FALSE FROM inc),
+i AS (SELECT video_id, count(DISTINCT sha256) > 1 AS clash FROM b GROUP BY video_id), h AS (SELECT sha256, count(DISTINCT drama_id) > 1 AS clash, bool_or(old) AS old, min(pos) AS first FROM b GROUP BY sha256)
+SELECT outcome, count(*) AS n, sum(video_id)::BIGINT AS id_sum FROM (SELECT inc.video_id, CASE WHEN i.clash OR h.clash THEN 'conflict' WHEN NOT h.old AND inc.pos = h.first THEN 'added' ELSE 'duplicate' END AS outcome
+FROM inc JOIN i USING (video_id) JOIN h USING (sha256)) GROUP BY outcome""",
+)
+def _(spark, sf):
+    o = fx.table(spark, sf, "orders")
+    old = o.filter("o_orderstatus = 'O'").selectExpr(*[c.format(text="STRING") for c in REG_OLD])
+    rows = fx.table(spark, sf, "lineitem").filter("l_linenumber < 3").join(o, F.col("o_orderkey") == F.col("l_orderkey"))
+    out = store.register(old, rows.selectExpr(*[c.format(text="STRING") for c in REG_IN]))
+    # rows of one order with the same line number share a position and count alike
+    return out.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.sum("video_id").alias("id_sum"))
+
+
+@query("src_group_split", fx.with_sql("videos") + "SELECT video_id, drama_id, split FROM videos")
+def _(spark, sf):
+    v = fx.videos(spark, sf).select("video_id", "drama_id")
+    return v.withColumn("split", lb.group_split("drama_id"))
+
+
+@query(
+    "src_dialogue",
+    fx.with_sql("dialogues", "h AS (SELECT DISTINCT video_id, CASE WHEN video_id % 5 = 0 THEN 'other_content' WHEN video_id % 7 = 0 THEN 'not_at_zero' END AS reason FROM dialogues)")
+    + """SELECT d.video_id, d.start_sec, d.source, NULL AS reason FROM dialogues d JOIN h USING (video_id) WHERE reason IS NULL AND d.end_sec <= 40
+UNION ALL SELECT video_id, NULL, NULL, reason FROM h WHERE reason IS NOT NULL
+UNION ALL SELECT DISTINCT d.video_id, NULL::DOUBLE, NULL, 'out_of_range' FROM dialogues d JOIN h USING (video_id) WHERE reason IS NULL AND d.end_sec > 40""",
+)
+def _(spark, sf):
+    d = fx.dialogues(spark, sf)
+    ids = d.select("video_id").distinct()
+    v = ids.select("video_id", F.concat(F.lit("h"), "video_id").alias("sha256"), F.lit(40.0).alias("duration_sec"))
+    records = v.select(
+        "video_id", F.when(F.col("video_id") % 5 == 0, "x").otherwise(F.col("sha256")).alias("source_sha256"),
+        F.when(F.col("video_id") % 7 == 0, 3.0).otherwise(0.0).alias("source_start"),
+    )
+    rows, bad = manifest.checked_dialogue(d, v, records)
+    return rows.select("video_id", "start_sec", "source").unionByName(bad, allowMissingColumns=True)
+
+
+@query(
+    "src_subtitles",
+    """SELECT conv_id, turn AS cue_no, CAST(turn * 8 AS DOUBLE) AS start_sec, CAST(turn * 8 AS DOUBLE) + 2.5 AS end_sec, concat(role, ' ', CAST(length(text) AS VARCHAR)) AS text
+FROM conversations WHERE turn % 5 <> 4 AND turn % 7 <> 6""",
+)
+def _(spark, sf):
+    # one cue block per turn, written as subtitle documents of one conversation each
+    second = F.col("turn") * 8
+    clock = lambda s, ms: F.format_string(f"%02d:%02d:%02d,{ms}", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
+    times = F.concat(clock(second, "000"), F.lit(" --> "), clock(second + F.when(F.col("turn") % 5 == 4, -2).otherwise(2), "500"))
+    cue = F.concat_ws("\n", F.col("turn").cast("string"), times, F.concat(F.lit("<i>"), "role", F.lit("</i> "), F.length("text")))
+    block = F.when(F.col("turn") % 7 == 6, F.concat(F.lit("NOTE "), cue)).otherwise(cue)
+    docs = fx.table(spark, sf, "conversations").groupBy("conv_id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("text")
+    )
+    return subtitles.cues(docs, "text", ["conv_id"])
+
+
+@query(
+    "src_journal",
+    """SELECT user_id AS job, day, row_number() OVER (PARTITION BY user_id, day ORDER BY event_id) - 1 AS line_no, event_id AS pos, event_id % 50 = 0 AS bad
+FROM (SELECT *, CAST(ts AS DATE) AS day FROM events)""",
+)
+def _(spark, sf):
+    # a journal per job and day; every journal ends with an unfinished line
+    e = fx.table(spark, sf, "events")
+    line = F.when(F.col("event_id") % 50 == 0, F.concat(F.lit("broken "), "event_id")).otherwise(
+        F.to_json(F.struct(F.col("event_id").alias("pos"), "event_type"))
+    )
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("event_id", line.alias("l")))), lambda x: x["l"])
+    raw = e.groupBy(F.col("user_id").alias("job"), F.to_date("ts").alias("day")).agg(
+        F.concat(F.array_join(listed, "\n"), F.lit('\n{"pos": 1')).alias("value")
+    )
+    good, bad = journal.journal_records(raw, ["job", "day"])
+    number = F.regexp_extract("line", r"broken (\d+)", 1).cast("bigint")
+    return good.select("job", "day", "line_no", F.try_variant_get("record", "$.pos", "bigint").alias("pos"), F.lit(False).alias("bad")).unionByName(
+        bad.select("job", "day", "line_no", number.alias("pos"), F.lit(True).alias("bad"))
+    )
+
+
+@query(
+    "src_run_artifacts",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS job, CASE WHEN o_orderkey % 4 > 0 THEN CASE WHEN o_orderstatus = 'O' THEN 'complete' ELSE 'partial' END END AS completion,
+  CASE WHEN o_orderkey % 3 > 0 THEN 2 ELSE 0 END::BIGINT AS attempts, CASE WHEN o_orderkey % 5 > 0 THEN 1 ELSE 0 END::BIGINT AS events, coalesce(n, 0) AS trace_rows
+FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey""",
+)
+def _(spark, sf):
+    o = fx.table(spark, sf, "orders").withColumn("job", F.col("o_orderkey").cast("string"))
+    root = scratch(spark, "run")
+    o.filter("o_orderkey % 4 > 0").selectExpr(
+        "job", "'2.0' AS schema_version", "CASE WHEN o_orderstatus = 'O' THEN 'complete' ELSE 'partial' END AS completion"
+    ).write.json(f"{root}/result")
+    o.filter("o_orderkey % 5 > 0").selectExpr(
+        "job", "named_struct('events', array(named_struct('id', 'e1', 'status', 'supported')), 'plans', array()) AS tools"
+    ).write.json(f"{root}/state")
+    o.filter("o_orderkey % 3 > 0").selectExpr(
+        "job", "array(named_struct('status', 'failed', 'elapsed_sec', 1.5D), named_struct('status', 'complete', 'elapsed_sec', 2D)) AS attempts"
+    ).write.json(f"{root}/execution")
+    fx.table(spark, sf, "lineitem").selectExpr(
+        "CAST(l_orderkey AS STRING) AS job", "'model' AS kind", "l_tax AS elapsed_sec", "array() AS calls"
+    ).write.json(f"{root}/trace")
+    return artifacts.items_with_artifacts(o.select("job"), artifacts.read_run_bundles(spark, root))
+
+
+@query(
+    "src_result_upgrade",
+    f"""SELECT o_orderkey AS job_id, '2.0' AS schema_version, CASE WHEN old THEN 'complete' ELSE 'partial' END AS completion, CASE WHEN old THEN '{artifacts.LEGACY_MESSAGE}' ELSE 'm' END AS message,
+  CASE WHEN old THEN 1.0 ELSE 0.5 END::DOUBLE AS scan_coverage, CASE WHEN old THEN '{artifacts.LEGACY_STOP_REASON}' ELSE 's' END AS stop_reason, CASE WHEN old THEN 0 ELSE 7 END::BIGINT AS model_calls
+FROM (SELECT *, o_orderpriority = '5-LOW' AS old FROM orders)""",
+)
+def _(spark, sf):
+    rows = fx.table(spark, sf, "orders").selectExpr(
+        "o_orderkey AS job_id", "CASE WHEN o_orderpriority = '5-LOW' THEN '1.0' ELSE '2.0' END AS schema_version",
+        "'partial' AS completion", "'m' AS message",
+        "named_struct('scan_coverage', 0.5D, 'pending_event_count', 1L, 'pending_observation_count', 1L, 'pending_proposal_count', 1L,"
+        " 'pending_review_count', 1L, 'stop_reason', 's', 'model_calls', 7L) AS analysis",
+    )
+    return artifacts.upgrade_results(rows).select(
+        "job_id", "schema_version", "completion", "message", "analysis.scan_coverage", "analysis.stop_reason", "analysis.model_calls"
+    )
+
+
+def published(spark, sf) -> str:
+    target = scratch(spark, "snapshot")
+    tables = {"videos": fx.videos(spark, sf), "segments": fx.seg(spark, sf)}
+    snapshot.publish(tables, target, {"videos": ["split"]})
+    return target
+
+
+@query("snk_snapshot", 'SELECT \'videos\' AS "table", count(*) AS rows FROM orders UNION ALL SELECT \'segments\', count(*) FROM lineitem')
+def _(spark, sf):
+    return spark.read.parquet(f"{published(spark, sf)}/_manifest").select("table", "rows")
+
+
+@query("src_snapshot_read", fx.with_sql("videos") + "SELECT split, count(*) AS videos, count(DISTINCT drama_id) AS dramas FROM videos GROUP BY split")
+def _(spark, sf):
+    df = snapshot.read_published(spark, published(spark, sf), "videos")
+    return df.groupBy("split").agg(F.count(F.lit(1)).alias("videos"), F.count_distinct("drama_id").alias("dramas"))
+
+
+@query(
+    "snk_review_log",
+    f"""WITH {HL_SQL}, d AS (SELECT *, CASE WHEN line % 3 > 0 THEN start_sec - supp % 8 END AS ns, CASE WHEN line % 2 > 0 THEN end_sec - part % 14 + 7 END AS ne FROM hl WHERE line < 6),
+r AS (SELECT *, CASE WHEN ns IS NULL THEN start_sec ELSE greatest(0, ns) END AS s, CASE WHEN ne IS NULL THEN end_sec ELSE least(64, ne) END AS e FROM d)
+SELECT job_id, highlight_id, CASE WHEN line % 2 > 0 THEN 'accepted' ELSE 'rejected' END AS review_status, CASE WHEN s <> start_sec OR e <> end_sec THEN '' ELSE clip_url END AS clip_url, CAST(s AS DOUBLE) AS start_sec, CAST(e AS DOUBLE) AS end_sec
+FROM r WHERE e > s""",
+)
+def _(spark, sf):
+    h = highlights(spark, sf)
+    decisions = h.filter("line < 6").select(
+        "job_id", "highlight_id", F.when(F.col("line") % 2 > 0, "accepted").otherwise("rejected").alias("status"),
+        F.when(F.col("line") % 3 > 0, F.col("start_sec") - F.col("supp") % 8).alias("new_start"),
+        F.when(F.col("line") % 2 > 0, F.col("end_sec") - F.col("part") % 14 + 7).alias("new_end"),
+    )
+    log, _ = editing.apply_reviews(h.drop("review_status"), decisions)
+    return log
+
+
+@query(
+    "snk_prediction_upsert",
+    """WITH old AS (SELECT ps_k AS video_id, m AS model_id, max(p) AS payload FROM (SELECT l_orderkey AS ps_k, l_suppkey % 3 AS m, l_extendedprice AS p FROM lineitem WHERE l_linenumber < 5) GROUP BY ALL),
+new AS (SELECT l_orderkey AS video_id, l_suppkey % 3 AS model_id, max(l_extendedprice) AS payload FROM lineitem WHERE l_linenumber > 1 GROUP BY ALL)
+SELECT coalesce(o.video_id, n.video_id) AS video_id, coalesce(o.model_id, n.model_id) AS model_id, coalesce(n.payload, o.payload) AS payload,
+  CASE WHEN n.video_id IS NULL THEN 'kept' WHEN o.video_id IS NULL THEN 'inserted' WHEN o.payload = n.payload THEN 'unchanged' ELSE 'updated' END AS outcome
+FROM old o FULL JOIN new n ON o.video_id = n.video_id AND o.model_id = n.model_id""",
+)
+def _(spark, sf):
+    li = fx.table(spark, sf, "lineitem").selectExpr("l_orderkey AS video_id", "l_suppkey % 3 AS model_id", "l_extendedprice AS p", "l_linenumber AS line")
+    pick = lambda where: li.filter(where).groupBy("video_id", "model_id").agg(F.max("p").alias("payload"))
+    return store.upsert_predictions(pick("line < 5"), pick("line > 1"))

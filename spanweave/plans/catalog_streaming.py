@@ -1 +1,157 @@
-"""Queries."""
+"""Run-log operators (batch twins) and the streaming replay."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.scalars import content_key
+from ..operators import telemetry as tm
+from ..streaming import edits, sinks
+from . import fixtures as fx
+from .catalog_aggregates import RUNLOG_SQL, run_log
+from .catalog_generation import page_rows
+from .catalog_joins import TILES_SQL
+from .catalog_sources import scratch
+from .registry import query
+
+LOG = ["job AS run", "pos", "CAST(floor(value / 20) AS BIGINT) AS step", "kind IN ('view', 'click') AS training", "kind AS key", "value"]
+LOG_SQL = f"lg AS (SELECT {', '.join(LOG)} FROM timeline)"
+
+
+def merged_sql(name: str, where: str) -> str:
+    return f"""{name}_t AS (SELECT run, step, max(pos) AS since FROM lg WHERE training AND {where} GROUP BY run, step),
+{name} AS (SELECT run, step, key, max_by(value, pos) AS value FROM lg LEFT JOIN {name}_t USING (run, step) WHERE (since IS NULL OR pos >= since) AND {where} GROUP BY run, step, key)"""
+
+
+@query("st_metric_merge", fx.with_sql("timeline", LOG_SQL, merged_sql("m", "TRUE")) + "SELECT run, step, key, value FROM m")
+def _(spark, sf):
+    return tm.merge_metrics(fx.timeline(spark, sf).selectExpr(*LOG))
+
+
+@query(
+    "st_metric_allowlist",
+    fx.with_sql(
+        "timeline",
+        """lg AS (SELECT job AS run, CAST(pos % 3 AS VARCHAR) AS file, pos, CAST(floor(value / 20) AS BIGINT) AS step, CASE WHEN kind = 'error' THEN 'validation/error' ELSE kind END AS key,
+  CASE WHEN pos % 13 = 0 THEN CAST('NaN' AS DOUBLE) ELSE value END AS value FROM timeline)""",
+    )
+    + """SELECT run, step, key, value FROM (SELECT *, row_number() OVER (PARTITION BY run, step, key ORDER BY file DESC, pos DESC) AS rn FROM lg
+WHERE (key IN ('view', 'click') OR key LIKE 'validation/%') AND NOT isnan(value)) WHERE rn = 1""",
+)
+def _(spark, sf):
+    log = fx.timeline(spark, sf).select(
+        F.col("job").alias("run"), (F.col("pos") % 3).cast("string").alias("file"), "pos", F.floor(F.col("value") / 20).alias("step"),
+        F.when(F.col("kind") == "error", "validation/error").otherwise(F.col("kind")).alias("key"),
+        F.when(F.col("pos") % 13 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("value"),
+    )
+    return tm.allowed_metrics(log, ["view", "click"])
+
+
+@query(
+    "st_emit_changed",
+    fx.with_sql(
+        "timeline", LOG_SQL, merged_sql("now", "TRUE"), merged_sql("sent", "pos % 4 > 0"),
+        """same AS (SELECT run, step FROM (SELECT run, step, key, value, 1 AS a, 0 AS b FROM now UNION ALL SELECT run, step, key, value, 0, 1 FROM sent)
+  GROUP BY run, step HAVING sum(a) = sum(b) AND count(DISTINCT concat(key, '=', CAST(value AS VARCHAR))) = sum(a))""",
+    )
+    + "SELECT run, step, key, value FROM now WHERE NOT EXISTS (SELECT 1 FROM same s WHERE s.run = now.run AND s.step = now.step)",
+)
+def _(spark, sf):
+    log = fx.timeline(spark, sf).selectExpr(*LOG)
+    return tm.changed_steps(tm.merge_metrics(log), tm.merge_metrics(log.filter("pos % 4 > 0")))
+
+
+@query(
+    "st_stagnation",
+    fx.with_sql(
+        "timeline", "f AS (SELECT job, k, min(pos) AS pos FROM timeline GROUP BY job, k)",
+        "s AS (SELECT t.job, t.pos, CASE WHEN f.pos IS NULL THEN 0 ELSE 1 END AS new_facts, row_number() OVER (PARTITION BY t.job ORDER BY t.pos) AS no FROM timeline t LEFT JOIN f ON f.job = t.job AND f.pos = t.pos)",
+    )
+    + """SELECT job AS run, pos AS step, CAST(new_facts AS BIGINT) AS new_facts, no - coalesce(max(CASE WHEN new_facts > 0 THEN no END) OVER (PARTITION BY job ORDER BY pos ROWS UNBOUNDED PRECEDING), 0) AS stagnant_steps FROM s""",
+)
+def _(spark, sf):
+    log = fx.timeline(spark, sf).select(F.col("job").alias("run"), F.col("pos").alias("step"), F.col("k").alias("fact"))
+    return tm.stagnation(log.select("run", "step"), log)
+
+
+@query(
+    "st_facts",
+    fx.with_sql("timeline")
+    + """SELECT DISTINCT job, concat('text:', k) AS fact FROM timeline WHERE kind = 'view' UNION SELECT job, concat('query:', k) FROM timeline WHERE kind = 'click'
+UNION SELECT job, concat('video:', sha256(concat(k, chr(1), CAST(pos AS VARCHAR)))) FROM timeline WHERE kind = 'purchase'
+UNION SELECT job, concat('review:', sha256(k)) FROM timeline WHERE kind = 'signup'""",
+)
+def _(spark, sf):
+    log = fx.timeline(spark, sf)
+    part = lambda kind, prefix, value: log.filter(F.col("kind") == kind).select("job", F.concat(F.lit(prefix), value).alias("fact"))
+    return tm.facts(
+        part("view", "text:", F.col("k")), part("click", "query:", F.col("k")),
+        part("purchase", "video:", content_key("k", "pos")), part("signup", "review:", content_key("k")),
+    )
+
+
+@query(
+    "st_scan_progress",
+    fx.with_sql("seg", TILES_SQL.format(w=10, c=3), fx.union_sql("u", "seg", "video_id"))
+    + """SELECT video_id, count(*) FILTER (c) AS completed_page_count, count(*) AS page_count, min(page_id) FILTER (NOT c) AS next_page,
+  round(coalesce(sum(core_end - core_start) FILTER (c), 0) / 64, 6) AS scan_coverage FROM (SELECT t.video_id, concat('p', CAST(t.tile_no AS VARCHAR)) AS page_id, core_start, core_end,
+  EXISTS (SELECT 1 FROM u WHERE u.video_id = t.video_id AND u.start_sec <= t.core_start AND u.end_sec >= t.core_end) AS c FROM tiles t) GROUP BY video_id""",
+)
+def _(spark, sf):
+    out = tm.scan_progress(page_rows(spark, sf, 10.0, 3.0), fx.seg(spark, sf), fx.videos(spark, sf), ["video_id"])
+    return out.select("video_id", "completed_page_count", "page_count", "next_page", F.round("scan_coverage", 6).alias("scan_coverage"))
+
+
+@query(
+    "st_trace_counts",
+    fx.with_sql("timeline", RUNLOG_SQL)
+    + """SELECT job, count(*) FILTER (kind = 'request_error') AS request_errors, count(*) FILTER (kind = 'tool' AND error) AS invalid_tool_requests,
+  count(*) FILTER (kind = 'model' AND calls_empty) AS missing_tool_calls, count(*) FILTER (elapsed_sec IS NOT NULL AND kind IN ('model', 'perception_model')) AS requests,
+  round(sum(elapsed_sec) FILTER (kind IN ('model', 'perception_model')), 4) AS request_sec FROM trace GROUP BY job""",
+)
+def _(spark, sf):
+    _, trace = run_log(spark, sf)
+    return tm.trace_counts(trace, ["job"]).withColumn("request_sec", F.round("request_sec", 4))
+
+
+@query(
+    "st_attempt_status",
+    fx.with_sql("timeline", RUNLOG_SQL, "l AS (SELECT job, max_by(status, attempt_no) AS s, count(*) AS n FROM attempts GROUP BY job)")
+    + """SELECT c_custkey AS job, CASE WHEN coalesce(s, 'not_started') IN ('failed', 'running') THEN s WHEN c_custkey % 3 = 0 THEN 'complete' ELSE coalesce(s, 'not_started') END AS status,
+  coalesce(n, 0) AS attempts FROM customer LEFT JOIN l ON l.job = c_custkey""",
+)
+def _(spark, sf):
+    items = fx.table(spark, sf, "customer").selectExpr("c_custkey AS job")
+    attempts, _ = run_log(spark, sf)
+    results = items.filter("job % 3 = 0").withColumn("completion", F.lit("complete"))
+    return tm.attempt_status(items, attempts, results, ["job"])
+
+
+EVENT_SCHEMA = "event_id LONG, ts TIMESTAMP_NTZ, user_id LONG, event_type STRING, value DOUBLE, props STRING"
+
+
+def edit_events(raw):
+    """Purchases of a user are highlights of a job; the other events are commands on them."""
+    first = F.col("event_type") == "purchase"
+    op = F.when(F.col("event_type") == "view", "move_start").when(F.col("event_type") == "click", "move_end").when(
+        F.col("event_type") == "error", "undo"
+    ).otherwise("rename")
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    start = F.col("value") % 60
+    return raw.select(
+        F.col("user_id").alias("job_id"), F.when(first, F.col("event_id")).otherwise(F.col("event_id") + 1_000_000_000_000).alias("command_no"),
+        F.when(first, F.concat(F.lit("h"), k % 10)).alias("highlight_id"), F.when(first, start).alias("start_sec"),
+        F.when(first, start + 4 + k % 7).cast("double").alias("end_sec"), F.when(first, F.col("value") / 500).alias("score"),
+        F.lit("action").alias("highlight_type"), F.lit("d").alias("description"), F.lit("r").alias("reason"), F.lit("u").alias("clip_url"),
+        F.lit("pending").alias("review_status"), F.when(~first, k % 20).alias("revision"), F.when(~first, op).alias("operation"),
+        F.when(~first, F.array(F.concat(F.lit("h"), k % 10))).alias("highlight_ids"), (k % 5 - 2).cast("double").alias("delta_sec"),
+        F.lit(None).cast("double").alias("split_sec"), F.lit("new title").alias("text"), F.lit(80.0).alias("duration_sec"),
+    ).filter(F.col("job_id").isNotNull())
+
+
+@query("st_edit_replay")
+def _(spark, sf):
+    raw = spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", "events.parquet").parquet(sf)
+    target, checkpoint = scratch(spark, "replayed"), scratch(spark, "replay_checkpoint")
+    sinks.drain(edits.replay_stream(edit_events(raw)), target, checkpoint)
+    return sinks.newest_groups(spark, target, edits.REPLAYED, ["job_id"])

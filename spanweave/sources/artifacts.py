@@ -39,10 +39,24 @@ def _read(spark: SparkSession, root: str, name: str, schema: str, lines: bool) -
 
 def read_run(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """Tables of a run folder ``root/jobs/<job>/{result,state,execution}.json, trace.jsonl``."""
-    result = _read(spark, root, "result.json", RESULT, False)
-    state = _read(spark, root, "state.json", STATE, False)
-    execution = _read(spark, root, "execution.json", EXECUTION, False)
-    trace = _read(spark, root, "trace.jsonl", TRACE, True)
+    return _tables(
+        _read(spark, root, "result.json", RESULT, False),
+        _read(spark, root, "state.json", STATE, False),
+        _read(spark, root, "execution.json", EXECUTION, False),
+        _read(spark, root, "trace.jsonl", TRACE, True),
+    )
+
+
+def read_run_bundles(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The same tables from ``root/{result,state,execution,trace}/``: JSON lines of many jobs, each
+    with its ``job``. Large runs are kept this way, since a file per job burdens the file system."""
+    def bundle(name, schema):
+        return spark.read.schema(f"job STRING, {schema}").json(f"{root}/{name}")
+
+    return _tables(bundle("result", RESULT), bundle("state", STATE), bundle("execution", EXECUTION), bundle("trace", TRACE))
+
+
+def _tables(result: DataFrame, state: DataFrame, execution: DataFrame, trace: DataFrame) -> dict[str, DataFrame]:
     attempts = execution.select("job", F.posexplode("attempts").alias("attempt_no", "a")).select(
         "job", F.col("attempt_no").cast("bigint").alias("attempt_no"), "a.*"
     )

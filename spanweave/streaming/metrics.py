@@ -7,11 +7,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-MERGED = "run long, step long, key string, value double"
-STAGNANT = "run long, step long, new_facts long, stagnant_steps long"
-_ROW = "since long, pos long, value double"
+MERGED = T.StructType(
+    [T.StructField("run", T.LongType()), T.StructField("step", T.LongType()), T.StructField("key", T.StringType()), T.StructField("value", T.DoubleType())]
+)
+STAGNANT = T.StructType([T.StructField(n, T.LongType()) for n in ("run", "step", "new_facts", "stagnant_steps")])
 
 
 class MetricMerge(StatefulProcessor):
@@ -99,19 +101,3 @@ def trace_counts_stream(trace: DataFrame, keys: list[str], watermark: str = "1 h
 
     hourly = trace.withWatermark("ts", watermark).withColumn("hour", F.window("ts", "1 hour"))
     return trace_counts(hourly, [*keys, "hour"])
-
-
-def upsert_batches(values: DataFrame, target: str, checkpoint: str):
-    """Append changed values batch by batch to a table; readers take the newest batch per key.
-
-    A replayed batch overwrites its own partition, so failures do not duplicate rows."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
-
-    return values.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
-
-
-def newest_values(spark, target: str) -> DataFrame:
-    return (
-        spark.read.parquet(target).groupBy("run", "step", "key").agg(F.max_by("value", "batch").alias("value"))
-    )
