@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.intervals import owned_by
 from ..functions.scalars import strip_space
 from .ordered import sliced_lag, sliced_running, time_slice
-from .rangejoin import HOT_ROWS, overlap_join
+from .rangejoin import HOT_PAIRS, overlap_join
 
 SLICE_SEC = 600.0
 TOLERANCE = 1e-6
@@ -150,7 +150,7 @@ def covered_seconds(
     slim = ranges.select(*dict.fromkeys([*keys, *ids, *range_span]))
     hits = overlap_join(
         slim, flat, keys, left_span=range_span, right_span=("_us", "_ue"), bucket_sec=bucket_sec,
-        hot_rows=None if disjoint_ranges else HOT_ROWS,
+        hot_pairs=None if disjoint_ranges else HOT_PAIRS,
     )
     seconds = F.least(F.col(range_span[1]), F.col("_ue")) - F.greatest(F.col(range_span[0]), F.col("_us"))
     sums = hits.groupBy(*ids).agg(F.sum(seconds).alias(name))
@@ -269,7 +269,7 @@ def page_coverage(
     hits = (
         overlap_join(
             slim, seen, keys, left_span=("core_start_sec", "core_end_sec"), right_span=("_ws", "_we"),
-            residual=inside, hot_rows=None,
+            residual=inside, hot_pairs=None,
         )
         .select(*keys, "page_id")
         .distinct()

@@ -166,7 +166,7 @@ def match_edges(edges: DataFrame, keys: Sequence[str], solver: Solver, *, extra:
         base, "_is", "_ie", slice_sec=slice_sec,
     )
     grouped = contained_join(
-        islands, open_edges, base, outer_span=("_is", "_ie"), inner_span=("h_start", "h_end"), hot_rows=None
+        islands, open_edges, base, outer_span=("_is", "_ie"), inner_span=("h_start", "h_end"), hot_pairs=None
     )
     group = [*base, "_is"]
     schema = T.StructType([edges.schema[c] for c in edges.columns])

@@ -3,8 +3,10 @@
 Spark has no native range join: an overlap predicate next to an equi key is a sort-merge join that
 compares all pairs of the key. Both sides are therefore exploded to the time buckets they touch and
 joined on (key, bucket); a pair is emitted only in the first bucket both share, so nothing has to be
-de-duplicated. Buckets that are still too full are split by a two-dimensional salt: a left row goes
-to one row of the salt grid, a right row to one column, and every pair meets in exactly one cell.
+de-duplicated. Buckets whose pairs are too many for one task are split by a two-dimensional salt: a
+left row goes to one row of the salt grid, a right row to one column, and every pair meets in exactly
+one cell. Finding such buckets costs one count per (key, bucket); inputs that the optimizer knows to
+be small skip it.
 """
 
 from __future__ import annotations
@@ -14,7 +16,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_ROWS = 200_000
+# most comparisons one task should make for one bucket
+HOT_PAIRS = 100_000_000
+# estimated input size from which hot buckets are looked for
+SALT_FROM_BYTES = 32 * 1024 * 1024
 Span = tuple[str, str]
 
 
@@ -24,23 +29,35 @@ def _bucketed(df: DataFrame, span: Span, bucket_sec: float, tag: str) -> DataFra
     return df.withColumn(f"_{tag}first", first).withColumn("_bucket", F.explode(F.sequence(first, last)))
 
 
-def _grid(left: DataFrame, right: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
+def _estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate; an upper bound where statistics are missing."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
+def _needs_salt(left: DataFrame, right: DataFrame, hot_pairs: int | None) -> bool:
+    if hot_pairs is None:
+        return False
+    if hot_pairs != HOT_PAIRS:
+        return True
+    return max(_estimated_bytes(left), _estimated_bytes(right)) >= SALT_FROM_BYTES
+
+
+def _grid(left: DataFrame, right: DataFrame, keys: list[str], hot_pairs: int) -> DataFrame:
     """(key, bucket) cells that need salting, with the number of left and right salts."""
     zero = F.lit(0).cast("bigint")
     one = F.lit(1).cast("bigint")
     counted = left.select(*keys, "_bucket", one.alias("_l"), zero.alias("_r")).unionByName(
         right.select(*keys, "_bucket", zero.alias("_l"), one.alias("_r"))
     )
+    share = F.col("_l").cast("double") * F.col("_r") / hot_pairs
+    # a square grid, but never more salts on a side than it has rows
+    left_salts = F.least(F.ceil(F.sqrt(share)), F.col("_l"))
     return (
         counted.groupBy(*keys, "_bucket")
         .agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
-        .filter((F.greatest("_l", "_r") > hot_rows) & (F.col("_l") > 0) & (F.col("_r") > 0))
-        .select(
-            *keys,
-            "_bucket",
-            F.ceil(F.col("_l") / hot_rows).cast("int").alias("_gl"),
-            F.ceil(F.col("_r") / hot_rows).cast("int").alias("_gr"),
-        )
+        .filter(share > 1)
+        .withColumn("_gl", left_salts.cast("int"))
+        .select(*keys, "_bucket", "_gl", F.least(F.ceil(share / F.col("_gl")), F.col("_r")).cast("int").alias("_gr"))
     )
 
 
@@ -62,19 +79,19 @@ def overlap_join(
     bucket_sec: float = 60.0,
     residual: Column | None = None,
     touching: bool = False,
-    hot_rows: int | None = HOT_ROWS,
+    hot_pairs: int | None = HOT_PAIRS,
 ) -> DataFrame:
     """Inner join of spans with positive overlap (``touching``: or a shared end point).
 
-    Column names of the two sides must differ except for ``keys``. ``hot_rows=None`` skips the
+    Column names of the two sides must differ except for ``keys``. ``hot_pairs=None`` skips the
     salting pass where both sides are known to be thin (disjoint spans, for example).
     """
     keys = list(keys)
     lb = _bucketed(left, left_span, bucket_sec, "l")
     rb = _bucketed(right, right_span, bucket_sec, "r")
     on = [*keys, "_bucket"]
-    if hot_rows is not None:
-        grid = _grid(lb, rb, keys, hot_rows)
+    if _needs_salt(left, right, hot_pairs):
+        grid = _grid(lb, rb, keys, hot_pairs)
         lb = _salted(lb, grid, keys, "l", "r", left.columns)
         rb = _salted(rb, grid, keys, "r", "l", right.columns)
         on += ["_sl", "_sr"]
@@ -104,7 +121,7 @@ def contained_join(
     outer_span: Span,
     inner_span: Span,
     bucket_sec: float = 60.0,
-    hot_rows: int | None = HOT_ROWS,
+    hot_pairs: int | None = HOT_PAIRS,
 ) -> DataFrame:
     """Pairs whose inner span lies inside the outer span. The inner side needs one bucket only:
     the one of its start, which the outer span must touch."""
@@ -112,8 +129,8 @@ def contained_join(
     ob = _bucketed(outer, outer_span, bucket_sec, "l")
     ib = inner.withColumn("_bucket", F.floor(F.col(inner_span[0]) / bucket_sec).cast("bigint"))
     on = [*keys, "_bucket"]
-    if hot_rows is not None:
-        grid = _grid(ob, ib, keys, hot_rows)
+    if _needs_salt(outer, inner, hot_pairs):
+        grid = _grid(ob, ib, keys, hot_pairs)
         ob = _salted(ob, grid, keys, "l", "r", outer.columns)
         ib = _salted(ib, grid, keys, "r", "l", inner.columns)
         on += ["_sl", "_sr"]
@@ -132,7 +149,7 @@ def candidate_edges(
     prediction_span: Span = ("p_start", "p_end"),
     target_span: Span = ("t_start", "t_end"),
     bucket_sec: float = 60.0,
-    hot_rows: int | None = HOT_ROWS,
+    hot_pairs: int | None = HOT_PAIRS,
 ) -> DataFrame:
     """Prediction-target pairs with similarity at or above the threshold and above zero.
 
@@ -146,7 +163,7 @@ def candidate_edges(
         left_span=prediction_span,
         right_span=target_span,
         bucket_sec=bucket_sec,
-        hot_rows=hot_rows,
+        hot_pairs=hot_pairs,
     )
     return pairs.withColumn("similarity", similarity()).filter(
         (F.col("similarity") >= threshold) & (F.col("similarity") > 0)

@@ -14,7 +14,7 @@ from .ordered import sliced_running, time_slice
 def tiles(videos: DataFrame, window_sec: float, context_sec: float = 0.0, duration: str = "duration_sec") -> DataFrame:
     """Fixed tiles with a core and a padded read range; bounds are index * width, never sums."""
     n = F.ceil(F.col(duration) / window_sec).cast("bigint")
-    return _tile_rows(
+    return with_bounds(
         videos.filter(F.col(duration) > 0).withColumn("tile_no", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))),
         window_sec, context_sec, duration,
     )
@@ -25,13 +25,14 @@ def tiles_for_range(requests: DataFrame, window_sec: float, context_sec: float,
     first = F.floor(F.col(start) / window_sec).cast("bigint")
     stop = F.ceil(F.col(end) / window_sec).cast("bigint") - 1
     ok = (F.col(start) >= 0) & (F.col(start) < F.col(end)) & (F.col(end) <= F.col(duration))
-    return _tile_rows(
+    return with_bounds(
         requests.filter(ok).withColumn("tile_no", F.explode(F.sequence(first, stop))),
         window_sec, context_sec, duration,
     )
 
 
-def _tile_rows(df: DataFrame, window_sec: float, context_sec: float, duration: str) -> DataFrame:
+def with_bounds(df: DataFrame, window_sec: float, context_sec: float, duration: str = "duration_sec") -> DataFrame:
+    """Core and read bounds of rows that carry a tile number and the duration of their video."""
     i, d = F.col("tile_no"), F.col(duration)
     core_start = i * F.lit(float(window_sec))
     core_end = F.least(d, (i + 1) * F.lit(float(window_sec)))

@@ -189,7 +189,7 @@ def _(spark, sf):
 def scored_windows(spark, sf):
     """Usable windows scored against answers made from the video's prediction rows."""
     options = wn.WindowOptions(10.0, 10.0, 20.0)
-    tiles = wn.classify_tiles(labelled_videos(spark, sf), fx.seg(spark, sf), options).filter("outcome IN ('positive', 'empty')")
+    tiles = wn.classify_tiles(labelled_videos(spark, sf), fx.seg(spark, sf), options, known_only=True).filter("outcome IN ('positive', 'empty')")
     keyed = tiles.withColumn("sample_id", wn.sample_id("video_id", "core_start", "core_end"))
     windows = keyed.select(
         "sample_id", "video_id", "drama_id", (F.col("read_end") - F.col("read_start")).alias("view_sec"),

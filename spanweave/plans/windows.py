@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.intervals import midpoint, overlap, owned_by
 from ..operators.intervalsets import TOLERANCE, covered_seconds, subtract_spans, union_spans
-from ..operators.rangejoin import contained_join, overlap_join, overlap_semi
-from ..operators.tiles import tiles
+from ..operators.rangejoin import overlap_semi
+from ..operators.tiles import tiles, with_bounds
 
 POINT = "struct<start_sec:double,end_sec:double>"
 LINE = "struct<start_sec:double,end_sec:double,source:string,text:string>"
@@ -23,14 +23,35 @@ class WindowOptions:
     history_sec: float = 90.0
 
 
-def labelled_tiles(videos: DataFrame, segments: DataFrame, options: WindowOptions) -> DataFrame:
-    """Every tile with ``known_sec`` (seconds covered by labels that are not uncertain)."""
-    grid = tiles(videos, options.window_sec, options.context_sec)
-    known = segments.filter(F.col("kind") != "uncertain").select("video_id", "start_sec", "end_sec")
-    return covered_seconds(
-        grid, known, ["video_id"], ["video_id", "tile_no"], range_span=("core_start", "core_end"),
-        bucket_sec=4 * options.window_sec, disjoint_ranges=True, name="known_sec",
+def known_seconds(segments: DataFrame, window_sec: float) -> DataFrame:
+    """(video_id, tile_no, known_sec): seconds of each tile under labels that are not uncertain.
+
+    The merged spans are cut at tile bounds by arithmetic, so no range join is needed."""
+    known = union_spans(
+        segments.filter(F.col("kind") != "uncertain").select("video_id", "start_sec", "end_sec"), ["video_id"]
     )
+    w = F.lit(float(window_sec))
+    first = F.floor(F.col("start_sec") / w).cast("bigint")
+    last = F.ceil(F.col("end_sec") / w).cast("bigint") - 1
+    cut = known.withColumn("tile_no", F.explode(F.sequence(first, F.greatest(first, last))))
+    seconds = F.least(F.col("end_sec"), (F.col("tile_no") + 1) * w) - F.greatest(F.col("start_sec"), F.col("tile_no") * w)
+    return cut.groupBy("video_id", "tile_no").agg(F.sum(F.greatest(seconds, F.lit(0.0))).alias("known_sec"))
+
+
+def labelled_tiles(videos: DataFrame, segments: DataFrame, options: WindowOptions, *, known_only: bool = False) -> DataFrame:
+    """Every tile with ``known_sec``; ``known_only`` leaves tiles out that are not fully known."""
+    seconds = known_seconds(segments, options.window_sec)
+    if known_only:
+        # tile bounds follow from the number; tiles without a known second are never generated
+        inside = F.col("tile_no") * F.lit(float(options.window_sec)) < F.col("duration_sec")
+        rows = seconds.join(videos, "video_id").filter(inside)
+        return with_bounds(rows, options.window_sec, options.context_sec).filter(fully_known())
+    joined = tiles(videos, options.window_sec, options.context_sec).join(seconds, ["video_id", "tile_no"], "left")
+    return joined.withColumn("known_sec", F.coalesce("known_sec", F.lit(0.0)))
+
+
+def fully_known():
+    return F.col("core_end") - F.col("core_start") - F.col("known_sec") <= TOLERANCE
 
 
 def midpoint_windows(segments: DataFrame, grid: DataFrame, window_sec: float) -> DataFrame:
@@ -45,55 +66,69 @@ def midpoint_windows(segments: DataFrame, grid: DataFrame, window_sec: float) ->
     )
 
 
-def classify_tiles(videos: DataFrame, segments: DataFrame, options: WindowOptions) -> DataFrame:
+def classify_tiles(videos: DataFrame, segments: DataFrame, options: WindowOptions, *, known_only: bool = False) -> DataFrame:
     """Tiles with their targets (relative spans) and ``outcome``: unknown is tested before
     incomplete_core; usable tiles are positive or empty."""
-    grid = labelled_tiles(videos, segments, options)
-    # positives of a fully known tile only: the others cannot become targets of a window
-    positives = segments.filter(F.col("kind") == "positive").select("video_id", "start_sec", "end_sec")
-    known = F.col("core_end") - F.col("core_start") - F.col("known_sec") <= TOLERANCE
-    owned = midpoint_windows(
-        positives,
-        grid.filter(known).select("video_id", "tile_no", "core_start", "core_end", "read_start", "read_end"),
-        options.window_sec,
-    )
-    rel = F.struct(
-        F.round(F.col("start_sec") - F.col("read_start"), 6).alias("start_sec"),
-        F.round(F.col("end_sec") - F.col("read_start"), 6).alias("end_sec"),
-    )
-    # one list per window: bounded by what one short tile owns
-    targets = owned.groupBy("video_id", "tile_no").agg(
-        F.sort_array(F.collect_list(rel)).alias("segments"),
-        F.bool_or((F.col("start_sec") < F.col("read_start")) | (F.col("end_sec") > F.col("read_end"))).alias("_cut"),
+    grid = labelled_tiles(videos, segments, options, known_only=known_only)
+    w = F.lit(float(options.window_sec))
+    # label -> tile by its midpoint; division rounds, so the exact half-open test decides among
+    # the tile and its neighbours. Bounds follow from the tile number, the grid is not read.
+    mid = midpoint("start_sec", "end_sec")
+    guess = F.floor(mid / w).cast("bigint")
+    owned = (
+        segments.filter(F.col("kind") == "positive")
+        .select("video_id", "start_sec", "end_sec", F.explode(F.array(guess - 1, guess, guess + 1)).alias("tile_no"))
+        .filter((mid >= F.col("tile_no") * w) & (mid < (F.col("tile_no") + 1) * w))
+    )
+    # one list per tile: bounded by what one short tile owns
+    raw = owned.groupBy("video_id", "tile_no").agg(
+        F.sort_array(F.collect_list(F.struct("start_sec", "end_sec"))).alias("_t"),
+        F.min("start_sec").alias("_lo"), F.max("end_sec").alias("_hi"),
+    )
+    relative = F.transform(
+        "_t",
+        lambda x: F.struct(
+            F.round(x["start_sec"] - F.col("read_start"), 6).alias("start_sec"),
+            F.round(x["end_sec"] - F.col("read_start"), 6).alias("end_sec"),
+        ),
     )
+    cut = (F.col("_lo") < F.col("read_start")) | (F.col("_hi") > F.col("read_end"))
     return (
-        grid.join(targets, ["video_id", "tile_no"], "left")
+        grid.join(raw, ["video_id", "tile_no"], "left")
         .withColumn(
             "outcome",
-            F.when(~known, "unknown")
-            .when(F.coalesce("_cut", F.lit(False)), "incomplete_core")
-            .when(F.col("segments").isNotNull(), "positive")
+            F.when(~fully_known(), "unknown")
+            .when(F.coalesce(cut, F.lit(False)), "incomplete_core")
+            .when(F.col("_t").isNotNull(), "positive")
             .otherwise("empty"),
         )
-        .withColumn("segments", F.coalesce("segments", F.array().cast(f"array<{POINT}>")))
-        .drop("_cut")
+        .withColumn("segments", F.coalesce(relative, F.array().cast(f"array<{POINT}>")))
+        .drop("_t", "_lo", "_hi")
     )
 
 
 def window_dialogue(windows: DataFrame, dialogues: DataFrame, options: WindowOptions) -> DataFrame:
-    """Add ``dialogue``: rows fully inside [read_start - history, read_end], relative, sorted."""
+    """Add ``dialogue``: rows fully inside [read_start - history, read_end], relative, sorted.
+
+    A line goes by arithmetic to the tiles whose history can hold it (with one tile to spare on
+    both sides for rounding), meets its windows on (video_id, tile_no), and the exact bounds
+    decide."""
+    w = F.lit(float(options.window_sec))
+    reach = F.lit(float(options.context_sec + options.history_sec))
+    lowest = F.floor((F.col("_de") - F.lit(float(options.context_sec))) / w).cast("bigint") - 2
+    highest = F.floor((F.col("_ds") + reach) / w).cast("bigint") + 1
     span = windows.select(
         "video_id", "tile_no", F.col("read_start").alias("_rs"),
         F.greatest(F.lit(0.0), F.col("read_start") - options.history_sec).alias("_hs"),
         F.col("read_end").alias("_he"),
     )
-    lines = dialogues.filter(F.col("start_sec") < F.col("end_sec")).select(
-        "video_id", F.col("start_sec").alias("_ds"), F.col("end_sec").alias("_de"), "source", "text"
-    )
-    hits = contained_join(
-        span, lines, ["video_id"], outer_span=("_hs", "_he"), inner_span=("_ds", "_de"),
-        bucket_sec=max(options.window_sec + options.context_sec, 30.0),
+    lines = (
+        dialogues.filter(F.col("start_sec") < F.col("end_sec"))
+        .select("video_id", F.col("start_sec").alias("_ds"), F.col("end_sec").alias("_de"), "source", "text")
+        .withColumn("tile_no", F.explode(F.sequence(F.greatest(F.lit(0), lowest), F.greatest(F.lit(0), highest))))
     )
+    # windows without any line keep an empty list; lines are joined to the slim window rows only
+    hits = span.join(lines, ["video_id", "tile_no"]).filter((F.col("_ds") >= F.col("_hs")) & (F.col("_de") <= F.col("_he")))
     row = F.struct(
         F.round(F.col("_ds") - F.col("_rs"), 6).alias("start_sec"),
         F.round(F.col("_de") - F.col("_rs"), 6).alias("end_sec"),
@@ -120,7 +155,7 @@ def build_windows(
 ) -> DataFrame:
     """The flagship: usable windows with relative targets and dialogue."""
     options = options or WindowOptions()
-    kept = classify_tiles(videos, segments, options).filter(F.col("outcome").isin("positive", "empty"))
+    kept = classify_tiles(videos, segments, options, known_only=True).filter(F.col("outcome").isin("positive", "empty"))
     with_text = window_dialogue(kept, dialogues, options)
     return with_text.withColumn("sample_id", sample_id("video_id", "core_start", "core_end")).withColumn(
         "detect_range",
@@ -196,5 +231,5 @@ def focus_windows(windows: DataFrame, regions: DataFrame) -> DataFrame:
         "video_id", F.col("start_sec").alias("r_start_sec"), F.col("end_sec").alias("r_end_sec")
     )
     return overlap_semi(
-        windows, right, ["video_id"], ["video_id", "tile_no"], left_span=("core_start", "core_end"), hot_rows=None
+        windows, right, ["video_id"], ["video_id", "tile_no"], left_span=("core_start", "core_end"), hot_pairs=None
     )
