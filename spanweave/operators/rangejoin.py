@@ -30,8 +30,11 @@ def _bucketed(df: DataFrame, span: Span, bucket_sec: float, tag: str) -> DataFra
 
 
 def _estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate; an upper bound where statistics are missing."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    """The optimizer's size estimate; unknown sizes count as large."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except AttributeError:
+        return SALT_FROM_BYTES
 
 
 def _needs_salt(left: DataFrame, right: DataFrame, hot_pairs: int | None) -> bool:
