@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..session import materialize
 from .intervalsets import union_spans
+from .ordered import sliced_rank
 from .rangejoin import contained_join
 
 Solver = Callable[[np.ndarray, np.ndarray, np.ndarray], list[int]]
@@ -111,6 +112,115 @@ def weighted_matching(p: np.ndarray, t: np.ndarray, sim: np.ndarray) -> list[int
     return _weighted(p, t, sim, 0.0)
 
 
+def _folded_traversal(p, t, sim, p_n, t_n, members) -> list[tuple[int, int]]:
+    """Units per edge when equal spans are folded: members in order claim a unit, classes re-route."""
+    ps, pi = np.unique(p, return_inverse=True)
+    ts, ti = np.unique(t, return_inverse=True)
+    first = {int(c): int(r) for r, c in reversed(list(enumerate(pi)))}
+    free = {int(c): int(t_n[r]) for r, c in enumerate(ti)}
+    partners: dict[int, list[int]] = {c: [] for c in range(len(ps))}
+    for row in np.lexsort((t, -sim, p)):
+        partners[int(pi[row])].append(int(row))
+    numbers = [np.asarray(members[first[c]] if p_n[first[c]] > 1 else [ps[c]]) for c in range(len(ps))]
+    turn = np.repeat(np.arange(len(ps)), [len(x) for x in numbers])[np.argsort(np.concatenate(numbers), kind="stable")]
+    units = np.zeros(len(p), dtype=np.int64)
+    held: dict[int, set[int]] = {c: set() for c in free}
+    closed: set[int] = set()
+    for cls in turn:
+        cls = int(cls)
+        if cls in closed:
+            continue
+        if len(closed) == len(ps):
+            break
+        end, came = _free_target(cls, partners, ti, pi, free, held)
+        if end is None:
+            closed.add(cls)
+            continue
+        free[end] -= 1
+        while end is not None:
+            row, lost = came[end]
+            units[row] += 1
+            held[end].add(row)
+            if lost is not None:
+                units[lost] -= 1
+                if not units[lost]:
+                    held[int(ti[lost])].discard(lost)
+            end = int(ti[lost]) if lost is not None else None
+    return [(int(r), int(u)) for r, u in enumerate(units) if u]
+
+
+def _free_target(cls, partners, ti, pi, free, held):
+    """Breadth-first search for a target class with room; (target, how each target was reached)."""
+    came: dict[int, tuple[int, int | None]] = {}
+    queue: list[tuple[int, int | None]] = [(cls, None)]
+    for holder, lost in queue:
+        for row in partners[holder]:
+            target = int(ti[row])
+            if target in came:
+                continue
+            came[target] = (row, lost)
+            if free[target]:
+                return target, came
+            queue.extend((int(pi[r]), r) for r in held[target])
+    return None, came
+
+
+def _folded_weighted(p, t, sim, p_n, t_n, *, all_pairs: bool) -> list[tuple[int, int]]:
+    """Maximum-weight flow between folded spans: cheapest augmenting paths, several units at once.
+
+    With ``all_pairs`` it goes on to the largest number of pairs, else it stops without gain."""
+    ps, pi = np.unique(p, return_inverse=True)
+    ts, ti = np.unique(t, return_inverse=True)
+    room_p, room_t = np.zeros(len(ps), np.int64), np.zeros(len(ts), np.int64)
+    room_p[pi], room_t[ti] = p_n, t_n
+    units = np.zeros(len(p), dtype=np.int64)
+    while True:
+        dist_p = np.where(room_p > 0, 0.0, np.inf)
+        dist_t = np.full(len(ts), np.inf)
+        via_t, via_p = np.full(len(ts), -1), np.full(len(ps), -1)
+        changed = True
+        while changed:
+            changed = False
+            for rows, start, stop, dist_a, dist_b, via, cost in (
+                (np.arange(len(p)), pi, ti, dist_p, dist_t, via_t, -sim),
+                (np.flatnonzero(units), ti, pi, dist_t, dist_p, via_p, sim),
+            ):
+                reach = dist_a[start[rows]] + cost[rows]
+                for k in np.flatnonzero(reach < dist_b[stop[rows]] - 1e-12):
+                    if reach[k] < dist_b[stop[rows[k]]] - 1e-12:
+                        dist_b[stop[rows[k]]], via[stop[rows[k]]] = reach[k], rows[k]
+                        changed = True
+        ends = np.where(room_t > 0, dist_t, np.inf)
+        end = int(np.argmin(ends))
+        if not np.isfinite(ends[end]) or (not all_pairs and ends[end] >= -1e-12):
+            return [(int(r), int(u)) for r, u in enumerate(units) if u]
+        path, node, amount = [], end, int(room_t[end])
+        while True:
+            row = int(via_t[node])
+            path.append((row, 1))
+            source = int(pi[row])
+            if via_p[source] < 0:
+                amount = min(amount, int(room_p[source]))
+                break
+            back = int(via_p[source])
+            path.append((back, -1))
+            amount = min(amount, int(units[back]))
+            node = int(ti[back])
+        room_p[source] -= amount
+        room_t[end] -= amount
+        for row, sign in path:
+            units[row] += sign * amount
+
+
+def _units(solver: Solver, rows: dict[str, np.ndarray], lo: int, hi: int) -> list[tuple[int, int]]:
+    p, t, sim, p_n, t_n = (rows[c][lo:hi] for c in ("p_no", "t_no", "similarity", "p_n", "t_n"))
+    if (p_n == 1).all() and (t_n == 1).all():
+        return [(k, 1) for k in solver(p, t, sim)]
+    if solver is traversal_matching:
+        return _folded_traversal(p, t, sim, p_n, t_n, rows["p_members"][lo:hi])
+    return _folded_weighted(p, t, sim, p_n, t_n, all_pairs=solver is weighted_cardinality_matching)
+
+
 def _solve_sorted(groups: list[str], solver: Solver) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """mapInPandas function over rows sorted by ``groups``: solve group by group, keep the chosen rows."""
 
@@ -133,23 +243,38 @@ def _solve_sorted(groups: list[str], solver: Solver) -> Callable[[Iterator[pd.Da
 
 
 def _solve_rows(rows: pd.DataFrame, codes: np.ndarray, solver: Solver) -> pd.DataFrame:
-    p, t, sim = (rows[c].to_numpy() for c in ("p_no", "t_no", "similarity"))
+    columns = {c: rows[c].to_numpy() for c in ("p_no", "t_no", "similarity", "p_n", "t_n", "p_members")}
     starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-    keep: list[int] = []
+    keep: list[tuple[int, int]] = []
     for lo, hi in zip(starts, np.r_[starts[1:], len(codes)], strict=True):
-        keep.extend(int(lo) + k for k in solver(p[lo:hi], t[lo:hi], sim[lo:hi]))
-    return rows.iloc[sorted(keep)]
+        keep.extend((int(lo) + k, u) for k, u in _units(solver, columns, int(lo), int(hi)))
+    keep.sort()
+    chosen = rows.iloc[[k for k, _ in keep]].drop(columns="p_members")
+    return chosen.assign(units=np.array([u for _, u in keep], dtype=np.int64))
+
+
+def fold_copies(df: DataFrame, number: str, tag: str) -> DataFrame:
+    """Equal rows (in all columns but ``number``) as one row with its first number and ``{tag}_n``.
 
+    Copies are combined on the map side, so a group of copies neither multiplies edges nor makes a
+    hot task."""
+    same = [c for c in df.columns if c != number]
+    return df.groupBy(*same).agg(F.min(number).alias(number), F.count(F.lit(1)).alias(f"{tag}_n"))
 
-def match_edges(edges: DataFrame, keys: Sequence[str], solver: Solver, *, extra: Sequence[str] = (), slice_sec: float = 600.0) -> DataFrame:
-    """Chosen edges of a matching per (keys, extra).
+
+def match_edges(edges: DataFrame, keys: Sequence[str], solver: Solver, *, extra: Sequence[str] = (), predictions: DataFrame | None = None, slice_sec: float = 600.0) -> DataFrame:
+    """Chosen edges of a matching per (keys, extra), with ``units``.
 
     ``edges``: keys, extra (for example a threshold), p_no, t_no, similarity, h_start, h_end (hull
-    of everything the similarity of the pair looked at). Overlapping hulls share an island, and
-    edges of different islands share no end, so islands can be solved apart.
+    of everything the similarity of the pair looked at), and p_n, t_n when their ends are folded
+    copies. Overlapping hulls share an island, and edges of different islands share no end, so
+    islands can be solved apart. ``predictions`` (the rows before folding) gives the ordered
+    matching the numbers of the copies.
     """
     keys, extra = list(keys), list(extra)
     base = [*keys, *extra]
+    one = F.lit(1).cast("bigint")
+    edges = edges.withColumns({c: one for c in ("p_n", "t_n") if c not in edges.columns})
     degree = edges.withColumns(
         {
             "_dp": F.count(F.lit(1)).over(Window.partitionBy(*base, "p_no")),
@@ -159,7 +284,7 @@ def match_edges(edges: DataFrame, keys: Sequence[str], solver: Solver, *, extra:
     lone = (F.col("_dp") == 1) & (F.col("_dt") == 1)
     # three branches read the edges below: written once, the joins that made them run once
     marked = materialize(degree.withColumn("_lone", lone).select(*edges.columns, "_lone"), "edges")
-    settled = marked.filter("_lone").select(*edges.columns)
+    settled = marked.filter("_lone").select(*edges.columns, F.least("p_n", "t_n").alias("units"))
     open_edges = marked.filter("NOT _lone").select(*edges.columns)
     islands = union_spans(
         open_edges.select(*base, F.col("h_start").alias("_is"), F.col("h_end").alias("_ie")),
@@ -167,45 +292,76 @@ def match_edges(edges: DataFrame, keys: Sequence[str], solver: Solver, *, extra:
     )
     grouped = contained_join(
         islands, open_edges, base, outer_span=("_is", "_ie"), inner_span=("h_start", "h_end"), hot_pairs=None
-    )
+    ).select(*edges.columns, "_is")
+    number = edges.schema["p_no"].dataType
+    if predictions is not None and solver is traversal_matching:
+        same = [c for c in predictions.columns if c != "p_no"]
+        copies = predictions.groupBy(*same).agg(F.min("p_no").alias("p_no"), F.count(F.lit(1)).alias("_c"), F.collect_list("p_no").alias("p_members"))
+        by = [c for c in base if c in predictions.columns]
+        grouped = grouped.join(copies.filter("_c > 1").select(*by, "p_no", "p_members"), [*by, "p_no"], "left")
+    else:
+        grouped = grouped.withColumn("p_members", F.lit(None).cast(T.ArrayType(number)))
     group = [*base, "_is"]
-    schema = T.StructType([edges.schema[c] for c in edges.columns])
+    schema = T.StructType([*[edges.schema[c] for c in edges.columns], T.StructField("_is", T.DoubleType()), T.StructField("units", T.LongType())])
     solved = (
-        grouped.select(*edges.columns, "_is")
+        grouped.select(*edges.columns, "_is", "p_members")
         .repartition(*group)
         .sortWithinPartitions(*group, "p_no", F.desc("similarity"), "t_no")
-        .mapInPandas(_solve_sorted(group, solver), T.StructType([*schema.fields, T.StructField("_is", T.DoubleType())]))
-        .select(*edges.columns)
+        .mapInPandas(_solve_sorted(group, solver), schema)
+        .drop("_is")
     )
     return settled.unionByName(solved)
 
 
+def expand_pairs(pairs: DataFrame, predictions: DataFrame, targets: DataFrame, keys: Sequence[str], *, extra: Sequence[str] = (), number_block: float = 1e12) -> DataFrame:
+    """Row-level pairs from folded ones: the members of both sides meet rank by rank."""
+    base = [*keys, *extra]
+    single = (F.col("p_n") == 1) & (F.col("t_n") == 1)
+    multi = pairs.filter(~single)
+    before = lambda by, order: F.coalesce(
+        F.sum("units").over(Window.partitionBy(*base, by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    )
+    unit = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("units")))
+    ranked = (
+        multi.withColumns({"_op": before("p_no", "t_no"), "_ot": before("t_no", "p_no")})
+        .withColumn("_u", unit)
+        .withColumns({"_rp": F.col("_op") + F.col("_u"), "_rt": F.col("_ot") + F.col("_u")})
+    )
+    for df, number, rank in ((predictions, "p_no", "_rp"), (targets, "t_no", "_rt")):
+        by = [c for c in base if c in df.columns]
+        members = _member_ranks(df, number, number_block).select(
+            *by, F.col("_class").alias(number), F.col("_rank").alias(rank), F.col(number).alias("_member")
+        )
+        ranked = ranked.join(members, [*by, number, rank], "left").withColumn(number, F.coalesce("_member", number)).drop("_member")
+    return pairs.filter(single).unionByName(ranked.select(*pairs.columns)).withColumn("units", F.lit(1).cast("bigint"))
+
+
+def _member_ranks(df: DataFrame, number: str, number_block: float) -> DataFrame:
+    """Rows that have copies, with the number of their fold and their rank in it."""
+    same = [c for c in df.columns if c != number]
+    folds = fold_copies(df, number, "_m").filter("_m_n > 1").drop("_m_n").withColumnRenamed(number, "_class")
+    return sliced_rank(df.join(folds, same), same, [F.col(number)], F.floor(F.col(number) / number_block), "_rank")
+
+
 def at_thresholds(edges: DataFrame, thresholds: Sequence[float]) -> DataFrame:
     """Edges made once at the lowest threshold, repeated for every threshold they reach."""
     reached = F.filter(F.array(*[F.lit(float(t)) for t in thresholds]), lambda t: F.col("similarity") >= t)
     return edges.withColumn("threshold", F.explode(reached))
 
 
-def two_stage(required: DataFrame, optional: DataFrame, keys: Sequence[str], *, extra: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """Required targets first; predictions left over are then matched to optional targets."""
-    base = [*keys, *extra]
-    first = materialize(match_edges(required, keys, traversal_matching, extra=extra), "first_stage")
-    rest = optional.join(first.select(*base, "p_no"), [*base, "p_no"], "left_anti")
-    return first, match_edges(rest, keys, traversal_matching, extra=extra)
-
-
 def duplicates(predictions: DataFrame, edges: DataFrame, pairs: DataFrame, keys: Sequence[str], *, extra: Sequence[str] = ()) -> DataFrame:
     """Unmatched predictions similar to a target that is already matched.
 
-    ``edges`` and ``pairs`` hold required and optional targets; t_no is unique across both."""
+    After both stages every target next to an unmatched prediction is taken (a free one would have
+    been matched to it), so an unmatched prediction with any edge is a duplicate. ``edges`` may be
+    folded; ``predictions`` are the rows before folding, ``pairs`` row-level."""
     base = [*keys, *extra]
-    similar = (
-        edges.join(pairs.select(*base, "p_no"), [*base, "p_no"], "left_anti")
-        .join(pairs.select(*base, "t_no"), [*base, "t_no"], "left_semi")
-        .select(*base, "p_no")
-        .distinct()
-    )
-    return similar.join(predictions, [*keys, "p_no"])
+    same = [c for c in predictions.columns if c != "p_no"]
+    classes = fold_copies(predictions, "p_no", "_d").drop("_d_n").withColumnRenamed("p_no", "_class")
+    near = edges.select(*base, F.col("p_no").alias("_class")).distinct()
+    by = [c for c in base if c in predictions.columns]
+    rows = predictions.join(classes, same).join(near, [*by, "_class"]).drop("_class")
+    return rows.join(pairs.select(*base, "p_no"), [*base, "p_no"], "left_anti")
 
 
 def unmatched(rows: DataFrame, pairs: DataFrame, keys: Sequence[str], number: str) -> DataFrame:

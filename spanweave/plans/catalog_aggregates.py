@@ -142,8 +142,8 @@ def _(spark, sf):
 @query("agg_threshold_sweep")
 def _(spark, sf):
     p, t = sides(spark, sf)
-    edges = sg.slim(mt.at_thresholds(sg.iou_edges(p, t, KEYS, min(THRESHOLDS)), THRESHOLDS), KEYS, "threshold")
-    pairs = mt.match_edges(edges, KEYS, mt.traversal_matching, extra=["threshold"])
+    p, t = p.drop("p_kind"), t.drop("t_kind")
+    pairs = sg.match_spans(p, t, KEYS, mt.traversal_matching, min(THRESHOLDS), thresholds=THRESHOLDS)
     totals = me.match_totals(fx.videos(spark, sf).select("video_id"), pairs, p, t, KEYS, [], THRESHOLDS)
     return rounded(me.rates(totals), RATE_COLS)
 
@@ -253,8 +253,9 @@ def _(spark, sf):
 @query("agg_matched_error")
 def _(spark, sf):
     p, t = sides(spark, sf)
-    edges = sg.iou_edges(p, t, KEYS, 0.5)
-    pairs = mt.match_edges(edges, KEYS, mt.weighted_cardinality_matching)
+    pairs = sg.match_spans(
+        p.drop("p_kind"), t.drop("t_kind"), KEYS, mt.weighted_cardinality_matching, 0.5, keep=("p_start", "p_end", "t_start", "t_end")
+    )
     return rounded(me.matched_error(pairs), ["matched_mean_iou", "start_mae", "end_mae"])
 
 

@@ -20,39 +20,41 @@ from .registry import query
 KEYS = ["video_id"]
 
 
-def edges(spark, sf, threshold):
-    p, t = sides(spark, sf)
-    return sg.iou_edges(p, t, KEYS, threshold)
-
-
 def pair_columns(pairs):
     return pairs.select("video_id", "p_no", "t_no", F.round("similarity", 6).alias("similarity"))
 
 
+def spans(spark, sf):
+    """(predictions, targets) without their kinds."""
+    p, t = sides(spark, sf)
+    return p.drop("p_kind"), t.drop("t_kind")
+
+
 @query("mt_max_cardinality")
 def _(spark, sf):
-    return pair_columns(mt.match_edges(sg.slim(edges(spark, sf, 0.3), KEYS), KEYS, mt.traversal_matching))
+    return pair_columns(sg.match_spans(*spans(spark, sf), KEYS, mt.traversal_matching, 0.3))
 
 
 @query("mt_max_weight_cardinality")
 def _(spark, sf):
-    return pair_columns(mt.match_edges(sg.slim(edges(spark, sf, 0.3), KEYS), KEYS, mt.weighted_cardinality_matching))
+    return pair_columns(sg.match_spans(*spans(spark, sf), KEYS, mt.weighted_cardinality_matching, 0.3))
 
 
 @query("mt_max_weight")
 def _(spark, sf):
-    return pair_columns(mt.match_edges(sg.slim(edges(spark, sf, 0.0), KEYS), KEYS, mt.weighted_matching))
+    return pair_columns(sg.match_spans(*spans(spark, sf), KEYS, mt.weighted_matching, 0.0))
 
 
-def required_and_optional(spark, sf, threshold):
-    """Edges to positive (required) and to uncertain (optional) targets."""
-    found = edges(spark, sf, threshold)
-    return sg.slim(found.filter("t_kind = 'positive'"), KEYS), sg.slim(found.filter("t_kind = 'uncertain'"), KEYS)
+def required_and_optional(spark, sf):
+    """Predictions, positive (required) and uncertain (optional) targets."""
+    p, t = sides(spark, sf)
+    pick = lambda kind: t.filter(F.col("t_kind") == kind).drop("t_kind")
+    return p.drop("p_kind"), pick("positive"), pick("uncertain")
 
 
 @query("mt_two_stage")
 def _(spark, sf):
-    required, optional = mt.two_stage(*required_and_optional(spark, sf, 0.3), KEYS)
+    required, optional = sg.two_stage(*required_and_optional(spark, sf), KEYS, 0.3)
     return pair_columns(required).withColumn("stage", F.lit("required")).unionByName(
         pair_columns(optional).withColumn("stage", F.lit("optional"))
     )
@@ -60,10 +62,11 @@ def _(spark, sf):
 
 @query("mt_duplicates")
 def _(spark, sf):
-    required, optional = (materialize(e, "edges") for e in required_and_optional(spark, sf, 0.3))
-    pairs = mt.two_stage(required, optional, KEYS)
-    p, _ = sides(spark, sf)
-    return mt.duplicates(p, required.unionByName(optional), pairs[0].unionByName(pairs[1]), KEYS).select("video_id", "p_no")
+    p, required, optional = required_and_optional(spark, sf)
+    first, second = sg.two_stage(p, required, optional, KEYS, 0.3)
+    pairs = materialize(first.select("video_id", "p_no").unionByName(second.select("video_id", "p_no")), "pairs")
+    both = sg.folded_edges(p, required, KEYS, 0.3).unionByName(sg.folded_edges(p, optional, KEYS, 0.3))
+    return mt.duplicates(p, both, pairs, KEYS).select("video_id", "p_no")
 
 
 LONE_SQL = """lone AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY video_id, p_no) AS dp, count(*) OVER (PARTITION BY video_id, t_no) AS dt
@@ -71,11 +74,14 @@ LONE_SQL = """lone AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY vide
 
 
 def lone_pairs(spark, sf, threshold=0.5):
-    """Edges whose two ends have no other edge: final in every kind of matching."""
-    found = edges(spark, sf, threshold)
+    """Edges whose two ends have no other edge: final in every kind of matching.
+
+    Copies always have rivals, so folding them first loses none of these edges."""
+    found = sg.folded_edges(*spans(spark, sf), KEYS, threshold)
     p = found.groupBy("video_id", "p_no").agg(F.count(F.lit(1)).alias("dp")).filter("dp = 1").drop("dp")
     t = found.groupBy("video_id", "t_no").agg(F.count(F.lit(1)).alias("dt")).filter("dt = 1").drop("dt")
-    return found.join(p, ["video_id", "p_no"], "left_semi").join(t, ["video_id", "t_no"], "left_semi")
+    alone = found.filter("p_n = 1 AND t_n = 1")
+    return alone.join(p, ["video_id", "p_no"], "left_semi").join(t, ["video_id", "t_no"], "left_semi")
 
 
 @query(

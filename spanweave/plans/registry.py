@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +28,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
+    """Import every catalog. Python functions of the package are pickled by value, so tasks need
+    no installed copy and the driver may start in any folder."""
+    cloudpickle.register_pickle_by_value(sys.modules["spanweave"])
     from . import (  # noqa: F401
         catalog_aggregates,
         catalog_editing,

@@ -57,8 +57,35 @@ def _with_hull(edges: DataFrame, start: str, end: str) -> DataFrame:
     return edges.withColumns({"h_start": F.least("p_start", start), "h_end": F.greatest("p_end", end)})
 
 
+CORE = ("p_no", "t_no", "similarity", "h_start", "h_end", "p_n", "t_n")
+
+
 def slim(edges: DataFrame, keys: Sequence[str], *extra: str) -> DataFrame:
-    return edges.select(*keys, *extra, "p_no", "t_no", "similarity", "h_start", "h_end")
+    return edges.select(*keys, *extra, *[c for c in CORE if c in edges.columns])
+
+
+def folded_edges(predictions: DataFrame, targets: DataFrame, keys: Sequence[str], threshold: float, build=iou_edges) -> DataFrame:
+    """Edges between distinct spans: equal predictions and equal targets are folded first."""
+    return build(mt.fold_copies(predictions, "p_no", "p"), mt.fold_copies(targets, "t_no", "t"), keys, threshold)
+
+
+def match_spans(predictions: DataFrame, targets: DataFrame, keys: Sequence[str], solver, threshold: float, *, thresholds: Sequence[float] = (), extra: Sequence[str] = (), keep: Sequence[str] = (), build=iou_edges) -> DataFrame:
+    """Row-level pairs of a matching; ``thresholds`` adds one matching per threshold.
+
+    ``extra`` names further grouping columns of the predictions, ``keep`` edge columns to carry."""
+    edges = folded_edges(predictions, targets, keys, threshold, build)
+    extra = list(extra)
+    if thresholds:
+        edges, extra = mt.at_thresholds(edges, thresholds), ["threshold", *extra]
+    pairs = mt.match_edges(slim(edges, keys, *extra, *keep), keys, solver, extra=extra, predictions=predictions)
+    return mt.expand_pairs(materialize(pairs, "pairs"), predictions, targets, keys, extra=extra)
+
+
+def two_stage(predictions: DataFrame, required: DataFrame, optional: DataFrame, keys: Sequence[str], threshold: float, *, build=iou_edges) -> tuple[DataFrame, DataFrame]:
+    """Required targets first; predictions left over are then matched to optional targets."""
+    first = materialize(match_spans(predictions, required, keys, mt.traversal_matching, threshold, build=build), "first_stage")
+    rest = predictions.join(first.select(*keys, "p_no"), [*keys, "p_no"], "left_anti")
+    return first, match_spans(rest, optional, keys, mt.traversal_matching, threshold, build=build)
 
 
 # --- answers of one window -----------------------------------------------------------------------
@@ -74,12 +101,14 @@ def soft_f1(answers: DataFrame, targets: DataFrame, keys: Sequence[str]) -> Data
     spans = parsed.select(*keys, F.posexplode("segments").alias("p_no", "s")).select(
         *keys, "p_no", F.col("s.start_sec").alias("p_start"), F.col("s.end_sec").alias("p_end")
     )
-    edges = materialize(slim(iou_edges(spans, targets, keys, 0.0), keys), "answer_edges")
-    best = mt.match_edges(edges, keys, mt.weighted_matching).groupBy(*keys).agg(F.sum("similarity").alias("_sum"))
-    counted = mt.match_edges(mt.at_thresholds(edges, (0.3, 0.5)), keys, mt.traversal_matching, extra=["threshold"])
-    hits = counted.groupBy(*keys).agg(
-        F.count_if(F.col("threshold") == 0.3).alias("hits30"), F.count_if(F.col("threshold") == 0.5).alias("hits50")
+    edges = materialize(slim(folded_edges(spans, targets, keys, 0.0), keys), "answer_edges")
+    best = mt.match_edges(edges, keys, mt.weighted_matching).groupBy(*keys).agg(
+        F.sum(F.col("similarity") * F.col("units")).alias("_sum")
     )
+    # only the number of pairs counts here, any matching of maximum cardinality gives it
+    counted = mt.match_edges(mt.at_thresholds(edges, (0.3, 0.5)), keys, mt.weighted_cardinality_matching, extra=["threshold"])
+    units = lambda th: F.coalesce(F.sum(F.when(F.col("threshold") == th, F.col("units"))), F.lit(0))
+    hits = counted.groupBy(*keys).agg(units(0.3).alias("hits30"), units(0.5).alias("hits50"))
     n_t = targets.groupBy(*keys).agg(F.count(F.lit(1)).alias("target_count"))
     out = (
         parsed.drop("segments", "text").join(n_t, keys, "left").join(best, keys, "left").join(hits, keys, "left")
@@ -117,9 +146,11 @@ def score_windows(windows: DataFrame, answers: DataFrame) -> dict[str, DataFrame
         )
 
     p, t = exploded("predicted", "p"), exploded("segments", "t")
-    edges = iou_edges(p, t, keys, min(THRESHOLDS))
-    pairs = mt.match_edges(mt.at_thresholds(edges, THRESHOLDS), keys, mt.weighted_cardinality_matching, extra=["threshold"])
-    core = mt.match_edges(coverage_edges(p, t, keys, CORE_COVERAGE), keys, mt.weighted_cardinality_matching)
+    pairs = match_spans(
+        p, t, keys, mt.weighted_cardinality_matching, min(THRESHOLDS), thresholds=THRESHOLDS,
+        keep=("p_start", "p_end", "t_start", "t_end"),
+    )
+    core = match_spans(p, t, keys, mt.weighted_cardinality_matching, CORE_COVERAGE, keep=("iou",), build=coverage_edges)
     n_core = core.groupBy("sample_id").agg(F.count(F.lit(1)).alias("core_pairs"))
     n_pairs = pairs.groupBy("sample_id").agg(
         *[F.count_if(F.col("threshold") == th).alias(f"hits{int(th * 100)}") for th in THRESHOLDS]
@@ -159,19 +190,27 @@ def score_events(items: DataFrame, predictions: DataFrame, targets: DataFrame, o
         live(df).select(*keys, "p_no", "p_start", "p_end", F.lit(role).alias("role")) for role, df in roles.items()
     ]
     # one edge build and one matching for the three roles; roles never meet in a group
-    edges = event_edges(reduce(lambda a, b: a.unionByName(b), shaped), targets, keys, low)
-    edges = mt.at_thresholds(edges, thresholds).select(*base, "role", "p_no", "t_no", "similarity", "decisive", "h_start", "h_end")
-    edges = materialize(edges, "event_edges")
-    pairs = materialize(mt.match_edges(edges, keys, mt.traversal_matching, extra=["threshold", "role"]), "event_pairs")
-    required = pairs.filter("role = 'required'")
-    spare = mt.at_thresholds(event_edges(live(predictions), optional, keys, low), thresholds).select(*base, "p_no", "t_no", "similarity", "h_start", "h_end")
-    spare = materialize(spare, "optional_edges")
-    left_over = spare.join(required.select(*base, "p_no"), [*base, "p_no"], "left_anti")
-    second = materialize(mt.match_edges(left_over, keys, mt.traversal_matching, extra=["threshold"]), "optional_pairs")
-    tag = lambda df, name: df.select(*base, "p_no", F.col("t_no").cast("string").alias("_t"), F.lit(name).alias("_g")).select(*base, "p_no", F.concat("_g", "_t").alias("t_no"))
-    all_edges = tag(edges.filter("role = 'required'"), "r").unionByName(tag(spare, "o"))
-    all_pairs = tag(required, "r").unionByName(tag(second, "o"))
-    repeated = mt.duplicates(live(predictions).select(*keys, "p_no"), all_edges, all_pairs, keys, extra=["threshold"])
+    spans = materialize(reduce(lambda a, b: a.unionByName(b), shaped), "event_spans")
+    edges = materialize(
+        slim(mt.at_thresholds(folded_edges(spans, targets, keys, low, event_edges), thresholds), base, "role", "decisive"), "event_edges"
+    )
+    role_keys = ["threshold", "role"]
+    chosen = materialize(mt.match_edges(edges, keys, mt.traversal_matching, extra=role_keys, predictions=spans), "event_pairs")
+    pairs = mt.expand_pairs(chosen, spans, targets, keys, extra=role_keys)
+    required = materialize(pairs.filter("role = 'required'").select(*base, "p_no"), "required_pairs")
+    # what is left over differs by threshold, so the second stage is keyed by it as well
+    at_each = F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("threshold")
+    mine = spans.filter("role = 'required'").drop("role")
+    left_over = mine.select("*", at_each).join(required, [*base, "p_no"], "left_anti")
+    spare_targets = optional.select("*", at_each)
+    spare = folded_edges(left_over, spare_targets, base, low, event_edges).filter(F.col("similarity") >= F.col("threshold"))
+    spare = materialize(slim(spare, base), "optional_edges")
+    spare_pairs = materialize(mt.match_edges(spare, base, mt.traversal_matching, predictions=left_over), "optional_pairs")
+    second = mt.expand_pairs(spare_pairs, left_over, spare_targets, base).select(*base, "p_no")
+    # unmatched after both stages and next to some target
+    near_required = mt.duplicates(mine, edges.filter("role = 'required'"), required.unionByName(second), keys, extra=["threshold"])
+    near_optional = mt.duplicates(left_over, spare, second, base)
+    repeated = near_required.select(*base, "p_no").unionByName(near_optional.select(*base, "p_no")).distinct()
     is_role = lambda r: F.col("role") == r
     matched = pairs.groupBy(*base).agg(
         F.count_if(is_role("required")).alias("hits"),
