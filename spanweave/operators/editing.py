@@ -169,35 +169,29 @@ def merge_adjacency(highlights: DataFrame, targets: DataFrame, *, slice_sec: flo
 def merge_highlights(highlights: DataFrame, targets: DataFrame, *, slice_sec: float = 600.0) -> DataFrame:
     """One merged row per valid command: hull, best score with its type, distinct joined texts.
 
-    The texts of one command are gathered; a command names a handful of highlights."""
-    key = ["job_id", "highlight_id"]
-    valid = merge_adjacency(highlights, targets, slice_sec=slice_sec).filter("adjacent").select("job_id", "command_no")
-    rows = targets.join(valid, ["job_id", "command_no"], "left_semi").join(highlights, key)
+    Texts are reduced to their first occurrences before they are listed, so a command over many
+    highlights gathers its distinct texts only."""
+    key, command = ["job_id", "highlight_id"], ["job_id", "command_no"]
+    valid = merge_adjacency(highlights, targets, slice_sec=slice_sec).filter("adjacent").select(*command)
+    rows = targets.join(valid, command, "left_semi").join(highlights, key)
     order = F.struct("start_sec", "end_sec", "highlight_id")
     # the first of the best-scored rows in time order
     best = F.struct((-F.col("score")).alias("ns"), "start_sec", "end_sec", "highlight_id")
-    listed = F.sort_array(F.collect_list(F.struct(order.alias("o"), F.col("description").alias("d"), F.col("reason").alias("r"))))
-    merged = rows.groupBy("job_id", "command_no").agg(
+    merged = rows.groupBy(*command).agg(
         F.min_by("highlight_id", order).alias("highlight_id"),
         F.round(F.min("start_sec"), 3).alias("start_sec"),
         F.round(F.max("end_sec"), 3).alias("end_sec"),
         F.max("score").alias("score"),
         F.min_by("highlight_type", best).alias("highlight_type"),
         F.max("duration_sec").alias("duration_sec"),
-        listed.alias("_l"),
-    )
-    text = lambda f, sep, n: F.left(F.trim(F.array_join(F.array_distinct(F.transform("_l", lambda x: x[f])), sep)), F.lit(n))
-    return (
-        merged.filter(clip_edit_error("start_sec", "end_sec", "duration_sec").isNull())
-        .withColumns(
-            {
-                "description": text("d", TITLE_SEPARATOR, TITLE_LENGTH),
-                "reason": text("r", REASON_SEPARATOR, REASON_LENGTH),
-                "review_status": F.lit("revised"),
-            }
-        )
-        .drop("_l")
     )
+    merged = merged.filter(clip_edit_error("start_sec", "end_sec", "duration_sec").isNull())
+    for column, separator, length in (("description", TITLE_SEPARATOR, TITLE_LENGTH), ("reason", REASON_SEPARATOR, REASON_LENGTH)):
+        first = rows.groupBy(*command, column).agg(F.min(order).alias("_o"))
+        listed = F.sort_array(F.collect_list(F.struct("_o", column)))
+        text = F.left(F.trim(F.array_join(F.transform(listed, lambda x: x[column]), separator)), F.lit(length))  # noqa: B023
+        merged = merged.join(first.groupBy(*command).agg(text.alias(column)), command)
+    return merged.withColumn("review_status", F.lit("revised"))
 
 
 def carry_review(remote: DataFrame, local: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def time_slice(value, width: float) -> Column:
     value = F.col(value) if isinstance(value, str) else value
@@ -126,6 +128,21 @@ def sliced_rank(
     )
 
 
+def global_rank(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Exact 1-based row number over the whole table.
+
+    Rows are range-partitioned by the full order (which should end in a unique column, so that ties
+    split as well), each part is numbered on its own and starts after the rows of the parts before.
+    The offsets have one row per partition, hence the broadcast."""
+    placed = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranked")
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_part").orderBy(*order)
+    ranked = placed.withColumn("_no", F.row_number().over(inside)).join(F.broadcast(offsets), "_part")
+    return ranked.withColumn(name, F.col("_no") + F.col("_before")).drop("_part", "_no", "_before")
+
+
 def nearest_rank(
     df: DataFrame, keys: Sequence[str], value: str, probability: float, name: str, width: float
 ) -> DataFrame:

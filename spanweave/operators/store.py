@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.intervals import iou, is_finite
 from ..functions.labels import group_split, label_status
-from .ordered import sliced_rank
+from .ordered import global_rank
 from .rangejoin import candidate_edges
 
 
@@ -133,7 +133,7 @@ def feedback_priority(videos: DataFrame, targets: DataFrame, predictions: DataFr
     ).select("video_id", "priority", "status", "new_status")
 
 
-def review_queue(videos: DataFrame, *, split: str | None = None, id_block: int = 100_000) -> DataFrame:
+def review_queue(videos: DataFrame, *, split: str | None = None) -> DataFrame:
     """Waiting videos with ``queue_rank``: priority first, then groups with few approved labels,
     then short videos, then id. The rank is exact and needs no single-task sort."""
     waiting = videos.filter(F.col("status").isin("queued", "review"))
@@ -145,10 +145,7 @@ def review_queue(videos: DataFrame, *, split: str | None = None, id_block: int =
     )
     ranked = waiting.join(approved, "drama_id", "left").withColumn("approved", F.coalesce("approved", F.lit(0)))
     order = [F.col("priority").desc(), F.col("approved"), F.col("duration_sec"), F.col("video_id")]
-    keyed = ranked.withColumn("_neg", -F.col("priority"))
-    order = [F.col("_neg"), *order[1:]]
-    block = F.struct("_neg", "approved", "duration_sec", F.floor(F.col("video_id") / id_block).alias("b"))
-    return sliced_rank(keyed, [], order, block, "queue_rank").drop("_neg")
+    return global_rank(ranked, order, "queue_rank")
 
 
 def append_labels(videos: DataFrame, submissions: DataFrame) -> DataFrame:

@@ -142,17 +142,15 @@ FROM (SELECT l_orderkey, l_returnflag, l_linestatus, min(l_linenumber) AS first_
 HAVING count(DISTINCT first_line) = count(*)""",
 )
 def _(spark, sf):
-    # texts of one order in line order; orders where two texts tie for their first place are left out
+    # texts of one order in line order, reduced to their first places before they are listed;
+    # orders where two texts tie for their first place are left out
     place = F.col("l_linenumber") * 1000 + F.col("l_quantity")
-    text = F.concat("l_returnflag", "l_linestatus")
-    li = fx.table(spark, sf, "lineitem")
-    ties = (
-        li.groupBy("l_orderkey", text.alias("t")).agg(F.min(place).alias("p"))
-        .groupBy("l_orderkey").agg((F.count_distinct("p") == F.count(F.lit(1))).alias("clear"))
+    first = fx.table(spark, sf, "lineitem").groupBy("l_orderkey", F.concat("l_returnflag", "l_linestatus").alias("t")).agg(F.min(place).alias("p"))
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("p", "t"))), lambda x: x["t"])
+    joined = first.groupBy("l_orderkey").agg(
+        sc.distinct_join(texts, " / ").alias("joined"), (F.count_distinct("p") == F.count(F.lit(1))).alias("clear")
     )
-    texts = F.transform(F.sort_array(F.collect_list(F.struct(place.alias("p"), text.alias("t")))), lambda x: x["t"])
-    joined = li.groupBy("l_orderkey").agg(sc.distinct_join(texts, " / ").alias("joined"))
-    return joined.join(ties.filter("clear").select("l_orderkey"), "l_orderkey")
+    return joined.filter("clear").select("l_orderkey", "joined")
 
 
 @query("fn_truncate", "SELECT doc_id, left(trim(text, ' '), 120) AS title FROM documents")
