@@ -303,14 +303,14 @@ def _(spark, sf):
 
 @query(
     "jn_group_leak",
-    """SELECT s_nationkey AS drama_id, min(sp) AS first_split, max(sp) AS last_split FROM (SELECT s_nationkey,
-  CASE WHEN s_suppkey % 10 < 8 THEN 'train' WHEN s_suppkey % 10 = 8 THEN 'val' ELSE 'test' END AS sp FROM supplier)
-GROUP BY s_nationkey HAVING count(DISTINCT sp) > 1""",
+    """SELECT c_nationkey AS drama_id, min(sp) AS first_split, max(sp) AS last_split FROM (SELECT c_nationkey,
+  CASE WHEN c_custkey % 10 < 8 THEN 'train' WHEN c_custkey % 10 = 8 THEN 'val' ELSE 'test' END AS sp FROM customer)
+GROUP BY c_nationkey HAVING count(DISTINCT sp) > 1""",
 )
 def _(spark, sf):
-    rows = fx.table(spark, sf, "supplier").selectExpr(
-        "s_nationkey AS drama_id",
-        "CASE WHEN s_suppkey % 10 < 8 THEN 'train' WHEN s_suppkey % 10 = 8 THEN 'val' ELSE 'test' END AS split",
+    rows = fx.table(spark, sf, "customer").selectExpr(
+        "c_nationkey AS drama_id",
+        "CASE WHEN c_custkey % 10 < 8 THEN 'train' WHEN c_custkey % 10 = 8 THEN 'val' ELSE 'test' END AS split",
     )
     return store.group_leaks(rows)
 
