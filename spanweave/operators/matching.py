@@ -296,8 +296,10 @@ def match_edges(edges: DataFrame, keys: Sequence[str], solver: Solver, *, extra:
     number = edges.schema["p_no"].dataType
     if predictions is not None and solver is traversal_matching:
         same = [c for c in predictions.columns if c != "p_no"]
-        copies = predictions.groupBy(*same).agg(F.min("p_no").alias("p_no"), F.count(F.lit(1)).alias("_c"), F.collect_list("p_no").alias("p_members"))
         by = [c for c in base if c in predictions.columns]
+        # only items whose open edges have folded ends need the numbers of their copies
+        asked = predictions.join(open_edges.filter("p_n > 1").select(*by).distinct(), by, "left_semi")
+        copies = asked.groupBy(*same).agg(F.min("p_no").alias("p_no"), F.count(F.lit(1)).alias("_c"), F.collect_list("p_no").alias("p_members"))
         grouped = grouped.join(copies.filter("_c > 1").select(*by, "p_no", "p_members"), [*by, "p_no"], "left")
     else:
         grouped = grouped.withColumn("p_members", F.lit(None).cast(T.ArrayType(number)))
@@ -314,10 +316,14 @@ def match_edges(edges: DataFrame, keys: Sequence[str], solver: Solver, *, extra:
 
 
 def expand_pairs(pairs: DataFrame, predictions: DataFrame, targets: DataFrame, keys: Sequence[str], *, extra: Sequence[str] = (), number_block: float = 1e12) -> DataFrame:
-    """Row-level pairs from folded ones: the members of both sides meet rank by rank."""
+    """Row-level pairs from folded ones: the members of both sides meet rank by rank.
+
+    ``pairs`` should be written already: it is looked at for folded rows, and read by two branches."""
     base = [*keys, *extra]
     single = (F.col("p_n") == 1) & (F.col("t_n") == 1)
     multi = pairs.filter(~single)
+    if not multi.take(1):
+        return pairs
     before = lambda by, order: F.coalesce(
         F.sum("units").over(Window.partitionBy(*base, by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
@@ -329,7 +335,8 @@ def expand_pairs(pairs: DataFrame, predictions: DataFrame, targets: DataFrame, k
     )
     for df, number, rank in ((predictions, "p_no", "_rp"), (targets, "t_no", "_rt")):
         by = [c for c in base if c in df.columns]
-        members = _member_ranks(df, number, number_block).select(
+        asked = df.join(multi.select(*by).distinct(), by, "left_semi")
+        members = _member_ranks(asked, number, number_block).select(
             *by, F.col("_class").alias(number), F.col("_rank").alias(rank), F.col(number).alias("_member")
         )
         ranked = ranked.join(members, [*by, number, rank], "left").withColumn(number, F.coalesce("_member", number)).drop("_member")
