@@ -196,8 +196,9 @@ def score_events(items: DataFrame, predictions: DataFrame, targets: DataFrame, o
     )
     role_keys = ["threshold", "role"]
     chosen = materialize(mt.match_edges(edges, keys, mt.traversal_matching, extra=role_keys, predictions=spans), "event_pairs")
-    pairs = mt.expand_pairs(chosen, spans, targets, keys, extra=role_keys)
-    required = materialize(pairs.filter("role = 'required'").select(*base, "p_no"), "required_pairs")
+    # totals need units only; single rows are needed to tell which predictions are left over
+    first = mt.expand_pairs(chosen.filter("role = 'required'"), spans.filter("role = 'required'"), targets, keys, extra=role_keys)
+    required = materialize(first.select(*base, "p_no"), "required_pairs")
     # what is left over differs by threshold, so the second stage is keyed by it as well
     at_each = F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("threshold")
     mine = spans.filter("role = 'required'").drop("role")
@@ -211,15 +212,17 @@ def score_events(items: DataFrame, predictions: DataFrame, targets: DataFrame, o
     near_required = mt.duplicates(mine, edges.filter("role = 'required'"), required.unionByName(second), keys, extra=["threshold"])
     near_optional = mt.duplicates(left_over, spare, second, base)
     repeated = near_required.select(*base, "p_no").unionByName(near_optional.select(*base, "p_no")).distinct()
-    is_role = lambda r: F.col("role") == r
-    matched = pairs.groupBy(*base).agg(
-        F.count_if(is_role("required")).alias("hits"),
-        F.count_if(is_role("candidate")).alias("candidate_hits"),
-        F.count_if(is_role("verified")).alias("verified_hits"),
-        F.sum(F.when(is_role("required"), F.col("decisive"))).alias("decisive_sum"),
-        F.count(F.when(is_role("required"), F.col("decisive"))).alias("decisive_n"),
+    part = lambda r, value: F.coalesce(F.sum(F.when(F.col("role") == r, value)), F.lit(0))
+    units, known = F.col("units"), F.col("decisive").isNotNull()
+    matched = chosen.groupBy(*base).agg(
+        part("required", units).alias("hits"),
+        part("candidate", units).alias("candidate_hits"),
+        part("verified", units).alias("verified_hits"),
+        F.sum(F.when(F.col("role") == "required", F.col("decisive") * units)).alias("decisive_sum"),
+        part("required", F.when(known, units)).alias("decisive_n"),
     )
-    count = lambda df, name: df.groupBy(*base).agg(F.count(F.lit(1)).alias(name))
+    optional_hits = spare_pairs.groupBy(*base).agg(F.sum("units").alias("optional_hits"))
+    duplicate_count = repeated.groupBy(*base).agg(F.count(F.lit(1)).alias("duplicate_count"))
     n_p = live(predictions).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("output_count"), F.sum(F.col("p_end") - F.col("p_start")).alias("output_sec")
     )
@@ -228,7 +231,7 @@ def score_events(items: DataFrame, predictions: DataFrame, targets: DataFrame, o
         "threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
     )
     out = (
-        grid.join(matched, base, "left").join(count(second, "optional_hits"), base, "left").join(count(repeated, "duplicate_count"), base, "left")
+        grid.join(matched, base, "left").join(optional_hits, base, "left").join(duplicate_count, base, "left")
     )
     counts = ["hits", "candidate_hits", "verified_hits", "decisive_n", "optional_hits", "duplicate_count", "output_count", "targets"]
     return out.na.fill(0, counts).na.fill(0.0, ["decisive_sum", "output_sec"]).withColumn(
