@@ -7,7 +7,6 @@ input. Every derivation is a projection of a whole table: no window, no row cap.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions.labels import group_split
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.intervals import midpoint, overlap, owned_by
-from ..operators.intervalsets import TOLERANCE, covered_seconds, subtract_spans, union_spans
+from ..operators.intervalsets import TOLERANCE, covered_seconds, union_spans
 from ..operators.rangejoin import overlap_semi
 from ..operators.tiles import tiles, with_bounds
 
