@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm import simhash
+from spanweave.llm import pii, quality, simhash, suffixes, token_archive
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,3 +31,54 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("component").alias("component_id"),
     )
+
+
+@query
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token archive of every document, read back."""
+    import public_tokenizers
+
+    folder = token_archive.write_archive(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_archive.read_documents(spark, folder).select(
+        F.col("id").alias("doc_id"), "start", F.col("length").alias("n_tokens"), F.col("crc").alias("ids_crc32")
+    )
+
+
+@query
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows of 13 words in every document."""
+    judged = suffixes.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    items = F.col("__found.items")
+    return judged.select(
+        "doc_id", F.col("__found.n_words").alias("n_words"), F.col("__found.n_hit").alias("n_hit"),
+        F.size(items).cast("bigint").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.sort_array(F.transform(items, lambda x: x.cast("string")))), 256).alias("items_sha256"),
+        F.col("__found.contaminated").alias("contaminated"),
+    )
+
+
+@query
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base spans, their digest, and all spans."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.spans(docs, pii.train(docs)).select("doc_id", "__spans")
+    base = F.filter("__spans", lambda c: c["base"])
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter(base, lambda c: c["kind"] == kind)).cast("bigint").alias(f"n_{pii.KINDS[kind]}")
+
+    return found.select(
+        "doc_id", *map(count, range(len(pii.KINDS))), F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("__spans")).alias("spans")
+    )
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; labels are learned from two thirds of the ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model, keep=["doc_id"])
+    return scored.select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"),
+        (F.col("__score") >= 0.5).cast("int").alias("predicted"),
+    )
