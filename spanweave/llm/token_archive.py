@@ -23,6 +23,7 @@ other columns are not read.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -39,6 +40,11 @@ CHUNK_BITS = 8
 RANK_EVERY = 512
 SEGMENT_TOKENS = 1 << 19
 CACHE_CHUNKS = 400_000
+TEXTS_TOGETHER = 512
+WORDS_TOGETHER = 256
+SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+# Latin letters of one or two bytes (but for the dotted capital I, which lower case takes apart)
+LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc5[\x80-\xbf])+")
 LEVEL = pa.struct([("chunks", pa.binary()), ("marks", pa.binary()), ("ranks", pa.binary())])
 SEGMENT = pa.schema([
     ("part", pa.int32()), ("seq", pa.int32()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())),
@@ -94,33 +100,73 @@ def unpack(levels: list[dict[str, bytes]]) -> np.ndarray:
 
 
 class ChunkEncoder:
-    """Ids of a text as little-endian 16 or 32-bit integers, chunk by chunk."""
+    """Ids of texts as little-endian 16 or 32-bit integers, chunk by chunk.
+
+    A chunk that is a run of Latin letters and a run of ASCII signs is two words to the tokenizer. Such
+    words are encoded many at a time, parted by spaces, and told apart by their word-end tokens."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        size = self.tokenizer.get_vocab_size()
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.known: dict[bytes, bytes] = {}
-
-    def learn(self, chunks: set[bytes]) -> None:
-        missing = [c for c in chunks if c not in self.known]
-        if len(self.known) + len(missing) > CACHE_CHUNKS:
+        self.words: dict[bytes, bytes] = {b"": b""}
+
+    def _single(self, chunks: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        found = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
+        return ((c, np.array(e.ids, self.kind).tobytes()) for c, e in zip(chunks, found))
+
+    def _learn_words(self, words: list[bytes]) -> None:
+        groups = [words[at : at + WORDS_TOGETHER] for at in range(0, len(words), WORDS_TOGETHER)]
+        found = self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)
+        width = self.kind.itemsize
+        for group, encoding in zip(groups, found):
+            ids = np.array(encoding.ids, self.kind)
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * width).tolist()
+            if len(ends) == len(group) and ends[-1] == len(ids) * width:
+                packed = ids.tobytes()
+                self.words.update((w, packed[i:j]) for w, i, j in zip(group, [0, *ends], ends))
+            else:
+                self.words.update(self._single(group))
+
+    def learn(self, missing: list[bytes]) -> None:
+        if len(self.words) > CACHE_CHUNKS // 2:
+            self.words = {b"": b""}
+        words, plain, rest, new = self.words, [], [], set()
+        for chunk in missing:
+            letters = chunk.rstrip(SIGNS)
+            if letters.isalpha() or LETTERS.fullmatch(letters):
+                signs = chunk[len(letters) :]
+                plain.append((chunk, letters, signs))
+                if letters not in words:
+                    new.add(letters)
+                if signs not in words:
+                    new.add(signs)
+            else:
+                rest.append(chunk)
+        self._learn_words(list(new))
+        self.known.update([(chunk, words[letters] + words[signs]) for chunk, letters, signs in plain])
+        self.known.update(self._single(rest))
+
+    def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        cut = [lowered(t or b"").split() for t in texts]
+        new = set().union(*cut).difference(self.known)
+        if len(self.known) + len(new) > CACHE_CHUNKS:
             self.known = {}
-            missing = list(chunks)
-        for at in range(0, len(missing), 8192):
-            part = missing[at : at + 8192]
-            found = self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)
-            self.known.update((c, np.array(e.ids, self.kind).tobytes()) for c, e in zip(part, found))
+            new = set().union(*cut)
+        self.learn(list(new))
+        known = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(known, chunks)), self.kind) for chunks in cut]
+
 
-    def encode(self, raw: bytes | None) -> np.ndarray:
-        chunks = (raw or b"").split()
-        try:
-            return np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), self.kind)
-        except KeyError:
-            self.learn(set(chunks))
-            return np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), self.kind)
+def lowered(raw: bytes) -> bytes:
+    """The text in ASCII lower case, as the tokenizer lower-cases anyway; left alone where that could
+    change how marks combine with letters, or make a special token."""
+    return raw if b"\xcc" in raw or b"<|" in raw else raw.lower()
 
 
 def _write(path: str, end_id: int):
@@ -139,15 +185,17 @@ def _write(path: str, end_id: int):
 
         end = np.array([end_id], np.uint32)
         for batch in batches:
-            for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary())):
-                stream = encoder.encode(raw.as_py())
-                held += [stream, end]
-                ids.append(key)
-                lengths.append(len(stream) + 1)
-                count += len(stream) + 1
-                if count >= SEGMENT_TOKENS:
-                    yield segment()
-                    ids, lengths, held, count, seq = [], [], [], 0, seq + 1
+            for at in range(0, batch.num_rows, TEXTS_TOGETHER):
+                rows = batch.slice(at, TEXTS_TOGETHER)
+                streams = encoder.encode(rows.column(1).cast(pa.large_binary()).to_pylist())
+                for key, stream in zip(rows.column(0).to_pylist(), streams):
+                    held += [stream, end]
+                    ids.append(key)
+                    lengths.append(len(stream) + 1)
+                    count += len(stream) + 1
+                    if count >= SEGMENT_TOKENS:
+                        yield segment()
+                        ids, lengths, held, count, seq = [], [], [], 0, seq + 1
         if ids:
             yield segment()
 
