@@ -222,3 +222,20 @@ def near_duplicates(
     named = rooted.groupBy("root").agg(F.min("first").alias("component"))
     classes = rooted.join(named, "root").select("fp", "component")
     return marks.join(classes, "fp").select("id", "fp", "component")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The row with the smallest id of each class, with all its columns.
+
+    Rows that share an id are one document: one of them stays. Rows without id stay."""
+    found = near_duplicates(docs, id_col, **options)
+    keepers = materialize(
+        found.where("id = component").groupBy(F.col("id").alias("__keeper")).agg(F.count("*").alias("__rows")), "keepers"
+    )
+
+    def rows_of(some: DataFrame) -> DataFrame:
+        return docs.join(some.select("__keeper"), F.col(id_col) == F.col("__keeper"), "left_semi")
+
+    kept = rows_of(keepers.where("__rows = 1")).unionAll(docs.where(F.col(id_col).isNull()))
+    repeated = keepers.where("__rows > 1")
+    return kept if repeated.isEmpty() else kept.unionAll(rows_of(repeated).dropDuplicates([id_col]))
