@@ -41,6 +41,9 @@ LOOSE_EMAIL = (
 )
 LOOSE_IP = r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:.])"
 LOOSE_PHONE = r"(?<![0-9+.-])(?<![0-9+] )(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])"
+# what a text must hold for a pattern to match; most texts are settled by this one short scan
+EMAIL_SIGN, IP_SIGN, CARD_SIGN, PHONE_SIGN = "@", r"[0-9]\.[0-9]", r"[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]", r"\+[0-9]"
+LOOSE_EMAIL_SIGN, LOOSE_IP_SIGN, LOOSE_PHONE_SIGN = r"at[\])]", ":[0-9A-Fa-f]{1,4}:", "[0-9]{3}[ .-][0-9]{4}"
 # gazetteers
 DOMAINS = r"(?i)(?:\.|dot\)|dot\]) ?(?:com|org|net|edu|gov|info|io|eu|de|fr|es|it|uk|ch|at|us|ca|nl|be|pl|pt|br|mx)$"
 NETWORKS = r"^(?:0|127|255)\."
@@ -51,7 +54,7 @@ COUNTER_CUES = r"(?i)version|release|order|invoice|isbn|sku|token|ref|build|seri
 NEAR = 32
 
 
-def _found(text: Column, pattern: str, sign: str | None) -> Column:
+def _found(text: Column, pattern: str, sign: str) -> Column:
     """(start, end, match) of every match; positions add up what lies between the matches."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
@@ -68,7 +71,7 @@ def _found(text: Column, pattern: str, sign: str | None) -> Column:
         lambda s: s["out"],
     )
     none = F.expr("cast(array() as array<struct<start: int, end: int, match: string>>)")
-    return F.when(F.contains(text, F.lit(sign)), folded).otherwise(none) if sign else folded
+    return F.when(text.rlike(sign), folded).otherwise(none)
 
 
 def _digits(text: Column) -> Column:
@@ -129,12 +132,12 @@ def _candidate(text: Column, kind: int, loose: bool, found: Column) -> Column:
 def candidates(text: Column) -> Column:
     """Array of all candidates of a text."""
     patterns = [
-        (0, False, EMAIL, "@"), (1, False, IP, "."), (2, False, CARD, None), (3, False, PHONE, "+"),
-        (0, True, LOOSE_EMAIL, "at"), (1, True, LOOSE_IP, ":"), (3, True, LOOSE_PHONE, None),
+        (0, False, EMAIL, EMAIL_SIGN), (1, False, IP, IP_SIGN), (2, False, CARD, CARD_SIGN), (3, False, PHONE, PHONE_SIGN),
+        (0, True, LOOSE_EMAIL, LOOSE_EMAIL_SIGN), (1, True, LOOSE_IP, LOOSE_IP_SIGN), (3, True, LOOSE_PHONE, LOOSE_PHONE_SIGN),
     ]
     text = F.coalesce(text, F.lit(""))
 
-    def part(kind: int, loose: bool, pattern: str, sign: str | None) -> Column:
+    def part(kind: int, loose: bool, pattern: str, sign: str) -> Column:
         return F.transform(_found(text, pattern, sign), lambda x: _candidate(text, kind, loose, x))
 
     return F.concat(*[part(*p) for p in patterns])
@@ -143,30 +146,30 @@ def candidates(text: Column) -> Column:
 def vote_worth(counts: DataFrame, rounds: int = 30) -> DataFrame:
     """(kind, votes, chance): the posterior of each vote pattern by expectation-maximisation.
 
-    ``counts`` has kind, votes and n. Class-conditional chances of the three values of each labeler are
-    re-estimated ``rounds`` times in one fold; a kind is one row with at most 27 patterns."""
+    ``counts`` has kind, votes and n. How often each labeler votes for a span, if it votes, is estimated
+    for spans that are personal and for those that are not, ``rounds`` times in one fold (no vote says
+    nothing); a kind is one row with at most 27 patterns."""
     grouped = counts.groupBy("kind").agg(F.sort_array(F.collect_list(F.struct("votes", "n"))).alias("patterns"))
-    # theta: chance of vote v of labeler l in class c at 9 * c + 3 * l + v; the last entry is the share of class 1
-    start = "array(" + ", ".join(["0.4D, 0.3D, 0.3D"] * 3 + ["0.15D, 0.25D, 0.6D"] * 3 + ["0.5D"]) + ")"
-    place = "3 * {l} + instr('-0+', substring(p.votes, {l} + 1, 1))"
-    logit = "ln(get(t, 18) / (1 - get(t, 18)))" + "".join(
-        f" + ln(get(t, 8 + {place.format(l=l)}) / get(t, {place.format(l=l)} - 1))" for l in range(3)
+    # t: share of votes for, by labeler, of spans that are not personal (0 to 2) and that are (3 to 5); share of those (6)
+    start = "array(0.3D, 0.3D, 0.3D, 0.8D, 0.8D, 0.8D, 0.5D)"
+    logit = "ln(get(t, 6) / (1 - get(t, 6)))" + "".join(
+        f" + CASE substring(p.votes, {l + 1}, 1) WHEN '+' THEN ln(get(t, {l + 3}) / get(t, {l}))"
+        f" WHEN '-' THEN ln((1 - get(t, {l + 3})) / (1 - get(t, {l}))) ELSE 0D END" for l in range(3)
     )
     chance = f"1 / (1 + exp(-({logit})))"
-    # expected counts, with one pseudo-count each, spread as at the start
     weighed = f"transform(patterns, p -> struct(p.votes AS votes, p.n * ({chance}) AS one, p.n * (1 - ({chance})) AS zero))"
-    total = "aggregate(w, 0D, (s, p) -> s + p.{c})"
-    share = (
-        "(aggregate(w, 0D, (s, p) -> s + if(instr('-0+', substring(p.votes, div(i, 3) + 1, 1)) - 1 = i % 3, p.{c}, 0D))"
-        " + 2 * get({start}, {base} + i)) / ({total} + 2)"
-    ).replace("div(i, 3)", "cast(floor(i / 3) as int)")
-    zero = share.format(c="zero", start=start, base=0, total=total.format(c="zero"))
-    one = share.format(c="one", start=start, base=9, total=total.format(c="one"))
-    prior = f"({total.format(c='one')} + 1) / ({total.format(c='one')} + {total.format(c='zero')} + 2)"
-    update = (
-        f"get(transform(array({weighed}), w -> concat(transform(sequence(0, 8), i -> {zero}),"
-        f" transform(sequence(0, 8), i -> {one}), array({prior}))), 0)"
-    )
+
+    def total(part: str, where: str = "true") -> str:
+        return f"aggregate(filter(w, p -> {where}), 0D, (s, p) -> s + p.{part})"
+
+    # two pseudo-counts hold each share near its start
+    shares = [
+        f"({total(part, f"substring(p.votes, {l + 1}, 1) = '+'")} + 2 * get({start}, {at + l}))"
+        f" / ({total(part, f"substring(p.votes, {l + 1}, 1) != '0'")} + 2)"
+        for part, at in (("zero", 0), ("one", 3)) for l in range(3)
+    ]
+    prior = f"({total('one')} + 1) / ({total('one')} + {total('zero')} + 2)"
+    update = f"get(transform(array({weighed}), w -> array({', '.join([*shares, prior])})), 0)"
     fitted = grouped.withColumn("t", F.expr(f"aggregate(sequence(1, {rounds}), {start}, (t, r) -> {update})"))
     return fitted.select("kind", F.expr(f"inline(transform(patterns, p -> struct(p.votes AS votes, {chance} AS chance)))"))
 
