@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.intervals import owned_by
 from ..functions.scalars import strip_space
 from .ordered import sliced_lag, sliced_running, time_slice
-from .rangejoin import HOT_PAIRS, overlap_join
+from .rangejoin import overlap_join
 
 SLICE_SEC = 600.0
 TOLERANCE = 1e-6
@@ -136,13 +136,9 @@ def covered_seconds(
     bucket_sec: float = 60.0,
     slice_sec: float = SLICE_SEC,
     merged: bool = False,
-    disjoint_ranges: bool = False,
     name: str = "covered_sec",
 ) -> DataFrame:
-    """Add the seconds of each range (identified by ``ids``) that the spans of its key cover.
-
-    With ``disjoint_ranges`` (tiles) both join sides are disjoint per key, so a time bucket holds
-    few rows by construction and the salting pass is left out."""
+    """Add the seconds of each range (identified by ``ids``) that the spans of its key cover."""
     keys, ids = list(keys), list(ids)
     flat = spans.select(*keys, F.col("start_sec").alias("_us"), F.col("end_sec").alias("_ue"))
     if not merged:
@@ -150,7 +146,6 @@ def covered_seconds(
     slim = ranges.select(*dict.fromkeys([*keys, *ids, *range_span]))
     hits = overlap_join(
         slim, flat, keys, left_span=range_span, right_span=("_us", "_ue"), bucket_sec=bucket_sec,
-        hot_pairs=None if disjoint_ranges else HOT_PAIRS,
     )
     seconds = F.least(F.col(range_span[1]), F.col("_ue")) - F.greatest(F.col(range_span[0]), F.col("_us"))
     sums = hits.groupBy(*ids).agg(F.sum(seconds).alias(name))
@@ -269,7 +264,7 @@ def page_coverage(
     hits = (
         overlap_join(
             slim, seen, keys, left_span=("core_start_sec", "core_end_sec"), right_span=("_ws", "_we"),
-            residual=inside, hot_pairs=None,
+            residual=inside,
         )
         .select(*keys, "page_id")
         .distinct()

@@ -2,14 +2,16 @@
 
 Three different matchings exist and are not interchangeable: maximum cardinality in a fixed
 traversal order, maximum weight among the maximum-cardinality matchings, and plain maximum weight.
-Spark makes the candidate edges, settles every edge whose two ends have no other edge, and cuts the
-rest into islands of overlapping edges. Only those small groups reach Python, streamed in sorted
-order through each partition, so memory holds one island at a time.
+Spark makes the candidate edges between distinct spans, settles every edge whose two ends are single
+and have no other edge, and cuts the rest into islands of overlapping edges. Only those small groups reach
+Python, streamed in sorted order through each partition and taken apart into connected components,
+so memory holds one island at a time. Each matching has one algorithm, with copies or without.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -22,158 +24,86 @@ from .intervalsets import union_spans
 from .ordered import sliced_rank
 from .rangejoin import contained_join
 
-Solver = Callable[[np.ndarray, np.ndarray, np.ndarray], list[int]]
 
-
-def traversal_matching(p: np.ndarray, t: np.ndarray, sim: np.ndarray) -> list[int]:
-    """Maximum cardinality by augmenting paths; predictions in order, targets by similarity."""
-    rows = np.lexsort((t, -sim, p))
-    partners: dict = {}
-    for row in rows:
-        partners.setdefault(p[row], []).append(row)
-    taken: dict = {}
-    for prediction in partners:
-        seen = set()
-        path = [[iter(partners[prediction]), None]]
+class Edges(NamedTuple):
+    """Edges of one component between span classes; members are the numbers of the copies of a class,
+    null on all but one edge of it (and for single spans)."""
+
+    p: np.ndarray
+    t: np.ndarray
+    similarity: np.ndarray
+    p_n: np.ndarray
+    t_n: np.ndarray
+    p_members: np.ndarray
+    t_members: np.ndarray
+
+    def rows(self, which: np.ndarray) -> Edges:
+        return Edges(*(x[which] for x in self))
+
+
+# an edge row, how many pairs it stands for, and the numbers of the pair if they were chosen
+Chosen = tuple[int, int, object, object]
+Solver = Callable[[Edges], list[Chosen]]
+
+
+def _numbers(single: np.ndarray, members: np.ndarray) -> dict:
+    """Numbers of each class."""
+    found = {x: [x] for x in single.tolist()}
+    for name, own in zip(single.tolist(), members):
+        if own is not None and len(own):
+            found[name] = sorted(own)
+    return found
+
+
+def traversal_matching(edges: Edges) -> list[Chosen]:
+    """Maximum cardinality by augmenting paths: predictions in order, each trying its targets by
+    similarity, then by number; an owner that is asked for its target tries its own further ones.
+
+    Copies are walked one by one but share the list of their class. Within one search the targets a class
+    has tried stay tried, so its list is read once; and a class for which a search has failed stays unmatchable."""
+    p_numbers, t_numbers = _numbers(edges.p, edges.p_members), _numbers(edges.t, edges.t_members)
+    partners: dict = {name: [] for name in p_numbers}
+    for row in range(len(edges.p)):
+        partners[edges.p[row]] += [(-edges.similarity[row], number, row) for number in t_numbers[edges.t[row]]]
+    for tried in partners.values():
+        tried.sort()
+    owners: dict = {}
+    failed: set = set()
+    for number, name in sorted((number, name) for name, own in p_numbers.items() for number in own):
+        if name in failed:
+            continue
+        path, seen, at = [[number, name, None]], set(), dict.fromkeys(partners, 0)
         while path:
-            for row in path[-1][0]:
-                if t[row] not in seen:
-                    break
-            else:
+            own = path[-1][1]
+            tried = partners[own]
+            while at[own] < len(tried) and tried[at[own]][1] in seen:
+                at[own] += 1
+            if at[own] == len(tried):
                 path.pop()
                 continue
-            seen.add(t[row])
-            path[-1][1] = row
-            if t[row] in taken:
-                path.append([iter(partners[p[taken[t[row]]]]), None])
-                continue
-            for _, chosen in path:
-                taken[t[chosen]] = chosen
-            break
-    return list(taken.values())
-
-
-def _assignment(cost: np.ndarray) -> np.ndarray:
-    """Column of each row in a minimum-cost assignment (rows <= columns), shortest paths."""
-    n, m = cost.shape
-    u, v = np.zeros(n + 1), np.zeros(m + 1)
-    match = np.zeros(m + 1, dtype=np.int64)
-    for i in range(1, n + 1):
-        match[0] = i
-        col = 0
-        best = np.full(m + 1, np.inf)
-        came = np.zeros(m + 1, dtype=np.int64)
-        used = np.zeros(m + 1, dtype=bool)
-        while match[col]:
-            used[col] = True
-            row = match[col]
-            free = ~used[1:]
-            reduced = cost[row - 1] - u[row] - v[1:]
-            better = free & (reduced < best[1:])
-            best[1:][better] = reduced[better]
-            came[1:][better] = col
-            nxt = int(np.argmin(np.where(free, best[1:], np.inf))) + 1
-            delta = best[nxt]
-            u[match[used]] += delta
-            v[used] -= delta
-            best[1:][free] -= delta
-            col = nxt
-        while col:
-            prev = came[col]
-            match[col] = match[prev]
-            col = prev
-    out = np.zeros(n, dtype=np.int64)
-    for j in range(1, m + 1):
-        if match[j]:
-            out[match[j] - 1] = j - 1
-    return out
-
-
-def _weighted(p: np.ndarray, t: np.ndarray, sim: np.ndarray, per_pair: float) -> list[int]:
-    ps, pi = np.unique(p, return_inverse=True)
-    ts, ti = np.unique(t, return_inverse=True)
-    flip = len(ps) > len(ts)
-    rows, cols = (ti, pi) if flip else (pi, ti)
-    shape = (len(ts), len(ps)) if flip else (len(ps), len(ts))
-    cost, edge = np.zeros(shape), np.full(shape, -1, dtype=np.int64)
-    cost[rows, cols] = -(sim + per_pair)
-    edge[rows, cols] = np.arange(len(p))
-    picked = edge[np.arange(shape[0]), _assignment(cost)]
-    return [int(k) for k in picked if k >= 0]
-
-
-def weighted_cardinality_matching(p: np.ndarray, t: np.ndarray, sim: np.ndarray) -> list[int]:
-    """Maximum weight among the matchings of maximum cardinality."""
-    return _weighted(p, t, sim, float(min(len(np.unique(p)), len(np.unique(t))) + 1))
-
-
-def weighted_matching(p: np.ndarray, t: np.ndarray, sim: np.ndarray) -> list[int]:
-    """Maximum total weight; an edge is left out when that helps."""
-    return _weighted(p, t, sim, 0.0)
-
-
-def _folded_traversal(p, t, sim, p_n, t_n, members) -> list[tuple[int, int]]:
-    """Units per edge when equal spans are folded: members in order claim a unit, classes re-route."""
-    ps, pi = np.unique(p, return_inverse=True)
-    ts, ti = np.unique(t, return_inverse=True)
-    first = {int(c): int(r) for r, c in reversed(list(enumerate(pi)))}
-    free = {int(c): int(t_n[r]) for r, c in enumerate(ti)}
-    partners: dict[int, list[int]] = {c: [] for c in range(len(ps))}
-    for row in np.lexsort((t, -sim, p)):
-        partners[int(pi[row])].append(int(row))
-    numbers = [np.asarray(members[first[c]] if p_n[first[c]] > 1 else [ps[c]]) for c in range(len(ps))]
-    turn = np.repeat(np.arange(len(ps)), [len(x) for x in numbers])[np.argsort(np.concatenate(numbers), kind="stable")]
-    units = np.zeros(len(p), dtype=np.int64)
-    held: dict[int, set[int]] = {c: set() for c in free}
-    closed: set[int] = set()
-    for cls in turn:
-        cls = int(cls)
-        if cls in closed:
-            continue
-        if len(closed) == len(ps):
-            break
-        end, came = _free_target(cls, partners, ti, pi, free, held)
-        if end is None:
-            closed.add(cls)
-            continue
-        free[end] -= 1
-        while end is not None:
-            row, lost = came[end]
-            units[row] += 1
-            held[end].add(row)
-            if lost is not None:
-                units[lost] -= 1
-                if not units[lost]:
-                    held[int(ti[lost])].discard(lost)
-            end = int(ti[lost]) if lost is not None else None
-    return [(int(r), int(u)) for r, u in enumerate(units) if u]
-
-
-def _free_target(cls, partners, ti, pi, free, held):
-    """Breadth-first search for a target class with room; (target, how each target was reached)."""
-    came: dict[int, tuple[int, int | None]] = {}
-    queue: list[tuple[int, int | None]] = [(cls, None)]
-    for holder, lost in queue:
-        for row in partners[holder]:
-            target = int(ti[row])
-            if target in came:
-                continue
-            came[target] = (row, lost)
-            if free[target]:
-                return target, came
-            queue.extend((int(pi[r]), r) for r in held[target])
-    return None, came
+            path[-1][2] = tried[at[own]]
+            target = path[-1][2][1]
+            seen.add(target)
+            if target not in owners:
+                break
+            path.append([*owners[target][:2], None])
+        for asked, own, (_, target, row) in path:
+            owners[target] = (asked, own, row)
+        if not path:
+            failed.add(name)
+    return [(row, 1, number, target) for target, (number, _, row) in owners.items()]
 
 
-def _folded_weighted(p, t, sim, p_n, t_n, *, all_pairs: bool) -> list[tuple[int, int]]:
-    """Maximum-weight flow between folded spans: cheapest augmenting paths, several units at once.
+def _flow(edges: Edges, all_pairs: bool) -> list[Chosen]:
+    """Maximum-weight flow between classes: cheapest augmenting paths, several units at once.
 
     With ``all_pairs`` it goes on to the largest number of pairs, else it stops without gain."""
-    ps, pi = np.unique(p, return_inverse=True)
-    ts, ti = np.unique(t, return_inverse=True)
+    sim = edges.similarity
+    ps, pi = np.unique(edges.p, return_inverse=True)
+    ts, ti = np.unique(edges.t, return_inverse=True)
     room_p, room_t = np.zeros(len(ps), np.int64), np.zeros(len(ts), np.int64)
-    room_p[pi], room_t[ti] = p_n, t_n
-    units = np.zeros(len(p), dtype=np.int64)
+    room_p[pi], room_t[ti] = edges.p_n, edges.t_n
+    units = np.zeros(len(sim), dtype=np.int64)
     while True:
         dist_p = np.where(room_p > 0, 0.0, np.inf)
         dist_t = np.full(len(ts), np.inf)
@@ -182,7 +112,7 @@ def _folded_weighted(p, t, sim, p_n, t_n, *, all_pairs: bool) -> list[tuple[int,
         while changed:
             changed = False
             for rows, start, stop, dist_a, dist_b, via, cost in (
-                (np.arange(len(p)), pi, ti, dist_p, dist_t, via_t, -sim),
+                (np.arange(len(sim)), pi, ti, dist_p, dist_t, via_t, -sim),
                 (np.flatnonzero(units), ti, pi, dist_t, dist_p, via_p, sim),
             ):
                 reach = dist_a[start[rows]] + cost[rows]
@@ -193,7 +123,7 @@ def _folded_weighted(p, t, sim, p_n, t_n, *, all_pairs: bool) -> list[tuple[int,
         ends = np.where(room_t > 0, dist_t, np.inf)
         end = int(np.argmin(ends))
         if not np.isfinite(ends[end]) or (not all_pairs and ends[end] >= -1e-12):
-            return [(int(r), int(u)) for r, u in enumerate(units) if u]
+            return [(int(r), int(u), None, None) for r, u in enumerate(units) if u]
         path, node, amount = [], end, int(room_t[end])
         while True:
             row = int(via_t[node])
@@ -212,45 +142,80 @@ def _folded_weighted(p, t, sim, p_n, t_n, *, all_pairs: bool) -> list[tuple[int,
             units[row] += sign * amount
 
 
-def _units(solver: Solver, rows: dict[str, np.ndarray], lo: int, hi: int) -> list[tuple[int, int]]:
-    p, t, sim, p_n, t_n = (rows[c][lo:hi] for c in ("p_no", "t_no", "similarity", "p_n", "t_n"))
-    if (p_n == 1).all() and (t_n == 1).all():
-        return [(k, 1) for k in solver(p, t, sim)]
-    if solver is traversal_matching:
-        return _folded_traversal(p, t, sim, p_n, t_n, rows["p_members"][lo:hi])
-    return _folded_weighted(p, t, sim, p_n, t_n, all_pairs=solver is weighted_cardinality_matching)
+def weighted_cardinality_matching(edges: Edges) -> list[Chosen]:
+    """Maximum weight among the matchings of maximum cardinality."""
+    return _flow(edges, True)
+
+
+def weighted_matching(edges: Edges) -> list[Chosen]:
+    """Maximum total weight; an edge is left out when that helps."""
+    return _flow(edges, False)
+
+
+def _components(p: np.ndarray, t: np.ndarray) -> list[np.ndarray]:
+    """Rows of each connected component of the edges, in order."""
+    _, pi = np.unique(p, return_inverse=True)
+    _, ti = np.unique(t, return_inverse=True)
+    ti = ti + len(pi)
+    label = {}
+
+    def find(x):
+        while label.setdefault(x, x) != x:
+            label[x] = label[label[x]]
+            x = label[x]
+        return x
+
+    for a, b in zip(pi.tolist(), ti.tolist()):
+        label[find(b)] = find(a)
+    root = np.array([find(a) for a in pi.tolist()])
+    order = np.argsort(root, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(root[order])) + 1)
 
 
 def _solve_sorted(groups: list[str], solver: Solver) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """mapInPandas function over rows sorted by ``groups``: solve group by group, keep the chosen rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tail = None
+        # batches of a group that goes on are kept apart until it ends
+        open_group: list[pd.DataFrame] = []
         for batch in batches:
-            if tail is not None and len(tail):
-                batch = pd.concat([tail, batch], ignore_index=True)
             if not len(batch):
                 continue
             codes = batch.groupby(groups, sort=False, dropna=False).ngroup().to_numpy()
+            if open_group and batch[groups].iloc[0].equals(open_group[-1][groups].iloc[-1]):
+                end = int(np.searchsorted(codes, 0, side="right"))
+                open_group.append(batch.iloc[:end])
+                batch, codes = batch.iloc[end:], codes[end:]
+                if not len(batch):
+                    continue
+            if open_group:
+                whole = pd.concat(open_group, ignore_index=True)
+                yield _solve_rows(whole, np.zeros(len(whole), dtype=np.int64), solver)
             cut = int(np.searchsorted(codes, codes[-1]))
-            tail = batch.iloc[cut:]
+            open_group = [batch.iloc[cut:]]
             if cut:
                 yield _solve_rows(batch.iloc[:cut], codes[:cut], solver)
-        if tail is not None and len(tail):
-            yield _solve_rows(tail, np.zeros(len(tail), dtype=np.int64), solver)
+        if open_group:
+            whole = pd.concat(open_group, ignore_index=True)
+            yield _solve_rows(whole, np.zeros(len(whole), dtype=np.int64), solver)
 
     return run
 
 
 def _solve_rows(rows: pd.DataFrame, codes: np.ndarray, solver: Solver) -> pd.DataFrame:
-    columns = {c: rows[c].to_numpy() for c in ("p_no", "t_no", "similarity", "p_n", "t_n", "p_members")}
+    columns = Edges(*(rows[c].to_numpy() for c in ("p_no", "t_no", "similarity", "p_n", "t_n", "p_members", "t_members")))
     starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-    keep: list[tuple[int, int]] = []
-    for lo, hi in zip(starts, np.r_[starts[1:], len(codes)], strict=True):
-        keep.extend((int(lo) + k, u) for k, u in _units(solver, columns, int(lo), int(hi)))
-    keep.sort()
-    chosen = rows.iloc[[k for k, _ in keep]].drop(columns="p_members")
-    return chosen.assign(units=np.array([u for _, u in keep], dtype=np.int64))
+    found: list[Chosen] = []
+    for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(codes)], strict=True):
+        for part in _components(columns.p[lo:hi], columns.t[lo:hi]):
+            own = part + lo
+            found += [(int(own[k]), *rest) for k, *rest in solver(columns.rows(own))]
+    found.sort(key=lambda x: x[0])
+    chosen = rows.iloc[[x[0] for x in found]].drop(columns=["p_members", "t_members"])
+    if found and found[0][2] is not None:
+        one = np.ones(len(found), dtype=np.int64)
+        chosen = chosen.assign(p_no=[x[2] for x in found], t_no=[x[3] for x in found], p_n=one, t_n=one)
+    return chosen.assign(units=np.array([x[1] for x in found], dtype=np.int64))
 
 
 def fold_copies(df: DataFrame, number: str, tag: str) -> DataFrame:
@@ -262,51 +227,50 @@ def fold_copies(df: DataFrame, number: str, tag: str) -> DataFrame:
     return df.groupBy(*same).agg(F.min(number).alias(number), F.count(F.lit(1)).alias(f"{tag}_n"))
 
 
-def match_edges(edges: DataFrame, keys: Sequence[str], solver: Solver, *, extra: Sequence[str] = (), predictions: DataFrame | None = None, slice_sec: float = 600.0) -> DataFrame:
+def match_edges(
+    edges: DataFrame, keys: Sequence[str], solver: Solver, *, extra: Sequence[str] = (), predictions: DataFrame | None = None,
+    targets: DataFrame | None = None, slice_sec: float = 600.0,
+) -> DataFrame:
     """Chosen edges of a matching per (keys, extra), with ``units``.
 
     ``edges``: keys, extra (for example a threshold), p_no, t_no, similarity, h_start, h_end (hull
     of everything the similarity of the pair looked at), and p_n, t_n when their ends are folded
     copies. Overlapping hulls share an island, and edges of different islands share no end, so
-    islands can be solved apart. ``predictions`` (the rows before folding) gives the ordered
-    matching the numbers of the copies.
+    islands can be solved apart. ``predictions`` and ``targets`` (the rows before folding) give the
+    ordered matching the numbers of the copies; its pairs are single rows.
     """
     keys, extra = list(keys), list(extra)
     base = [*keys, *extra]
+    ordered = solver is traversal_matching
     one = F.lit(1).cast("bigint")
     edges = edges.withColumns({c: one for c in ("p_n", "t_n") if c not in edges.columns})
-    degree = edges.withColumns(
-        {
-            "_dp": F.count(F.lit(1)).over(Window.partitionBy(*base, "p_no")),
-            "_dt": F.count(F.lit(1)).over(Window.partitionBy(*base, "t_no")),
-        }
-    )
+    made = materialize(edges, "edges")  # read by three branches, so the joins that made them run once
+    p_degree = made.groupBy(*base, "p_no").agg(F.count(F.lit(1)).alias("_dp"), F.min("t_no").alias("_first_t"))
+    t_degree = made.groupBy(*base, "t_no").agg(F.count(F.lit(1)).alias("_dt"), F.min("p_no").alias("_first_p"))
+    marked = made.join(p_degree, [*base, "p_no"]).join(t_degree, [*base, "t_no"])
     lone = (F.col("_dp") == 1) & (F.col("_dt") == 1)
-    # three branches read the edges below: written once, the joins that made them run once
-    marked = materialize(degree.withColumn("_lone", lone).select(*edges.columns, "_lone"), "edges")
+    if ordered:
+        lone = lone & (F.col("p_n") == 1) & (F.col("t_n") == 1)
+    marked = materialize(
+        marked.select(
+            *edges.columns, lone.alias("_lone"), (F.col("t_no") == F.col("_first_t")).alias("_p_lead"),
+            (F.col("p_no") == F.col("_first_p")).alias("_t_lead"),
+        ),
+        "edges",
+    )
     settled = marked.filter("_lone").select(*edges.columns, F.least("p_n", "t_n").alias("units"))
-    open_edges = marked.filter("NOT _lone").select(*edges.columns)
+    open_edges = marked.filter("NOT _lone").drop("_lone")
+    for tag, rows in (("p", predictions if ordered else None), ("t", targets if ordered else None)):
+        open_edges = _with_members(open_edges, rows, base, tag)
     islands = union_spans(
         open_edges.select(*base, F.col("h_start").alias("_is"), F.col("h_end").alias("_ie")),
         base, "_is", "_ie", slice_sec=slice_sec,
     )
-    grouped = contained_join(
-        islands, open_edges, base, outer_span=("_is", "_ie"), inner_span=("h_start", "h_end"), hot_pairs=None
-    ).select(*edges.columns, "_is")
-    number = edges.schema["p_no"].dataType
-    if predictions is not None and solver is traversal_matching:
-        same = [c for c in predictions.columns if c != "p_no"]
-        by = [c for c in base if c in predictions.columns]
-        # only items whose open edges have folded ends need the numbers of their copies
-        asked = predictions.join(open_edges.filter("p_n > 1").select(*by).distinct(), by, "left_semi")
-        copies = asked.groupBy(*same).agg(F.min("p_no").alias("p_no"), F.count(F.lit(1)).alias("_c"), F.collect_list("p_no").alias("p_members"))
-        grouped = grouped.join(copies.filter("_c > 1").select(*by, "p_no", "p_members"), [*by, "p_no"], "left")
-    else:
-        grouped = grouped.withColumn("p_members", F.lit(None).cast(T.ArrayType(number)))
+    grouped = contained_join(islands, open_edges, base, outer_span=("_is", "_ie"), inner_span=("h_start", "h_end"))
     group = [*base, "_is"]
     schema = T.StructType([*[edges.schema[c] for c in edges.columns], T.StructField("_is", T.DoubleType()), T.StructField("units", T.LongType())])
     solved = (
-        grouped.select(*edges.columns, "_is", "p_members")
+        grouped.select(*edges.columns, "_is", "p_members", "t_members")
         .repartition(*group)
         .sortWithinPartitions(*group, "p_no", F.desc("similarity"), "t_no")
         .mapInPandas(_solve_sorted(group, solver), schema)
@@ -315,7 +279,21 @@ def match_edges(edges: DataFrame, keys: Sequence[str], solver: Solver, *, extra:
     return settled.unionByName(solved)
 
 
-def expand_pairs(pairs: DataFrame, predictions: DataFrame, targets: DataFrame, keys: Sequence[str], *, extra: Sequence[str] = (), number_block: float = 1e12) -> DataFrame:
+def _with_members(edges: DataFrame, rows: DataFrame | None, base: Sequence[str], tag: str) -> DataFrame:
+    """``{tag}_members``: the numbers of the copies of a folded end, on the first edge of its class only."""
+    number, lead, members = f"{tag}_no", f"_{tag}_lead", f"{tag}_members"
+    if rows is None:
+        return edges.drop(lead).withColumn(members, F.lit(None).cast(T.ArrayType(edges.schema[number].dataType)))
+    same = [c for c in rows.columns if c != number]
+    by = [c for c in base if c in rows.columns]
+    # only items whose open edges have folded ends need the numbers of their copies
+    asked = rows.join(edges.filter(f"{tag}_n > 1").select(*by).distinct(), by, "left_semi")
+    copies = asked.groupBy(*same).agg(F.min(number).alias(number), F.count(F.lit(1)).alias("_c"), F.collect_list(number).alias("_own"))
+    found = copies.filter("_c > 1").select(*by, number, F.lit(True).alias(lead), F.col("_own").alias(members))
+    return edges.join(found, [*by, number, lead], "left").drop(lead)
+
+
+def expand_pairs(pairs: DataFrame, predictions: DataFrame, targets: DataFrame, keys: Sequence[str], *, extra: Sequence[str] = (), number_block: float = 10_000.0) -> DataFrame:
     """Row-level pairs from folded ones: the members of both sides meet rank by rank.
 
     ``pairs`` should be written already: it is looked at for folded rows, and read by two branches."""

@@ -188,8 +188,8 @@ def matched_error(pairs: DataFrame) -> DataFrame:
 def duration_fractions(ranges: DataFrame, predicted: DataFrame, reference: DataFrame, keys: Sequence[str], ids: Sequence[str], n_predictions: DataFrame) -> DataFrame:
     """Covered predicted and reference seconds inside the detect ranges over their total length,
     and predictions per minute. ``n_predictions``: one-row table with ``n_pred``."""
-    with_p = covered_seconds(ranges, predicted, keys, ids, disjoint_ranges=True, name="_p")
-    both = covered_seconds(with_p, reference, keys, ids, disjoint_ranges=True, name="_r")
+    with_p = covered_seconds(ranges, predicted, keys, ids, name="_p")
+    both = covered_seconds(with_p, reference, keys, ids, name="_r")
     length = F.col("end_sec") - F.col("start_sec")
     sums = both.agg(F.sum("_p").alias("_p"), F.sum("_r").alias("_r"), F.sum(length).alias("_all"))
     return one_row(sums, n_predictions).select(

@@ -5,8 +5,9 @@ compares all pairs of the key. Both sides are therefore exploded to the time buc
 joined on (key, bucket); a pair is emitted only in the first bucket both share, so nothing has to be
 de-duplicated. Buckets whose pairs are too many for one task are split by a two-dimensional salt: a
 left row goes to one row of the salt grid, a right row to one column, and every pair meets in exactly
-one cell. Finding such buckets costs one count per (key, bucket); inputs that the optimizer knows to
-be small skip it.
+one cell. Finding such buckets costs one map-side combined count per (key, bucket).
+
+Spans without a finite start and end, or that end before they start, meet nothing; see :func:`unplaceable`.
 """
 
 from __future__ import annotations
@@ -18,31 +19,28 @@ from pyspark.sql import functions as F
 
 # most comparisons one task should make for one bucket
 HOT_PAIRS = 100_000_000
-# estimated input size from which hot buckets are looked for
-SALT_FROM_BYTES = 32 * 1024 * 1024
+# longest span, in buckets: beyond it a bound is taken for an error
+MOST_BUCKETS = 1_000_000
 Span = tuple[str, str]
 
 
-def _bucketed(df: DataFrame, span: Span, bucket_sec: float, tag: str) -> DataFrame:
-    first = F.floor(F.col(span[0]) / bucket_sec).cast("bigint")
-    last = F.floor(F.col(span[1]) / bucket_sec).cast("bigint")
-    return df.withColumn(f"_{tag}first", first).withColumn("_bucket", F.explode(F.sequence(first, last)))
+def _placeable(start: Column, end: Column, bucket_sec: float) -> Column:
+    finite = F.abs(start).cast("double") < float("inf")
+    return F.coalesce(finite & (start <= end) & (end - start < MOST_BUCKETS * bucket_sec), F.lit(False))
 
 
-def _estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate; unknown sizes count as large."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except AttributeError:
-        return SALT_FROM_BYTES
+def unplaceable(df: DataFrame, span: Span, bucket_sec: float = 60.0) -> DataFrame:
+    """Rows whose span no join here places: bounds that are null, not finite, reversed or absurdly far apart."""
+    return df.filter(~_placeable(F.col(span[0]), F.col(span[1]), bucket_sec))
 
 
-def _needs_salt(left: DataFrame, right: DataFrame, hot_pairs: int | None) -> bool:
-    if hot_pairs is None:
-        return False
-    if hot_pairs != HOT_PAIRS:
-        return True
-    return max(_estimated_bytes(left), _estimated_bytes(right)) >= SALT_FROM_BYTES
+def _bucketed(df: DataFrame, span: Span, bucket_sec: float, tag: str) -> DataFrame:
+    start, end = F.col(span[0]), F.col(span[1])
+    first = F.floor(start / bucket_sec).cast("bigint")
+    last = F.floor(end / bucket_sec).cast("bigint")
+    # the guard is part of the expression, so that no plan expands a bad span before it is filtered
+    buckets = F.when(_placeable(start, end, bucket_sec), F.sequence(first, last))
+    return df.withColumn(f"_{tag}first", first).withColumn("_bucket", F.explode(buckets))
 
 
 def _grid(left: DataFrame, right: DataFrame, keys: list[str], hot_pairs: int) -> DataFrame:
@@ -82,22 +80,19 @@ def overlap_join(
     bucket_sec: float = 60.0,
     residual: Column | None = None,
     touching: bool = False,
-    hot_pairs: int | None = HOT_PAIRS,
+    hot_pairs: int = HOT_PAIRS,
 ) -> DataFrame:
     """Inner join of spans with positive overlap (``touching``: or a shared end point).
 
-    Column names of the two sides must differ except for ``keys``. ``hot_pairs=None`` skips the
-    salting pass where both sides are known to be thin (disjoint spans, for example).
+    Column names of the two sides must differ except for ``keys``.
     """
     keys = list(keys)
     lb = _bucketed(left, left_span, bucket_sec, "l")
     rb = _bucketed(right, right_span, bucket_sec, "r")
-    on = [*keys, "_bucket"]
-    if _needs_salt(left, right, hot_pairs):
-        grid = _grid(lb, rb, keys, hot_pairs)
-        lb = _salted(lb, grid, keys, "l", "r", left.columns)
-        rb = _salted(rb, grid, keys, "r", "l", right.columns)
-        on += ["_sl", "_sr"]
+    grid = _grid(lb, rb, keys, hot_pairs)
+    lb = _salted(lb, grid, keys, "l", "r", left.columns)
+    rb = _salted(rb, grid, keys, "r", "l", right.columns)
+    on = [*keys, "_bucket", "_sl", "_sr"]
     ls, le, rs, re = (F.col(c) for c in (*left_span, *right_span))
     meet = (ls <= re) & (rs <= le) if touching else (ls < re) & (rs < le)
     cond = meet & (F.col("_bucket") == F.greatest("_lfirst", "_rfirst"))
@@ -124,19 +119,17 @@ def contained_join(
     outer_span: Span,
     inner_span: Span,
     bucket_sec: float = 60.0,
-    hot_pairs: int | None = HOT_PAIRS,
+    hot_pairs: int = HOT_PAIRS,
 ) -> DataFrame:
     """Pairs whose inner span lies inside the outer span. The inner side needs one bucket only:
     the one of its start, which the outer span must touch."""
     keys = list(keys)
     ob = _bucketed(outer, outer_span, bucket_sec, "l")
     ib = inner.withColumn("_bucket", F.floor(F.col(inner_span[0]) / bucket_sec).cast("bigint"))
-    on = [*keys, "_bucket"]
-    if _needs_salt(outer, inner, hot_pairs):
-        grid = _grid(ob, ib, keys, hot_pairs)
-        ob = _salted(ob, grid, keys, "l", "r", outer.columns)
-        ib = _salted(ib, grid, keys, "r", "l", inner.columns)
-        on += ["_sl", "_sr"]
+    grid = _grid(ob, ib, keys, hot_pairs)
+    ob = _salted(ob, grid, keys, "l", "r", outer.columns)
+    ib = _salted(ib, grid, keys, "r", "l", inner.columns)
+    on = [*keys, "_bucket", "_sl", "_sr"]
     cond = (F.col(outer_span[0]) <= F.col(inner_span[0])) & (F.col(inner_span[1]) <= F.col(outer_span[1]))
     joined = ob.join(ib, on).filter(cond)
     return joined.select(*outer.columns, *[c for c in inner.columns if c not in keys])
@@ -152,7 +145,7 @@ def candidate_edges(
     prediction_span: Span = ("p_start", "p_end"),
     target_span: Span = ("t_start", "t_end"),
     bucket_sec: float = 60.0,
-    hot_pairs: int | None = HOT_PAIRS,
+    hot_pairs: int = HOT_PAIRS,
 ) -> DataFrame:
     """Prediction-target pairs with similarity at or above the threshold and above zero.
 

@@ -17,7 +17,17 @@ from . import windows as wn
 from .catalog_generation import CELLS, OPTIONS, WINDOW_SQL, labelled_videos
 from .catalog_intervals import PAIRS_SQL, evidence, keyed, pairs
 from .catalog_joins import EDGES_SQL, TILES_SQL, sides
-from .catalog_matching import KEYS, LONE_SQL, SAMPLE_SQL, lone_pairs, samples, scored_answers, scored_windows
+from .catalog_matching import (
+    HALF_SQL,
+    KEYS,
+    SAMPLE_SQL,
+    half_pairs,
+    matching_sql,
+    recursive,
+    samples,
+    scored_answers,
+    scored_windows,
+)
 from .registry import query
 
 
@@ -111,16 +121,15 @@ def rounded(df, cols, digits=6):
 
 @query(
     "agg_rates",
-    fx.with_sql(
-        "seg", EDGES_SQL, LONE_SQL,
-        "h AS (SELECT video_id, count(*) AS hits FROM lone GROUP BY video_id)",
+    recursive(
+        "seg", *HALF_SQL, "h AS (SELECT video_id, pairs AS hits FROM m)",
         "n AS (SELECT video_id, count(*) FILTER (side = 1) AS predictions, count(*) FILTER (side = 0) AS targets FROM seg GROUP BY video_id)",
         "t AS (SELECT video_id, coalesce(hits, 0) AS hits, predictions, targets FROM n LEFT JOIN h USING (video_id))",
     )
     + f"SELECT video_id, hits, predictions, targets, {RATES_SQL} FROM t",
 )
 def _(spark, sf):
-    hits = lone_pairs(spark, sf).groupBy("video_id").agg(F.count(F.lit(1)).alias("hits"))
+    hits = half_pairs(spark, sf).groupBy("video_id").agg(F.count(F.lit(1)).alias("hits"))
     n = fx.seg(spark, sf).groupBy("video_id").agg(
         F.count_if(F.col("side") == 1).alias("predictions"), F.count_if(F.col("side") == 0).alias("targets")
     )
@@ -139,7 +148,16 @@ def _(spark, sf):
     return rows.withColumns({"share_low": F.round(low, 6), "share_high": F.round(high, 6)})
 
 
-@query("agg_threshold_sweep")
+@query(
+    "agg_threshold_sweep",
+    recursive(
+        "seg", "videos", EDGES_SQL, "th AS (SELECT unnest([0.3::DOUBLE, 0.5::DOUBLE, 0.7::DOUBLE]) AS threshold)",
+        "near AS (SELECT concat(video_id, ':', threshold) AS k, p_no, t_no, similarity, threshold FROM edges JOIN th ON similarity >= threshold)", matching_sql("m", "near", "k"),
+        "h AS (SELECT threshold, CAST(sum(pairs) AS BIGINT) AS hits FROM m JOIN (SELECT DISTINCT k, threshold FROM near) USING (k) GROUP BY threshold)",
+        "t AS (SELECT threshold, coalesce(hits, 0) AS hits, (SELECT count(*) FROM seg WHERE side = 1) AS predictions, (SELECT count(*) FROM seg WHERE side = 0) AS targets FROM th LEFT JOIN h USING (threshold))",
+    )
+    + f"SELECT threshold, hits, predictions, targets, {RATES_SQL} FROM t",
+)
 def _(spark, sf):
     p, t = sides(spark, sf)
     p, t = p.drop("p_kind"), t.drop("t_kind")
@@ -185,8 +203,8 @@ def _(spark, sf):
 
 @query(
     "agg_all_vs_complete",
-    fx.with_sql(
-        "seg", "videos", EDGES_SQL, LONE_SQL, "h AS (SELECT video_id, count(*) AS hits FROM lone GROUP BY video_id)",
+    recursive(
+        "seg", "videos", *HALF_SQL, "h AS (SELECT video_id, pairs AS hits FROM m)",
         "n AS (SELECT video_id, count(*) FILTER (side = 1) AS predictions, count(*) FILTER (side = 0) AS targets FROM seg GROUP BY video_id)",
         """i AS (SELECT video_id, status <> 'review' AS complete, CASE WHEN status <> 'review' THEN coalesce(hits, 0) ELSE 0 END AS hits,
   CASE WHEN status <> 'review' THEN coalesce(predictions, 0) ELSE 0 END AS predictions, coalesce(targets, 0) AS targets FROM videos LEFT JOIN n USING (video_id) LEFT JOIN h USING (video_id))""",
@@ -196,7 +214,7 @@ def _(spark, sf):
     + f"SELECT scope, videos, CAST(hits AS BIGINT) AS hits, CAST(predictions AS BIGINT) AS predictions, CAST(targets AS BIGINT) AS targets, round((SELECT avg(complete::INT) FROM i), 6) AS completion_rate, {RATES_SQL} FROM t",
 )
 def _(spark, sf):
-    hits = lone_pairs(spark, sf).groupBy("video_id").agg(F.count(F.lit(1)).alias("hits"))
+    hits = half_pairs(spark, sf).groupBy("video_id").agg(F.count(F.lit(1)).alias("hits"))
     n = fx.seg(spark, sf).groupBy("video_id").agg(
         F.count_if(F.col("side") == 1).alias("predictions"), F.count_if(F.col("side") == 0).alias("targets")
     )

@@ -51,7 +51,7 @@ FROM tiles t LEFT JOIN cells c ON c.video_id = t.video_id AND c.c >= t.core_star
 def _(spark, sf):
     grid = tl.tiles(fx.videos(spark, sf).select("video_id", "duration_sec"), 20.0, 15.0)
     out = ivs.covered_seconds(
-        grid, fx.seg(spark, sf), ["video_id"], ["video_id", "tile_no"], range_span=("core_start", "core_end"), disjoint_ranges=True
+        grid, fx.seg(spark, sf), ["video_id"], ["video_id", "tile_no"], range_span=("core_start", "core_end")
     )
     rest = F.col("core_end") - F.col("core_start") - F.col("covered_sec")
     return out.select("video_id", "tile_no", "covered_sec", (rest <= ivs.TOLERANCE).alias("full_cover"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.intervals import iou
 from ..operators import asof, editing, rangejoin, selection, store, telemetry  # noqa: F401
+from ..operators.intervalsets import union_spans
 from ..operators.tiles import tiles
 from ..sources.subtitles import pair_files
 from . import fixtures as fx
@@ -195,8 +196,10 @@ def _(spark, sf):
     log = fx.timeline(spark, sf)
     notes = log.filter("kind = 'error'").select("job", "pos", F.col("t").alias("n_start"), F.col("t").alias("n_end"))
     ranges = log.filter("kind = 'purchase'").select("job", F.col("t").alias("c_start"), (F.col("t") + F.col("value") * 600).alias("c_end"))
+    # lying in any range is lying in their union, which holds no overlapping ranges; single points are no spans to unite
+    united = union_spans(ranges, ["job"], "c_start", "c_end", slice_sec=86400.0).unionByName(ranges.filter("c_start = c_end").distinct())
     hits = rangejoin.contained_join(
-        ranges, notes, ["job"], outer_span=("c_start", "c_end"), inner_span=("n_start", "n_end"), bucket_sec=3600.0
+        united, notes, ["job"], outer_span=("c_start", "c_end"), inner_span=("n_start", "n_end"), bucket_sec=3600.0
     ).select("job", "pos").distinct()
     return notes.select("job", "pos").join(hits, ["job", "pos"], "left_semi")
 
@@ -208,8 +211,6 @@ def _(spark, sf):
   AND e.side = 0 AND e.kind = 'positive' AND i.end_sec > e.start_sec AND i.start_sec < e.end_sec)""",
 )
 def _(spark, sf):
-    from ..operators.intervalsets import union_spans
-
     seg = fx.seg(spark, sf)
     items = seg.filter("side = 1").select("video_id", "seg_no", "start_sec", "end_sec")
     # overlapping any cited span is overlapping their union, which is disjoint per observation

@@ -20,29 +20,69 @@ from .registry import query
 KEYS = ["video_id"]
 
 
-def pair_columns(pairs):
-    return pairs.select("video_id", "p_no", "t_no", F.round("similarity", 6).alias("similarity"))
-
-
 def spans(spark, sf):
     """(predictions, targets) without their kinds."""
     p, t = sides(spark, sf)
     return p.drop("p_kind"), t.drop("t_kind")
 
 
-@query("mt_max_cardinality")
+def matching_sql(name: str, edges: str, key: str = "video_id") -> str:
+    """CTEs that try every matching of the few spans of a key, prediction by prediction, with a mask of
+    used targets. ``{name}``: per key the greatest row of used predictions (as bits, the first
+    highest), which is the one a traversal in order keeps, their number, the highest weight with that many pairs, and the
+    highest weight at all. Needs WITH RECURSIVE."""
+    return f"""{name}_p AS (SELECT {key}, p_no, row_number() OVER (PARTITION BY {key} ORDER BY p_no) AS i FROM (SELECT DISTINCT {key}, p_no FROM {edges})),
+{name}_t AS (SELECT {key}, t_no, 1::BIGINT << (row_number() OVER (PARTITION BY {key} ORDER BY t_no) - 1)::INT AS bit FROM (SELECT DISTINCT {key}, t_no FROM {edges})),
+{name}_c AS (SELECT {key}, i, bit, similarity FROM {edges} JOIN {name}_p USING ({key}, p_no) JOIN {name}_t USING ({key}, t_no)
+  UNION ALL SELECT {key}, i, 0, 0 FROM {name}_p),
+{name}_s AS (SELECT DISTINCT {key}, 0::BIGINT AS i, 0::BIGINT AS mask, 0::BIGINT AS used, 0::DOUBLE AS w FROM {name}_p
+  UNION ALL SELECT s.{key}, c.i, s.mask | c.bit, s.used * 2 + (c.bit > 0)::BIGINT, s.w + c.similarity
+  FROM {name}_s s JOIN {name}_c c ON c.{key} = s.{key} AND c.i = s.i + 1 AND (s.mask & c.bit) = 0),
+{name}_n AS (SELECT {key}, max(i) AS n FROM {name}_p GROUP BY {key}),
+{name}_e AS (SELECT s.{key}, n, used, w, max(used) OVER (PARTITION BY s.{key}) AS top FROM {name}_s s JOIN {name}_n m ON m.{key} = s.{key} AND i = n),
+{name} AS (SELECT {key}, n, top, bit_count(top)::BIGINT AS pairs, max(w) FILTER (bit_count(used) = bit_count(top)) AS weight, max(w) AS free_weight
+  FROM {name}_e GROUP BY {key}, n, top),
+{name}_used AS (SELECT {key}, p_no, pairs FROM {name} JOIN {name}_p USING ({key}) WHERE (top >> (n - i)::INT) & 1 = 1)"""
+
+
+def recursive(*parts: str) -> str:
+    return fx.with_sql(*parts).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def near_sql(name: str, where: str) -> str:
+    return f"{name} AS (SELECT video_id, p_no, t_no, similarity FROM edges WHERE {where})"
+
+
+@query(
+    "mt_max_cardinality",
+    recursive("seg", EDGES_SQL, near_sql("near", "similarity >= 0.3"), matching_sql("m", "near")) + "SELECT video_id, p_no, pairs FROM m_used",
+)
 def _(spark, sf):
-    return pair_columns(sg.match_spans(*spans(spark, sf), KEYS, mt.traversal_matching, 0.3))
+    """The predictions that a traversal in order matches, and how many they are."""
+    pairs = materialize(sg.match_spans(*spans(spark, sf), KEYS, mt.traversal_matching, 0.3).select("video_id", "p_no"), "pairs")
+    return pairs.join(pairs.groupBy("video_id").agg(F.count(F.lit(1)).alias("pairs")), "video_id")
 
 
-@query("mt_max_weight_cardinality")
+def weights(pairs):
+    return pairs.groupBy("video_id").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.sum("similarity"), 6).alias("weight"))
+
+
+@query(
+    "mt_max_weight_cardinality",
+    recursive("seg", EDGES_SQL, near_sql("near", "similarity >= 0.3"), matching_sql("m", "near"))
+    + "SELECT video_id, pairs, round(weight, 6) AS weight FROM m",
+)
 def _(spark, sf):
-    return pair_columns(sg.match_spans(*spans(spark, sf), KEYS, mt.weighted_cardinality_matching, 0.3))
+    return weights(sg.match_spans(*spans(spark, sf), KEYS, mt.weighted_cardinality_matching, 0.3))
 
 
-@query("mt_max_weight")
+@query(
+    "mt_max_weight",
+    recursive("seg", EDGES_SQL, near_sql("near", "similarity > 0"), matching_sql("m", "near"))
+    + "SELECT video_id, round(free_weight, 6) AS weight FROM m",
+)
 def _(spark, sf):
-    return pair_columns(sg.match_spans(*spans(spark, sf), KEYS, mt.weighted_matching, 0.0))
+    return weights(sg.match_spans(*spans(spark, sf), KEYS, mt.weighted_matching, 0.0)).drop("pairs")
 
 
 def required_and_optional(spark, sf):
@@ -52,15 +92,29 @@ def required_and_optional(spark, sf):
     return p.drop("p_kind"), pick("positive"), pick("uncertain")
 
 
-@query("mt_two_stage")
+TWO_STAGE_SQL = recursive(
+    "seg", EDGES_SQL, near_sql("req", "t_kind = 'positive' AND similarity >= 0.3"), matching_sql("m", "req"),
+    near_sql("opt", "t_kind = 'uncertain' AND similarity >= 0.3 AND NOT EXISTS (SELECT 1 FROM m_used u WHERE u.video_id = edges.video_id AND u.p_no = edges.p_no)"),
+    matching_sql("o", "opt"),
+)
+
+
+@query(
+    "mt_two_stage",
+    TWO_STAGE_SQL + "SELECT video_id, p_no, 'required' AS stage FROM m_used UNION ALL SELECT video_id, p_no, 'optional' FROM o_used",
+)
 def _(spark, sf):
     required, optional = sg.two_stage(*required_and_optional(spark, sf), KEYS, 0.3)
-    return pair_columns(required).withColumn("stage", F.lit("required")).unionByName(
-        pair_columns(optional).withColumn("stage", F.lit("optional"))
-    )
+    mark = lambda pairs, stage: pairs.select("video_id", "p_no", F.lit(stage).alias("stage"))
+    return mark(required, "required").unionByName(mark(optional, "optional"))
 
 
-@query("mt_duplicates")
+@query(
+    "mt_duplicates",
+    TWO_STAGE_SQL
+    + """SELECT DISTINCT video_id, p_no FROM edges WHERE t_kind IN ('positive', 'uncertain') AND similarity >= 0.3
+EXCEPT (SELECT video_id, p_no FROM m_used UNION ALL SELECT video_id, p_no FROM o_used)""",
+)
 def _(spark, sf):
     p, required, optional = required_and_optional(spark, sf)
     first, second = sg.two_stage(p, required, optional, KEYS, 0.3)
@@ -69,33 +123,29 @@ def _(spark, sf):
     return mt.duplicates(p, both, pairs, KEYS).select("video_id", "p_no")
 
 
-LONE_SQL = """lone AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY video_id, p_no) AS dp, count(*) OVER (PARTITION BY video_id, t_no) AS dt
-  FROM edges WHERE similarity >= 0.5) WHERE dp = 1 AND dt = 1)"""
-
+HALF_SQL = [EDGES_SQL, near_sql("near", "similarity >= 0.5"), matching_sql("m", "near")]
 
-def lone_pairs(spark, sf, threshold=0.5):
-    """Edges whose two ends have no other edge: final in every kind of matching.
 
-    Copies always have rivals, so folding them first loses none of these edges."""
-    found = sg.folded_edges(*spans(spark, sf), KEYS, threshold)
-    p = found.groupBy("video_id", "p_no").agg(F.count(F.lit(1)).alias("dp")).filter("dp = 1").drop("dp")
-    t = found.groupBy("video_id", "t_no").agg(F.count(F.lit(1)).alias("dt")).filter("dt = 1").drop("dt")
-    alone = found.filter("p_n = 1 AND t_n = 1")
-    return alone.join(p, ["video_id", "p_no"], "left_semi").join(t, ["video_id", "t_no"], "left_semi")
+def half_pairs(spark, sf):
+    """Pairs of the ordered matching at IoU 0.5."""
+    return materialize(sg.match_spans(*spans(spark, sf), KEYS, mt.traversal_matching, 0.5).select("video_id", "p_no", "t_no"), "pairs")
 
 
 @query(
     "mt_unmatched",
-    fx.with_sql("seg", EDGES_SQL, LONE_SQL)
-    + """SELECT video_id, seg_no AS no, 'prediction' AS side FROM seg s WHERE side = 1 AND NOT EXISTS (SELECT 1 FROM lone l WHERE l.video_id = s.video_id AND l.p_no = s.seg_no)
-UNION ALL SELECT video_id, seg_no, 'target' FROM seg s WHERE side = 0 AND NOT EXISTS (SELECT 1 FROM lone l WHERE l.video_id = s.video_id AND l.t_no = s.seg_no)""",
+    recursive("seg", *HALF_SQL)
+    + """SELECT video_id, CAST(seg_no AS VARCHAR) AS missed, 'prediction' AS side FROM seg s WHERE side = 1 AND NOT EXISTS (SELECT 1 FROM m_used u WHERE u.video_id = s.video_id AND u.p_no = s.seg_no)
+UNION ALL SELECT video_id, CAST(n - coalesce(pairs, 0) AS VARCHAR), 'targets' FROM (SELECT video_id, count(*) AS n FROM seg WHERE side = 0 GROUP BY video_id) t LEFT JOIN (SELECT video_id, pairs FROM m) USING (video_id)
+WHERE n > coalesce(pairs, 0)""",
 )
 def _(spark, sf):
+    """Unmatched predictions by number; of unmatched targets how many, as equal matchings leave different ones."""
     p, t = sides(spark, sf)
-    pairs = lone_pairs(spark, sf)
-    return mt.unmatched(p, pairs, KEYS, "p_no").select("video_id", F.col("p_no").alias("no"), F.lit("prediction").alias("side")).unionByName(
-        mt.unmatched(t, pairs, KEYS, "t_no").select("video_id", F.col("t_no").alias("no"), F.lit("target").alias("side"))
-    )
+    pairs = half_pairs(spark, sf)
+    left = mt.unmatched(t, pairs, KEYS, "t_no").groupBy("video_id").agg(F.count(F.lit(1)).cast("string").alias("missed"))
+    return mt.unmatched(p, pairs, KEYS, "p_no").select(
+        "video_id", F.col("p_no").cast("string").alias("missed"), F.lit("prediction").alias("side")
+    ).unionByName(left.withColumn("side", F.lit("targets")))
 
 
 def video_answers(spark, sf):

@@ -77,7 +77,7 @@ def match_spans(predictions: DataFrame, targets: DataFrame, keys: Sequence[str],
     extra = list(extra)
     if thresholds:
         edges, extra = mt.at_thresholds(edges, thresholds), ["threshold", *extra]
-    pairs = mt.match_edges(slim(edges, keys, *extra, *keep), keys, solver, extra=extra, predictions=predictions)
+    pairs = mt.match_edges(slim(edges, keys, *extra, *keep), keys, solver, extra=extra, predictions=predictions, targets=targets)
     return mt.expand_pairs(materialize(pairs, "pairs"), predictions, targets, keys, extra=extra)
 
 
@@ -195,7 +195,7 @@ def score_events(items: DataFrame, predictions: DataFrame, targets: DataFrame, o
         slim(mt.at_thresholds(folded_edges(spans, targets, keys, low, event_edges), thresholds), base, "role", "decisive"), "event_edges"
     )
     role_keys = ["threshold", "role"]
-    chosen = materialize(mt.match_edges(edges, keys, mt.traversal_matching, extra=role_keys, predictions=spans), "event_pairs")
+    chosen = materialize(mt.match_edges(edges, keys, mt.traversal_matching, extra=role_keys, predictions=spans, targets=targets), "event_pairs")
     # totals need units only; single rows are needed to tell which predictions are left over
     first = mt.expand_pairs(chosen.filter("role = 'required'"), spans.filter("role = 'required'"), targets, keys, extra=role_keys)
     required = materialize(first.select(*base, "p_no"), "required_pairs")
@@ -206,7 +206,7 @@ def score_events(items: DataFrame, predictions: DataFrame, targets: DataFrame, o
     spare_targets = optional.select("*", at_each)
     spare = folded_edges(left_over, spare_targets, base, low, event_edges).filter(F.col("similarity") >= F.col("threshold"))
     spare = materialize(slim(spare, base), "optional_edges")
-    spare_pairs = materialize(mt.match_edges(spare, base, mt.traversal_matching, predictions=left_over), "optional_pairs")
+    spare_pairs = materialize(mt.match_edges(spare, base, mt.traversal_matching, predictions=left_over, targets=spare_targets), "optional_pairs")
     second = mt.expand_pairs(spare_pairs, left_over, spare_targets, base).select(*base, "p_no")
     # unmatched after both stages and next to some target
     near_required = mt.duplicates(mine, edges.filter("role = 'required'"), required.unionByName(second), keys, extra=["threshold"])

@@ -231,5 +231,5 @@ def focus_windows(windows: DataFrame, regions: DataFrame) -> DataFrame:
         "video_id", F.col("start_sec").alias("r_start_sec"), F.col("end_sec").alias("r_end_sec")
     )
     return overlap_semi(
-        windows, right, ["video_id"], ["video_id", "tile_no"], left_span=("core_start", "core_end"), hot_pairs=None
+        windows, right, ["video_id"], ["video_id", "tile_no"], left_span=("core_start", "core_end")
     )
