@@ -31,7 +31,7 @@ HEADLINE = (
     "agg_review_queue_delta",
     "smp_focus_stratified",
     "se_vector",
-    "ed_replay",
+    "ed_split",
     "st_metric_merge",
     "st_stagnation",
 )

@@ -1,4 +1,4 @@
-"""Highlight edits as table operations, and the replay of command logs.
+"""Highlight edits as table operations.
 
 Bulk edits take a command table (job_id, command_no, ...) and a highlight table. Each command is
 all or nothing: one bad target rejects it.
@@ -6,20 +6,17 @@ all or nothing: one bad target rejects it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.intervals import MIN_CLIP_SEC, clip_edit_error
+from ..functions.intervals import clip_edit_error
 from ..functions.scalars import truncate
 from .ordered import sliced_rank, time_slice
 
 TITLE_LENGTH = 120
 REASON_LENGTH = 300
-HISTORY_LENGTH = 20
 # Suffixes of split titles and the separators of merged texts.
 FIRST_PART, SECOND_PART = "（上）", "（下）"
 TITLE_SEPARATOR, REASON_SEPARATOR = " / ", "；"
@@ -98,7 +95,7 @@ def _suffixed(text, suffix: str) -> Column:
 
 def split_highlights(highlights: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(highlights after splits, rejected commands). ``commands``: job_id, highlight_id, split_sec,
-    one per highlight. The new child takes the first free id of its family."""
+    one per highlight. The new children of a family (one base id) take its free ids in order of their parents."""
     key = ["job_id", "highlight_id"]
     both = highlights.join(commands, key, "left")
     bad = F.coalesce(
@@ -110,6 +107,7 @@ def split_highlights(highlights: DataFrame, commands: DataFrame) -> tuple[DataFr
     # ids already used in the family of a split parent: base, base_2, base_3, ...
     base = F.concat(F.left("highlight_id", F.lit(68)), F.lit(CHILD_SUFFIX))
     parents = both.filter("_go").select("job_id", F.col("highlight_id").alias("parent_id"), base.alias("_base"))
+    parents = parents.withColumn("_turn", F.row_number().over(Window.partitionBy("job_id", "_base").orderBy("parent_id")))
     number = F.when(F.col("_id") == F.col("_base"), F.lit(1)).otherwise(
         F.expr("try_cast(substring(_id, length(left(_base, 74)) + 2) AS int)")
     )
@@ -120,9 +118,8 @@ def split_highlights(highlights: DataFrame, commands: DataFrame) -> tuple[DataFr
         .withColumn("_n", number).filter("_n IS NOT NULL")
         .groupBy("job_id", "parent_id").agg(F.array_sort(F.collect_set("_n")).alias("_used"))
     )
-    free = F.coalesce(
-        F.array_min(F.array_except(F.sequence(F.lit(1), F.size("_used") + 1), F.col("_used"))), F.lit(1)
-    )
+    used = F.coalesce("_used", F.array().cast("array<int>"))
+    free = F.get(F.array_except(F.sequence(F.lit(1), F.size(used) + F.col("_turn")), used), F.col("_turn") - 1)
     ids = parents.join(taken, ["job_id", "parent_id"], "left").select(
         "job_id", F.col("parent_id").alias("highlight_id"),
         F.when(free == 1, F.col("_base")).otherwise(F.concat_ws("_", F.left("_base", F.lit(74)), free.cast("string"))).alias("_child"),
@@ -284,173 +281,8 @@ def upsert_candidates(current: DataFrame, proposed: DataFrame, content: Sequence
     )
 
 
-# --- replay of ordered command logs ------------------------------------------------------------
-
-def _schema(**fields: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
-
-
-_LONG, _TEXT, _NUMBER = T.LongType(), T.StringType(), T.DoubleType()
-COMMAND = _schema(
-    job_id=_LONG, revision=_LONG, operation=_TEXT, highlight_ids=T.ArrayType(_TEXT), delta_sec=_NUMBER,
-    start_sec=_NUMBER, end_sec=_NUMBER, split_sec=_NUMBER, text=_TEXT, duration_sec=_NUMBER,
-)
-HIGHLIGHT = _schema(
-    job_id=_LONG, highlight_id=_TEXT, start_sec=_NUMBER, end_sec=_NUMBER, score=_NUMBER, highlight_type=_TEXT,
-    description=_TEXT, reason=_TEXT, clip_url=_TEXT, review_status=_TEXT,
-)
-REPLAYED = T.StructType([*HIGHLIGHT.fields, T.StructField("revision", T.LongType())])
-
-
-def _range_ok(start: float, end: float, duration: float) -> bool:
-    return start >= 0 and end <= duration and end - start >= MIN_CLIP_SEC
-
-
-def apply_command(rows: list[dict], command: dict, duration: float) -> list[dict] | None:
-    """Highlights after one command; None when the command is rejected as a whole."""
-    ids = list(command["highlight_ids"] if command["highlight_ids"] is not None else [])
-    chosen = {r["highlight_id"]: dict(r) for r in rows if r["highlight_id"] in ids}
-    if not ids or len(chosen) != len(ids):
-        return None
-    op, number = command["operation"], _numbers(command)
-    if op == "delete":
-        return [r for r in rows if r["highlight_id"] not in chosen]
-    if op in ("move_start", "move_end", "set_range"):
-        for r in chosen.values():
-            start, end = r["start_sec"], r["end_sec"]
-            if op == "move_start":
-                start = max(0.0, start + (number["delta_sec"] or 0.0))
-            elif op == "move_end":
-                end = min(duration, end + (number["delta_sec"] or 0.0))
-            else:
-                start = start if number["start_sec"] is None else number["start_sec"]
-                end = end if number["end_sec"] is None else number["end_sec"]
-            if not _range_ok(start, end, duration):
-                return None
-            r.update(start_sec=round(start, 3), end_sec=round(end, 3), review_status="revised")
-        return [chosen.get(r["highlight_id"], r) for r in rows]
-    text = (command["text"] or "").strip()
-    if op in ("rename", "update_reason"):
-        column, length = ("description", TITLE_LENGTH) if op == "rename" else ("reason", REASON_LENGTH)
-        chosen[ids[0]].update({column: text[:length], "review_status": "revised"})
-        return [chosen.get(r["highlight_id"], r) for r in rows]
-    if op == "split":
-        return _split(rows, chosen[ids[0]], number["split_sec"] or 0.0, duration)
-    if op == "merge":
-        return _merge(rows, list(chosen.values()), text, duration)
-    return None
-
-
-def _numbers(command: dict) -> dict:
-    names = ("delta_sec", "start_sec", "end_sec", "split_sec")
-    return {n: None if command[n] is None or command[n] != command[n] else float(command[n]) for n in names}
-
-
-def _split(rows: list[dict], target: dict, at: float, duration: float) -> list[dict] | None:
-    if not (_range_ok(target["start_sec"], at, duration) and _range_ok(at, target["end_sec"], duration)):
-        return None
-    used = {r["highlight_id"] for r in rows}
-    base = target["highlight_id"][:68] + CHILD_SUFFIX
-    child = next(c for c in (base if n == 1 else f"{base[:74]}_{n}" for n in range(1, len(used) + 2)) if c not in used)
-    title = target["description"]
-    left = {**target, "end_sec": round(at, 3), "description": title[: TITLE_LENGTH - len(FIRST_PART)] + FIRST_PART}
-    right = {**target, "highlight_id": child, "start_sec": round(at, 3), "description": title[: TITLE_LENGTH - len(SECOND_PART)] + SECOND_PART}
-    left["review_status"] = right["review_status"] = "revised"
-    out = []
-    for r in rows:
-        out.extend([left, right] if r["highlight_id"] == target["highlight_id"] else [r])
-    return out
-
-
-def _merge(rows: list[dict], targets: list[dict], title: str, duration: float) -> list[dict] | None:
-    when = lambda r: (r["start_sec"], r["end_sec"])
-    wanted = {r["highlight_id"] for r in targets}
-    places = [i for i, r in enumerate(sorted(rows, key=when)) if r["highlight_id"] in wanted]
-    if places[-1] - places[0] + 1 != len(places):
-        return None
-    parts = sorted(targets, key=when)
-    start, end = parts[0]["start_sec"], max(r["end_sec"] for r in parts)
-    if not _range_ok(start, end, duration):
-        return None
-    best = max(parts, key=lambda r: r["score"])
-    joined = TITLE_SEPARATOR.join(dict.fromkeys(r["description"] for r in parts))
-    merged = {
-        **parts[0], "start_sec": round(start, 3), "end_sec": round(end, 3), "score": best["score"],
-        "highlight_type": best["highlight_type"], "description": (title or joined).strip()[:TITLE_LENGTH],
-        "reason": REASON_SEPARATOR.join(dict.fromkeys(r["reason"] for r in parts))[:REASON_LENGTH],
-        "review_status": "revised",
-    }
-    first = next(i for i, r in enumerate(rows) if r["highlight_id"] in wanted)
-    rest = [r for r in rows if r["highlight_id"] not in wanted]
-    return [*rest[:first], merged, *rest[first:]]
-
-
-class JobState:
-    """Highlights, revision and the last results of one job."""
-
-    def __init__(self, rows: list[dict], revision: int = 0, history: list[list[dict]] | None = None):
-        self.rows, self.revision, self.history = rows, revision, history or []
-
-    def step(self, command: dict) -> bool:
-        """Apply a command that expects the current revision; stale and invalid ones change nothing."""
-        if int(command["revision"]) != self.revision:
-            return False
-        if command["operation"] == "undo":
-            if not self.history:
-                return False
-            self.rows = self.history.pop()
-        else:
-            after = apply_command(self.rows, command, float(command["duration_sec"]))
-            if after is None:
-                return False
-            before = {r["highlight_id"]: (r["start_sec"], r["end_sec"]) for r in self.rows}
-            after = [r if before.get(r["highlight_id"]) == (r["start_sec"], r["end_sec"]) else {**r, "clip_url": ""} for r in after]
-            self.history = [*self.history, self.rows][-HISTORY_LENGTH:]
-            self.rows = after
-        self.revision += 1
-        return True
-
-
-def replay(highlights: DataFrame, commands: DataFrame) -> DataFrame:
-    """Final highlights per job after its ordered command log, with the reached revision.
-
-    Initial rows and commands of a job meet in one sorted stream (rows first, then commands in
-    command_no order); the task holds one job's highlights and its last 20 results, never the log."""
-    rows = highlights.select(*HIGHLIGHT.names).withColumns({"_pos": F.lit(-1).cast("bigint")})
-    log = commands.select(*COMMAND.names, F.col("command_no").cast("bigint").alias("_pos"))
-    extra = [c for c in COMMAND.names if c not in HIGHLIGHT.names]
-    both = rows.unionByName(log, allowMissingColumns=True).repartition("job_id").sortWithinPartitions(
-        "job_id", "_pos", "start_sec", "end_sec", "highlight_id"
-    )
-    names = [*HIGHLIGHT.names, *extra, "_pos"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        job, state = None, None
-        done: list[dict] = []
-        for batch in batches:
-            for record in batch.to_dict("records"):
-                record = {k: None if isinstance(v, float) and v != v else v for k, v in record.items()}
-                if record["job_id"] != job:
-                    if state is not None:
-                        done.extend({**r, "revision": state.revision} for r in state.rows)
-                    job, state = record["job_id"], JobState([])
-                if record["_pos"] < 0:
-                    state.rows.append({k: record[k] for k in HIGHLIGHT.names})
-                else:
-                    state.step(record)
-            if done:
-                yield pd.DataFrame(done, columns=REPLAYED.names)
-                done = []
-        if state is not None and state.rows:
-            yield pd.DataFrame([{**r, "revision": state.revision} for r in state.rows], columns=REPLAYED.names)
-
-    return both.select(*names).mapInPandas(run, REPLAYED)
-
-
 def latest_history(turns: DataFrame, keep: int = 5) -> DataFrame:
     """The last turns per job (bounded per-group top-k, cut before the shuffle)."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("job_id").orderBy(F.col("pos").desc())
     return turns.withColumn("recency", F.row_number().over(w)).filter(F.col("recency") <= keep)
 

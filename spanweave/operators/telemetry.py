@@ -134,12 +134,14 @@ def attempt_status(items: DataFrame, attempts: DataFrame, results: DataFrame, ke
 
 
 def budget_prefix(rows: DataFrame, keys: Sequence[str], order: str, size: str, budget: float, *, block: float = STEP_BLOCK) -> DataFrame:
-    """Greedy prefix of ordered materials that fits the budget, with ``running``; rows that do not
-    fit are left out, and ``overflow`` marks keys whose first row alone is too big."""
+    """``running`` size of ordered materials, ``fits`` for the greedy prefix within the budget, and
+    ``overflow`` for a first row that alone is too big (the request is to be refused)."""
     running = sliced_running(
-        rows, list(keys), [F.col(order)], time_slice(order, block), sums={"running": F.col(size).cast("bigint")}
+        rows, list(keys), [F.col(order)], time_slice(order, block),
+        sums={"running": F.col(size).cast("bigint"), "_no": F.lit(1).cast("bigint")},
     )
-    return running.withColumn("fits", F.col("running") <= budget)
+    fits = F.col("running") <= budget
+    return running.withColumns({"fits": fits, "overflow": ~fits & (F.col("_no") == 1)}).drop("_no")
 
 
 def trace_counts(trace: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -159,27 +159,6 @@ def _(spark, sf):
     )
 
 
-OPERATIONS = ("delete", "move_start", "move_end", "set_range", "rename", "split", "undo", "merge")
-
-
-def edit_log(spark, sf):
-    """Initial highlights of every order and one command per line item, in row order."""
-    h = highlights(spark, sf)
-    op = F.element_at(F.array(*[F.lit(o) for o in OPERATIONS]), (F.col("part") % len(OPERATIONS) + 1).cast("int"))
-    commands = h.select(
-        "job_id", (F.col("line") - 1).cast("bigint").alias("revision"), op.alias("operation"), F.array("highlight_id").alias("highlight_ids"),
-        (F.col("supp") % 9 - 4).cast("double").alias("delta_sec"), (F.col("supp") % 50).cast("double").alias("start_sec"),
-        F.lit(None).cast("double").alias("end_sec"), (F.col("start_sec") + 3).alias("split_sec"), F.lit("title").alias("text"), "duration_sec",
-        F.col("highlight_id").cast("bigint").alias("command_no"),
-    )
-    return h, commands
-
-
-@query("ed_replay")
-def _(spark, sf):
-    return ed.replay(*edit_log(spark, sf))
-
-
 @query(
     "ed_query",
     f"""WITH {HL_SQL} SELECT 'list' AS view, job_id, highlight_id AS item, row_number() OVER (PARTITION BY job_id ORDER BY start_sec, end_sec, highlight_id) AS place FROM hl

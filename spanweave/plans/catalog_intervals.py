@@ -303,30 +303,49 @@ def _(spark, sf):
     )
 
 
-@query("job_progress_clean")
+# open counters: numbers, fractions, negatives, booleans and ranges as the event stream gives them
+PROGRESS = (
+    """concat('{"model_calls": ', CASE WHEN kind = 'error' THEN 'true' ELSE k END, ', "turn": ', CASE WHEN kind = 'click' THEN concat('-', k) ELSE CAST(value AS TEXT) END, """
+    """', "duration_sec": ', CAST(value AS TEXT), ', "scan_coverage": ', CAST(CAST(k AS DOUBLE) / 80 AS TEXT), ', "ready_event_ids": ["e1", "e1", 3, "e', k, '"]', """
+    """', "capabilities": ', CASE WHEN kind = 'signup' THEN '"all"' ELSE concat('{"transcript": true, "semantic_search": ', CASE WHEN pos % 2 = 0 THEN 'false' ELSE '1' END, ', "read_text": "true"}') END, """
+    """', "next_page": {"core_start_sec": ', k, ', "core_end_sec": 50}, "secret": "x"}')"""
+)
+
+
+def progress_sql() -> str:
+    from ..sources.progress import COUNTERS, FLAGS
+
+    def number(path: str) -> str:
+        return f"CASE WHEN json_type(d, '{path}') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND CAST(d->>'{path}' AS DOUBLE) >= 0 THEN abs(CAST(d->>'{path}' AS DOUBLE)) END"
+
+    whole = ", ".join(f"CASE WHEN {number(f'$.{c}')} = floor({number(f'$.{c}')}) THEN CAST({number(f'$.{c}')} AS BIGINT) END AS {c}" for c in COUNTERS)
+    flags = ", ".join(f"CASE json_type(d, '$.capabilities.{c}') WHEN 'BOOLEAN' THEN CAST(d->>'$.capabilities.{c}' AS BOOLEAN) END AS can_{c}" for c in FLAGS)
+    start, end = number("$.next_page.core_start_sec"), number("$.next_page.core_end_sec")
+    return (
+        f"WITH {fx.SQL['timeline']}, j AS (SELECT pos, strftime(TIMESTAMP '2024-01-01' + to_seconds(floor(t)::BIGINT), '%Y-%m-%dT%H:%M:%S+00:00') AS updated_at, CAST({PROGRESS.replace('TEXT', 'VARCHAR')} AS JSON) AS d FROM timeline)\n"
+        f"SELECT pos, updated_at, {whole}, {flags}, CASE WHEN {number('$.duration_sec')} > 0 THEN {number('$.duration_sec')} END AS duration_sec, "
+        f"CASE WHEN {number('$.scan_coverage')} <= 1 THEN {number('$.scan_coverage')} END AS scan_coverage, "
+        "CAST((SELECT count(DISTINCT x->>'$') FROM (SELECT unnest(CAST(d->'$.ready_event_ids' AS JSON[])) AS x) WHERE json_type(x) = 'VARCHAR') AS BIGINT) AS ready_clip_count, "
+        f"CASE WHEN {start} < {end} THEN {start} END AS next_start_sec, CASE WHEN {start} < {end} THEN {end} END AS next_end_sec FROM j"
+    )
+
+
+@query("job_progress_clean", progress_sql())
 def _(spark, sf):
     from ..sources.progress import clean_progress
 
-    # open counters: numbers, fractions, negatives, booleans and ranges as the event stream gives them
-    text = F.concat(
-        F.lit('{"model_calls": '), F.when(F.col("kind") == "error", F.lit("true")).otherwise(F.col("k")),
-        F.lit(', "turn": '), F.when(F.col("kind") == "click", F.concat(F.lit("-"), F.col("k"))).otherwise(F.col("value").cast("string")),
-        F.lit(', "duration_sec": '), F.col("value").cast("string"),
-        F.lit(', "scan_coverage": '), (F.col("k").cast("double") / 80).cast("string"),
-        F.lit(', "ready_event_ids": ["e1", "e1", 3, "e'), F.col("k"), F.lit('"]'),
-        F.lit(', "next_page": {"core_start_sec": '), F.col("k"), F.lit(', "core_end_sec": 50}, "secret": "x"}'),
-    )
-    return clean_progress(fx.timeline(spark, sf).select("pos", text.alias("progress")), "progress").drop("progress")
+    second = F.expr("timestampadd(SECOND, cast(floor(t) AS int), TIMESTAMP_NTZ'2024-01-01 00:00:00')")
+    rows = fx.timeline(spark, sf).select("pos", second.alias("modified"), F.expr(PROGRESS.replace("TEXT", "STRING")).alias("progress"))
+    return clean_progress(rows, "progress", modified="modified").drop("progress", "modified")
 
 
 @query(
     "asr_clean",
     """SELECT conv_id, turn, trim(text, ' ') AS text, round(exp(-(turn + 1) / 10.0), 6)::DOUBLE AS confidence
-FROM conversations WHERE role <> 'system' AND trim(text, ' ') <> ''""",
+FROM conversations WHERE trim(text, ' ') <> ''""",
 )
 def _(spark, sf):
-    rows = fx.table(spark, sf, "conversations").filter("role <> 'system'")
-    return rows.select(
+    return fx.table(spark, sf, "conversations").select(
         "conv_id", "turn", F.trim("text").alias("text"),
         F.round(sc.asr_confidence(-(F.col("turn") + 1) / 10.0), 6).alias("confidence"),
     ).filter("text <> ''")

@@ -56,7 +56,7 @@ REG_OLD = ["o_orderkey AS video_id", "concat('d', CAST(o_custkey AS {text})) AS
 
 @query(
     "src_register",
-    "WITH inc AS (SELECT " + ", ".join(c.format(text="VARCHAR") for c in REG_IN) + " FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber < 3),\n"
+    "WITH inc AS (SELECT " + ", ".join(c.format(text="VARCHAR") for c in REG_IN) + " FROM lineitem JOIN orders ON o_orderkey = l_orderkey),\n"
     + "old AS (SELECT " + ", ".join(c.format(text="VARCHAR") for c in REG_OLD) + " FROM orders WHERE o_orderstatus = 'O'),\n"
     + """b AS (SELECT video_id, drama_id, sha256, NULL AS pos, TRUE AS old FROM old UNION ALL SELECT video_id, drama_id, sha256, pos, FALSE FROM inc),
 i AS (SELECT video_id, count(DISTINCT sha256) > 1 AS clash FROM b GROUP BY video_id), h AS (SELECT sha256, count(DISTINCT drama_id) > 1 AS clash, bool_or(old) AS old, min(pos) AS first FROM b GROUP BY sha256)
@@ -66,7 +66,7 @@ FROM inc JOIN i USING (video_id) JOIN h USING (sha256)) GROUP BY outcome""",
 def _(spark, sf):
     o = fx.table(spark, sf, "orders")
     old = o.filter("o_orderstatus = 'O'").selectExpr(*[c.format(text="STRING") for c in REG_OLD])
-    rows = fx.table(spark, sf, "lineitem").filter("l_linenumber < 3").join(o, F.col("o_orderkey") == F.col("l_orderkey"))
+    rows = fx.table(spark, sf, "lineitem").join(o, F.col("o_orderkey") == F.col("l_orderkey"))
     out = store.register(old, rows.selectExpr(*[c.format(text="STRING") for c in REG_IN]))
     # rows of one order with the same line number share a position and count alike
     return out.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.sum("video_id").alias("id_sum"))

@@ -1,4 +1,4 @@
-"""Run-log operators (batch twins) and the streaming replay."""
+"""Run-log operators (batch twins of the streams)."""
 
 from __future__ import annotations
 
@@ -6,12 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import content_key
 from ..operators import telemetry as tm
-from ..streaming import edits, sinks
 from . import fixtures as fx
 from .catalog_aggregates import RUNLOG_SQL, run_log
 from .catalog_generation import page_rows
 from .catalog_joins import TILES_SQL
-from .catalog_sources import scratch
 from .registry import query
 
 LOG = ["job AS run", "pos", "CAST(floor(value / 20) AS BIGINT) AS step", "kind IN ('view', 'click') AS training", "kind AS key", "value"]
@@ -74,20 +72,19 @@ def _(spark, sf):
     return tm.stagnation(log.select("run", "step"), log)
 
 
+# one kind of fact per kind of event; errors stand for the seven rarer kinds by position
+FACT = """CASE kind WHEN 'view' THEN concat('text:', k) WHEN 'click' THEN concat('query:', k) WHEN 'purchase' THEN concat('video:', {k_pos}) WHEN 'signup' THEN concat('review:', {k})
+  ELSE CASE pos % 7 WHEN 0 THEN concat('candidate:', {k_pos}) WHEN 1 THEN concat('frames:', k) WHEN 2 THEN concat('memory:', k) WHEN 3 THEN concat('confirmation:', {k_pos})
+  WHEN 4 THEN concat('detection:', k) WHEN 5 THEN concat('selection:', {k}) ELSE 'finished' END END"""
+
+
 @query(
     "st_facts",
-    fx.with_sql("timeline")
-    + """SELECT DISTINCT job, concat('text:', k) AS fact FROM timeline WHERE kind = 'view' UNION SELECT job, concat('query:', k) FROM timeline WHERE kind = 'click'
-UNION SELECT job, concat('video:', sha256(concat(k, chr(1), CAST(pos AS VARCHAR)))) FROM timeline WHERE kind = 'purchase'
-UNION SELECT job, concat('review:', sha256(k)) FROM timeline WHERE kind = 'signup'""",
+    fx.with_sql("timeline") + f"SELECT DISTINCT job, {FACT.format(k='sha256(k)', k_pos='sha256(concat(k, chr(1), CAST(pos AS VARCHAR)))')} AS fact FROM timeline",
 )
 def _(spark, sf):
-    log = fx.timeline(spark, sf)
-    part = lambda kind, prefix, value: log.filter(F.col("kind") == kind).select("job", F.concat(F.lit(prefix), value).alias("fact"))
-    return tm.facts(
-        part("view", "text:", F.col("k")), part("click", "query:", F.col("k")),
-        part("purchase", "video:", content_key("k", "pos")), part("signup", "review:", content_key("k")),
-    )
+    keyed = fx.timeline(spark, sf).withColumns({"_k": content_key("k"), "_kp": content_key("k", "pos")})
+    return tm.facts(keyed.select("job", F.expr(FACT.format(k="_k", k_pos="_kp")).alias("fact")))
 
 
 @query(
@@ -125,33 +122,3 @@ def _(spark, sf):
     attempts, _ = run_log(spark, sf)
     results = items.filter("job % 3 = 0").withColumn("completion", F.lit("complete"))
     return tm.attempt_status(items, attempts, results, ["job"])
-
-
-EVENT_SCHEMA = "event_id LONG, ts TIMESTAMP_NTZ, user_id LONG, event_type STRING, value DOUBLE, props STRING"
-
-
-def edit_events(raw):
-    """Purchases of a user are highlights of a job; the other events are commands on them."""
-    first = F.col("event_type") == "purchase"
-    op = F.when(F.col("event_type") == "view", "move_start").when(F.col("event_type") == "click", "move_end").when(
-        F.col("event_type") == "error", "undo"
-    ).otherwise("rename")
-    k = F.get_json_object("props", "$.k").cast("bigint")
-    start = F.col("value") % 60
-    return raw.select(
-        F.col("user_id").alias("job_id"), F.when(first, F.col("event_id")).otherwise(F.col("event_id") + 1_000_000_000_000).alias("command_no"),
-        F.when(first, F.concat(F.lit("h"), k % 10)).alias("highlight_id"), F.when(first, start).alias("start_sec"),
-        F.when(first, start + 4 + k % 7).cast("double").alias("end_sec"), F.when(first, F.col("value") / 500).alias("score"),
-        F.lit("action").alias("highlight_type"), F.lit("d").alias("description"), F.lit("r").alias("reason"), F.lit("u").alias("clip_url"),
-        F.lit("pending").alias("review_status"), F.when(~first, k % 20).alias("revision"), F.when(~first, op).alias("operation"),
-        F.when(~first, F.array(F.concat(F.lit("h"), k % 10))).alias("highlight_ids"), (k % 5 - 2).cast("double").alias("delta_sec"),
-        F.lit(None).cast("double").alias("split_sec"), F.lit("new title").alias("text"), F.lit(80.0).alias("duration_sec"),
-    ).filter(F.col("job_id").isNotNull())
-
-
-@query("st_edit_replay")
-def _(spark, sf):
-    raw = spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", "events.parquet").parquet(sf)
-    target, checkpoint = scratch(spark, "replayed"), scratch(spark, "replay_checkpoint")
-    sinks.drain(edits.replay_stream(edit_events(raw)), target, checkpoint)
-    return sinks.newest_groups(spark, target, edits.REPLAYED, ["job_id"])

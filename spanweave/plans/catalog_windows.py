@@ -75,13 +75,18 @@ def _(spark, sf):
 
 @query(
     "wf_budget_prefix",
-    fx.with_sql("r AS (SELECT source, doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS running FROM documents)")
-    + "SELECT source, doc_id, CAST(running AS BIGINT) AS running FROM r WHERE running <= 50000",
+    fx.with_sql("b AS (SELECT lang AS source, doc_id, n_chars FROM documents UNION ALL SELECT source, doc_id, n_chars * (1 + doc_id % 9) FROM documents)",
+        "r AS (SELECT source, doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS running, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS no FROM b)")
+    + "SELECT source, doc_id, CAST(running AS BIGINT) AS running, running > 20000 AS overflow FROM r WHERE running <= 20000 OR no = 1",
 )
 def _(spark, sf):
-    rows = fx.table(spark, sf, "documents").select("source", "doc_id", "n_chars")
-    out = telemetry.budget_prefix(rows, ["source"], "doc_id", "n_chars", 50_000, block=1000)
-    return out.filter("fits").select("source", "doc_id", "running")
+    docs = fx.table(spark, sf, "documents")
+    # sources under other sizes too, so that some begin with a row beyond the budget
+    rows = docs.select(F.col("lang").alias("source"), "doc_id", "n_chars").unionByName(
+        docs.select("source", "doc_id", F.expr("n_chars * (1 + doc_id % 9)").alias("n_chars"))
+    )
+    out = telemetry.budget_prefix(rows, ["source"], "doc_id", "n_chars", 20_000, block=1000)
+    return out.filter("fits OR overflow").select("source", "doc_id", "running", "overflow")
 
 
 @query(

@@ -19,41 +19,45 @@ STAGNANT = T.StructType([T.StructField(n, T.LongType()) for n in ("run", "step",
 class MetricMerge(StatefulProcessor):
     """State per run and step: the newest training position and, per key, (position, value).
 
-    Rows of a batch may arrive in any order; positions decide."""
+    Rows of a batch may arrive in any order; positions decide. A step that changed is emitted whole, so
+    that keys which a newer attempt no longer has disappear."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.since = handle.getValueState("since", "pos long")
         self.values = handle.getMapState("values", "key string", "pos long, value double")
-        self.sent = handle.getMapState("sent", "key string", "value double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        run, step = int(key[0]), int(key[1])
         since = self.since.get()[0] if self.since.exists() else None
+        stored = {name: tuple(value) for (name,), value in self.values.iterator()}
+        newest = dict(stored)
         for batch in rows:
             starts = batch.loc[batch["training"], "pos"]
-            if len(starts) and (since is None or starts.max() > since):
-                since = int(starts.max())
-            for r in batch.itertuples(index=False):
-                if not self.values.containsKey((r.key,)) or self.values.getValue((r.key,))[0] <= r.pos:
-                    self.values.updateValue((r.key,), (int(r.pos), float(r.value)))
+            if len(starts):
+                since = int(starts.max()) if since is None else max(since, int(starts.max()))
+            last = batch.sort_values("pos", kind="stable").drop_duplicates("key", keep="last")
+            for name, pos, value in zip(last["key"], last["pos"], last["value"]):
+                if name not in newest or newest[name][0] <= pos:
+                    newest[name] = (int(pos), float(value))
+        newest = {name: x for name, x in newest.items() if since is None or x[0] >= since}
         if since is not None:
             self.since.update((since,))
-            for (name,) in [k for k, v in self.values.iterator() if v[0] < since]:
-                self.values.removeKey((name,))
-        changed = []
-        for (name,), (_, value) in self.values.iterator():
-            if not self.sent.containsKey((name,)) or self.sent.getValue((name,))[0] != value:
-                self.sent.updateValue((name,), (value,))
-                changed.append((run, step, name, value))
-        if changed:
-            yield pd.DataFrame(changed, columns=["run", "step", "key", "value"])
+        for name in stored.keys() - newest.keys():
+            self.values.removeKey((name,))
+        for name, x in newest.items():
+            if stored.get(name) != x:
+                self.values.updateValue((name,), x)
+        if {n: x[1] for n, x in newest.items()} != {n: x[1] for n, x in stored.items()}:
+            yield pd.DataFrame(
+                [(int(key[0]), int(key[1]), n, x[1]) for n, x in newest.items()], columns=["run", "step", "key", "value"]
+            )
 
     def close(self) -> None:
         pass
 
 
 def merge_metrics_stream(log: DataFrame) -> DataFrame:
-    """Changed values per (run, step, key) in update mode: merge and emit-when-changed in one state.
+    """Whole changed steps in update mode: merge and emit-when-changed in one state; read with
+    ``newest_groups`` by (run, step).
 
     State is keyed by (run, step), so one long run spreads over many tasks."""
     return log.groupBy("run", "step").transformWithStateInPandas(
@@ -96,7 +100,7 @@ def stagnation_stream(facts: DataFrame) -> DataFrame:
 
 
 def trace_counts_stream(trace: DataFrame, keys: list[str], watermark: str = "1 hour") -> DataFrame:
-    """Running counts per job and hour of ``ts``; the watermark bounds the state."""
+    """Running counts per job and hour of ``ts``; the watermark bounds the state. Sum the hours of a job on reading."""
     from ..operators.telemetry import trace_counts
 
     hourly = trace.withWatermark("ts", watermark).withColumn("hour", F.window("ts", "1 hour"))

@@ -9,19 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
 def start_upserts(values: DataFrame, target: str, checkpoint: str, *, available_now: bool = True) -> StreamingQuery:
     """Write each batch of changed rows to its own partition of ``target``.
 
     A replayed batch overwrites its own partition, so a failure never leaves rows twice. Keyed
-    state needs the RocksDB provider; a session that names another one keeps it."""
-    spark = values.sparkSession
-    before = spark.conf.get(PROVIDER, None)
-    if before is None or before.endswith("HDFSBackedStateStoreProvider"):
-        spark.conf.set(PROVIDER, ROCKSDB)
+    state needs a session with the RocksDB provider (``build_session`` sets it)."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
@@ -47,9 +39,3 @@ def newest_groups(spark: SparkSession, target: str, schema: T.StructType, keys:
     rows = read_batches(spark, target, schema)
     last = rows.groupBy(*keys).agg(F.max("batch").alias("batch"))
     return rows.join(last, [*keys, "batch"], "left_semi").drop("batch")
-
-
-def newest_values(spark: SparkSession, target: str, schema: T.StructType, keys: Sequence[str], value: str) -> DataFrame:
-    """Newest value per key, for streams that emit changed rows."""
-    rows = read_batches(spark, target, schema)
-    return rows.groupBy(*keys).agg(F.max_by(value, "batch").alias(value))

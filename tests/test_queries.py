@@ -20,7 +20,7 @@ def con():
 
 
 def test_inventory():
-    assert len(registry.QUERIES) == 169
+    assert len(registry.QUERIES) == 167
     assert set(registry.SQL_TEXT) <= set(registry.QUERIES)
 
 
