@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .ordered import sliced_lag, sliced_running, time_slice
 
 SLICE_SEC = 600.0
@@ -43,21 +44,39 @@ def frame_ceil(requests: DataFrame, frames: DataFrame, keys: Sequence[str], ids:
 def frame_snap(requests: DataFrame, frames: DataFrame, durations: DataFrame, keys: Sequence[str], ids: Sequence[str], *, start: str = "start_sec", end: str = "end_sec", slice_sec: float = SLICE_SEC, bucket_sec: float = 60.0) -> DataFrame:
     """Requests expanded to frame bounds, with ``precision_sec``, the largest frame gap inside.
 
+    Starts, ends and frames are one ordered union: the greatest frame before a mark, together with the
+    frame that follows it, answers both (an end sorts before a frame of the same time, a start after it).
     The largest gap of a long range comes from one maximum per whole bucket; only the first and
     the last bucket of a request look at single frames.
     """
     keys, ids = list(keys), list(ids)
-    lo = frame_floor(requests, frames, keys, ids, start, "src_start_sec", slice_sec=slice_sec)
-    hi = frame_ceil(requests, frames, keys, ids, end, "src_end_sec", durations=durations, slice_sec=slice_sec)
-    snapped = requests.join(lo, [*keys, *ids]).join(hi, [*keys, *ids])
-    gaps = (
-        sliced_lag(frames, keys, [F.col("pts")], time_slice("pts", slice_sec), {"_next": F.col("pts")}, forward=True)
-        .join(durations.select(*keys, "duration_sec"), keys)
-        .select(
-            *keys, F.col("pts").alias("_pts"),
-            (F.coalesce("_next", "duration_sec") - F.col("pts")).alias("_gap"),
-            F.floor(F.col("pts") / bucket_sec).cast("bigint").alias("_bucket"),
+    # read by the marks, the first frames and the gaps
+    followed = materialize(
+        sliced_lag(frames, keys, [F.col("pts")], time_slice("pts", slice_sec), {"_next": F.col("pts")}, forward=True).select(*keys, "pts", "_next"),
+        "frames",
+    )
+    ask = lambda time, tag: requests.select(*keys, *ids, F.col(time).alias("_t"), F.lit(tag).alias("_tag"))
+    marks = (
+        followed.select(*keys, F.col("pts").alias("_t"), F.lit(1).alias("_tag"), F.struct("pts", "_next").alias("_frame"))
+        .unionByName(ask(end, 0), allowMissingColumns=True).unionByName(ask(start, 2), allowMissingColumns=True)
+    )
+    found = sliced_running(marks, keys, [F.col("_t"), F.col("_tag")], time_slice("_t", slice_sec), maxes={"_last": F.col("_frame")})
+    at = lambda tag: F.max(F.when(F.col("_tag") == tag, F.col("_last")))
+    bounds = found.filter("_tag <> 1").groupBy(*keys, *ids).agg(at(2).alias("_before"), at(0).alias("_until"))
+    whole = followed.groupBy(*keys).agg(F.min("pts").alias("_first")).join(durations.select(*keys, F.col("duration_sec").alias("_d")), keys, "full")
+    snapped = (
+        requests.join(bounds, [*keys, *ids]).join(whole, keys, "left")
+        .withColumns(
+            {
+                "src_start_sec": F.coalesce("_before.pts", "_first"),
+                "src_end_sec": F.coalesce(F.when(F.col("_until").isNull(), F.col("_first")).otherwise(F.col("_until._next")), "_d"),
+            }
         )
+        .drop("_before", "_until", "_first", "_d")
+    )
+    gaps = followed.join(durations.select(*keys, "duration_sec"), keys).select(
+        *keys, F.col("pts").alias("_pts"), (F.coalesce("_next", "duration_sec") - F.col("pts")).alias("_gap"),
+        F.floor(F.col("pts") / bucket_sec).cast("bigint").alias("_bucket"),
     )
     first = F.floor(F.col("src_start_sec") / bucket_sec).cast("bigint")
     last = F.floor(F.col("src_end_sec") / bucket_sec).cast("bigint")
