@@ -15,7 +15,7 @@ from . import fixtures as fx
 from . import scoring as sg
 from . import windows as wn
 from .catalog_generation import CELLS, OPTIONS, WINDOW_SQL, labelled_videos
-from .catalog_intervals import PAIRS_SQL, evidence, keyed, pairs
+from .catalog_intervals import IOU, OVER, PAIRS_SQL, evidence, keyed, pairs
 from .catalog_joins import EDGES_SQL, TILES_SQL, sides
 from .catalog_matching import (
     HALF_SQL,
@@ -188,17 +188,50 @@ def event_scores(spark, sf):
     )
 
 
-EVENT_COLS = [*RATE_COLS, "candidate_recall", "verification_recall", "mean_decisive_coverage"]
+# the mean of decisive coverage depends on which of several equal matchings is taken, so the queries leave it out
+EVENT_COLS = [*RATE_COLS, "candidate_recall", "verification_recall"]
+EVENT_SIM = (
+    f"greatest({IOU.format('ps', 'pe', 'ts', 'te')}, {IOU.format('ps', 'pe', 'ts + 20', 'te + 20')}, {OVER.format('ps', 'pe', 'ts + 1', 'ts + 3')} / 2)"
+)
 
 
-@query("agg_event_metrics")
+def event_sql(group: str) -> str:
+    """Event totals by ``group`` (an expression over the items), as in ``score_events``."""
+    rates = RATES_SQL + ", round(candidate_hits / greatest(targets, 1)::DOUBLE, 6) AS candidate_recall, round(verified_hits / greatest(targets, 1)::DOUBLE, 6) AS verification_recall"
+    counts = "hits, predictions, targets, output_count, output_sec, optional_hits, duplicate_count, candidate_hits, verified_hits, decisive_n"
+    return recursive(
+        "seg", "videos", "th AS (SELECT unnest([0.3::DOUBLE, 0.5::DOUBLE, 0.7::DOUBLE]) AS threshold)",
+        "items AS (SELECT video_id, status <> 'review' AS complete, CASE WHEN source = 'model_reviewed' THEN 'silver' ELSE 'unspecified' END AS cohort FROM videos)",
+        "live AS (SELECT seg.* FROM seg JOIN items USING (video_id) WHERE complete AND side = 1)",
+        """pr AS (SELECT video_id, seg_no AS p_no, start_sec AS ps, end_sec AS pe, 'required' AS role FROM live UNION ALL SELECT video_id, seg_no, start_sec - 1, end_sec, 'candidate' FROM live
+  UNION ALL SELECT video_id, seg_no, start_sec, end_sec, 'verified' FROM live WHERE kind = 'positive')""",
+        "tg AS (SELECT video_id, seg_no AS t_no, start_sec AS ts, end_sec AS te, kind FROM seg WHERE side = 0 AND kind IN ('positive', 'uncertain'))",
+        f"ev AS (SELECT video_id, role, p_no, t_no, kind, {EVENT_SIM} AS similarity FROM pr JOIN tg USING (video_id))",
+        "el AS (SELECT concat(video_id, ':', threshold, ':', role) AS k, ev.*, threshold FROM ev JOIN th ON similarity >= threshold AND (kind = 'positive' OR role = 'required'))",
+        "req AS (SELECT * FROM el WHERE kind = 'positive')", matching_sql("m", "req", "k"),
+        "opt AS (SELECT * FROM el WHERE kind = 'uncertain' AND NOT EXISTS (SELECT 1 FROM m_used u WHERE u.k = el.k AND u.p_no = el.p_no))", matching_sql("o", "opt", "k"),
+        "dup AS (SELECT k, count(*) AS n FROM (SELECT DISTINCT k, p_no FROM el WHERE role = 'required' EXCEPT (SELECT k, p_no FROM m_used UNION ALL SELECT k, p_no FROM o_used)) GROUP BY k)",
+        "ks AS (SELECT DISTINCT k, video_id, threshold, role FROM el)",
+        """x AS (SELECT video_id, threshold, sum(m.pairs) FILTER (role = 'required') AS hits, sum(m.pairs) FILTER (role = 'candidate') AS candidate_hits, sum(m.pairs) FILTER (role = 'verified') AS verified_hits,
+  sum(o.pairs) AS optional_hits, sum(dup.n) AS duplicate_count FROM ks LEFT JOIN m USING (k) LEFT JOIN o USING (k) LEFT JOIN dup USING (k) GROUP BY video_id, threshold)""",
+        "np AS (SELECT video_id, count(*) AS output_count, sum(end_sec - start_sec) AS output_sec FROM live GROUP BY video_id)",
+        "nt AS (SELECT video_id, count(*) AS targets FROM tg WHERE kind = 'positive' GROUP BY video_id)",
+        f"""t AS (SELECT {group} threshold, count(*) AS videos, CAST(sum(coalesce(hits, 0)) AS BIGINT) AS hits, CAST(sum(coalesce(output_count, 0) - coalesce(optional_hits, 0)) AS BIGINT) AS predictions,
+  CAST(sum(coalesce(targets, 0)) AS BIGINT) AS targets, CAST(sum(coalesce(output_count, 0)) AS BIGINT) AS output_count, sum(coalesce(output_sec, 0)) AS output_sec, CAST(sum(coalesce(optional_hits, 0)) AS BIGINT) AS optional_hits,
+  CAST(sum(coalesce(duplicate_count, 0)) AS BIGINT) AS duplicate_count, CAST(sum(coalesce(candidate_hits, 0)) AS BIGINT) AS candidate_hits, CAST(sum(coalesce(verified_hits, 0)) AS BIGINT) AS verified_hits,
+  CAST(sum(coalesce(hits, 0)) AS BIGINT) AS decisive_n
+  FROM {"items" if not group else "(SELECT * FROM items UNION ALL SELECT video_id, complete, 'all' FROM items)"} JOIN th ON true LEFT JOIN np USING (video_id) LEFT JOIN nt USING (video_id) LEFT JOIN x USING (video_id, threshold) GROUP BY {group} threshold)""",
+    ) + f"SELECT {group} threshold, videos, {counts}, {rates} FROM t"
+
+
+@query("agg_event_metrics", event_sql(""))
 def _(spark, sf):
-    return rounded(sg.event_totals(event_scores(spark, sf), []), EVENT_COLS)
+    return rounded(sg.event_totals(event_scores(spark, sf), []).drop("mean_decisive_coverage"), EVENT_COLS)
 
 
-@query("agg_by_cohort")
+@query("agg_by_cohort", event_sql("cohort,"))
 def _(spark, sf):
-    return rounded(sg.by_cohort(event_scores(spark, sf)), EVENT_COLS)
+    return rounded(sg.by_cohort(event_scores(spark, sf)).drop("mean_decisive_coverage"), EVENT_COLS)
 
 
 @query(
