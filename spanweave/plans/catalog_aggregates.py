@@ -21,6 +21,7 @@ from .catalog_matching import (
     HALF_SQL,
     KEYS,
     SAMPLE_SQL,
+    SOFT_SQL,
     half_pairs,
     matching_sql,
     recursive,
@@ -256,13 +257,18 @@ def _(spark, sf):
     return rounded(me.rates(me.all_and_completed(items)), [*RATE_COLS, "completion_rate"])
 
 
-@query("agg_by_drama")
-def _(spark, sf):
-    details = scored_windows(spark, sf)["details"]
-    totals = details.groupBy("drama_id").agg(
-        F.sum("hits50").alias("hits"), F.sum("n_pred").alias("predictions"), F.sum("n_ref").alias("targets")
-    )
-    return rounded(me.rates(totals), RATE_COLS)
+def windowed_drama_sql() -> str:
+    """Windows as in ``scored_windows``: hits at IoU 0.5 between a window's predictions and its positive segments."""
+    sim = IOU.format("ps", "pe", "rs", "re")
+    return recursive(
+        "seg", "dialogues", "videos", TILES_SQL.format(w=10, c=10), WINDOW_SQL, PRED_SQL,
+        f"near AS (SELECT concat(pr.video_id, ':', pr.tile_no) AS k, row_number() OVER () AS e, concat(ps, '-', pe, '-', pn) AS p_no, concat(rs, '-', re, '-', tn) AS t_no, {sim} AS similarity "
+        "FROM (SELECT *, row_number() OVER (PARTITION BY video_id, tile_no ORDER BY ps, pe) AS pn FROM pr) pr JOIN (SELECT *, row_number() OVER (PARTITION BY video_id, tile_no ORDER BY rs, re) AS tn FROM targets) t "
+        f"ON t.video_id = pr.video_id AND t.tile_no = pr.tile_no AND {sim} >= 0.5)",
+        matching_sql("m", "near", "k"),
+        """t AS (SELECT drama_id, CAST(sum(coalesce(m.pairs, 0)) AS BIGINT) AS hits, CAST(sum(n_pred) AS BIGINT) AS predictions, CAST(sum(n_ref) AS BIGINT) AS targets
+  FROM d JOIN videos v ON v.video_id = d.video_id LEFT JOIN m ON m.k = concat(d.video_id, ':', d.tile_no) GROUP BY drama_id)""",
+    ) + f"SELECT drama_id, hits, predictions, targets, {RATES_SQL} FROM t"
 
 
 PRED_SQL = """w AS (SELECT o.*, o.video_id % 10 = 7 AS bad FROM outcome o WHERE o.outcome IN ('positive', 'empty')),
@@ -272,6 +278,15 @@ d AS (SELECT w.video_id, w.tile_no, w.bad, w.n AS n_ref, count(pr.ps) AS n_pred,
   LEFT JOIN pr ON pr.video_id = w.video_id AND pr.tile_no = w.tile_no GROUP BY w.video_id, w.tile_no, w.bad, w.n)"""
 
 
+@query("agg_by_drama", windowed_drama_sql())
+def _(spark, sf):
+    details = scored_windows(spark, sf)["details"]
+    totals = details.groupBy("drama_id").agg(
+        F.sum("hits50").alias("hits"), F.sum("n_pred").alias("predictions"), F.sum("n_ref").alias("targets")
+    )
+    return rounded(me.rates(totals), RATE_COLS)
+
+
 @query(
     "agg_window_quality",
     fx.with_sql("seg", "dialogues", TILES_SQL.format(w=10, c=10), WINDOW_SQL, PRED_SQL)
@@ -388,7 +403,21 @@ def _(spark, sf):
     return rows.unionByName(run)
 
 
-@query("agg_validation")
+def share_sql(t: int) -> str:
+    h = f"sum(hits{t})"
+    return (
+        f"round(coalesce({h} / nullif(sum(predicted_count), 0)::DOUBLE, 0), 6) AS precision_iou{t}, round(coalesce({h} / nullif(sum(target_count), 0)::DOUBLE, 0), 6) AS recall_iou{t}, "
+        f"round(coalesce(2 * {h} / nullif(sum(predicted_count) + sum(target_count), 0)::DOUBLE, 0), 6) AS f1_iou{t}"
+    )
+
+
+@query(
+    "agg_validation",
+    recursive(*SOFT_SQL)
+    + f"""SELECT round(avg(score), 6) AS soft_f1, round(count(*) FILTER (format_valid) / count(*), 6) AS valid_output_rate, round(count(*) FILTER (empty_positive) / count(*) FILTER (positive), 6) AS empty_positive_rate,
+  round(count(*) FILTER (empty_negative_false_alarm) / count(*) FILTER (NOT positive), 6) AS empty_window_false_positive_rate, CAST(sum(invalid_segments) AS BIGINT) AS invalid_segments, CAST(sum(hits30) AS BIGINT) AS hits30,
+  CAST(sum(hits50) AS BIGINT) AS hits50, CAST(sum(predicted_count) AS BIGINT) AS predicted_count, CAST(sum(target_count) AS BIGINT) AS target_count, {share_sql(30)}, {share_sql(50)} FROM sc""",
+)
 def _(spark, sf):
     out = me.validation_summary(scored_answers(spark, sf))
     return rounded(out, [c for c in out.columns if "rate" in c or "iou" in c or c == "soft_f1"])

@@ -169,7 +169,25 @@ def scored_answers(spark, sf):
     return sg.soft_f1(video_answers(spark, sf), targets, KEYS)
 
 
-@query("mt_soft_f1")
+SOFT_SQL = [
+    "seg", "videos",
+    "ans AS (SELECT v.video_id, v.drama_id, coalesce(n, 0) AS n, v.video_id % 10 = 7 AND coalesce(n, 0) > 0 AS bad FROM videos v LEFT JOIN (SELECT video_id, count(*) AS n FROM seg WHERE side = 1 GROUP BY video_id) s USING (video_id))",
+    "good AS (SELECT seg.* FROM seg JOIN ans USING (video_id) WHERE side = 1 AND NOT bad AND start_sec >= 0 AND start_sec < end_sec AND end_sec <= 64 AND (start_sec + end_sec) / 2 >= 0 AND (start_sec + end_sec) / 2 < 48)",
+    """el AS (SELECT p.video_id, p.seg_no AS p_no, t.seg_no AS t_no,
+  (least(p.end_sec, t.end_sec) - greatest(p.start_sec, t.start_sec)) / (greatest(p.end_sec, t.end_sec) - least(p.start_sec, t.start_sec)) AS similarity
+  FROM good p JOIN seg t ON p.video_id = t.video_id AND t.side = 0 AND t.kind = 'positive' AND p.start_sec < t.end_sec AND t.start_sec < p.end_sec)""",
+    matching_sql("m", "el"), "e3 AS (SELECT * FROM el WHERE similarity >= 0.3)", matching_sql("m3", "e3"), "e5 AS (SELECT * FROM el WHERE similarity >= 0.5)", matching_sql("m5", "e5"),
+    "nt AS (SELECT video_id, count(*) AS n_t FROM seg WHERE side = 0 AND kind = 'positive' GROUP BY video_id)",
+    "ng AS (SELECT video_id, count(*) AS n_g FROM good GROUP BY video_id)",
+    """c AS (SELECT ans.video_id, drama_id, NOT bad AS format_valid, CASE WHEN bad THEN 0 ELSE ans.n END AS predicted_count, CASE WHEN bad THEN 0 ELSE ans.n - coalesce(n_g, 0) END AS invalid_segments,
+  coalesce(n_t, 0) AS target_count, coalesce(m3.pairs, 0) AS hits30, coalesce(m5.pairs, 0) AS hits50, coalesce(m.free_weight, 0) AS w
+  FROM ans LEFT JOIN nt ON nt.video_id = ans.video_id LEFT JOIN ng ON ng.video_id = ans.video_id LEFT JOIN m ON m.video_id = ans.video_id LEFT JOIN m3 ON m3.video_id = ans.video_id LEFT JOIN m5 ON m5.video_id = ans.video_id)""",
+    """sc AS (SELECT c.* EXCLUDE (w), CASE WHEN NOT format_valid THEN 0 WHEN predicted_count + target_count = 0 THEN 1 ELSE 2 * w / (predicted_count + target_count) END AS score,
+  target_count > 0 AS positive, target_count > 0 AND format_valid AND predicted_count = 0 AS empty_positive, target_count = 0 AND predicted_count > 0 AS empty_negative_false_alarm FROM c)""",
+]
+
+
+@query("mt_soft_f1", recursive(*SOFT_SQL) + "SELECT * REPLACE (round(score, 6) AS score) FROM sc")
 def _(spark, sf):
     return scored_answers(spark, sf).withColumn("score", F.round("score", 6))
 
