@@ -13,6 +13,7 @@ from ..functions.scalars import dot, folded_contains, l2_normalize, usable_vecto
 from .tiles import equal_parts
 
 MAX_BROADCAST_QUERIES = 4096
+QUERIES_AT_ONCE = 256
 
 
 def in_time(df: DataFrame, start: float, end: float | None) -> DataFrame:
@@ -50,23 +51,24 @@ def vector_ranking(materials: DataFrame, query: Sequence[float], start: float =
     return rows.withColumn("similarity", F.round(similarity, digits) if digits is not None else similarity)
 
 
-def vector_topk(materials: DataFrame, queries: DataFrame, k: int, dims: int) -> DataFrame:
-    """Top k rows for each of many query vectors (query_id, embedding).
+def vector_topk(materials: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Top k rows (row_no, embedding) for each of many query vectors (query_id, unique, and embedding).
 
-    A block of queries travels to the tasks as one matrix; each task multiplies it with its Arrow
-    batches and keeps k rows per query, so tasks emit k rows per query instead of every pair.
-    The block size is fixed, more queries mean more blocks.
+    A block of at most ``MAX_BROADCAST_QUERIES`` queries travels to the tasks as one matrix; each task
+    multiplies it with its Arrow batches and keeps k rows per query, so tasks emit k rows per query
+    instead of every pair. Every block is one pass over the materials. Zero and non-finite vectors match nothing.
     """
     spark = materials.sparkSession
-    numbered = queries.select("query_id", "embedding").orderBy("query_id")
-    n = queries.count()
+    asked = queries.filter(usable_vector("embedding")).select("query_id", "embedding")
+    blocks = max(1, -(-asked.count() // MAX_BROADCAST_QUERIES))
     out = None
-    for offset in range(0, n, MAX_BROADCAST_QUERIES):
-        block = numbered.offset(offset).limit(MAX_BROADCAST_QUERIES).toPandas()
-        matrix = np.stack([np.asarray(v, dtype=np.float64) for v in block["embedding"]])
-        matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
-        shared = spark.sparkContext.broadcast((block["query_id"].to_numpy(), matrix))
-        part = _block_topk(materials, shared, k)
+    for at in range(blocks):
+        # blocks by hash of the id: no order over all queries, and no query in two blocks
+        rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == at).orderBy("query_id").collect()
+        matrix = np.array([r["embedding"] for r in rows], dtype=np.float64)
+        if rows:
+            matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+        part = _block_topk(materials, spark.sparkContext.broadcast(([r["query_id"] for r in rows], matrix)), k)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -74,24 +76,32 @@ def vector_topk(materials: DataFrame, queries: DataFrame, k: int, dims: int) ->
 def _block_topk(materials: DataFrame, shared, k: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, matrix = shared.value
-        best_sim = np.full((len(ids), 0), -np.inf)
-        best_row = np.zeros((len(ids), 0), dtype=np.int64)
+        sims, rows = [np.empty(0)] * len(ids), [np.empty(0, np.int64)] * len(ids)
+        worst = np.full(len(ids), -np.inf)
         for batch in batches:
-            if not len(batch):
+            if not len(batch) or not len(ids):
                 continue
             vectors = np.stack([np.asarray(v, dtype=np.float64) for v in batch["embedding"]])
             norms = np.linalg.norm(vectors, axis=1)
             good = np.isfinite(norms) & (norms > 0)
-            vectors, rows = vectors[good] / norms[good, None], batch["row_no"].to_numpy()[good]
-            sim = np.concatenate([best_sim, matrix @ vectors.T], axis=1)
-            row = np.concatenate([best_row, np.broadcast_to(rows, (len(ids), len(rows)))], axis=1)
-            order = np.lexsort((row, -sim), axis=1)[:, :k]
-            best_sim, best_row = np.take_along_axis(sim, order, 1), np.take_along_axis(row, order, 1)
-        if best_sim.shape[1]:
-            width = best_sim.shape[1]
-            yield pd.DataFrame(
-                {"query_id": np.repeat(ids, width), "row_no": best_row.ravel(), "similarity": best_sim.ravel()}
-            )
+            vectors, numbers = vectors[good] / norms[good, None], batch["row_no"].to_numpy()[good]
+            for at in range(0, len(ids), QUERIES_AT_ONCE):
+                for q, row in enumerate(matrix[at : at + QUERIES_AT_ONCE] @ vectors.T, at):
+                    places = np.flatnonzero(row >= worst[q])
+                    if len(places) > k:
+                        least = np.partition(row[places], len(places) - k)[len(places) - k]
+                        places = places[row[places] >= least]
+                    sim, number = np.concatenate([sims[q], row[places]]), np.concatenate([rows[q], numbers[places]])
+                    order = np.lexsort((number, -sim))[:k]
+                    sims[q], rows[q] = sim[order], number[order]
+                    if len(order) == k:
+                        worst[q] = sims[q][-1]
+        yield pd.DataFrame(
+            {
+                "query_id": np.repeat(np.asarray(ids, np.int64), [len(x) for x in sims]),
+                "row_no": np.concatenate([*rows, np.empty(0, np.int64)]), "similarity": np.concatenate([*sims, np.empty(0)]),
+            }
+        )
 
     local = materials.select("row_no", "embedding").mapInPandas(run, "query_id long, row_no long, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "row_no")

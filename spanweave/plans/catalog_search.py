@@ -24,18 +24,19 @@ def _(spark, sf):
 
 @query(
     "se_vector",
-    """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT min_by(e, vec_id) AS e FROM v),
-s AS (SELECT vec_id, round(list_sum([v.e[i] * q.e[i] for i in range(1, 65)]) / (sqrt(list_sum([x * x for x in v.e])) * sqrt(list_sum([x * x for x in q.e]))), 6) AS similarity
-  FROM v, q WHERE vec_id + 10 > 50)
-SELECT vec_id, similarity FROM s ORDER BY similarity DESC, vec_id LIMIT 100 OFFSET 10""",
+    """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_sum([v.e[i] * q.e[i] for i in range(1, 65)]) / (sqrt(list_sum([x * x for x in v.e])) * sqrt(list_sum([x * x for x in q.e]))) AS similarity
+  FROM v, v q WHERE q.vec_id % 100 = 7 AND v.vec_id + 10 > 50)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(similarity, 6) AS similarity
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s) WHERE rank BETWEEN 11 AND 60""",
 )
 def _(spark, sf):
-    rows = fx.table(spark, sf, "embeddings").selectExpr(
-        "vec_id", "embedding", "CAST(vec_id AS DOUBLE) AS start_sec", "CAST(vec_id + 10 AS DOUBLE) AS end_sec"
-    )
-    vector = [float(x) for x in rows.agg(F.min_by("embedding", "vec_id")).first()[0]]
-    ranked = se.vector_ranking(rows, vector, start=50.0, digits=6)
-    return se.page(ranked, [F.col("similarity").desc(), F.col("vec_id")], 10, 100).select("vec_id", "similarity")
+    """The second page of 50 of several queries, after the first 10, in a time range."""
+    vectors = fx.table(spark, sf, "embeddings")
+    rows = vectors.selectExpr("vec_id AS row_no", "embedding", "CAST(vec_id AS DOUBLE) AS start_sec", "CAST(vec_id + 10 AS DOUBLE) AS end_sec")
+    asked = vectors.filter("vec_id % 100 = 7").select(F.col("vec_id").alias("query_id"), "embedding")
+    ranked = se.vector_topk(se.in_time(rows, 50.0, None), asked, 60).filter("rank > 10")
+    return ranked.select("query_id", "rank", F.col("row_no").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
 
 
 @query(

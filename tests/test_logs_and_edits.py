@@ -133,7 +133,7 @@ def test_vector_topk_blocks(spark, monkeypatch):
     mat = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "row_no long, embedding array<double>").repartition(4)
     qs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id long, embedding array<double>")
     monkeypatch.setattr(se, "MAX_BROADCAST_QUERIES", 2)
-    got = rows(se.vector_topk(mat, qs, 3, 8), "query_id", "rank", "row_no")
+    got = rows(se.vector_topk(mat, qs, 3), "query_id", "rank", "row_no")
     norms = np.linalg.norm(m, axis=1)
     sims = np.where(norms > 0, (q @ m.T) / np.linalg.norm(q, axis=1)[:, None] / np.where(norms > 0, norms, 1), -9)
     want = [(i, r + 1, int(j)) for i in range(5) for r, j in enumerate(np.argsort(-sims[i])[:3])]
