@@ -281,6 +281,13 @@ def upsert_candidates(current: DataFrame, proposed: DataFrame, content: Sequence
     )
 
 
+def details(highlights: DataFrame, asked: DataFrame) -> DataFrame:
+    """Asked highlights (job_id, highlight_id) with their place on the timeline and score in percent."""
+    key = ["job_id", "highlight_id"]
+    placed = timeline_positions(highlights).join(asked.select(*key).distinct(), key, "left_semi")
+    return placed.withColumn("score_percent", F.round(F.col("score") * 100).cast("bigint"))
+
+
 def latest_history(turns: DataFrame, keep: int = 5) -> DataFrame:
     """The last turns per job (bounded per-group top-k, cut before the shuffle)."""
     w = Window.partitionBy("job_id").orderBy(F.col("pos").desc())

@@ -233,9 +233,9 @@ def match_edges(
 ) -> DataFrame:
     """Chosen edges of a matching per (keys, extra), with ``units``.
 
-    ``edges``: keys, extra (for example a threshold), p_no, t_no, similarity, h_start, h_end (hull
-    of everything the similarity of the pair looked at), and p_n, t_n when their ends are folded
-    copies. Overlapping hulls share an island, and edges of different islands share no end, so
+    ``edges`` (best written already, they are read three times): keys, extra (for example a threshold),
+    p_no, t_no, similarity, h_start, h_end (hull of everything the similarity of the pair looked at), and
+    p_n, t_n when their ends are folded copies. Overlapping hulls share an island, and edges of different islands share no end, so
     islands can be solved apart. ``predictions`` and ``targets`` (the rows before folding) give the
     ordered matching the numbers of the copies; its pairs are single rows.
     """
@@ -244,10 +244,9 @@ def match_edges(
     ordered = solver is traversal_matching
     one = F.lit(1).cast("bigint")
     edges = edges.withColumns({c: one for c in ("p_n", "t_n") if c not in edges.columns})
-    made = materialize(edges, "edges")  # read by three branches, so the joins that made them run once
-    p_degree = made.groupBy(*base, "p_no").agg(F.count(F.lit(1)).alias("_dp"), F.min("t_no").alias("_first_t"))
-    t_degree = made.groupBy(*base, "t_no").agg(F.count(F.lit(1)).alias("_dt"), F.min("p_no").alias("_first_p"))
-    marked = made.join(p_degree, [*base, "p_no"]).join(t_degree, [*base, "t_no"])
+    p_degree = edges.groupBy(*base, "p_no").agg(F.count(F.lit(1)).alias("_dp"), F.min("t_no").alias("_first_t"))
+    t_degree = edges.groupBy(*base, "t_no").agg(F.count(F.lit(1)).alias("_dt"), F.min("p_no").alias("_first_p"))
+    marked = edges.join(p_degree, [*base, "p_no"]).join(t_degree, [*base, "t_no"])
     lone = (F.col("_dp") == 1) & (F.col("_dt") == 1)
     if ordered:
         lone = lone & (F.col("p_n") == 1) & (F.col("t_n") == 1)

@@ -163,6 +163,7 @@ def _(spark, sf):
     "ed_query",
     f"""WITH {HL_SQL} SELECT 'list' AS view, job_id, highlight_id AS item, row_number() OVER (PARTITION BY job_id ORDER BY start_sec, end_sec, highlight_id) AS place FROM hl
 UNION ALL SELECT 'compare', job_id, highlight_id, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, start_sec, highlight_id) FROM hl
+UNION ALL SELECT 'details', job_id, concat(highlight_id, ' ', highlight_type, ' ', CAST(round(score * 100) AS BIGINT)), place FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY start_sec, end_sec, highlight_id) AS place FROM hl) WHERE line % 2 = 0
 UNION ALL SELECT 'history', conv_id, CAST(turn AS VARCHAR), rn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= 5""",
 )
 def _(spark, sf):
@@ -170,10 +171,13 @@ def _(spark, sf):
     turns = fx.table(spark, sf, "conversations").select(F.col("conv_id").alias("job_id"), F.col("turn").alias("pos"))
     listed = ed.timeline_positions(h).select(F.lit("list").alias("view"), "job_id", F.col("highlight_id").alias("item"), F.col("position").alias("place"))
     compared = ed.score_positions(h).select(F.lit("compare").alias("view"), "job_id", F.col("highlight_id").alias("item"), F.col("position").alias("place"))
+    asked = ed.details(h, h.filter("line % 2 = 0")).select(
+        F.lit("details").alias("view"), "job_id", F.concat_ws(" ", "highlight_id", "highlight_type", "score_percent").alias("item"), F.col("position").alias("place")
+    )
     last = ed.latest_history(turns).select(
         F.lit("history").alias("view"), "job_id", F.col("pos").cast("string").alias("item"), F.col("recency").cast("bigint").alias("place")
     )
-    return listed.unionByName(compared).unionByName(last)
+    return listed.unionByName(compared).unionByName(asked).unionByName(last)
 
 
 @query(

@@ -77,7 +77,8 @@ def match_spans(predictions: DataFrame, targets: DataFrame, keys: Sequence[str],
     extra = list(extra)
     if thresholds:
         edges, extra = mt.at_thresholds(edges, thresholds), ["threshold", *extra]
-    pairs = mt.match_edges(slim(edges, keys, *extra, *keep), keys, solver, extra=extra, predictions=predictions, targets=targets)
+    edges = materialize(slim(edges, keys, *extra, *keep), "pair_edges")
+    pairs = mt.match_edges(edges, keys, solver, extra=extra, predictions=predictions, targets=targets)
     return mt.expand_pairs(materialize(pairs, "pairs"), predictions, targets, keys, extra=extra)
 
 
