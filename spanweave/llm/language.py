@@ -151,9 +151,12 @@ def _calibrated(model: Model, rows: DataFrame, sample: int) -> Model:
         for batch in batches:
             texts = [t.as_py() for t in batch.column(1).cast(pa.large_binary())]
             margins = [shared.value.margins(t).tolist() for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(margins, pa.list_(pa.float64()))], ["lang", "margins"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(margins, pa.list_(pa.float64()))], ["id", "lang", "margins"])
 
-    found = rows.join(F.broadcast(picked), "id").select("lang", "text").mapInArrow(measure, "lang string, margins array<double>").toArrow()
+    kind = rows.schema["id"].dataType.simpleString()
+    measured = rows.join(F.broadcast(picked), "id").select("id", "text", "lang").mapInArrow(measure, f"id {kind}, lang string, margins array<double>")
+    # one row for each id of the sample, however often it occurs
+    found = measured.groupBy("id").agg(F.max(F.struct("lang", "margins")).alias("row")).select("row.lang", "row.margins").toArrow()
     if not found.num_rows:
         return model
     margins = np.array(found.column("margins").to_pylist())

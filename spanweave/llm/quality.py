@@ -224,7 +224,9 @@ def fit(
     rows = texts.join(picked, F.col("__doc") == F.col("__id")).select(
         F.col("__id").cast("bigint").alias("id"), F.col("label").cast("int").alias("label"), F.col("__text").alias("text")
     )
-    found = rows.mapInArrow(pool, "id bigint, label int, x array<float>").toArrow()
+    pooled_rows = rows.mapInArrow(pool, "id bigint, label int, x array<float>")
+    # one row for each id of the sample, however often it occurs
+    found = pooled_rows.groupBy("id", "label").agg(F.max("x").alias("x")).toArrow()
     x = np.array(found.column("x").to_pylist(), np.float32).reshape(-1, WIDTH)
     order = np.lexsort((x[:, 0], found.column("id").to_numpy()))
     return vectors, train(x[order], found.column("label").to_numpy()[order])
