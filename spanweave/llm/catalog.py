@@ -97,11 +97,9 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     pieces = piece_lattice.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
-    encoded = piece_lattice.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces)
-    decoded = piece_lattice.decode(encoded, pieces)
-    return decoded.select(
-        "doc_id", F.size("__ids").cast("bigint").alias("n_pieces"), F.col("__ids").alias("ids"),
-        (F.col("__text") == F.translate(F.coalesce("text", F.lit("")), piece_lattice.MARK, " ")).alias("round_trip"),
+    encoded = piece_lattice.encode(table(spark, sf_dir, "documents"), pieces, keep=["doc_id"], verify=True)
+    return encoded.select(
+        "doc_id", F.size("__ids").cast("bigint").alias("n_pieces"), F.col("__ids").alias("ids"), F.col("__whole").alias("round_trip")
     )
 
 

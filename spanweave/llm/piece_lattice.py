@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 MARK = "▁"
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 FILTER_BITS = 20
-KNOWN_WORDS = 300_000
-SLICE_WORDS = 16_384
+KNOWN_WORDS = 120_000
+SLICE_WORDS = 8192
 
 
 class Pieces(NamedTuple):
@@ -211,9 +211,12 @@ def decode_ids(ids: np.ndarray, pieces: Pieces) -> str:
     return text.removeprefix(" ")
 
 
-def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", keep: list[str] | None = None, group: int = 256) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (all without it) and ``__ids``."""
-    docs = docs.drop("__ids")
+def encode(
+    docs: DataFrame, pieces: Pieces, text_col: str = "text", keep: list[str] | None = None, group: int = 256, verify: bool = False
+) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all without it) and ``__ids``; with ``verify`` also ``__whole``,
+    whether the ids decode to the text (spaces for space marks)."""
+    docs = docs.drop("__ids", "__whole")
     keep = docs.columns if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
 
@@ -222,14 +225,18 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", keep: list[s
         for batch in batches:
             for at in range(0, batch.num_rows, group):
                 part = batch.slice(at, group)
-                found = encoder.encode(part.column(text_col).to_pylist())
+                texts = part.column(text_col).to_pylist()
+                found = encoder.encode(texts)
                 ends = np.cumsum([0, *map(len, found)])
                 flat = np.concatenate(found) if found else np.empty(0, np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in keep), ids], [*keep, "__ids"])
+                made = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))]
+                if verify:
+                    made.append(pa.array([decode_ids(x, shared.value) == (t or "").replace(MARK, " ") for x, t in zip(found, texts)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in keep), *made], [*keep, *added])
 
+    added = ["__ids", "__whole"] if verify else ["__ids"]
     moved = docs.select(*[F.col(f"`{n}`") for n in [*keep, *([] if text_col in keep else [text_col])]])
-    schema = ", ".join([*(f"`{n}` {moved.schema[n].dataType.simpleString()}" for n in keep), "__ids array<int>"])
+    schema = ", ".join([*(f"`{n}` {moved.schema[n].dataType.simpleString()}" for n in keep), "__ids array<int>", *(["__whole boolean"] if verify else [])])
     return moved.mapInArrow(run, schema)
 
 

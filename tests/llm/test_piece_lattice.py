@@ -40,6 +40,8 @@ def test_odd_rows(spark, pieces):
     decoded = piece_lattice.decode(encoded, pieces)
     assert decoded.columns == [*odd_rows(spark).columns, "__ids", "__text"] and decoded.count() == 11
     assert all(r["__text"] == (r["text"] or "") for r in decoded.collect())
+    checked = piece_lattice.encode(odd_rows(spark), pieces, keep=["doc_id"], verify=True)
+    assert checked.columns == ["doc_id", "__ids", "__whole"] and [r["__whole"] for r in checked.collect()] == [True] * 11
     assert piece_lattice.decode(piece_lattice.encode(no_rows(spark), pieces), pieces).collect() == []
 
 
