@@ -234,7 +234,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     )
 
     def rows_of(some: DataFrame) -> DataFrame:
-        return docs.join(some.select("__keeper"), F.col(id_col) == F.col("__keeper"), "left_semi")
+        # as many keepers as classes: never broadcast, whatever the planner thinks of a small corpus
+        return docs.join(some.select("__keeper").hint("merge"), F.col(id_col) == F.col("__keeper"), "left_semi")
 
     kept = rows_of(keepers.where("__rows = 1")).unionAll(docs.where(F.col(id_col).isNull()))
     repeated = keepers.where("__rows > 1")
