@@ -228,7 +228,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The row with the smallest id of each class, with all its columns.
 
     Rows that share an id are one document: one of them stays. Rows without id stay."""
-    found = near_duplicates(docs, id_col, **options)
+    return keepers_of(docs, near_duplicates(docs, id_col, **options), id_col)
+
+
+def keepers_of(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """As :func:`keep_one`, for classes (id, component) that were found by any method."""
     keepers = materialize(
         found.where("id = component").groupBy(F.col("id").alias("__keeper")).agg(F.count("*").alias("__rows")), "keepers"
     )
