@@ -16,7 +16,8 @@ A benchmark of more than ``block_words`` window words is searched in blocks, eac
 documents; hits of earlier passes travel along in a column, so the result is the same.
 
 Defined results: a null text has no words; items without words match nothing; repeated items count once
-each under their own id, repeated documents are judged each; an empty benchmark leaves every document clean; other
+each under their own id; items without id count as one item whose id is null and comes first in the list, and their windows
+hit like any other; repeated documents are judged each; an empty benchmark leaves every document clean; other
 columns are kept (:func:`judge` appends its own under ``found``).
 """
 
@@ -39,6 +40,10 @@ WORD_BYTES = bytes(
 FOUND = "struct<n_words: bigint, spans: array<bigint>, items: array<bigint>>"
 
 
+def in_order(items: set[int | None]) -> list[int | None]:
+    return sorted(items, key=lambda x: (x is not None, x or 0))
+
+
 def words_of(raw: bytes | None) -> list[bytes]:
     return (raw or b"").translate(WORD_BYTES).split()
 
@@ -50,7 +55,7 @@ class Windows(NamedTuple):
     sizes: np.ndarray  # words in each window
     low: np.ndarray  # packed keys of the least suffix that starts with the window, one row per key
     high: np.ndarray  # and of the greatest
-    items: list[list[int]]  # ids of the items that hold each window
+    items: list[list[int | None]]  # ids of the items that hold each window
     bits: int
     longest: int
     shortest: int
@@ -70,9 +75,9 @@ def pack_keys(columns: list[np.ndarray], bits: int) -> list[np.ndarray]:
     return keys
 
 
-def build_windows(items: list[tuple[int, tuple[bytes, ...]]]) -> Windows | None:
+def build_windows(items: list[tuple[int | None, tuple[bytes, ...]]]) -> Windows | None:
     """items: (item id, words of one window)."""
-    holders: dict[tuple[bytes, ...], set[int]] = {}
+    holders: dict[tuple[bytes, ...], set[int | None]] = {}
     for item, words in items:
         holders.setdefault(words, set()).add(item)
     if not holders:
@@ -88,7 +93,7 @@ def build_windows(items: list[tuple[int, tuple[bytes, ...]]]) -> Windows | None:
     high = np.where(np.arange(longest) < sizes[:, None], low, (1 << bits) - 1)
     return Windows(
         vocabulary, sizes, np.array(pack_keys(list(low.T), bits)), np.array(pack_keys(list(high.T), bits)),
-        [sorted(holders[w]) for w in windows], bits, longest, int(sizes.min()),
+        [in_order(holders[w]) for w in windows], bits, longest, int(sizes.min()),
     )
 
 
@@ -156,7 +161,7 @@ def _judge_shard(texts: list[bytes | None], earlier: list[dict | None], windows:
             spans = spans + np.stack([own, own + windows.sizes[kind]], axis=1).ravel().tolist()
             for w in np.unique(kind).tolist():
                 items.update(windows.items[w])
-        out.append({"n_words": n, "spans": merge_spans(spans), "items": sorted(items)})
+        out.append({"n_words": n, "spans": merge_spans(spans), "items": in_order(items)})
     return out
 
 
@@ -195,7 +200,7 @@ def item_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: dict[tuple[int, bytes], None] = {}
+            rows: dict[tuple[int | None, bytes], None] = {}
             for item, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary())):
                 words = words_of(raw.as_py())
                 for i in range(max(1, len(words) - window + 1) if words else 0):
@@ -205,7 +210,7 @@ def item_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int)
             )
 
     rows = benchmark.select(F.col(id_col).cast("bigint").alias("item"), F.col(text_col).cast("string").alias("text"))
-    return rows.where("item is not null and text is not null").mapInArrow(cut, "item bigint, words string").distinct()
+    return rows.where("text is not null").mapInArrow(cut, "item bigint, words string").distinct()
 
 
 def find(

@@ -62,3 +62,13 @@ def test_suffix_array_order():
     tails = [tuple(ids[p : p + 3]) for p in places]
     assert tails == sorted(tails) and set(places.tolist()) == {0, 4, 5, 6, 7, 8, 9}
     assert sorted(suffixes.occurrences(ids, windows)[0].tolist()) == [0, 5, 8]
+
+
+def test_items_without_id(spark):
+    """Their windows hit; together they are one item, first in the list."""
+    items = [(None, "one two three"), (None, "nine"), (-3, "two three"), (0, "three"), (None, None)]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "one two three four"), (2, "eight nine ten"), (3, "four three"), (4, "five")], "doc_id bigint, text string")
+    want = [(1, 4, 3, [None, -3, 0], True), (2, 3, 1, [None], True), (3, 2, 1, [0], True), (4, 1, 0, [], False)]
+    assert judged(docs, benchmark) == want
+    assert judged(docs, benchmark, block_words=13) == want
