@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm import cover_tree, language, piece_lattice, pii, quality, simhash, suffixes, token_archive, url_filter, warc
+from spanweave.llm import (
+    backtrack, cover_tree, language, piece_lattice, pii, quality, simhash, suffixes, token_archive, url_filter, vantage, warc, whitening,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -175,3 +177,46 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"),
         (F.col("__score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+def _clusters_sql(rounds: int = 10) -> str:
+    """The rounds written out: assignment and exact means, one pair of views for each."""
+    steps = ["""v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS c, v AS m FROM v QUALIFY c < 8)"]
+    nearest = """SELECT vec_id, v, c AS cluster, d AS distance FROM (SELECT vec_id, v, c, list_sum(list_transform(range(1, 65), lambda i: (v[i] - m[i]) * (v[i] - m[i])))::BIGINT AS d
+  FROM v CROSS JOIN {c}) QUALIFY row_number() OVER (PARTITION BY vec_id, v ORDER BY d, c) = 1"""
+    for r in range(rounds):
+        steps.append(f"a{r} AS MATERIALIZED ({nearest.format(c=f'c{r}')})")
+        steps.append(f"""c{r + 1} AS MATERIALIZED (SELECT c, coalesce(n.m, c{r}.m) AS m FROM c{r} LEFT JOIN
+  (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM (SELECT cluster, i, sum(v[i])::BIGINT AS s, count(*) AS n
+    FROM (SELECT cluster, v, unnest(range(1, 65)) AS i FROM a{r}) GROUP BY cluster, i) GROUP BY cluster) n ON n.cluster = c{r}.c)""")
+    steps.append(f"a AS MATERIALIZED ({nearest.format(c=f'c{rounds}')})")
+    return f"""WITH {', '.join(steps)}
+SELECT vec_id, cluster::INTEGER AS cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia,
+       sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256 FROM a JOIN c{rounds} ON c = cluster"""
+
+
+@query(_clusters_sql())
+def op11_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after ten rounds, and the inertias."""
+    return vantage.cluster(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@query()
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight whitened components of every vector."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@query()
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and the text they decode to, as digests."""
+    import public_tokenizers
+
+    encoder = backtrack.load(public_tokenizers.path("word_bpe_49k.json"))
+    coded = backtrack.encode(table(spark, sf_dir, "documents"), encoder, keep=["doc_id"], ids_col="ids", decoded_col="decoded")
+    return coded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
