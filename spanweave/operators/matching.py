@@ -3,15 +3,18 @@
 Three different matchings exist and are not interchangeable: maximum cardinality in a fixed
 traversal order, maximum weight among the maximum-cardinality matchings, and plain maximum weight.
 Spark makes the candidate edges between distinct spans, settles every edge whose two ends are single
-and have no other edge, and cuts the rest into islands of overlapping edges. Only those small groups reach
-Python, streamed in sorted order through each partition and taken apart into connected components,
-so memory holds one island at a time. Each matching has one algorithm, with copies or without.
+and have no other edge, and finds the connected components of the rest by star steps. A component is what reaches
+Python, streamed in sorted order through each partition. There copies are counts: a class of equal spans is one node with
+its capacity, and the results say how many pairs an edge stands for and at which ranks of the two classes they
+begin. Spark then gives the pairs their numbers, by ranks and equi joins. Each matching has one
+algorithm, with copies or without.
 """
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
-from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -20,158 +23,241 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .intervalsets import union_spans
-from .ordered import sliced_rank
-from .rangejoin import contained_join
-
-
-class Edges(NamedTuple):
-    """Edges of one component between span classes; members are the numbers of the copies of a class,
-    null on all but one edge of it (and for single spans)."""
-
-    p: np.ndarray
-    t: np.ndarray
-    similarity: np.ndarray
-    p_n: np.ndarray
-    t_n: np.ndarray
-    p_members: np.ndarray
-    t_members: np.ndarray
-
-    def rows(self, which: np.ndarray) -> Edges:
-        return Edges(*(x[which] for x in self))
-
-
-# an edge row, how many pairs it stands for, and the numbers of the pair if they were chosen
-Chosen = tuple[int, int, object, object]
-Solver = Callable[[Edges], list[Chosen]]
-
-
-def _numbers(single: np.ndarray, members: np.ndarray) -> dict:
-    """Numbers of each class."""
-    found = {x: [x] for x in single.tolist()}
-    for name, own in zip(single.tolist(), members):
-        if own is not None and len(own):
-            found[name] = sorted(own)
-    return found
-
-
-def traversal_matching(edges: Edges) -> list[Chosen]:
+from .components import connected
+from .ordered import global_rank, sliced_lag, sliced_running, time_slice
+
+# one component: (p, t, similarity, copies of p, copies of t), the smallest p first
+Edge = tuple[int, int, float, int, int]
+# copies of a class that follow each other in the order of numbers
+Runs = list[tuple[int, int]]
+# an edge row, how many pairs it stands for, and the ranks of the first pair (p goes down, t goes up), if that matters
+Chosen = tuple[int, int, int | None, int | None]
+Solver = Callable[[list[Edge], Runs, Runs], list[Chosen]]
+
+
+class _Holders:
+    """Who holds the first members of a target class, in their order, as runs of falling member ranks."""
+
+    def __init__(self) -> None:
+        self.runs: list[tuple[int, int, int]] = []  # class, rank of the first member, length
+        self.starts: list[int] = []
+        self.held = 0
+
+    def at(self, rank: int) -> tuple[int, int, int]:
+        """Class, member rank and rest of the run that holds this member."""
+        i = bisect_right(self.starts, rank) - 1
+        own, high, length = self.runs[i]
+        offset = rank - self.starts[i]
+        return own, high - offset, length - offset
+
+    def put(self, rank: int, steps: int, own: int, member: int) -> None:
+        """The member takes this place; of the run behind it, ``steps - 1`` move back by one and one is pushed out."""
+        if rank == self.held:
+            self.held += 1
+            i, pieces = len(self.runs), [(own, member, 1)]
+        else:
+            i = bisect_right(self.starts, rank) - 1
+            old, high, length = self.runs[i]
+            offset = rank - self.starts[i]
+            pieces = [(old, high, offset), (own, member, 1), (old, high - offset, steps - 1), (old, high - offset - steps, length - offset - steps)]
+        low, up = max(i - 1, 0), i + 2
+        merged: list[tuple[int, int, int]] = []
+        for piece in [*self.runs[low:i], *pieces, *self.runs[i + 1 : up]]:
+            if not piece[2]:
+                continue
+            if merged and merged[-1][0] == piece[0] and merged[-1][1] - merged[-1][2] == piece[1]:
+                merged[-1] = (piece[0], merged[-1][1], merged[-1][2] + piece[2])
+            else:
+                merged.append(piece)
+        at = self.starts[low] if low < len(self.starts) else 0
+        starts = []
+        for piece in merged:
+            starts.append(at)
+            at += piece[2]
+        self.runs[low:up], self.starts[low:up] = merged, starts
+
+
+def traversal_matching(edges: list[Edge], p_runs: Runs = (), t_runs: Runs = ()) -> list[Chosen]:
     """Maximum cardinality by augmenting paths: predictions in order, each trying its targets by
     similarity, then by number; an owner that is asked for its target tries its own further ones.
 
-    Copies are walked one by one but share the list of their class. Within one search the targets a class
-    has tried stay tried, so its list is read once; and a class for which a search has failed stays unmatchable."""
-    p_numbers, t_numbers = _numbers(edges.p, edges.p_members), _numbers(edges.t, edges.t_members)
-    partners: dict = {name: [] for name in p_numbers}
-    for row in range(len(edges.p)):
-        partners[edges.p[row]] += [(-edges.similarity[row], number, row) for number in t_numbers[edges.t[row]]]
-    for tried in partners.values():
-        tried.sort()
-    owners: dict = {}
-    failed: set = set()
-    for number, name in sorted((number, name) for name, own in p_numbers.items() for number in own):
-        if name in failed:
-            continue
-        path, seen, at = [[number, name, None]], set(), dict.fromkeys(partners, 0)
-        while path:
-            own = path[-1][1]
-            tried = partners[own]
-            while at[own] < len(tried) and tried[at[own]][1] in seen:
-                at[own] += 1
-            if at[own] == len(tried):
-                path.pop()
+    Gives the pairs of a walk over single rows, but walks over classes: members of a target class are
+    asked in their order, so who holds them is a list of runs; a member that meets a run of its own class moves the
+    whole run back by one; and a class for which a search has failed stays unmatchable. ``p_runs`` and
+    ``t_runs`` tell how the copies lie among each other; without them every class is one row and its name is its number."""
+    room, options, row_of = {}, {}, {}
+    for row, (p, t, similarity, _, t_n) in enumerate(edges):
+        room[t] = t_n
+        options.setdefault(p, []).append((-similarity, t))
+        row_of[p, t] = row
+    groups: dict[int, list[list[int]]] = {}  # targets of equal similarity, the best first
+    for p, listed in options.items():
+        listed.sort()
+        groups[p] = []
+        for k, (similarity, t) in enumerate(listed):
+            if not k or similarity != listed[k - 1][0]:
+                groups[p].append([])
+            groups[p][-1].append(t)
+    places: dict[int, tuple[list[int], list[int]]] = {}  # of each target class: first ranks and places of its runs
+    ranks: dict = {}
+    for place, (t, n) in enumerate(t_runs):
+        first, where = places.setdefault(t, ([], []))
+        first.append(ranks.get(t, 0))
+        where.append(place)
+        ranks[t] = ranks.get(t, 0) + n
+
+    def place_of(t: int, rank: int) -> int:
+        return places[t][1][bisect_right(places[t][0], rank) - 1] if places else t
+
+    def run_end(t: int, rank: int) -> int:
+        first = places[t][0] if places else [0]
+        i = bisect_right(first, rank)
+        return first[i] if i < len(first) else room[t]
+
+    holders = {t: _Holders() for t in room}
+
+    def search(name: int, member: int) -> bool:
+        asked: dict[int, int] = {}  # members of each target class tried in this search
+        at: dict[int, int] = {}
+        path: list[tuple[int, int, int, int, int]] = []
+        frames = [(name, member)]
+        while frames:
+            own, member = frames[-1]
+            mine, g, free = groups[own], at.get(own, 0), []
+            while g < len(mine):
+                free = [t for t in mine[g] if asked.get(t, 0) < room[t]]
+                if free:
+                    break
+                g += 1
+            at[own] = g
+            if not free:
+                frames.pop()
+                if path:
+                    path.pop()
                 continue
-            path[-1][2] = tried[at[own]]
-            target = path[-1][2][1]
-            seen.add(target)
-            if target not in owners:
-                break
-            path.append([*owners[target][:2], None])
-        for asked, own, (_, target, row) in path:
-            owners[target] = (asked, own, row)
-        if not path:
-            failed.add(name)
-    return [(row, 1, number, target) for target, (number, _, row) in owners.items()]
+            target = free[0] if len(free) == 1 else min(free, key=lambda t: place_of(t, asked.get(t, 0)))
+            rank, held = asked.get(target, 0), holders[target]
+            if rank == held.held:
+                path.append((target, rank, 1, own, member))
+                for t, place, steps, who, number in path:
+                    holders[t].put(place, steps, who, number)
+                return True
+            other, number, rest = held.at(rank)
+            steps = 1
+            if other == own:
+                steps = rest if len(free) == 1 else min(rest, run_end(target, rank) - rank)
+                number -= steps - 1
+            path.append((target, rank, steps, own, member))
+            frames.append((other, number))
+            asked[target] = rank + steps
+        return False
+
+    for name, n in p_runs or [(p, 1) for p in sorted(groups)]:
+        if name not in groups:
+            continue
+        done = ranks.get(("p", name), 0)
+        while n and done >= 0:
+            n -= 1
+            done = done + 1 if search(name, done + 1) else -1
+        ranks["p", name] = done
+    return [
+        (row_of[own, t], length, high, start + 1)
+        for t, held in holders.items() for (own, high, length), start in zip(held.runs, held.starts)
+    ]
 
 
-def _flow(edges: Edges, all_pairs: bool) -> list[Chosen]:
-    """Maximum-weight flow between classes: cheapest augmenting paths, several units at once.
+def _flow(edges: list[Edge], all_pairs: bool) -> list[Chosen]:
+    """Maximum-weight flow between classes: cheapest augmenting paths, several units at once, found by a heap
+    over costs that potentials keep from being negative.
 
     With ``all_pairs`` it goes on to the largest number of pairs, else it stops without gain."""
-    sim = edges.similarity
-    ps, pi = np.unique(edges.p, return_inverse=True)
-    ts, ti = np.unique(edges.t, return_inverse=True)
-    room_p, room_t = np.zeros(len(ps), np.int64), np.zeros(len(ts), np.int64)
-    room_p[pi], room_t[ti] = edges.p_n, edges.t_n
-    units = np.zeros(len(sim), dtype=np.int64)
+    if len(edges) == 1:
+        return [(0, min(edges[0][3:]), None, None)] if all_pairs or edges[0][2] > 1e-12 else []
+    p_at: dict[int, int] = {}
+    t_at: dict[int, int] = {}
+    room_p, room_t, out, into = [], [], [], []
+    starts, stops, cost = [], [], []
+    for row, (p, t, similarity, p_n, t_n) in enumerate(edges):
+        i = p_at.setdefault(p, len(p_at))
+        j = t_at.setdefault(t, len(t_at))
+        if i == len(out):
+            out.append([])
+            room_p.append(p_n)
+        if j == len(into):
+            into.append([])
+            room_t.append(t_n)
+        out[i].append(row)
+        into[j].append(row)
+        starts.append(i)
+        stops.append(j)
+        cost.append(-similarity)
+    units = [0] * len(edges)
+    high_p = [0.0] * len(out)
+    high_t = [min(cost[r] for r in rows) for rows in into]
+    high_end = min(high_t)
     while True:
-        dist_p = np.where(room_p > 0, 0.0, np.inf)
-        dist_t = np.full(len(ts), np.inf)
-        via_t, via_p = np.full(len(ts), -1), np.full(len(ps), -1)
-        changed = True
-        while changed:
-            changed = False
-            for rows, start, stop, dist_a, dist_b, via, cost in (
-                (np.arange(len(sim)), pi, ti, dist_p, dist_t, via_t, -sim),
-                (np.flatnonzero(units), ti, pi, dist_t, dist_p, via_p, sim),
-            ):
-                reach = dist_a[start[rows]] + cost[rows]
-                for k in np.flatnonzero(reach < dist_b[stop[rows]] - 1e-12):
-                    if reach[k] < dist_b[stop[rows[k]]] - 1e-12:
-                        dist_b[stop[rows[k]]], via[stop[rows[k]]] = reach[k], rows[k]
-                        changed = True
-        ends = np.where(room_t > 0, dist_t, np.inf)
-        end = int(np.argmin(ends))
-        if not np.isfinite(ends[end]) or (not all_pairs and ends[end] >= -1e-12):
-            return [(int(r), int(u), None, None) for r, u in enumerate(units) if u]
-        path, node, amount = [], end, int(room_t[end])
+        dist_p = [-h if room else float("inf") for h, room in zip(high_p, room_p)]
+        dist_t, via_t, via_p = [float("inf")] * len(into), [-1] * len(into), [-1] * len(out)
+        heap = [(d, 0, i) for i, d in enumerate(dist_p) if d < float("inf")]
+        heapq.heapify(heap)
+        end, best = -1, float("inf")
+        while heap and heap[0][0] < best:
+            d, side, node = heapq.heappop(heap)
+            if side:
+                if d > dist_t[node]:
+                    continue
+                if room_t[node] and d + max(high_t[node] - high_end, 0.0) < best:
+                    end, best = node, d + max(high_t[node] - high_end, 0.0)
+                for r in into[node]:
+                    i = starts[r]
+                    if units[r] and (reach := d + max(high_t[node] - cost[r] - high_p[i], 0.0)) < dist_p[i]:
+                        dist_p[i], via_p[i] = reach, r
+                        heapq.heappush(heap, (reach, 0, i))
+            else:
+                if d > dist_p[node]:
+                    continue
+                for r in out[node]:
+                    j = stops[r]
+                    if (reach := d + max(cost[r] + high_p[node] - high_t[j], 0.0)) < dist_t[j]:
+                        dist_t[j], via_t[j] = reach, r
+                        heapq.heappush(heap, (reach, 1, j))
+        if end < 0:
+            break
+        high_p = [h + min(d, best) for h, d in zip(high_p, dist_p)]
+        high_t = [h + min(d, best) for h, d in zip(high_t, dist_t)]
+        high_end += best
+        path, node, amount = [], end, room_t[end]
         while True:
-            row = int(via_t[node])
+            row = via_t[node]
             path.append((row, 1))
-            source = int(pi[row])
+            source = starts[row]
             if via_p[source] < 0:
-                amount = min(amount, int(room_p[source]))
+                amount = min(amount, room_p[source])
                 break
-            back = int(via_p[source])
+            back = via_p[source]
             path.append((back, -1))
-            amount = min(amount, int(units[back]))
-            node = int(ti[back])
+            amount = min(amount, units[back])
+            node = stops[back]
+        # what the path costs, from its own edges, as potentials carry rounding
+        if not all_pairs and sum(cost[r] * sign for r, sign in path) >= -1e-12:
+            break
         room_p[source] -= amount
         room_t[end] -= amount
         for row, sign in path:
             units[row] += sign * amount
+    return [(row, n, None, None) for row, n in enumerate(units) if n]
 
 
-def weighted_cardinality_matching(edges: Edges) -> list[Chosen]:
+def weighted_cardinality_matching(edges: list[Edge], p_runs: Runs = (), t_runs: Runs = ()) -> list[Chosen]:
     """Maximum weight among the matchings of maximum cardinality."""
     return _flow(edges, True)
 
 
-def weighted_matching(edges: Edges) -> list[Chosen]:
+def weighted_matching(edges: list[Edge], p_runs: Runs = (), t_runs: Runs = ()) -> list[Chosen]:
     """Maximum total weight; an edge is left out when that helps."""
     return _flow(edges, False)
 
 
-def _components(p: np.ndarray, t: np.ndarray) -> list[np.ndarray]:
-    """Rows of each connected component of the edges, in order."""
-    _, pi = np.unique(p, return_inverse=True)
-    _, ti = np.unique(t, return_inverse=True)
-    ti = ti + len(pi)
-    label = {}
-
-    def find(x):
-        while label.setdefault(x, x) != x:
-            label[x] = label[label[x]]
-            x = label[x]
-        return x
-
-    for a, b in zip(pi.tolist(), ti.tolist()):
-        label[find(b)] = find(a)
-    root = np.array([find(a) for a in pi.tolist()])
-    order = np.argsort(root, kind="stable")
-    return np.split(order, np.flatnonzero(np.diff(root[order])) + 1)
-
-
 def _solve_sorted(groups: list[str], solver: Solver) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """mapInPandas function over rows sorted by ``groups``: solve group by group, keep the chosen rows."""
 
@@ -203,19 +289,24 @@ def _solve_sorted(groups: list[str], solver: Solver) -> Callable[[Iterator[pd.Da
 
 
 def _solve_rows(rows: pd.DataFrame, codes: np.ndarray, solver: Solver) -> pd.DataFrame:
-    columns = Edges(*(rows[c].to_numpy() for c in ("p_no", "t_no", "similarity", "p_n", "t_n", "p_members", "t_members")))
-    starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+    kinds = rows["_kind"].to_numpy()
+    whole = lambda c: rows[c].fillna(0).astype("int64").tolist()
+    p, t, p_n, t_n = map(whole, ("p_no", "t_no", "p_n", "t_n"))
+    edges = list(zip(p, t, rows["similarity"].tolist(), p_n, t_n))
+    starts = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (kinds[1:] != kinds[:-1])])
+    parts = list(zip(kinds[starts].tolist(), codes[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(codes)]))
     found: list[Chosen] = []
-    for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(codes)], strict=True):
-        for part in _components(columns.p[lo:hi], columns.t[lo:hi]):
-            own = part + lo
-            found += [(int(own[k]), *rest) for k, *rest in solver(columns.rows(own))]
+    for k, (kind, code, lo, hi) in enumerate(parts):
+        if kind:
+            continue
+        runs: dict[int, Runs] = {1: [], 2: []}
+        for other, same, a, b in parts[k + 1 : k + 3]:
+            if other and same == code:
+                runs[other] = list(zip((p, t)[other - 1][a:b], (p_n, t_n)[other - 1][a:b]))
+        found += [(lo + row, *rest) for row, *rest in solver(edges[lo:hi], runs[1], runs[2])]
     found.sort(key=lambda x: x[0])
-    chosen = rows.iloc[[x[0] for x in found]].drop(columns=["p_members", "t_members"])
-    if found and found[0][2] is not None:
-        one = np.ones(len(found), dtype=np.int64)
-        chosen = chosen.assign(p_no=[x[2] for x in found], t_no=[x[3] for x in found], p_n=one, t_n=one)
-    return chosen.assign(units=np.array([x[1] for x in found], dtype=np.int64))
+    chosen = rows.iloc[[x[0] for x in found]].drop(columns=["_kind", "_seq"])
+    return chosen.assign(units=np.array([x[1] for x in found], dtype=np.int64), p_at=[x[2] for x in found], t_at=[x[3] for x in found])
 
 
 def fold_copies(df: DataFrame, number: str, tag: str) -> DataFrame:
@@ -229,78 +320,91 @@ def fold_copies(df: DataFrame, number: str, tag: str) -> DataFrame:
 
 def match_edges(
     edges: DataFrame, keys: Sequence[str], solver: Solver, *, extra: Sequence[str] = (), predictions: DataFrame | None = None,
-    targets: DataFrame | None = None, slice_sec: float = 600.0,
+    targets: DataFrame | None = None,
 ) -> DataFrame:
-    """Chosen edges of a matching per (keys, extra), with ``units``.
+    """Chosen edges of a matching per (keys, extra), with ``units`` and, for the ordered matching, ``p_at`` and
+    ``t_at``: pair i of an edge is member p_at - i of its prediction class and t_at + i of its target class.
 
     ``edges`` (best written already, they are read three times): keys, extra (for example a threshold),
-    p_no, t_no, similarity, h_start, h_end (hull of everything the similarity of the pair looked at), and
-    p_n, t_n when their ends are folded copies. Overlapping hulls share an island, and edges of different islands share no end, so
-    islands can be solved apart. ``predictions`` and ``targets`` (the rows before folding) give the
-    ordered matching the numbers of the copies; its pairs are single rows.
+    p_no, t_no, similarity, and p_n, t_n when their ends are folded copies. ``predictions`` and ``targets`` (the rows before
+    folding) tell the ordered matching how copies of different classes lie among each other; how often the
+    class changes along the numbers of a component is what a task holds of them.
     """
     keys, extra = list(keys), list(extra)
     base = [*keys, *extra]
     ordered = solver is traversal_matching
     one = F.lit(1).cast("bigint")
     edges = edges.withColumns({c: one for c in ("p_n", "t_n") if c not in edges.columns})
-    p_degree = edges.groupBy(*base, "p_no").agg(F.count(F.lit(1)).alias("_dp"), F.min("t_no").alias("_first_t"))
+    p_degree = edges.groupBy(*base, "p_no").agg(F.count(F.lit(1)).alias("_dp"))
     t_degree = edges.groupBy(*base, "t_no").agg(F.count(F.lit(1)).alias("_dt"), F.min("p_no").alias("_first_p"))
     marked = edges.join(p_degree, [*base, "p_no"]).join(t_degree, [*base, "t_no"])
     lone = (F.col("_dp") == 1) & (F.col("_dt") == 1)
     if ordered:
         lone = lone & (F.col("p_n") == 1) & (F.col("t_n") == 1)
-    marked = materialize(
-        marked.select(
-            *edges.columns, lone.alias("_lone"), (F.col("t_no") == F.col("_first_t")).alias("_p_lead"),
-            (F.col("p_no") == F.col("_first_p")).alias("_t_lead"),
-        ),
-        "edges",
-    )
-    settled = marked.filter("_lone").select(*edges.columns, F.least("p_n", "t_n").alias("units"))
+    marked = materialize(marked.select(*edges.columns, "_first_p", lone.alias("_lone")), "edges")
+    no_rank = F.lit(None).cast("bigint")
+    settled = marked.filter("_lone").select(*edges.columns, F.least("p_n", "t_n").alias("units"), no_rank.alias("p_at"), no_rank.alias("t_at"))
     open_edges = marked.filter("NOT _lone").drop("_lone")
-    for tag, rows in (("p", predictions if ordered else None), ("t", targets if ordered else None)):
-        open_edges = _with_members(open_edges, rows, base, tag)
-    islands = union_spans(
-        open_edges.select(*base, F.col("h_start").alias("_is"), F.col("h_end").alias("_ie")),
-        base, "_is", "_ie", slice_sec=slice_sec,
-    )
-    grouped = contained_join(islands, open_edges, base, outer_span=("_is", "_ie"), inner_span=("h_start", "h_end"))
-    group = [*base, "_is"]
-    schema = T.StructType([*[edges.schema[c] for c in edges.columns], T.StructField("_is", T.DoubleType()), T.StructField("units", T.LongType())])
+    # predictions that share a target are linked, so the components of predictions are those of the edges
+    roots = connected(open_edges.select(*base, F.col("p_no").alias("a"), F.col("_first_p").alias("b")), base)
+    placed = open_edges.drop("_first_p").join(
+        roots.withColumnRenamed("node", "p_no"), [*base, "p_no"], "left"
+    ).withColumn("root", F.coalesce("root", "p_no")).withColumns({"_kind": F.lit(0), "_seq": no_rank})
+    if ordered:
+        placed = materialize(placed, "placed")
+        folded = placed.filter("p_n > 1 OR t_n > 1").select(*base, "root").distinct()
+        if folded.take(1):
+            inside = placed.join(folded, [*base, "root"], "left_semi")
+            for kind, (tag, rows) in enumerate((("p", predictions), ("t", targets)), 1):
+                runs = _runs(inside, rows, base, tag).withColumn("_kind", F.lit(kind))
+                placed = placed.unionByName(runs, allowMissingColumns=True)
+    group = [*base, "root"]
+    schema = T.StructType([*[T.StructField(c, placed.schema[c].dataType) for c in [*edges.columns]], T.StructField("root", placed.schema["root"].dataType), *[T.StructField(c, T.LongType()) for c in ("units", "p_at", "t_at")]])
     solved = (
-        grouped.select(*edges.columns, "_is", "p_members", "t_members")
+        placed.select(*edges.columns, "root", "_kind", "_seq")
         .repartition(*group)
-        .sortWithinPartitions(*group, "p_no", F.desc("similarity"), "t_no")
+        .sortWithinPartitions(*group, "_kind", "_seq", "p_no", F.desc("similarity"), "t_no")
         .mapInPandas(_solve_sorted(group, solver), schema)
-        .drop("_is")
+        .drop("root")
     )
     return settled.unionByName(solved)
 
 
-def _with_members(edges: DataFrame, rows: DataFrame | None, base: Sequence[str], tag: str) -> DataFrame:
-    """``{tag}_members``: the numbers of the copies of a folded end, on the first edge of its class only."""
-    number, lead, members = f"{tag}_no", f"_{tag}_lead", f"{tag}_members"
-    if rows is None:
-        return edges.drop(lead).withColumn(members, F.lit(None).cast(T.ArrayType(edges.schema[number].dataType)))
-    same = [c for c in rows.columns if c != number]
-    by = [c for c in base if c in rows.columns]
-    # only items whose open edges have folded ends need the numbers of their copies
-    asked = rows.join(edges.filter(f"{tag}_n > 1").select(*by).distinct(), by, "left_semi")
-    copies = asked.groupBy(*same).agg(F.min(number).alias(number), F.count(F.lit(1)).alias("_c"), F.collect_list(number).alias("_own"))
-    found = copies.filter("_c > 1").select(*by, number, F.lit(True).alias(lead), F.col("_own").alias(members))
-    return edges.join(found, [*by, number, lead], "left").drop(lead)
+def _with_class(rows: DataFrame, number: str) -> DataFrame:
+    """``_class``: the first number of the copies of a row (equal in all other columns, nulls included), and their count ``_copies``."""
+    same = F.struct(*[c for c in rows.columns if c != number]).alias("_same")
+    folds = rows.select(same, number).groupBy("_same").agg(F.min(number).alias("_class"), F.count(F.lit(1)).alias("_copies"))
+    return rows.select("*", same).join(folds, "_same").drop("_same")
 
 
-def expand_pairs(pairs: DataFrame, predictions: DataFrame, targets: DataFrame, keys: Sequence[str], *, extra: Sequence[str] = (), number_block: float = 10_000.0) -> DataFrame:
-    """Row-level pairs from folded ones: the members of both sides meet rank by rank.
+def _runs(edges: DataFrame, rows: DataFrame, base: Sequence[str], tag: str) -> DataFrame:
+    """Copies of the classes of each component that follow each other in the order of numbers."""
+    number = f"{tag}_no"
+    by = [c for c in base if c in rows.columns]
+    nodes = edges.select(*base, "root", F.col(number).alias("_class")).distinct()
+    asked = rows.join(edges.select(*by).distinct(), by, "left_semi")
+    members = _with_class(asked, number).select(*by, "_class", number).join(nodes, [*by, "_class"])
+    group = [*base, "root"]
+    # dense numbers over all components, so that slices of them are of one size whatever the numbers are
+    ranked = global_rank(members, [*map(F.col, group), F.col(number)], "_place")
+    block = time_slice("_place", 10_000.0)
+    ranked = sliced_lag(ranked, group, [F.col("_place")], block, {"_prior": F.col("_class")})
+    change = F.when(F.col("_prior").eqNullSafe(F.col("_class")), 0).otherwise(1).cast("bigint")
+    numbered = sliced_running(ranked, group, [F.col("_place")], block, sums={"_seq": change})
+    return numbered.groupBy(*group, "_seq", F.col("_class").alias(number)).agg(F.count(F.lit(1)).alias(f"{tag}_n"))
+
+
+def expand_pairs(pairs: DataFrame, predictions: DataFrame, targets: DataFrame, keys: Sequence[str], *, extra: Sequence[str] = ()) -> DataFrame:
+    """Row-level pairs from folded ones: the members of both sides meet rank by rank, at the ranks that the matching
+    gave or, where any will do, in order.
 
     ``pairs`` should be written already: it is looked at for folded rows, and read by two branches."""
     base = [*keys, *extra]
     single = (F.col("p_n") == 1) & (F.col("t_n") == 1)
     multi = pairs.filter(~single)
+    out = [c for c in pairs.columns if c not in ("p_at", "t_at")]
     if not multi.take(1):
-        return pairs
+        return pairs.select(*out)
     before = lambda by, order: F.coalesce(
         F.sum("units").over(Window.partitionBy(*base, by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
@@ -308,23 +412,34 @@ def expand_pairs(pairs: DataFrame, predictions: DataFrame, targets: DataFrame, k
     ranked = (
         multi.withColumns({"_op": before("p_no", "t_no"), "_ot": before("t_no", "p_no")})
         .withColumn("_u", unit)
-        .withColumns({"_rp": F.col("_op") + F.col("_u"), "_rt": F.col("_ot") + F.col("_u")})
+        .withColumns(
+            {
+                "_rp": F.coalesce(F.col("p_at") - F.col("_u") + 1, F.col("_op") + F.col("_u")),
+                "_rt": F.coalesce(F.col("t_at") + F.col("_u") - 1, F.col("_ot") + F.col("_u")),
+            }
+        )
     )
     for df, number, rank in ((predictions, "p_no", "_rp"), (targets, "t_no", "_rt")):
         by = [c for c in base if c in df.columns]
         asked = df.join(multi.select(*by).distinct(), by, "left_semi")
-        members = _member_ranks(asked, number, number_block).select(
+        members = _member_ranks(asked, number).select(
             *by, F.col("_class").alias(number), F.col("_rank").alias(rank), F.col(number).alias("_member")
         )
         ranked = ranked.join(members, [*by, number, rank], "left").withColumn(number, F.coalesce("_member", number)).drop("_member")
-    return pairs.filter(single).unionByName(ranked.select(*pairs.columns)).withColumn("units", F.lit(1).cast("bigint"))
+    return pairs.filter(single).select(*out).unionByName(ranked.select(*out)).withColumn("units", F.lit(1).cast("bigint"))
 
 
-def _member_ranks(df: DataFrame, number: str, number_block: float) -> DataFrame:
-    """Rows that have copies, with the number of their fold and their rank in it."""
-    same = [c for c in df.columns if c != number]
-    folds = fold_copies(df, number, "_m").filter("_m_n > 1").drop("_m_n").withColumnRenamed(number, "_class")
-    return sliced_rank(df.join(folds, same), same, [F.col(number)], F.floor(F.col(number) / number_block), "_rank")
+def _member_ranks(df: DataFrame, number: str) -> DataFrame:
+    """Rows that have copies, with the number of their fold and their rank in it.
+
+    All such rows are numbered once in the order of (fold, number); a rank is the distance to the first of the fold."""
+    others = [c for c in df.columns if c != number]
+    copies = _with_class(df, number).filter("_copies > 1").drop("_copies")
+    # folds of different items may share a first number
+    ranked = materialize(global_rank(copies, [*map(F.col, others), F.col(number)], "_place"), "members")
+    fold = F.struct(*others).alias("_fold")
+    first = ranked.select(fold, "_place").groupBy("_fold").agg(F.min("_place").alias("_from"))
+    return ranked.select("*", fold).join(first, "_fold").withColumn("_rank", F.col("_place") - F.col("_from") + 1).drop("_fold", "_from", "_place")
 
 
 def at_thresholds(edges: DataFrame, thresholds: Sequence[float]) -> DataFrame:
@@ -340,11 +455,9 @@ def duplicates(predictions: DataFrame, edges: DataFrame, pairs: DataFrame, keys:
     been matched to it), so an unmatched prediction with any edge is a duplicate. ``edges`` may be
     folded; ``predictions`` are the rows before folding, ``pairs`` row-level."""
     base = [*keys, *extra]
-    same = [c for c in predictions.columns if c != "p_no"]
-    classes = fold_copies(predictions, "p_no", "_d").drop("_d_n").withColumnRenamed("p_no", "_class")
     near = edges.select(*base, F.col("p_no").alias("_class")).distinct()
     by = [c for c in base if c in predictions.columns]
-    rows = predictions.join(classes, same).join(near, [*by, "_class"]).drop("_class")
+    rows = _with_class(predictions, "p_no").drop("_copies").join(near, [*by, "_class"]).drop("_class")
     return rows.join(pairs.select(*base, "p_no"), [*base, "p_no"], "left_anti")
 
 

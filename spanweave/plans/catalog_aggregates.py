@@ -189,7 +189,6 @@ def event_scores(spark, sf):
     )
 
 
-# the mean of decisive coverage depends on which of several equal matchings is taken, so the queries leave it out
 EVENT_COLS = [*RATE_COLS, "candidate_recall", "verification_recall"]
 EVENT_SIM = (
     f"greatest({IOU.format('ps', 'pe', 'ts', 'te')}, {IOU.format('ps', 'pe', 'ts + 20', 'te + 20')}, {OVER.format('ps', 'pe', 'ts + 1', 'ts + 3')} / 2)"
@@ -225,12 +224,26 @@ def event_sql(group: str) -> str:
     ) + f"SELECT {group} threshold, videos, {counts}, {rates} FROM t"
 
 
-@query("agg_event_metrics", event_sql(""))
+# which of several equal matchings is taken decides the mean of decisive coverage, so the SQL of the totals leaves it out;
+# the whole rows are tested against plain walks
+
+
+@query("agg_event_metrics")
+def _(spark, sf):
+    return rounded(sg.event_totals(event_scores(spark, sf), []), [*EVENT_COLS, "mean_decisive_coverage"])
+
+
+@query("agg_event_totals", event_sql(""))
 def _(spark, sf):
     return rounded(sg.event_totals(event_scores(spark, sf), []).drop("mean_decisive_coverage"), EVENT_COLS)
 
 
-@query("agg_by_cohort", event_sql("cohort,"))
+@query("agg_by_cohort")
+def _(spark, sf):
+    return rounded(sg.by_cohort(event_scores(spark, sf)), [*EVENT_COLS, "mean_decisive_coverage"])
+
+
+@query("agg_cohort_totals", event_sql("cohort,"))
 def _(spark, sf):
     return rounded(sg.by_cohort(event_scores(spark, sf)).drop("mean_decisive_coverage"), EVENT_COLS)
 

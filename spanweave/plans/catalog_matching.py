@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import intervals as iv
 from ..functions import labels as lb
 from ..operators import matching as mt
 from ..operators import sampling as sm
@@ -53,13 +54,33 @@ def near_sql(name: str, where: str) -> str:
     return f"{name} AS (SELECT video_id, p_no, t_no, similarity FROM edges WHERE {where})"
 
 
+def pair_columns(pairs):
+    """Pairs with their IoU and the share of the target that is covered."""
+    return pairs.select(
+        "video_id", "p_no", "t_no", F.round("similarity", 6).alias("similarity"), F.round(iv.reference_coverage(*sg.SPANS), 6).alias("coverage")
+    )
+
+
+def span_pairs(spark, sf, solver, threshold):
+    return sg.match_spans(*spans(spark, sf), KEYS, solver, threshold, keep=sg.SPANS)
+
+
+# Several matchings can be equally good, and which pairs a traversal takes is no property that SQL can state, so the queries that
+# return pairs are tested against plain walks; a query of totals beside each has the SQL check.
+
+
+@query("mt_max_cardinality")
+def _(spark, sf):
+    return pair_columns(span_pairs(spark, sf, mt.traversal_matching, 0.3))
+
+
 @query(
-    "mt_max_cardinality",
+    "mt_max_cardinality_used",
     recursive("seg", EDGES_SQL, near_sql("near", "similarity >= 0.3"), matching_sql("m", "near")) + "SELECT video_id, p_no, pairs FROM m_used",
 )
 def _(spark, sf):
     """The predictions that a traversal in order matches, and how many they are."""
-    pairs = materialize(sg.match_spans(*spans(spark, sf), KEYS, mt.traversal_matching, 0.3).select("video_id", "p_no"), "pairs")
+    pairs = materialize(span_pairs(spark, sf, mt.traversal_matching, 0.3).select("video_id", "p_no"), "pairs")
     return pairs.join(pairs.groupBy("video_id").agg(F.count(F.lit(1)).alias("pairs")), "video_id")
 
 
@@ -67,22 +88,32 @@ def weights(pairs):
     return pairs.groupBy("video_id").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.sum("similarity"), 6).alias("weight"))
 
 
+@query("mt_max_weight_cardinality")
+def _(spark, sf):
+    return pair_columns(span_pairs(spark, sf, mt.weighted_cardinality_matching, 0.3))
+
+
 @query(
-    "mt_max_weight_cardinality",
+    "mt_max_weight_cardinality_totals",
     recursive("seg", EDGES_SQL, near_sql("near", "similarity >= 0.3"), matching_sql("m", "near"))
     + "SELECT video_id, pairs, round(weight, 6) AS weight FROM m",
 )
 def _(spark, sf):
-    return weights(sg.match_spans(*spans(spark, sf), KEYS, mt.weighted_cardinality_matching, 0.3))
+    return weights(span_pairs(spark, sf, mt.weighted_cardinality_matching, 0.3))
+
+
+@query("mt_max_weight")
+def _(spark, sf):
+    return pair_columns(span_pairs(spark, sf, mt.weighted_matching, 0.0))
 
 
 @query(
-    "mt_max_weight",
+    "mt_max_weight_totals",
     recursive("seg", EDGES_SQL, near_sql("near", "similarity > 0"), matching_sql("m", "near"))
     + "SELECT video_id, round(free_weight, 6) AS weight FROM m",
 )
 def _(spark, sf):
-    return weights(sg.match_spans(*spans(spark, sf), KEYS, mt.weighted_matching, 0.0)).drop("pairs")
+    return weights(span_pairs(spark, sf, mt.weighted_matching, 0.0)).drop("pairs")
 
 
 def required_and_optional(spark, sf):
@@ -99,8 +130,15 @@ TWO_STAGE_SQL = recursive(
 )
 
 
+@query("mt_two_stage")
+def _(spark, sf):
+    required, optional = sg.two_stage(*required_and_optional(spark, sf), KEYS, 0.3, keep=sg.SPANS)
+    mark = lambda pairs, stage: pair_columns(pairs).withColumn("stage", F.lit(stage))
+    return mark(required, "required").unionByName(mark(optional, "optional"))
+
+
 @query(
-    "mt_two_stage",
+    "mt_two_stage_used",
     TWO_STAGE_SQL + "SELECT video_id, p_no, 'required' AS stage FROM m_used UNION ALL SELECT video_id, p_no, 'optional' FROM o_used",
 )
 def _(spark, sf):
@@ -131,8 +169,17 @@ def half_pairs(spark, sf):
     return materialize(sg.match_spans(*spans(spark, sf), KEYS, mt.traversal_matching, 0.5).select("video_id", "p_no", "t_no"), "pairs")
 
 
+@query("mt_unmatched")
+def _(spark, sf):
+    """Predictions and targets that the ordered matching at IoU 0.5 leaves over."""
+    p, t = sides(spark, sf)
+    pairs = half_pairs(spark, sf)
+    left = lambda rows, number, side: mt.unmatched(rows, pairs, KEYS, number).select("video_id", F.col(number).alias("no"), F.lit(side).alias("side"))
+    return left(p, "p_no", "prediction").unionByName(left(t, "t_no", "target"))
+
+
 @query(
-    "mt_unmatched",
+    "mt_unmatched_totals",
     recursive("seg", *HALF_SQL)
     + """SELECT video_id, CAST(seg_no AS VARCHAR) AS missed, 'prediction' AS side FROM seg s WHERE side = 1 AND NOT EXISTS (SELECT 1 FROM m_used u WHERE u.video_id = s.video_id AND u.p_no = s.seg_no)
 UNION ALL SELECT video_id, CAST(n - coalesce(pairs, 0) AS VARCHAR), 'targets' FROM (SELECT video_id, count(*) AS n FROM seg WHERE side = 0 GROUP BY video_id) t LEFT JOIN (SELECT video_id, pairs FROM m) USING (video_id)

@@ -19,10 +19,7 @@ from ..session import materialize
 
 def iou_edges(predictions: DataFrame, targets: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
     """Edges by IoU. ``predictions``: keys, p_no, p_start, p_end; ``targets``: keys, t_no, t_start, t_end."""
-    edges = candidate_edges(
-        predictions, targets, keys, lambda: iv.iou("p_start", "p_end", "t_start", "t_end"), threshold
-    )
-    return _with_hull(edges, "t_start", "t_end")
+    return candidate_edges(predictions, targets, keys, lambda: iv.iou("p_start", "p_end", "t_start", "t_end"), threshold)
 
 
 def coverage_edges(predictions: DataFrame, targets: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
@@ -30,7 +27,7 @@ def coverage_edges(predictions: DataFrame, targets: DataFrame, keys: Sequence[st
     edges = candidate_edges(
         predictions, targets, keys, lambda: iv.reference_coverage("p_start", "p_end", "t_start", "t_end"), threshold
     )
-    return _with_hull(edges.withColumn("iou", iv.iou("p_start", "p_end", "t_start", "t_end")), "t_start", "t_end")
+    return edges.withColumn("iou", iv.iou("p_start", "p_end", "t_start", "t_end"))
 
 
 def event_edges(predictions: DataFrame, targets: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
@@ -50,14 +47,11 @@ def event_edges(predictions: DataFrame, targets: DataFrame, keys: Sequence[str],
         threshold, target_span=("th_start", "th_end"),
     )
     edges = edges.withColumn("decisive", iv.decisive_coverage("p_start", "p_end", F.col("evidence")))
-    return _with_hull(edges, "th_start", "th_end").drop("alternatives", "evidence", "th_start", "th_end")
-
-
-def _with_hull(edges: DataFrame, start: str, end: str) -> DataFrame:
-    return edges.withColumns({"h_start": F.least("p_start", start), "h_end": F.greatest("p_end", end)})
+    return edges.drop("alternatives", "evidence", "th_start", "th_end")
 
 
-CORE = ("p_no", "t_no", "similarity", "h_start", "h_end", "p_n", "t_n")
+CORE = ("p_no", "t_no", "similarity", "p_n", "t_n")
+SPANS = ("p_start", "p_end", "t_start", "t_end")
 
 
 def slim(edges: DataFrame, keys: Sequence[str], *extra: str) -> DataFrame:
@@ -82,11 +76,11 @@ def match_spans(predictions: DataFrame, targets: DataFrame, keys: Sequence[str],
     return mt.expand_pairs(materialize(pairs, "pairs"), predictions, targets, keys, extra=extra)
 
 
-def two_stage(predictions: DataFrame, required: DataFrame, optional: DataFrame, keys: Sequence[str], threshold: float, *, build=iou_edges) -> tuple[DataFrame, DataFrame]:
+def two_stage(predictions: DataFrame, required: DataFrame, optional: DataFrame, keys: Sequence[str], threshold: float, *, keep: Sequence[str] = (), build=iou_edges) -> tuple[DataFrame, DataFrame]:
     """Required targets first; predictions left over are then matched to optional targets."""
-    first = materialize(match_spans(predictions, required, keys, mt.traversal_matching, threshold, build=build), "first_stage")
+    first = materialize(match_spans(predictions, required, keys, mt.traversal_matching, threshold, keep=keep, build=build), "first_stage")
     rest = predictions.join(first.select(*keys, "p_no"), [*keys, "p_no"], "left_anti")
-    return first, match_spans(rest, optional, keys, mt.traversal_matching, threshold, build=build)
+    return first, match_spans(rest, optional, keys, mt.traversal_matching, threshold, keep=keep, build=build)
 
 
 # --- answers of one window -----------------------------------------------------------------------

@@ -7,7 +7,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from spanweave.operators import intervalsets as ivs
-from spanweave.operators.rangejoin import contained_join, overlap_join, overlap_semi
+from spanweave.operators.rangejoin import contained_join, overlap_join, overlap_semi, unplaceable
 
 SPAN = "k string, no int, start_sec double, end_sec double"
 
@@ -84,6 +84,58 @@ def test_contained_join_salted(spark, hot):
     assert got == sorted(want, key=repr)
 
 
+def far_spans(seed, n):
+    """Spans from a second to tens of years, some open, some that cannot be placed."""
+    draw = random.Random(seed)
+    out = []
+    for no in range(n):
+        start = draw.choice([0.0, 10.0, 1e4, 5e6, -3e8]) + draw.randint(0, 40)
+        end = start + draw.choice([0.0, 1.0, 30.0, 5e3, 9e5, 7e7, 2e9, 1e17])
+        start, end = draw.choice([(start, end)] * 8 + [(float("-inf"), end), (start, float("inf"))])
+        out.append((draw.choice("ab"), no, start, end))
+    inf, nan = float("inf"), float("nan")
+    return [*out, ("a", n, -inf, inf), ("a", n + 1, nan, 5.0), ("a", n + 2, 5.0, None), ("a", n + 3, 9.0, 2.0), ("b", n + 4, 1e300, 2e300), ("b", n + 5, inf, inf)]
+
+
+@pytest.mark.parametrize("hot", [None, 1, 100_000_000])
+@pytest.mark.parametrize("touching", [False, True])
+def test_spans_of_any_length_meet(spark, hot, touching):
+    left, right = far_spans(1, 60), far_spans(2, 50)
+    r = spark.createDataFrame(right, SPAN).selectExpr("k", "no AS r_no", "start_sec AS r_start_sec", "end_sec AS r_end_sec")
+    l_df = spark.createDataFrame(left, SPAN)
+    got = rows(overlap_join(l_df, r, ["k"], hot_pairs=hot, touching=touching), "no", "r_no")
+    good = lambda x: x[2] is not None and x[3] is not None and x[2] <= x[3]
+    meet = lambda a, b: good(a) and good(b) and (a[2] <= b[3] and b[2] <= a[3] if touching else a[2] < b[3] and b[2] < a[3])
+    assert got == sorted([(a[1], b[1]) for a in left for b in right if a[0] == b[0] and meet(a, b)], key=repr)
+    if not touching:
+        hit = {x[0] for x in got}
+        assert {x[0] for x in rows(overlap_semi(l_df, r, ["k"], ["no"], anti=True), "no")} == {a[1] for a in left} - hit
+        assert {x[0] for x in rows(unplaceable(l_df, ("start_sec", "end_sec")), "no")} == {a[1] for a in left if not good(a)}
+        inside = rows(contained_join(l_df, r, ["k"], outer_span=("start_sec", "end_sec"), inner_span=("r_start_sec", "r_end_sec"), hot_pairs=hot), "no", "r_no")
+        want = [(a[1], b[1]) for a in left for b in right if a[0] == b[0] and good(a) and good(b) and a[2] <= b[2] and b[3] <= a[3]]
+        assert inside == sorted(want, key=repr)
+
+
+def test_a_long_span_covers(spark):
+    long, short = spark.createDataFrame([("k", 1, 0.0, 7e7)], SPAN), spark.createDataFrame([("k", 2, 10.0, 20.0)], SPAN)
+    r = long.selectExpr("k", "start_sec AS r_start_sec", "end_sec AS r_end_sec")
+    assert overlap_join(short, r, ["k"]).count() == 1
+    assert rows(ivs.covered_seconds(short, long, ["k"], ["k", "no"]), "covered_sec") == [(10.0,)]
+    assert overlap_semi(short, r, ["k"], ["no"], anti=True).collect() == []
+
+
+def test_one_long_span_does_not_multiply_the_rest(spark):
+    """Short spans are guests of the long one's level, and guests do not meet there."""
+    from spanweave.operators import rangejoin
+
+    left = spark.range(2000).selectExpr("'k' AS k", "id AS no", "id * 100D AS start_sec", "id * 100D + 5 AS end_sec")
+    right = left.selectExpr("k", "no AS r_no", "start_sec AS r_start_sec", "end_sec AS r_end_sec")
+    left = left.unionByName(spark.createDataFrame([("k", -1, 0.0, 7e7)], "k string, no bigint, start_sec double, end_sec double"))
+    met = rangejoin._meet(left, right, ["k"], ("start_sec", "end_sec"), ("r_start_sec", "r_end_sec"), 60.0, 100_000_000, False)
+    assert met.count() < 4 * 2000 + 100
+    assert overlap_join(left, right, ["k"]).count() == 4000
+
+
 def test_semi_and_anti(spark):
     left, right = spans(10, 40), spans(11, 8)
     r = spark.createDataFrame(right, SPAN).selectExpr("k", "start_sec AS r_start_sec", "end_sec AS r_end_sec")
