@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -36,9 +36,12 @@ def connected(links: DataFrame, keys: Sequence[str]) -> DataFrame:
     now = links.filter("a <> b").select(*keys, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     seen = None
     while True:
-        now = materialize(now, "links")
-        total = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*keys, "a", "b").cast("decimal(38,0)"))).first()
-        if not total[0] or total == seen:
+        # count and checksum are taken while the links are written
+        noted = Observation()
+        checksum = F.sum(F.xxhash64(*keys, "a", "b").cast("decimal(38,0)"))
+        now = materialize(now.observe(noted, F.count(F.lit(1)).alias("n"), checksum.alias("sum")), "links")
+        total = noted.get
+        if not total["n"] or total == seen:
             return now.select(*keys, F.col("a").alias("node"), F.col("b").alias("root"))
         seen = total
         now = _small_star(_large_star(now, keys), keys)

@@ -355,9 +355,7 @@ def match_edges(
         folded = placed.filter("p_n > 1 OR t_n > 1").select(*base, "root").distinct()
         if folded.take(1):
             inside = placed.join(folded, [*base, "root"], "left_semi")
-            for kind, (tag, rows) in enumerate((("p", predictions), ("t", targets)), 1):
-                runs = _runs(inside, rows, base, tag).withColumn("_kind", F.lit(kind))
-                placed = placed.unionByName(runs, allowMissingColumns=True)
+            placed = placed.unionByName(_runs(inside, predictions, targets, base), allowMissingColumns=True)
     group = [*base, "root"]
     schema = T.StructType([*[T.StructField(c, placed.schema[c].dataType) for c in [*edges.columns]], T.StructField("root", placed.schema["root"].dataType), *[T.StructField(c, T.LongType()) for c in ("units", "p_at", "t_at")]])
     solved = (
@@ -377,21 +375,25 @@ def _with_class(rows: DataFrame, number: str) -> DataFrame:
     return rows.select("*", same).join(folds, "_same").drop("_same")
 
 
-def _runs(edges: DataFrame, rows: DataFrame, base: Sequence[str], tag: str) -> DataFrame:
-    """Copies of the classes of each component that follow each other in the order of numbers."""
-    number = f"{tag}_no"
-    by = [c for c in base if c in rows.columns]
-    nodes = edges.select(*base, "root", F.col(number).alias("_class")).distinct()
-    asked = rows.join(edges.select(*by).distinct(), by, "left_semi")
-    members = _with_class(asked, number).select(*by, "_class", number).join(nodes, [*by, "_class"])
-    group = [*base, "root"]
+def _runs(edges: DataFrame, predictions: DataFrame, targets: DataFrame, base: Sequence[str]) -> DataFrame:
+    """Copies of the classes of each component that follow each other in the order of numbers (``_kind`` 1: predictions, 2: targets)."""
+    group = [*base, "root", "_kind"]
+    sides = []
+    for kind, (number, rows) in enumerate((("p_no", predictions), ("t_no", targets)), 1):
+        by = [c for c in base if c in rows.columns]
+        nodes = edges.select(*base, "root", F.col(number).alias("_class"), F.lit(kind).alias("_kind")).distinct()
+        asked = rows.join(edges.select(*by).distinct(), by, "left_semi")
+        members = _with_class(asked, number).select(*by, "_class", F.col(number).alias("_number"))
+        sides.append(members.join(nodes, [*by, "_class"]).select(*group, "_class", "_number"))
     # dense numbers over all components, so that slices of them are of one size whatever the numbers are
-    ranked = global_rank(members, [*map(F.col, group), F.col(number)], "_place")
+    ranked = global_rank(sides[0].unionByName(sides[1]), [*map(F.col, group), F.col("_number")], "_place")
     block = time_slice("_place", 10_000.0)
     ranked = sliced_lag(ranked, group, [F.col("_place")], block, {"_prior": F.col("_class")})
     change = F.when(F.col("_prior").eqNullSafe(F.col("_class")), 0).otherwise(1).cast("bigint")
     numbered = sliced_running(ranked, group, [F.col("_place")], block, sums={"_seq": change})
-    return numbered.groupBy(*group, "_seq", F.col("_class").alias(number)).agg(F.count(F.lit(1)).alias(f"{tag}_n"))
+    runs = numbered.groupBy(*group, "_seq", "_class").agg(F.count(F.lit(1)).alias("_n"))
+    mine = {f"{tag}{c}": F.when(F.col("_kind") == kind, F.col(x)) for kind, tag in ((1, "p"), (2, "t")) for c, x in (("_no", "_class"), ("_n", "_n"))}
+    return runs.select(*group, "_seq", *[c.alias(n) for n, c in mine.items()])
 
 
 def expand_pairs(pairs: DataFrame, predictions: DataFrame, targets: DataFrame, keys: Sequence[str], *, extra: Sequence[str] = ()) -> DataFrame:
@@ -419,27 +421,30 @@ def expand_pairs(pairs: DataFrame, predictions: DataFrame, targets: DataFrame, k
             }
         )
     )
-    for df, number, rank in ((predictions, "p_no", "_rp"), (targets, "t_no", "_rt")):
+    members = _member_ranks(multi, predictions, targets, base)
+    for kind, df, number, rank in ((1, predictions, "p_no", "_rp"), (2, targets, "t_no", "_rt")):
         by = [c for c in base if c in df.columns]
-        asked = df.join(multi.select(*by).distinct(), by, "left_semi")
-        members = _member_ranks(asked, number).select(
-            *by, F.col("_class").alias(number), F.col("_rank").alias(rank), F.col(number).alias("_member")
-        )
-        ranked = ranked.join(members, [*by, number, rank], "left").withColumn(number, F.coalesce("_member", number)).drop("_member")
+        own = members.filter(F.col("_kind") == kind).select(*by, F.col("_class").alias(number), F.col("_rank").alias(rank), "_member")
+        ranked = ranked.join(own, [*by, number, rank], "left").withColumn(number, F.coalesce("_member", number)).drop("_member")
     return pairs.filter(single).select(*out).unionByName(ranked.select(*out)).withColumn("units", F.lit(1).cast("bigint"))
 
 
-def _member_ranks(df: DataFrame, number: str) -> DataFrame:
-    """Rows that have copies, with the number of their fold and their rank in it.
-
-    All such rows are numbered once in the order of (fold, number); a rank is the distance to the first of the fold."""
-    others = [c for c in df.columns if c != number]
-    copies = _with_class(df, number).filter("_copies > 1").drop("_copies")
-    # folds of different items may share a first number
-    ranked = materialize(global_rank(copies, [*map(F.col, others), F.col(number)], "_place"), "members")
-    fold = F.struct(*others).alias("_fold")
+def _member_ranks(pairs: DataFrame, predictions: DataFrame, targets: DataFrame, base: Sequence[str]) -> DataFrame:
+    """Copies of the items of ``pairs``, with the class they belong to and their rank in it (``_kind`` 1: predictions, 2: targets).
+
+    All copies are numbered once in the order of (class, number); a rank is the distance to the first of its class."""
+    sides = []
+    for kind, (number, rows) in enumerate((("p_no", predictions), ("t_no", targets)), 1):
+        by = [c for c in base if c in rows.columns]
+        asked = rows.join(pairs.select(*by).distinct(), by, "left_semi")
+        missing = [F.lit(None).cast(pairs.schema[c].dataType).alias(c) for c in base if c not in by]
+        copies = _with_class(asked, number).filter("_copies > 1")
+        sides.append(copies.select(*by, *missing, F.lit(kind).alias("_kind"), "_class", F.col(number).alias("_member")).select(*base, "_kind", "_class", "_member"))
+    own = [*base, "_kind", "_class"]
+    ranked = global_rank(sides[0].unionByName(sides[1]), [*map(F.col, own), F.col("_member")], "_place")
+    fold = F.struct(*own).alias("_fold")
     first = ranked.select(fold, "_place").groupBy("_fold").agg(F.min("_place").alias("_from"))
-    return ranked.select("*", fold).join(first, "_fold").withColumn("_rank", F.col("_place") - F.col("_from") + 1).drop("_fold", "_from", "_place")
+    return ranked.select("*", fold).join(first, "_fold").withColumn("_rank", F.col("_place") - F.col("_from") + 1).select(*own, "_member", "_rank")
 
 
 def at_thresholds(edges: DataFrame, thresholds: Sequence[float]) -> DataFrame:

@@ -82,6 +82,10 @@ def _place(level: int, meets: int, first: Column, tag: str) -> Callable[[Column]
 def _bucketed(df: DataFrame, span: Span, bucket_sec: float, tag: str, levels: Sequence[int], own_only: bool = False) -> DataFrame:
     """Rows by bucket: ``_level``, ``_bucket``, ``_meets`` and whether it is the first bucket of the span (``_{tag}first``)."""
     home = _home(span, bucket_sec)
+    if len(levels) == 1:
+        first, last = _buckets(span, bucket_sec, levels[0])
+        placed = df.withColumn("_bucket", F.explode(F.when(home == levels[0], F.sequence(first, last))))
+        return placed.withColumns({"_level": F.lit(levels[0]), "_meets": F.lit(0), f"_{tag}first": F.col("_bucket") == first})
     lists = []
     for n in levels:
         first, last = _buckets(span, bucket_sec, n)
@@ -110,9 +114,9 @@ def _levels_in_use(left: DataFrame, right: DataFrame, keys: list[str], left_span
         return df.select(*keys, home.alias("_home"), at.alias("_b")).select(cell, "_home", *sides)
 
     both = counted(left, left_span, "l").unionByName(counted(right, (right_span[0], right_span[0]) if inner_start else right_span, "r"))
-    cells = both.groupBy("_cell").agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"), F.collect_set("_home").alias("_homes"))
-    row = cells.agg(F.max(F.col("_l").cast("double") * F.col("_r")).alias("pairs"), F.array_distinct(F.flatten(F.collect_set("_homes"))).alias("homes")).first()
-    return sorted(row["homes"] or [0]), row["pairs"] or 0
+    cells = both.groupBy("_cell").agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"), F.bit_or(F.expr("shiftleft(1, _home)")).alias("_homes"))
+    row = cells.agg(F.max(F.col("_l").cast("double") * F.col("_r")).alias("pairs"), F.bit_or("_homes").alias("homes")).first()
+    return [n for n in range(LAST + 2) if (row["homes"] or 1) >> n & 1], row["pairs"] or 0
 
 
 def _grid(left: DataFrame, right: DataFrame, keys: list[str], hot_pairs: int) -> DataFrame:
@@ -150,12 +154,12 @@ def _meet(left: DataFrame, right: DataFrame, keys: list[str], left_span: Span, r
         lb, rb = _bucketed(left, left_span, bucket_sec, "l", levels, own_only=True), _bucketed(right, point, bucket_sec, "r", levels, own_only=True)
     else:
         lb, rb = _bucketed(left, left_span, bucket_sec, "l", levels), _bucketed(right, right_span, bucket_sec, "r", levels)
-    on = [*keys, *PLACE]
+    on = [*keys, *(PLACE if len(levels) > 1 else ["_bucket"])]
     if hot_pairs is not None and (pairs > hot_pairs or len(levels) > 1):
         grid = _grid(lb, rb, keys, hot_pairs)
         lb = _salted(lb, grid, keys, "l", "r", left.columns)
         rb = _salted(rb, grid, keys, "r", "l", right.columns)
-        on += ["_sl", "_sr"]
+        on = [*keys, *PLACE, "_sl", "_sr"]
     joined = lb.join(rb, on)
     return joined if inner_start else joined.filter(F.col("_lfirst") | F.col("_rfirst"))
 
