@@ -28,12 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanweave.llm.components import components
+from spanweave.llm.names import free_name
 from spanweave.session import materialize
 
 BLOCKS = 4
 BLOCK_BITS = 16
 MAX_RADIUS = BLOCKS - 2
 SLICE_ROWS = 4096
+#: bits that tell which rows may have to go
+FILTER_BITS = 1 << 24
 
 
 def shingle_hashes(raw: bytes | None, width: int, seed: int) -> np.ndarray:
@@ -232,15 +235,33 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
 
 
 def keepers_of(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """As :func:`keep_one`, for classes (id, component) that were found by any method."""
-    keepers = materialize(
-        found.where("id = component").groupBy(F.col("id").alias("__keeper")).agg(F.count("*").alias("__rows")), "keepers"
+    """As :func:`keep_one`, for classes (id, component) that were found by any method.
+
+    Texts stay where they are: a bitmap of fixed size tells which rows may have to go (their id is not that of their class, or
+    is repeated), and only those are joined with the ids that stay."""
+    ids = materialize(
+        found.where("id is not null").groupBy("id").agg(F.max(F.col("id") == F.col("component")).alias("stays"), F.count("*").alias("rows")), "classes"
+    )
+    key, place = F.col(f"`{id_col}`"), lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    bits = (
+        ids.where("not stays or rows > 1").select(place("id").alias("place")).groupBy(F.floor(F.col("place") / 64).alias("at"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("bits"))
+    )
+    names = {n: free_name(n, docs.columns) for n in ("at", "bits")}
+    # at most FILTER_BITS / 64 rows
+    marked = docs.withColumn(names["at"], F.floor(place(key) / 64)).join(
+        F.broadcast(bits.withColumnsRenamed(names)), names["at"], "left"
     )
+    hit = F.coalesce(F.expr(f"shiftright({names['bits']}, cast(pmod(xxhash64(`{id_col}`), {FILTER_BITS}) % 64 as int)) & 1") == 1, F.lit(False)) & key.isNotNull()
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    stay, open_ = marked.where(~hit).select(*own), marked.where(hit).select(*own)
+    keeper = free_name("keeper", docs.columns)
+    keepers = ids.where("stays").select(F.col("id").alias(keeper), "rows")
 
     def rows_of(some: DataFrame) -> DataFrame:
         # as many keepers as classes: never broadcast, whatever the planner thinks of a small corpus
-        return docs.join(some.select("__keeper").hint("merge"), F.col(id_col) == F.col("__keeper"), "left_semi")
+        return open_.join(some.select(keeper).hint("merge"), key == F.col(keeper), "left_semi")
 
-    kept = rows_of(keepers.where("__rows = 1")).unionAll(docs.where(F.col(id_col).isNull()))
-    repeated = keepers.where("__rows > 1")
+    kept = stay.unionAll(rows_of(keepers.where("rows = 1")))
+    repeated = keepers.where("rows > 1")
     return kept if repeated.isEmpty() else kept.unionAll(rows_of(repeated).dropDuplicates([id_col]))

@@ -3,7 +3,7 @@ import re
 import corpus_pipeline
 import pytest
 from cases import SF, no_rows, odd_rows
-from test_simhash import slow_classes, slow_print
+from test_jaccard import slow_classes
 from test_suffixes import slow as contaminated
 
 from spanweave.llm import pii
@@ -40,7 +40,7 @@ def test_quality_keeps_good_documents(spark, stages):
 
 def test_one_of_each_class_stays(stages):
     before, after = map(rows, stages["near_copies"])
-    classes = slow_classes({k: slow_print(r["text"]) for k, r in before.items()})
+    classes = slow_classes((k, r["text"]) for k, r in before.items())
     assert set(after) == {k for k, root in classes.items() if k == root} and all(before[k] == r for k, r in after.items())
 
 
