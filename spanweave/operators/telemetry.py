@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.intervals import is_finite
@@ -59,15 +59,24 @@ def training_speed(log: DataFrame, train_samples: float) -> DataFrame:
     )
 
 
-def allowed_metrics(log: DataFrame, names: Sequence[str], prefixes: Sequence[str] = ("validation/", "sampling/", "effect/")) -> DataFrame:
-    """Finite allow-listed values, later files and positions win per (run, step, key).
+#: fixed values: families of metrics that are always let through
+PREFIXES = ("validation/", "sampling/", "effect/")
 
-    ``log``: run, file, pos, step, key, value."""
+
+def is_allowed(names: Sequence[str], prefixes: Sequence[str] = PREFIXES) -> Column:
+    """Rows (key, value) with a listed name or prefix and a finite value."""
     wanted = F.col("key").isin(*names)
     for prefix in prefixes:
         wanted = wanted | F.startswith(F.col("key"), F.lit(prefix))
+    return wanted & is_finite("value")
+
+
+def allowed_metrics(log: DataFrame, names: Sequence[str], prefixes: Sequence[str] = PREFIXES) -> DataFrame:
+    """Finite allow-listed values, later files and positions win per (run, step, key).
+
+    ``log``: run, file, pos, step, key, value."""
     return (
-        log.filter(wanted & is_finite("value"))
+        log.filter(is_allowed(names, prefixes))
         .groupBy("run", "step", "key")
         .agg(F.max_by("value", F.struct("file", "pos")).alias("value"))
     )

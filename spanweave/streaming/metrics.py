@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.telemetry import PREFIXES, is_allowed
+
 MERGED = T.StructType(
     [T.StructField("run", T.LongType()), T.StructField("step", T.LongType()), T.StructField("key", T.StringType()), T.StructField("value", T.DoubleType())]
 )
@@ -17,91 +20,196 @@ STAGNANT = T.StructType([T.StructField(n, T.LongType()) for n in ("run", "step",
 
 
 class MetricMerge(StatefulProcessor):
-    """State per run and step: the newest training position and, per key, (position, value).
+    """State per run and step: the newest training place and, per key, its place and value. A place is a
+    file and a position in it, later files come later.
 
-    Rows of a batch may arrive in any order; positions decide. A step that changed is emitted whole, so
-    that keys which a newer attempt no longer has disappear."""
+    Rows of a batch may arrive in any order; places decide. What was last sent has a state of its own, the digest of the whole step: a
+    step is emitted, whole, only when its digest differs, so keys that a newer attempt no longer has disappear, and files
+    that are read again emit nothing."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.since = handle.getValueState("since", "pos long")
-        self.values = handle.getMapState("values", "key string", "pos long, value double")
+        self.since = handle.getValueState("since", "file string, pos long")
+        self.values = handle.getMapState("values", "key string", "file string, pos long, value double")
+        self.sent = handle.getValueState("sent", "digest string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        since = self.since.get()[0] if self.since.exists() else None
-        stored = {name: tuple(value) for (name,), value in self.values.iterator()}
+        since = tuple(self.since.get()) if self.since.exists() else None
+        stored = {name: ((file, pos), value) for (name,), (file, pos, value) in self.values.iterator()}
         newest = dict(stored)
         for batch in rows:
-            starts = batch.loc[batch["training"], "pos"]
-            if len(starts):
-                since = int(starts.max()) if since is None else max(since, int(starts.max()))
-            last = batch.sort_values("pos", kind="stable").drop_duplicates("key", keep="last")
-            for name, pos, value in zip(last["key"], last["pos"], last["value"]):
-                if name not in newest or newest[name][0] <= pos:
-                    newest[name] = (int(pos), float(value))
+            places = list(zip(batch["file"], batch["pos"].astype(int)))
+            for place, training, name, value in zip(places, batch["training"], batch["key"], batch["value"]):
+                if training and (since is None or place > since):
+                    since = place
+                if name not in newest or newest[name][0] <= place:
+                    newest[name] = (place, float(value))
         newest = {name: x for name, x in newest.items() if since is None or x[0] >= since}
         if since is not None:
-            self.since.update((since,))
+            self.since.update(since)
         for name in stored.keys() - newest.keys():
             self.values.removeKey((name,))
-        for name, x in newest.items():
-            if stored.get(name) != x:
-                self.values.updateValue((name,), x)
-        if {n: x[1] for n, x in newest.items()} != {n: x[1] for n, x in stored.items()}:
-            yield pd.DataFrame(
-                [(int(key[0]), int(key[1]), n, x[1]) for n, x in newest.items()], columns=["run", "step", "key", "value"]
-            )
+        for name, (place, value) in newest.items():
+            if stored.get(name) != (place, value):
+                self.values.updateValue((name,), (*place, value))
+        listed = sorted((name, value) for name, (_, value) in newest.items())
+        digest = hashlib.sha256(repr(listed).encode()).hexdigest()
+        if not self.sent.exists() or self.sent.get()[0] != digest:
+            self.sent.update((digest,))
+            yield pd.DataFrame([(int(key[0]), int(key[1]), *x) for x in listed], columns=["run", "step", "key", "value"])
 
     def close(self) -> None:
         pass
 
 
 def merge_metrics_stream(log: DataFrame) -> DataFrame:
-    """Whole changed steps in update mode: merge and emit-when-changed in one state; read with
-    ``newest_groups`` by (run, step).
+    """Whole changed steps in update mode: merge and emit-when-changed; read with ``newest_groups`` by (run, step).
 
+    ``log``: run, pos, step, training, key, value and, if places are told apart by file, file.
     State is keyed by (run, step), so one long run spreads over many tasks."""
+    if "file" not in log.columns:
+        log = log.withColumn("file", F.lit(""))
     return log.groupBy("run", "step").transformWithStateInPandas(
         MetricMerge(), outputStructType=MERGED, outputMode="Update", timeMode="None"
     )
 
 
+def allowed_metrics_stream(log: DataFrame, names: Sequence[str], prefixes: Sequence[str] = PREFIXES) -> DataFrame:
+    """As :func:`merge_metrics_stream`, of finite allow-listed values only; whatever the order in which files come, the values of
+    later ones win. ``log``: run, file, pos, step, key, value."""
+    return merge_metrics_stream(log.filter(is_allowed(names, prefixes)).withColumn("training", F.lit(False)))
+
+
 class Stagnation(StatefulProcessor):
-    """Per run: facts seen so far and the stagnant counter. Steps of a batch are taken in order."""
+    """Per run: facts seen so far, facts of the steps that are open, and the stagnant counter.
+
+    A step is open until the watermark passes its end; then its timer fires and it is closed, the steps of a run in order, whatever
+    the order in which their rows came."""
+
+    def __init__(self, step_sec: float) -> None:
+        self.step_sec = step_sec
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.seen = handle.getMapState("seen", "fact string", "step long")
+        self.open = handle.getMapState("open", "step long, fact string", "rows long")
+        self.steps = handle.getMapState("steps", "step long", "rows long")
         self.counter = handle.getValueState("counter", "stagnant long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        stagnant = self.counter.get()[0] if self.counter.exists() else 0
-        batch = pd.concat(list(rows), ignore_index=True)
-        out = []
-        for step, part in batch.sort_values("step", kind="stable").groupby("step", sort=True):
+        for batch in rows:
+            for step in set(batch["step"].astype(int)):
+                if not self.steps.containsKey((step,)):
+                    self.steps.updateValue((step,), (1,))
+                    self.handle.registerTimer(int((step + 1) * self.step_sec * 1000))
+            told = batch[batch["fact"].notna()]
+            for step, fact in set(zip(told["step"].astype(int), told["fact"])):
+                self.open.updateValue((step, fact), (1,))
+        yield pd.DataFrame({n: pd.Series(dtype="int64") for n in STAGNANT.names})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = round(expiredTimerInfo.getExpiryTimeInMs() / 1000 / self.step_sec) - 1
+        stagnant, out = self.counter.get()[0] if self.counter.exists() else 0, []
+        # timers of one batch may fire in any order: close what is due up to this one, the first steps first
+        for step in sorted(s for (s,) in self.steps.keys() if s <= due):
             fresh = 0
-            for fact in part["fact"].dropna().unique():
+            for _, fact in [x for x in self.open.keys() if x[0] == step]:
                 if not self.seen.containsKey((fact,)):
-                    self.seen.updateValue((fact,), (int(step),))
+                    self.seen.updateValue((fact,), (step,))
                     fresh += 1
+                self.open.removeKey((step, fact))
+            self.steps.removeKey((step,))
             stagnant = 0 if fresh else stagnant + 1
-            out.append((int(key[0]), int(step), fresh, stagnant))
+            out.append((int(key[0]), step, fresh, stagnant))
         self.counter.update((stagnant,))
-        yield pd.DataFrame(out, columns=["run", "step", "new_facts", "stagnant_steps"])
+        yield pd.DataFrame(out, columns=STAGNANT.names)
 
     def close(self) -> None:
         pass
 
 
-def stagnation_stream(facts: DataFrame) -> DataFrame:
-    """Stagnation per (run, step); steps arrive whole and in order. ``facts``: run, step, fact
-    (null fact for a step without any)."""
-    return facts.groupBy("run").transformWithStateInPandas(
-        Stagnation(), outputStructType=STAGNANT, outputMode="Update", timeMode="None"
+def stagnation_stream(facts: DataFrame, step_sec: float, delay: str) -> DataFrame:
+    """Stagnation per (run, step), each step once, when the watermark (the latest ``ts`` less ``delay``) has passed its end.
+
+    ``facts``: run, ts, fact (null for a sign of life without a fact). Step n lasts from n * step_sec to (n + 1) * step_sec
+    seconds since 1970; rows of steps already closed are dropped."""
+    step = F.floor(F.unix_millis("ts") / 1000 / step_sec).alias("step")
+    timed = facts.withWatermark("ts", delay).select("run", "ts", step, "fact")
+    return timed.groupBy("run").transformWithStateInPandas(
+        Stagnation(step_sec), outputStructType=STAGNANT, outputMode="Update", timeMode="EventTime"
     )
 
 
-def trace_counts_stream(trace: DataFrame, keys: list[str], watermark: str = "1 hour") -> DataFrame:
-    """Running counts per job and hour of ``ts``; the watermark bounds the state. Sum the hours of a job on reading."""
-    from ..operators.telemetry import trace_counts
+COUNTS = ("request_errors", "invalid_tool_requests", "missing_tool_calls", "requests")
+TRACED = T.StructType([
+    T.StructField("job", T.LongType()), T.StructField("part", T.LongType()), T.StructField("hour", T.LongType()),
+    *[T.StructField(n, T.LongType()) for n in COUNTS], T.StructField("request_sec", T.DoubleType()),
+    T.StructField("repeated", T.LongType()), T.StructField("late", T.LongType()),
+])
+REQUEST_KINDS = ("model", "clip_review", "perception_model")
+
+
+class TraceCounts(StatefulProcessor):
+    """Counts per hour of one part of a job, over distinct rows that are not late.
 
-    hourly = trace.withWatermark("ts", watermark).withColumn("hour", F.window("ts", "1 hour"))
-    return trace_counts(hourly, [*keys, "hour"])
+    The watermark of a part is the latest time of the batches before, less the delay. Rows behind it are counted as late and not
+    otherwise; row ids are remembered as long as a copy that is not late can come, hours as long as they can change."""
+
+    def __init__(self, delay_sec: float) -> None:
+        self.delay_sec = delay_sec
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.latest = handle.getValueState("latest", "t double")
+        self.ids = handle.getMapState("ids", "id string", "t double")
+        self.hours = handle.getMapState(
+            "hours", "hour long", ", ".join(f"{n} long" for n in COUNTS) + ", request_sec double, repeated long, late long"
+        )
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        latest = self.latest.get()[0] if self.latest.exists() else float("-inf")
+        behind = latest - self.delay_sec
+        changed: dict[int, list] = {}
+        for batch in rows:
+            for ident, t, kind, error, empty, seconds in zip(*(batch[c] for c in ("id", "t", "kind", "error", "calls_empty", "elapsed_sec"))):
+                hour = int(t // 3600)
+                if hour not in changed:
+                    changed[hour] = list(self.hours.getValue((hour,))) if self.hours.containsKey((hour,)) else [0, 0, 0, 0, 0.0, 0, 0]
+                found = changed[hour]
+                if t < behind:
+                    found[6] += 1
+                elif self.ids.containsKey((ident,)):
+                    found[5] += 1
+                else:
+                    self.ids.updateValue((ident,), (float(t),))
+                    timed = kind in REQUEST_KINDS and seconds is not None and seconds == seconds
+                    found[0] += kind == "request_error"
+                    found[1] += kind == "tool" and bool(error)
+                    found[2] += kind == "model" and bool(empty)
+                    found[3] += timed
+                    found[4] += float(seconds) if timed else 0.0
+                latest = max(latest, float(t))
+        self.latest.update((latest,))
+        for ident in [i for (i,), (t,) in self.ids.iterator() if t < latest - self.delay_sec]:
+            self.ids.removeKey((ident,))
+        for hour, found in changed.items():
+            self.hours.updateValue((hour,), tuple(map(int, found[:4])) + (float(found[4]), *found[5:]))
+        yield pd.DataFrame([(int(key[0]), int(key[1]), hour, *found) for hour, found in changed.items()], columns=TRACED.names)
+
+    def close(self) -> None:
+        pass
+
+
+def trace_counts_stream(trace: DataFrame, delay_sec: float = 3600.0, part: Column | None = None) -> DataFrame:
+    """Running counts per (job, part, hour) in update mode, without repeated rows and with late ones apart; read with
+    ``newest_groups`` and add up the parts and hours of a job.
+
+    ``trace``: job, id, ts, kind, elapsed_sec, calls_empty, error. The rows of a job are dealt by ``part`` (a whole number made from the
+    id; by default one of 16 by its hash), each with its own watermark, so that copies meet and a busy job spreads over tasks."""
+    dealt = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(16)) if part is None else part
+    timed = trace.select(
+        "job", dealt.cast("bigint").alias("part"), F.col("id").cast("string").alias("id"), (F.unix_millis("ts") / 1000).alias("t"), "kind",
+        F.coalesce("error", F.lit(False)).alias("error"), F.coalesce("calls_empty", F.lit(False)).alias("calls_empty"),
+        F.col("elapsed_sec").cast("double").alias("elapsed_sec"),
+    )
+    return timed.groupBy("job", "part").transformWithStateInPandas(
+        TraceCounts(delay_sec), outputStructType=TRACED, outputMode="Update", timeMode="None"
+    )

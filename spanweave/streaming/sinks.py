@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,32 @@ def start_upserts(values: DataFrame, target: str, checkpoint: str, *, available_
 
 def drain(values: DataFrame, target: str, checkpoint: str) -> None:
     """Process everything available now, then stop."""
-    start_upserts(values, target, checkpoint).awaitTermination()
+    with keyed_state(values.sparkSession):
+        start_upserts(values, target, checkpoint).awaitTermination()
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """A session whose streams keep keyed state in RocksDB, as ``transformWithState`` needs; the setting is put back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def run_in_parts(parts: Sequence[DataFrame], stream: Callable[[DataFrame], DataFrame], folder: str) -> str:
+    """Feed a stream with files that come one part after the other; returns the folder of its batches.
+
+    Each part is written as files into the watched folder and then drained by a new query from the same checkpoint, as after a restart."""
+    spark = parts[0].sparkSession
+    source = spark.readStream.schema(parts[0].schema).option("recursiveFileLookup", "true").parquet
+    for i, part in enumerate(parts):
+        part.write.mode("overwrite").parquet(f"{folder}/in/part={i}")
+        drain(stream(source(f"{folder}/in")), f"{folder}/out", f"{folder}/checkpoint")
+    return f"{folder}/out"
 
 
 def read_batches(spark: SparkSession, target: str, schema: T.StructType) -> DataFrame:
