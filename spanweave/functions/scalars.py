@@ -18,8 +18,17 @@ def strip_space(text) -> Column:
     return F.regexp_replace(_c(text), r"(?U)\s+", "")
 
 
+def casefold(text) -> Column:
+    """Unicode case folding, to tell equal texts: the lower case of the upper case, which takes apart what folds to several
+    letters (sharp s to ss). Final sigma folds to sigma, and the dotless i, which has the upper case of another letter,
+    passes as a code point that no text has. (Cherokee folds to lower case here, not to upper case, on both sides alike.)"""
+    folded = F.lower(F.upper(F.translate(_c(text), "\u0131", "\ufdd0")))
+    return F.translate(folded, "\u03c2\ufdd0", "\u03c3\u0131")
+
+
 def folded_contains(text, needle) -> Column:
-    return F.contains(F.lower(_c(text)), F.lower(_c(needle)))
+    """The text contains the needle, whatever their case."""
+    return F.contains(casefold(text), casefold(needle))
 
 
 def base64_bytes(n) -> Column:

@@ -69,6 +69,14 @@ def sampling_problems(windows: DataFrame, focus: DataFrame, quota_table: DataFra
     return bad_size.unionByName(foreign).unionByName(beyond)
 
 
+class SampleRefused(ValueError):
+    """The sample may not be drawn; ``reasons`` says why."""
+
+    def __init__(self, reasons: Sequence[str]) -> None:
+        super().__init__("; ".join(reasons))
+        self.reasons = list(reasons)
+
+
 def focus_stratified(windows: DataFrame, focus: DataFrame, size: int, seed: int) -> DataFrame:
     """All focus rows plus a round-robin fill of every category to its quota, with a shuffle key.
 
@@ -76,7 +84,7 @@ def focus_stratified(windows: DataFrame, focus: DataFrame, size: int, seed: int)
     table = quotas(windows, size)
     problems = [r.reason for r in sampling_problems(windows, focus, table, size).collect()]
     if problems:
-        raise ValueError("; ".join(sorted(problems)))
+        raise SampleRefused(sorted(problems))
     return draw_stratified(windows, focus, table, seed)
 
 

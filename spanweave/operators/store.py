@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.intervals import iou, is_finite
-from ..functions.labels import group_split, label_status
+from ..functions.labels import label_status
 from .ordered import global_rank
 from .rangejoin import candidate_edges
 
@@ -41,14 +41,6 @@ def register(videos: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
-def accepted_registrations(outcomes: DataFrame) -> DataFrame:
-    """Rows to append, with their split; nothing at all when any row conflicts."""
-    clash = outcomes.filter(F.col("outcome") == "conflict").limit(1)
-    if clash.take(1):
-        return outcomes.limit(0)
-    return outcomes.filter(F.col("outcome") == "added").withColumn("split", group_split("drama_id"))
-
-
 def current_labels(videos: DataFrame, annotations: DataFrame, predictions: DataFrame) -> DataFrame:
     """Videos with the annotation their pointer names and the newest prediction set."""
     newest = predictions.groupBy("video_id").agg(

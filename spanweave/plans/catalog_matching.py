@@ -256,9 +256,13 @@ def samples(spark, sf):
     )
 
 
-QUOTA_SQL = """c AS (SELECT category, count(*) AS n FROM samples GROUP BY category),
-q0 AS (SELECT category, n, (1000 * n) // sum(n) OVER () AS fl, (1000 * n) % sum(n) OVER () AS rest FROM c),
-quota AS (SELECT category, n, CAST(fl + CASE WHEN row_number() OVER (ORDER BY rest DESC, category) <= 1000 - sum(fl) OVER () THEN 1 ELSE 0 END AS BIGINT) AS quota FROM q0)"""
+def quota_sql(size: int) -> str:
+    return f"""c AS (SELECT category, count(*) AS n FROM samples GROUP BY category),
+q0 AS (SELECT category, n, ({size} * n) // sum(n) OVER () AS fl, ({size} * n) % sum(n) OVER () AS rest FROM c),
+quota AS (SELECT category, n, CAST(fl + CASE WHEN row_number() OVER (ORDER BY rest DESC, category) <= {size} - sum(fl) OVER () THEN 1 ELSE 0 END AS BIGINT) AS quota FROM q0)"""
+
+
+QUOTA_SQL = quota_sql(1000)
 
 
 @query("smp_quotas", fx.with_sql("seg", "videos", SAMPLE_SQL, QUOTA_SQL) + "SELECT category, n, quota FROM quota")
@@ -281,20 +285,34 @@ def _(spark, sf):
     return sm.round_robin(rows, wanted, 42).select("sample_id", "drama_id", "category", "round_no", "draw_no")
 
 
-@query(
-    "smp_focus_stratified",
-    fx.with_sql(
-        "seg", "videos", SAMPLE_SQL, QUOTA_SQL, "f AS (SELECT category, count(*) AS nf FROM samples WHERE focus GROUP BY category)",
+def focus_sql(size: int) -> str:
+    """The sample of one size, or the reasons why it may not be drawn."""
+    return "(" + fx.with_sql(
+        "seg", "videos", SAMPLE_SQL, quota_sql(size), "f AS (SELECT category, count(*) AS nf FROM samples WHERE focus GROUP BY category)",
         "reg AS (SELECT * FROM samples WHERE NOT focus)", DRAW_SQL.format(src="reg"),
-    )
-    + """SELECT sample_id, category, focus, sha256(concat('43:', sample_id)) AS shuffle_key FROM samples WHERE focus
-UNION ALL SELECT sample_id, category, focus, sha256(concat('43:', sample_id)) FROM d JOIN quota USING (category) LEFT JOIN f USING (category) WHERE draw_no <= quota - coalesce(nf, 0)""",
-)
+        f"""bad AS (SELECT 'invalid_size' AS refusal FROM (SELECT count(*) AS n FROM samples) WHERE n < {size}
+  UNION ALL SELECT concat('focus_exceeds_quota:', category) FROM f JOIN quota USING (category) WHERE nf > quota)""",
+    ) + f"""SELECT {size} AS size, sample_id, category, focus, sha256(concat('43:', sample_id)) AS shuffle_key, NULL AS refusal FROM samples WHERE focus AND NOT EXISTS (SELECT 1 FROM bad)
+UNION ALL SELECT {size}, sample_id, category, focus, sha256(concat('43:', sample_id)), NULL FROM d JOIN quota USING (category) LEFT JOIN f USING (category) WHERE draw_no <= quota - coalesce(nf, 0) AND NOT EXISTS (SELECT 1 FROM bad)
+UNION ALL SELECT {size}, NULL, NULL, NULL, NULL, refusal FROM bad)"""
+
+
+SIZES = (1000, 100)
+
+
+@query("smp_focus_stratified", " UNION ALL ".join(focus_sql(n) for n in SIZES))
 def _(spark, sf):
+    """Samples of two sizes; one that may not be drawn gives its refusals instead."""
     rows = samples(spark, sf)
     focus = rows.filter("focus").select("sample_id")
-    out = sm.draw_stratified(rows.drop("focus"), focus, sm.quotas(rows, 1000), 42)
-    return out.select("sample_id", "category", "focus", "shuffle_key")
+    found = []
+    for size in SIZES:
+        try:
+            drawn = sm.focus_stratified(rows.drop("focus"), focus, size, 42)
+            found.append(drawn.select(F.lit(size).alias("size"), "sample_id", "category", "focus", "shuffle_key", F.lit(None).cast("string").alias("refusal")))
+        except sm.SampleRefused as refused:
+            found.append(spark.createDataFrame([(size, None, None, None, None, r) for r in refused.reasons], "size int, sample_id string, category string, focus boolean, shuffle_key string, refusal string"))
+    return found[0].unionByName(found[1])
 
 
 @query(

@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import labels as lb
-from ..operators import editing, store
+from ..operators import editing
 from ..session import shared_folder
-from ..sources import artifacts, journal, manifest, snapshot, subtitles
+from ..sources import artifacts, journal, manifest, snapshot, subtitles, tables
 from . import fixtures as fx
 from .catalog_editing import HL_SQL, highlights
 from .registry import query
@@ -59,17 +59,32 @@ REG_OLD = ["o_orderkey AS video_id", "concat('d', CAST(o_custkey AS {text})) AS
     "WITH inc AS (SELECT " + ", ".join(c.format(text="VARCHAR") for c in REG_IN) + " FROM lineitem JOIN orders ON o_orderkey = l_orderkey),\n"
     + "old AS (SELECT " + ", ".join(c.format(text="VARCHAR") for c in REG_OLD) + " FROM orders WHERE o_orderstatus = 'O'),\n"
     + """b AS (SELECT video_id, drama_id, sha256, NULL AS pos, TRUE AS old FROM old UNION ALL SELECT video_id, drama_id, sha256, pos, FALSE FROM inc),
-i AS (SELECT video_id, count(DISTINCT sha256) > 1 AS clash FROM b GROUP BY video_id), h AS (SELECT sha256, count(DISTINCT drama_id) > 1 AS clash, bool_or(old) AS old, min(pos) AS first FROM b GROUP BY sha256)
-SELECT outcome, count(*) AS n, sum(video_id)::BIGINT AS id_sum FROM (SELECT inc.video_id, CASE WHEN i.clash OR h.clash THEN 'conflict' WHEN NOT h.old AND inc.pos = h.first THEN 'added' ELSE 'duplicate' END AS outcome
-FROM inc JOIN i USING (video_id) JOIN h USING (sha256)) GROUP BY outcome""",
+i AS (SELECT video_id, count(DISTINCT sha256) > 1 AS clash FROM b GROUP BY video_id), h AS (SELECT sha256, count(DISTINCT drama_id) > 1 AS clash, bool_or(old) AS old, min(pos) AS first FROM b GROUP BY sha256),
+o AS (SELECT inc.*, CASE WHEN i.clash OR h.clash THEN 'conflict' WHEN NOT h.old AND inc.pos = h.first THEN 'added' ELSE 'duplicate' END AS outcome
+FROM inc JOIN i USING (video_id) JOIN h USING (sha256)),
+r AS (SELECT 'whole' AS attempt, * FROM o UNION ALL SELECT 'clean', * FROM o WHERE outcome <> 'conflict'),
+t AS (SELECT 'whole' AS attempt, CASE WHEN bool_or(outcome = 'conflict') THEN 0 ELSE count(DISTINCT video_id) FILTER (outcome = 'added') END AS more FROM o
+  UNION ALL SELECT 'clean', CASE WHEN bool_or(outcome = 'conflict') THEN count(DISTINCT video_id) FILTER (outcome = 'added') ELSE 0 END FROM o),
+g AS (SELECT attempt, CASE WHEN attempt = 'clean' AND NOT (SELECT bool_or(outcome = 'conflict') FROM o) AND outcome = 'added' THEN 'duplicate' ELSE outcome END AS outcome, video_id FROM r)
+SELECT g.attempt, outcome, count(*) AS n, sum(video_id)::BIGINT AS id_sum, (SELECT count(*) FROM old) + CASE WHEN g.attempt = 'whole' THEN any_value(more) ELSE (SELECT sum(more)::BIGINT FROM t) END AS videos_after
+FROM g JOIN t ON t.attempt = g.attempt GROUP BY g.attempt, outcome""",
 )
 def _(spark, sf):
+    """Two attempts on one table: all rows, which any conflict stops as a whole, then the rows without conflicts."""
     o = fx.table(spark, sf, "orders")
     old = o.filter("o_orderstatus = 'O'").selectExpr(*[c.format(text="STRING") for c in REG_OLD])
-    rows = fx.table(spark, sf, "lineitem").join(o, F.col("o_orderkey") == F.col("l_orderkey"))
-    out = store.register(old, rows.selectExpr(*[c.format(text="STRING") for c in REG_IN]))
-    # rows of one order with the same line number share a position and count alike
-    return out.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.sum("video_id").alias("id_sum"))
+    rows = fx.table(spark, sf, "lineitem").join(o, F.col("o_orderkey") == F.col("l_orderkey")).selectExpr(*[c.format(text="STRING") for c in REG_IN])
+    table = scratch(spark, "videos")
+    old.withColumn("split", lb.group_split("drama_id")).write.parquet(f"{table}/first")
+    found = []
+    for attempt in ("whole", "clean"):
+        out = tables.register_videos(rows, table)
+        # rows of one order with the same line number share a position and count alike
+        totals = out.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.sum("video_id").alias("id_sum"))
+        after = tables.read_videos(spark, table).count()
+        found.append(totals.select(F.lit(attempt).alias("attempt"), "*", F.lit(after).cast("bigint").alias("videos_after")))
+        rows = out.filter("outcome <> 'conflict'").drop("outcome")
+    return found[0].unionByName(found[1])
 
 
 @query("src_group_split", fx.with_sql("videos") + "SELECT video_id, drama_id, split FROM videos")
@@ -211,8 +226,13 @@ def _(spark, sf):
         F.when(F.col("line") % 3 > 0, F.col("start_sec") - F.col("supp") % 8).alias("new_start"),
         F.when(F.col("line") % 2 > 0, F.col("end_sec") - F.col("part") % 14 + 7).alias("new_end"),
     )
-    log, _ = editing.apply_reviews(h.drop("review_status"), decisions)
-    return log
+    table = scratch(spark, "review_log")
+    batches = {"odd": "job_id % 2 = 1", "even": "job_id % 2 = 0"}
+    # the first batch is delivered twice
+    for name in ("odd", "even", "odd"):
+        log, _ = editing.apply_reviews(h.filter(batches[name]).drop("review_status"), decisions.filter(batches[name]))
+        tables.append_batch(log, table, name)
+    return tables.read_log(spark, table, log.schema).drop("batch")
 
 
 @query(
@@ -224,6 +244,11 @@ SELECT coalesce(o.video_id, n.video_id) AS video_id, coalesce(o.model_id, n.mode
 FROM old o FULL JOIN new n ON o.video_id = n.video_id AND o.model_id = n.model_id""",
 )
 def _(spark, sf):
+    """The table as it is read back after the upsert, with what became of each key."""
     li = fx.table(spark, sf, "lineitem").selectExpr("l_orderkey AS video_id", "l_suppkey % 3 AS model_id", "l_extendedprice AS p", "l_linenumber AS line")
     pick = lambda where: li.filter(where).groupBy("video_id", "model_id").agg(F.max("p").alias("payload"))
-    return store.upsert_predictions(pick("line < 5"), pick("line > 1"))
+    table = scratch(spark, "predictions")
+    tables.write_predictions(pick("line < 5"), table)
+    outcomes = tables.merge_predictions(pick("line > 1"), table)
+    now = spark.read.parquet(table).drop("part").join(outcomes, ["video_id", "model_id"], "left")
+    return now.withColumn("outcome", F.coalesce("outcome", F.lit("kept")))

@@ -10,6 +10,7 @@ from spanweave.operators import search as se
 from spanweave.operators import telemetry as tm
 from spanweave.streaming import sinks
 from spanweave.streaming import metrics as sm
+from spanweave.streaming import progress as sp
 
 LOG = "run long, pos long, step long, training boolean, key string, value double"
 STEPS = [(0, 1, 30.0, 0.0, 0.9), (1, 2, 37.0, 0.2, 0.8), (2, 1, 400.0, 0.0, 0.7), (3, 2, 408.0, 0.2, 0.6)]
@@ -57,6 +58,37 @@ def test_metric_stream_drops_keys_of_replaced_steps(spark, tmp_path):
     assert rows(got, "step", "key", "value") == rows(tm.merge_metrics(log), "step", "key", "value") == [(3, "cost", 1.5), (3, "probe", 0.5), (4, "cost", 2.0)]
 
 
+def test_a_second_run_over_the_same_files_sends_nothing(spark, tmp_path):
+    log = metric_log(spark)
+    later = log.filter("pos = 4").withColumns({"pos": F.col("pos") + 10, "value": F.col("value") + 1})
+    out = sinks.run_in_parts([log.filter("pos < 3"), log.filter("pos >= 3"), log, later], sm.merge_metrics_stream, str(tmp_path))
+    batches = sinks.read_batches(spark, out, sm.MERGED)
+    # the third part holds the rows of the first two again; the fourth changes one step
+    assert sorted(r["batch"] for r in batches.select("batch").distinct().collect()) == [0, 1, 3]
+    assert {r["step"] for r in batches.filter("batch = 3").collect()} == {2}
+    now = sinks.newest_groups(spark, out, sm.MERGED, ["run", "step"])
+    assert rows(now, "step", "key", "value") == rows(tm.merge_metrics(log.unionByName(later)), "step", "key", "value")
+
+
+def test_a_replayed_batch_is_written_once(spark, tmp_path):
+    """The sink got a batch, but the query did not note it: the same batch comes again after the restart."""
+    out = sinks.run_in_parts([metric_log(spark)], sm.merge_metrics_stream, str(tmp_path))
+    before = rows(sinks.read_batches(spark, out, sm.MERGED))
+    (tmp_path / "checkpoint" / "commits" / "0").unlink()
+    (tmp_path / "checkpoint" / "commits" / ".0.crc").unlink(missing_ok=True)
+    source = spark.readStream.schema(metric_log(spark).schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    sinks.drain(sm.merge_metrics_stream(source), out, f"{tmp_path}/checkpoint")
+    assert rows(sinks.read_batches(spark, out, sm.MERGED)) == before
+
+
+def test_later_files_win_whenever_they_come(spark, tmp_path):
+    schema = "run long, file string, pos long, step long, key string, value double"
+    log = spark.createDataFrame([(1, "b", 0, 1, "reward", 0.7), (1, "a", 9, 1, "reward", 0.5), (1, "a", 1, 1, "validation/x", float("nan")), (1, "c", 0, 1, "secret", 1.0)], schema)
+    out = sinks.run_in_parts([log.filter("file >= 'b'"), log.filter("file = 'a'")], lambda x: sm.allowed_metrics_stream(x, ["reward"]), str(tmp_path))
+    got = sinks.newest_groups(spark, out, sm.MERGED, ["run", "step"])
+    assert rows(got, "key", "value") == rows(tm.allowed_metrics(log, ["reward"]), "key", "value") == [("reward", 0.7)]
+
+
 def test_allowlist(spark):
     log = spark.createDataFrame(
         [(1, "a", 0, 1, "reward", 0.5), (1, "a", 1, 1, "validation/x", float("nan")), (1, "b", 0, 1, "reward", 0.7), (1, "b", 1, 1, "secret", 1.0), (1, "b", 2, 1, "validation/y", 2.0)],
@@ -68,30 +100,71 @@ def test_allowlist(spark):
 FACTS = [(1, 1, "pending"), (1, 2, "supported"), (1, 3, "pending"), (1, 4, "supported"), (1, 4, "pending"), (2, 1, "a"), (2, 5, None)]
 
 
-def test_stagnation_batch_and_stream(spark, tmp_path):
+def test_stagnation_batch(spark):
     facts = spark.createDataFrame(FACTS, "run long, step long, fact string")
     batch = tm.stagnation(facts.select("run", "step").distinct(), facts.filter("fact IS NOT NULL"))
-    want = [(1, 1, 1, 0), (1, 2, 1, 0), (1, 3, 0, 1), (1, 4, 0, 2), (2, 1, 1, 0), (2, 5, 0, 1)]
-    assert rows(batch, "run", "step", "new_facts", "stagnant_steps") == want
-    source = stream_of(spark, facts, str(tmp_path), ["step < 3", "step >= 3"])
-    sinks.drain(sm.stagnation_stream(source), f"{tmp_path}/out", f"{tmp_path}/cp")
-    out = sinks.read_batches(spark, f"{tmp_path}/out", sm.STAGNANT).drop("batch")
-    assert rows(out) == want
-
-
-def test_trace_stream_equals_batch(spark, tmp_path):
-    trace = spark.createDataFrame(
-        [("j", "request_error", None, False, False), ("j", "model", 2.0, True, False), ("j", "tool", None, False, True), ("k", "model", 1.0, False, False)],
-        "job string, kind string, elapsed_sec double, calls_empty boolean, error boolean",
-    ).withColumn("ts", F.when(F.col("kind") == "tool", "2024-01-01 02:40:00").otherwise("2024-01-01 02:10:00").cast("timestamp"))
-    source = stream_of(spark, trace, str(tmp_path), ["job = 'j'", "job = 'k'"])
-    counts = sm.trace_counts_stream(source, ["job"]).withColumn("hour", F.col("hour.start").cast("string"))
-    sinks.drain(counts, f"{tmp_path}/out", f"{tmp_path}/cp")
-    hours = sinks.newest_groups(spark, f"{tmp_path}/out", counts.schema, ["job", "hour"])
-    want = tm.trace_counts(trace, ["job"])
-    sums = [c for c in want.columns if c != "job"]
-    got = hours.groupBy("job").agg(*[F.sum(c).alias(c) for c in sums]).select(want.columns)
-    assert rows(got) == rows(want)
+    assert rows(batch, "run", "step", "new_facts", "stagnant_steps") == STAGNANT
+
+
+STAGNANT = [(1, 1, 1, 0), (1, 2, 1, 0), (1, 3, 0, 1), (1, 4, 0, 2), (2, 1, 1, 0), (2, 5, 0, 1)]
+
+
+def test_timers_close_steps(spark, tmp_path):
+    """Rows of a step come apart and out of order; a step is told when the watermark passes its end, and rows behind it count no more."""
+    timed = spark.createDataFrame([(r, s * 10 + 1, f) for r, s, f in FACTS], "run long, sec long, fact string")
+    rows_at = lambda df: df.select("run", F.timestamp_seconds("sec").alias("ts"), "fact")
+    more = spark.createDataFrame([(1, 48, "supported"), (1, 15, "pending"), (1, 39, None)], timed.schema)
+    late = spark.createDataFrame([(1, 12, "too late")], timed.schema)
+    end = lambda sec: spark.createDataFrame([(0, sec, None)], timed.schema)
+    parts = [timed.filter("sec >= 40"), timed.filter("sec < 40").unionByName(more), end(300), late, end(10_000)]
+    out = sinks.run_in_parts([rows_at(p) for p in parts], lambda x: sm.stagnation_stream(x, 10.0, "60 seconds"), str(tmp_path))
+    told = sinks.read_batches(spark, out, sm.STAGNANT).filter("run > 0")
+    assert rows(told.drop("batch")) == STAGNANT
+    assert min(r["batch"] for r in told.collect()) >= 2
+
+
+def test_merging_spans_keeps_them_disjoint():
+    import random
+
+    draw = random.Random(4)
+    for _ in range(200):
+        starts, ends, seen = [], [], set()
+        for _ in range(draw.randint(1, 25)):
+            a = draw.randint(0, 60)
+            b = a + draw.randint(0, 9)
+            sp.merge_span(starts, ends, float(a), float(b), 0.0)
+            seen |= {2 * x for x in range(a, b + 1)} | {2 * x + 1 for x in range(a, b)}  # points and the lengths between them
+            want = sorted(x for x in seen if x - 1 not in seen)
+            assert [2 * s for s in starts] == want and [2 * e for e in ends] == sorted(x for x in seen if x + 1 not in seen)
+
+
+def test_scan_progress_stream(spark, tmp_path):
+    schema = "video_id long, observation_id long, start_sec double, end_sec double, delivered boolean"
+    made = [(1, 1, 0.0, 12.0), (1, 2, 12.0, 31.0), (1, 3, 25.0, 47.0), (2, 4, 5.0, 1300.0), (2, 5, 0.0, 5.0), (1, 6, float("nan"), 3.0)]
+    told = lambda ids, delivered: spark.createDataFrame([(*m, delivered) for m in made if m[1] in ids], schema)
+    pages = spark.createDataFrame([(v, f"p{i}", i * 10.0, i * 10.0 + 10) for v, n in ((1, 5), (2, 130)) for i in range(n)], "video_id long, page_id string, core_start_sec double, core_end_sec double")
+    videos = spark.createDataFrame([(1, 50.0), (2, 1300.0)], "video_id long, duration_sec double")
+    parts = [told({2, 4}, True).unionByName(told({1}, False)), told({1, 5}, True).unionByName(told({2, 3, 4, 5}, False))]
+    out = sinks.run_in_parts(parts, sp.watched_stream, str(tmp_path))
+    got = sp.progress_of(sinks.newest_groups(spark, out, sp.WATCHED, ["video_id", "slice"]), pages, videos)
+    cols = ["video_id", "completed_page_count", "page_count", "next_page", "pending_observation_count", "pending_page_count"]
+    assert rows(got, *cols) == [(1, 3, 5, "p3", 1, 2), (2, 130, 130, None, 0, 0)]
+    # a slice holds its gaps, not its reads
+    assert sinks.newest_groups(spark, out, sp.WATCHED, ["video_id", "slice"]).filter("video_id = 2").count() == 3
+
+
+def test_trace_stream_counts_copies_and_late_rows_apart(spark, tmp_path):
+    made = [("request_error", None, False, False, 600), ("model", 2.0, True, False, 700), ("tool", None, False, True, 9600), ("model", 1.0, False, False, 5000), ("model", 9.0, False, False, 100)]
+    trace = spark.createDataFrame([(7, i, *m) for i, m in enumerate(made)], "job long, id long, kind string, elapsed_sec double, calls_empty boolean, error boolean, sec long")
+    trace = trace.withColumn("ts", F.timestamp_seconds("sec")).drop("sec")
+    # the last row is behind the watermark when it comes, and so is the copy of the first; the other copy is not
+    parts = [trace.filter("id < 3"), trace.filter("id >= 3").unionByName(trace.filter("id IN (0, 2)"))]
+    out = sinks.run_in_parts(parts, lambda x: sm.trace_counts_stream(x, 5000.0, F.lit(0)), str(tmp_path))
+    hours = sinks.newest_groups(spark, out, sm.TRACED, ["job", "part", "hour"])
+    sums = [c for c in sm.TRACED.names if c not in ("job", "part", "hour")]
+    got = hours.agg(*[F.sum(c).alias(c) for c in sums]).collect()[0].asDict()
+    assert got == {"request_errors": 1, "invalid_tool_requests": 1, "missing_tool_calls": 1, "requests": 2, "request_sec": 3.0, "repeated": 1, "late": 2}
+    assert rows(tm.trace_counts(trace.filter("id < 4"), ["job"])) == [(7, 1, 1, 1, 2, 3.0)]
 
 
 def test_runtime(spark):

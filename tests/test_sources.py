@@ -6,7 +6,8 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from spanweave.sources import artifacts, journal, manifest, snapshot, subtitles
+from spanweave.functions.scalars import folded_contains
+from spanweave.sources import artifacts, journal, manifest, snapshot, subtitles, tables
 from spanweave.sources.progress import clean_progress
 
 
@@ -82,3 +83,56 @@ def test_progress(spark):
     assert (r[0].model_calls, r[0].turn, r[0].page_count, r[0].event_count, r[0].duration_sec, r[0].scan_coverage) == (None, 3, None, None, None, None)
     assert (r[0].ready_clip_count, r[0].next_start_sec, r[0].next_end_sec) == (1, 1.0, 2.0)
     assert r[1].turn is None and r[1].ready_clip_count is None
+
+
+def test_upsert_writes_only_touched_partitions(spark, tmp_path):
+    schema, table = "video_id long, model_id string, payload double", str(tmp_path / "predictions")
+    start = spark.createDataFrame([(v, m, float(v)) for v in range(200) for m in "ab"], schema)
+    tables.write_predictions(start, table, parts=16)
+
+    def files():
+        return {p: p.stat().st_mtime_ns for p in (tmp_path / "predictions").glob("part=*/*.parquet")}
+
+    before = files()
+    change = spark.createDataFrame([(3, "a", 99.0), (5, "b", 5.0), (1000, "a", 1.0), (7, "a", None)], schema)
+    got = tables.merge_predictions(change, table, parts=16)
+    assert sorted(map(tuple, got.collect())) == [(3, "a", "updated"), (5, "b", "unchanged"), (7, "a", "updated"), (1000, "a", "inserted")]
+    after = files()
+    assert 0 < len({p.parent for p in before if p in after}) and len({p.parent for p in after if p not in before}) <= 3
+    now = {(r["video_id"], r["model_id"]): r["payload"] for r in spark.read.parquet(table).collect()}
+    want = {(v, m): float(v) for v in range(200) for m in "ab"} | {(3, "a"): 99.0, (1000, "a"): 1.0, (7, "a"): None}
+    assert now == want
+    again = tables.merge_predictions(change, table, parts=16)
+    assert {r["outcome"] for r in again.collect()} == {"unchanged"} and files() == after
+
+
+def test_a_log_batch_that_comes_twice_adds_nothing(spark, tmp_path):
+    log = spark.createDataFrame([(1, "accepted"), (2, "rejected")], "no long, status string")
+    for batch, rows_ in (("b1", log), ("b2", log.filter("no = 2")), ("b1", log)):
+        tables.append_batch(rows_, str(tmp_path / "log"), batch)
+    got = sorted(map(tuple, tables.read_log(spark, str(tmp_path / "log"), log.schema).collect()))
+    assert got == [(1, "accepted", "b1"), (2, "rejected", "b1"), (2, "rejected", "b2")]
+
+
+def test_registration_is_all_or_nothing(spark, tmp_path):
+    table, schema = str(tmp_path / "videos"), "pos long, video_id long, drama_id string, sha256 string"
+    spark.createDataFrame([(1, "d1", "h1", "train")], tables.VIDEOS).write.parquet(f"{table}/first")
+    rows_ = [(0, 2, "d1", "h2"), (1, 2, "d1", "h2"), (2, 1, "d1", "h1"), (3, 3, "d2", "h1")]
+
+    def attempt(some):
+        out = tables.register_videos(spark.createDataFrame(some, schema), table)
+        return {r["pos"]: r["outcome"] for r in out.collect()}, {r["video_id"] for r in tables.read_videos(spark, table).collect()}
+
+    # one hash in two groups: the whole delivery is refused
+    assert attempt(rows_) == ({0: "added", 1: "duplicate", 2: "conflict", 3: "conflict"}, {1})
+    assert attempt([(0, 2, "d1", "other"), (1, 2, "d1", "h2")])[1] == {1}
+    assert attempt(rows_[:3]) == ({0: "added", 1: "duplicate", 2: "duplicate"}, {1, 2})
+    assert attempt(rows_[:3]) == ({0: "duplicate", 1: "duplicate", 2: "duplicate"}, {1, 2})
+    assert {r["split"] for r in tables.read_videos(spark, table).collect()} <= {"train", "val", "test"}
+
+
+def test_folding_ignores_case_of_any_letter(spark):
+    pairs = [("STRASSE", "straße"), ("Straße", "SS"), ("İstanbul", "i̇s"), ("ﬁn", "FI"), ("ΟΔΟΣ", "οδος"), ("ŉa", "ʼN"), ("kelvin", "Kelvin"), ("ısı", "ISI"), ("abc", "d"), ("Ꭰꭰ", "ꭰᎠ")]
+    df = spark.createDataFrame(pairs, "text string, needle string")
+    got = [r["hit"] for r in df.select(folded_contains("text", "needle").alias("hit")).collect()]
+    assert got == [n.casefold() in t.casefold() for t, n in pairs] and got[7] is False
