@@ -12,11 +12,11 @@ position of a document in the whole stream is the tokens of earlier parts (one t
 those of earlier segments of its part, plus its place in the segment.
 
 Encoding: the tokenizers library never lets a token cross white space, so a text is the concatenation
-of its space-separated chunks; each distinct chunk is encoded once per task (the table of known
-chunks is emptied when it reaches ``CACHE_CHUNKS`` entries).
+of its space-separated chunks; each distinct chunk is encoded once as long as a Python worker knows it. A worker
+keeps its table of up to ``CACHE_CHUNKS`` chunks over all its tasks, those in use before others.
 
 Defined results: a null text is empty; an empty text is the end id alone; repeated rows are encoded
-each, ties in id ordered by text; rows without id come first; an empty table gives an empty archive;
+each, ties in id ordered by a hash of the text, then by the text; rows without id come first; an empty table gives an empty archive;
 other columns are not read.
 """
 
@@ -99,6 +99,24 @@ def unpack(levels: list[dict[str, bytes]]) -> np.ndarray:
     return ids
 
 
+class Known:
+    """A table that keeps what is in use: when the new half is full it becomes the old one, and what is asked for again moves up."""
+
+    def __init__(self, most: int = CACHE_CHUNKS) -> None:
+        self.now: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.half = most // 2
+
+    def missing(self, asked: set[bytes]) -> set[bytes]:
+        """What the table does not have; the rest is in ``now`` afterwards, with room for the missing."""
+        new = asked.difference(self.now)
+        if len(self.now) + len(new) > self.half:
+            self.now, self.old, new = {}, self.now, asked
+        again = new & self.old.keys()
+        self.now.update(zip(again, map(self.old.__getitem__, again)))
+        return new - again
+
+
 class ChunkEncoder:
     """Ids of texts as little-endian 16 or 32-bit integers, chunk by chunk.
 
@@ -106,15 +124,23 @@ class ChunkEncoder:
     words are encoded many at a time, parted by spaces, and told apart by their word-end tokens."""
 
     def __init__(self, path: str) -> None:
+        self.path = path
+        self.tokenizer = None
+
+    def __getstate__(self) -> dict:
+        return {"path": self.path, "tokenizer": None}
+
+    def open(self) -> None:
+        """Load the tokenizer, once in a Python worker."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(self.path)
         size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.known: dict[bytes, bytes] = {}
-        self.words: dict[bytes, bytes] = {b"": b""}
+        self.known, self.words = Known(), Known()
+        self.words.now[b""] = b""
 
     def _single(self, chunks: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         found = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
@@ -129,37 +155,35 @@ class ChunkEncoder:
             ends = ((np.flatnonzero(self.ends[ids]) + 1) * width).tolist()
             if len(ends) == len(group) and ends[-1] == len(ids) * width:
                 packed = ids.tobytes()
-                self.words.update((w, packed[i:j]) for w, i, j in zip(group, [0, *ends], ends))
+                self.words.now.update((w, packed[i:j]) for w, i, j in zip(group, [0, *ends], ends))
             else:
-                self.words.update(self._single(group))
+                self.words.now.update(self._single(group))
 
-    def learn(self, missing: list[bytes]) -> None:
-        if len(self.words) > CACHE_CHUNKS // 2:
-            self.words = {b"": b""}
-        words, plain, rest, new = self.words, [], [], set()
+    def learn(self, missing: set[bytes]) -> None:
+        plain, rest, parts = [], [], {b""}
         for chunk in missing:
             letters = chunk.rstrip(SIGNS)
             if letters.isalpha() or LETTERS.fullmatch(letters):
                 signs = chunk[len(letters) :]
                 plain.append((chunk, letters, signs))
-                if letters not in words:
-                    new.add(letters)
-                if signs not in words:
-                    new.add(signs)
+                parts.add(letters)
+                parts.add(signs)
             else:
                 rest.append(chunk)
+        new = self.words.missing(parts)
+        new.discard(b"")
+        self.words.now[b""] = b""
         self._learn_words(list(new))
-        self.known.update([(chunk, words[letters] + words[signs]) for chunk, letters, signs in plain])
-        self.known.update(self._single(rest))
+        words = self.words.now
+        self.known.now.update([(chunk, words[letters] + words[signs]) for chunk, letters, signs in plain])
+        self.known.now.update(self._single(rest))
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        if self.tokenizer is None:
+            self.open()
         cut = [lowered(t or b"").split() for t in texts]
-        new = set().union(*cut).difference(self.known)
-        if len(self.known) + len(new) > CACHE_CHUNKS:
-            self.known = {}
-            new = set().union(*cut)
-        self.learn(list(new))
-        known = self.known.__getitem__
+        self.learn(self.known.missing(set().union(*cut)))
+        known = self.known.now.__getitem__
         return [np.frombuffer(b"".join(map(known, chunks)), self.kind) for chunks in cut]
 
 
@@ -169,9 +193,9 @@ def lowered(raw: bytes) -> bytes:
     return raw if b"\xcc" in raw or b"<|" in raw else raw.lower()
 
 
-def _write(path: str, end_id: int):
+def _write(shared, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(path)
+        encoder = shared.value
         part, seq = TaskContext.get().partitionId(), 0
         ids: list = []
         lengths: list[int] = []
@@ -211,8 +235,11 @@ def write_archive(
     folder = folder or f"{shared_folder(spark).rstrip('/')}/spanweave/tokens-{uuid.uuid4().hex}"
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
-    ordered.mapInArrow(_write(tokenizer_path, end_id), SEGMENT_SQL).write.parquet(folder)
+    # rows of one id may lie in several parts, and so may copies of one row
+    rows = rows.withColumn("mark", F.xxhash64("text"))
+    ordered = rows.repartitionByRange(parts, "id", "mark", F.rand(7)).sortWithinPartitions("id", "mark", "text").select("id", "text")
+    shared = spark.sparkContext.broadcast(ChunkEncoder(tokenizer_path))
+    ordered.mapInArrow(_write(shared, end_id), SEGMENT_SQL).write.parquet(folder)
     return folder
 
 

@@ -45,6 +45,27 @@ def test_unusual_texts():
         assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_a_full_table_keeps_what_is_in_use(monkeypatch):
+    encoder, tokenizer = token_archive.ChunkEncoder(PATH), Tokenizer.from_file(PATH)
+    encoder.open()
+    encoder.known.half = encoder.words.half = 40
+    for i in range(60):
+        lines = [" ".join(["often used", *(f"word{i * 10 + k}x!" for k in range(9))]), "in don't 12a3 " * 3]
+        for text, ids in zip(lines, encoder.encode([t.encode() for t in lines])):
+            assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(encoder.known.now) <= 40
+
+
+def test_one_id_or_row_fills_several_parts(spark):
+    rows = [(None, f"text number {i}") for i in range(300)] + [(5, "the same text")] * 300 + [(i, f"t{i}") for i in range(100, 400)]
+    folder = token_archive.write_archive(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6), PATH, parts=6)
+    segments = spark.read.parquet(folder).select("part", "ids").collect()
+    assert max(len(s["ids"]) for s in segments) < 350
+    got = sorted(map(tuple, token_archive.read_documents(spark, folder).collect()), key=lambda r: r[1])
+    tie = {t: k for k, t in enumerate(r["t"] for r in spark.createDataFrame([(t,) for _, t in rows], "t string").distinct().selectExpr("t", "xxhash64(t) AS h").orderBy("h").collect())}
+    assert got == slow(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tie[r[1]])))
+
+
 def test_odd_rows(spark, monkeypatch):
     folder = token_archive.write_archive(odd_rows(spark), PATH, parts=3)
     got = sorted(map(tuple, token_archive.read_documents(spark, folder).collect()), key=lambda r: r[1])
