@@ -290,7 +290,7 @@ def _solve_sorted(groups: list[str], solver: Solver) -> Callable[[Iterator[pd.Da
 
 def _solve_rows(rows: pd.DataFrame, codes: np.ndarray, solver: Solver) -> pd.DataFrame:
     kinds = rows["_kind"].to_numpy()
-    whole = lambda c: rows[c].fillna(0).astype("int64").tolist()
+    whole = lambda c: rows[c].astype("int64").tolist()
     p, t, p_n, t_n = map(whole, ("p_no", "t_no", "p_n", "t_n"))
     edges = list(zip(p, t, rows["similarity"].tolist(), p_n, t_n))
     starts = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (kinds[1:] != kinds[:-1])])
@@ -356,6 +356,8 @@ def match_edges(
         if folded.take(1):
             inside = placed.join(folded, [*base, "root"], "left_semi")
             placed = placed.unionByName(_runs(inside, predictions, targets, base), allowMissingColumns=True)
+            # a column of whole numbers with nulls would reach pandas as floating point
+            placed = placed.na.fill(0, ["p_no", "t_no", "p_n", "t_n"])
     group = [*base, "root"]
     schema = T.StructType([*[T.StructField(c, placed.schema[c].dataType) for c in [*edges.columns]], T.StructField("root", placed.schema["root"].dataType), *[T.StructField(c, T.LongType()) for c in ("units", "p_at", "t_at")]])
     solved = (

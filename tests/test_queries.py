@@ -20,7 +20,7 @@ def con():
 
 
 def test_inventory():
-    assert len(registry.QUERIES) == 167
+    assert len(registry.QUERIES) == 180
     assert set(registry.SQL_TEXT) <= set(registry.QUERIES)
 
 
