@@ -5,8 +5,9 @@ sorted 64-bit xxhash keys of the rules (host followed by path), their strings, a
 that every executor maps into memory: the driver streams the sorted rules into the files, one
 partition at a time, and Spark ships the files like any other (``addFile``), so a new executor fetches them again.
 
-A batch of URLs probes the array once, by vectorised binary search, with every host suffix and path
-prefix whose lengths some rule has; hits are confirmed against the stored string, so equal digests of
+A second such array has the keys of the rules' hosts, each with the lengths of its paths. A batch of URLs probes both
+once, by vectorised binary search: the hosts with every suffix of the URL's host that begins a label, then the rules with
+the path prefixes of the lengths that the hosts found have. Hits are confirmed against the stored string, so equal digests of
 different strings do no harm. The longest fitting rule decides (of equal rules, block), else the default.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and gets the default, as does a host
@@ -17,8 +18,10 @@ the default; an empty table gives an empty table; other columns are not read.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Iterator
+from contextlib import ExitStack
 from typing import NamedTuple
 
 import numpy as np
@@ -28,19 +31,27 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanweave.session import materialize
+
 SEED = 42
+DOT = re.compile(r"\.")
 LOWER = {c: c + 32 for c in range(65, 91)}
-MAX_LENGTH_PAIRS = 4096
+
+
+FILES = ("keys", "ends", "strings", "blocks", "hosts", "length_ends", "lengths")
 
 
 class Index(NamedTuple):
-    """Names of the shipped files, and the (host length, path length) pairs that occur."""
+    """Names of the shipped files: of the rules by key, and of their hosts by key with the lengths of their paths; and the length of the longest host."""
 
     keys: str
     ends: str
     strings: str
     blocks: str
-    lengths: list[tuple[int, int]]
+    hosts: str
+    length_ends: str
+    lengths: str
+    longest: int
 
 
 def build_index(rules: DataFrame) -> Index:
@@ -50,30 +61,35 @@ def build_index(rules: DataFrame) -> Index:
         F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("host"),
         F.coalesce("path", F.lit("")).alias("path"), F.col("verdict"),
     )
-    whole = clean.groupBy("host", "path").agg(F.max("verdict").alias("verdict")).select(
-        F.xxhash64(F.concat("host", "path")).alias("key"), F.concat("host", "path").alias("rule"), F.length("host").alias("h"),
-        F.length("path").alias("p"), (F.col("verdict") == "block").alias("block"),
+    whole = materialize(clean.groupBy("host", "path").agg(F.max("verdict").alias("verdict")), "url-rules")
+    rules_by_key = whole.select(
+        F.xxhash64(F.concat("host", "path")).alias("key"), F.concat("host", "path").alias("rule"), (F.col("verdict") == "block").alias("block")
     ).orderBy("key", "rule")
+    # a path is shorter than a URL, so the lengths of a host are few
+    hosts_by_key = whole.groupBy(F.xxhash64("host").alias("key")).agg(F.sort_array(F.collect_set(F.length("path"))).alias("lengths"), F.max(F.length("host")).alias("longest")).orderBy("key")
     folder, tag = os.path.join(SparkFiles.getRootDirectory(), f"staged-{uuid.uuid4().hex}"), uuid.uuid4().hex
     os.makedirs(folder)
-    names = [f"{part}-{tag}" for part in ("keys", "ends", "strings", "blocks")]
-    paths = [os.path.join(folder, n) for n in names]
-    pairs, end = set(), 0
-    keys, ends, strings, blocks = (open(p, "wb") for p in paths)
-    with keys, ends, strings, blocks:
-        for row in whole.toLocalIterator():
+    names, longest = [f"{part}-{tag}" for part in FILES], 0
+    with ExitStack() as opened:
+        files = Index(*[opened.enter_context(open(os.path.join(folder, n), "wb")) for n in names], 0)
+        end = 0
+        for row in rules_by_key.toLocalIterator():
             text = row["rule"].encode()
             end += len(text)
-            keys.write(np.int64(row["key"]).tobytes())
-            ends.write(np.int64(end).tobytes())
-            strings.write(text)
-            blocks.write(b"\1" if row["block"] else b"\0")
-            pairs.add((row["h"], row["p"]))
-    for path in paths:
-        spark.sparkContext.addFile(path)
-    if len(pairs) > MAX_LENGTH_PAIRS:
-        raise ValueError(f"rules of more than {MAX_LENGTH_PAIRS} different pairs of lengths: split them into several indexes")
-    return Index(*names, sorted(pairs))
+            files.keys.write(np.int64(row["key"]).tobytes())
+            files.ends.write(np.int64(end).tobytes())
+            files.strings.write(text)
+            files.blocks.write(b"\1" if row["block"] else b"\0")
+        end = 0
+        for row in hosts_by_key.toLocalIterator():
+            end += len(row["lengths"])
+            longest = max(longest, row["longest"])
+            files.hosts.write(np.int64(row["key"]).tobytes())
+            files.length_ends.write(np.int64(end).tobytes())
+            files.lengths.write(np.array(row["lengths"], np.int32).tobytes())
+    for name in names:
+        spark.sparkContext.addFile(os.path.join(folder, name))
+    return Index(*names, longest)
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -88,25 +104,44 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host.translate(LOWER), path
 
 
+def label_starts(host: str, longest: int) -> Iterator[int]:
+    """Where the labels begin whose suffix is not longer than the longest host of a rule."""
+    first = len(host) - longest
+    if first <= 0:
+        yield 0
+    for dot in DOT.finditer(host, max(first - 1, 0)):
+        yield dot.end()
+
+
 def _mapped(name: str, kind: type) -> np.ndarray:
     path = SparkFiles.get(name)
     return np.memmap(path, kind, "r") if os.path.getsize(path) else np.empty(0, kind)
 
 
+def _digests(texts: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(t, SEED) for t in texts), np.uint64, len(texts)).view(np.int64)
+
+
 def _judge(index: Index, default: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ends = _mapped(index.keys, np.int64), _mapped(index.ends, np.int64)
         strings, blocks = _mapped(index.strings, np.uint8), _mapped(index.blocks, np.uint8)
+        hosts, length_ends, lengths = _mapped(index.hosts, np.int64), _mapped(index.length_ends, np.int64), _mapped(index.lengths, np.int32)
         for batch in batches:
             parts = [split_url(u) for u in batch.column(1).to_pylist()]
+            suffixes = [(row, host[cut:]) for row, (host, _) in enumerate(parts) for cut in label_starts(host, index.longest)]
+            digests = _digests([h.encode() for _, h in suffixes])
+            places = np.searchsorted(hosts, digests)
+            found = np.flatnonzero(places < len(hosts))
             owners, probes = [], []
-            for row, (host, path) in enumerate(parts):
-                for h, p in index.lengths:
-                    cut = len(host) - h
-                    if cut >= 0 and p <= len(path) and (cut == 0 or host[cut - 1] == "."):
+            for i in found[hosts[places[found]] == digests[found]].tolist():
+                (row, host), at = suffixes[i], int(places[i])
+                path = parts[row][1]
+                for n in lengths[length_ends[at - 1] if at else 0 : length_ends[at]].tolist():
+                    if n <= len(path):
                         owners.append(row)
-                        probes.append((host[cut:] + path[:p]).encode())
-            digests = np.fromiter((xxhash.xxh64_intdigest(t, SEED) for t in probes), np.uint64, len(probes)).view(np.int64)
+                        probes.append((host + path[:n]).encode())
+            digests = _digests(probes)
             places = np.searchsorted(keys, digests)
             best: dict[int, tuple[int, int]] = {}
             inside = np.flatnonzero(places < len(keys))

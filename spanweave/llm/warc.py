@@ -108,21 +108,25 @@ def read_payloads(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
-    """The records: header fields, payload, and the exact bytes of the record (a revisit carries no payload bytes)."""
-    whole = read_headers(spark, folder).join(read_payloads(spark, folder).where("intact"), "address")
+    """The records: header fields, payload, and the exact bytes of the record (a revisit carries no payload bytes).
+
+    A record whose payload is missing or damaged stays, with null payload and record."""
+    whole = read_headers(spark, folder).join(read_payloads(spark, folder).where("intact"), "address", "left")
     record = F.concat(
-        F.encode("header", "UTF-8"), F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b"")), F.lit(END.encode())
+        F.encode("header", "UTF-8"), F.when(F.col("record_type") == "response", F.col("payload")).when(F.col("payload").isNotNull(), F.lit(b"")),
+        F.lit(END.encode()),
     )
     return whole.select("id", "record_type", "target", "digest", "refers_to", "payload", record.alias("record"))
 
 
 def read_facts(spark: SparkSession, folder: str) -> DataFrame:
     """Per record what reading it back shows. Payload bytes are measured where they are stored, so
-    only their length and digest travel to the records."""
-    measured = read_payloads(spark, folder).where("intact").select(
-        "address", F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha1("payload").alias("payload_digest")
+    only their length and digest travel to the records. A record whose payload is missing or damaged stays: it is not
+    verified, and shows what is stored (nulls if nothing is)."""
+    measured = read_payloads(spark, folder).select(
+        "address", F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "intact"
     )
-    return read_headers(spark, folder).join(measured, "address").select(
+    return read_headers(spark, folder).join(measured, "address", "left").select(
         "id", "payload_bytes", "payload_digest", "record_type", "refers_to",
-        (F.col("payload_digest") == F.col("digest")).alias("verified"),
+        F.coalesce(F.col("intact") & (F.col("payload_digest") == F.col("digest")), F.lit(False)).alias("verified"),
     )

@@ -36,13 +36,24 @@ def test_no_rules_and_double_rules(spark):
     assert [r["verdict"] for r in url_filter.judge(rows(spark, ["http://a.com"]), both).collect()] == ["block"]
 
 
+def test_rules_of_many_lengths(spark):
+    """A hundred host lengths times sixty path lengths."""
+    rules = [("h" * h + ".org", "/" + "p" * p, "block" if (h + p) % 3 else "allow") for h in range(1, 101) for p in range(60)]
+    rules += [("org", "/p", "block"), ("", "/x", "block")]
+    index = url_filter.build_index(spark.createDataFrame(rules, "host string, path string, verdict string"))
+    urls = [f"http://{'a.' * (i % 3)}{'h' * (i % 103 + 1)}.org/{'p' * (i * 7 % 64)}{'q' * (i % 2)}" for i in range(700)] + ["http:///xy", "http://a./xy", "http://h.org"]
+    got = {r["id"]: tuple(r)[1:] for r in url_filter.judge(rows(spark, urls), index).collect()}
+    assert got == {i: slow(u, rules) for i, u in enumerate(urls)}
+
+
 def test_equal_digests_are_confirmed(spark, monkeypatch):
     """With every key equal, the stored strings alone decide."""
     index = url_filter.build_index(spark.createDataFrame(catalog.RULES, "host string, path string, verdict string"))
     keys = url_filter._mapped(index.keys, np.int64)
     mapped = url_filter._mapped
     monkeypatch.setattr(url_filter, "_mapped", lambda name, kind: np.zeros(len(keys), np.int64) if name == index.keys else mapped(name, kind))
-    monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda text, seed: 0)
+    real = url_filter.xxhash.xxh64_intdigest
+    monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda text, seed: 0 if b"/" in text else real(text, seed))
     import pyarrow as pa
 
     batch = pa.RecordBatch.from_pydict({"id": list(range(len(URLS))), "url": URLS})
