@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import labels as lb
 from ..operators import editing
@@ -114,41 +115,50 @@ def _(spark, sf):
 
 @query(
     "src_subtitles",
-    """SELECT conv_id, turn AS cue_no, CAST(turn * 8 AS DOUBLE) AS start_sec, CAST(turn * 8 AS DOUBLE) + 2.5 AS end_sec, concat(role, ' ', CAST(length(text) AS VARCHAR)) AS text
+    """SELECT conv_id, CAST(turn * 8 AS DOUBLE) AS start_sec, CAST(turn * 8 AS DOUBLE) + 2.5 AS end_sec, concat(CAST(conv_id AS VARCHAR), ' ', role, ' ', CAST(length(text) AS VARCHAR)) AS text
 FROM conversations WHERE turn % 5 <> 4 AND turn % 7 <> 6""",
 )
 def _(spark, sf):
-    # one cue block per turn, written as subtitle documents of one conversation each
+    """One cue block per turn, in subtitle files of some conversations each. Some cues run backwards, some are notes."""
     second = F.col("turn") * 8
     clock = lambda s, ms: F.format_string(f"%02d:%02d:%02d,{ms}", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
     times = F.concat(clock(second, "000"), F.lit(" --> "), clock(second + F.when(F.col("turn") % 5 == 4, -2).otherwise(2), "500"))
-    cue = F.concat_ws("\n", F.col("turn").cast("string"), times, F.concat(F.lit("<i>"), "role", F.lit("</i> "), F.length("text")))
+    words = F.concat_ws(" ", F.concat(F.lit("<b>"), F.col("conv_id").cast("string"), F.lit("</b>")), "role", F.length("text").cast("string"))
+    cue = F.concat_ws("\n", F.col("turn").cast("string"), times, words)
     block = F.when(F.col("turn") % 7 == 6, F.concat(F.lit("NOTE "), cue)).otherwise(cue)
-    docs = fx.table(spark, sf, "conversations").groupBy("conv_id").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("text")
-    )
-    return subtitles.cues(docs, "text", ["conv_id"])
+    path = scratch(spark, "subtitles")
+    blocks = fx.table(spark, sf, "conversations").select((F.col("conv_id") % 16).alias("batch"), "conv_id", "turn", block.alias("value"))
+    ordered = blocks.repartition("batch").sortWithinPartitions("batch", "conv_id", "turn").select("batch", "value")
+    ordered.write.partitionBy("batch").option("lineSep", "\n\n").text(path)
+    read = subtitles.read_subtitles(spark, f"{path}/*")
+    return read.select(F.regexp_extract("text", r"^(\d+) ", 1).cast("bigint").alias("conv_id"), "start_sec", "end_sec", "text")
+
+
+JOURNALS = 8
 
 
 @query(
     "src_journal",
-    """SELECT user_id AS job, day, row_number() OVER (PARTITION BY user_id, day ORDER BY event_id) - 1 AS line_no, event_id AS pos, event_id % 50 = 0 AS bad
-FROM (SELECT *, CAST(ts AS DATE) AS day FROM events)""",
+    f"""SELECT CAST(ts AS DATE) AS day, user_id % {JOURNALS} AS journal, event_id AS pos, event_id % 50 = 0 AS bad FROM events""",
 )
 def _(spark, sf):
-    # a journal per job and day; every journal ends with an unfinished line
-    e = fx.table(spark, sf, "events")
+    """Journals of a day each, in files whose last line is whole JSON but not terminated, read split by split."""
+    e = fx.table(spark, sf, "events").select("event_id", "event_type", F.to_date("ts").alias("day"), (F.col("user_id") % JOURNALS).alias("journal"))
     line = F.when(F.col("event_id") % 50 == 0, F.concat(F.lit("broken "), "event_id")).otherwise(
         F.to_json(F.struct(F.col("event_id").alias("pos"), "event_type"))
     )
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("event_id", line.alias("l")))), lambda x: x["l"])
-    raw = e.groupBy(F.col("user_id").alias("job"), F.to_date("ts").alias("day")).agg(
-        F.concat(F.array_join(listed, "\n"), F.lit('\n{"pos": 1')).alias("value")
-    )
-    good, bad = journal.journal_records(raw, ["job", "day"])
-    number = F.regexp_extract("line", r"broken (\d+)", 1).cast("bigint")
-    return good.select("job", "day", "line_no", F.try_variant_get("record", "$.pos", "bigint").alias("pos"), F.lit(False).alias("bad")).unionByName(
-        bad.select("job", "day", "line_no", number.alias("pos"), F.lit(True).alias("bad"))
+    # each row starts a new line, and the writer puts the closing brace behind it, so that no newline ends the file
+    row = lambda text: F.concat(F.lit("\n"), F.regexp_replace(text, r"\}$", "")).alias("value")
+    whole = e.select("day", "journal", F.col("event_id").alias("at"), row(line))
+    last = e.select("day", "journal").distinct().select("day", "journal", F.lit(2**62).alias("at"), row(F.lit('{"pos": 1}')))
+    path = scratch(spark, "journals")
+    ordered = whole.unionByName(last).repartition("day", "journal").sortWithinPartitions("day", "journal", "at").drop("at")
+    ordered.write.partitionBy("day", "journal").option("lineSep", "}").text(path)
+    schema = T.StructType([T.StructField("value", T.StringType()), T.StructField("day", T.DateType()), T.StructField("journal", T.LongType())])
+    good, bad = journal.read_large_journal(spark, path, schema)
+    number = F.regexp_extract("value", r"broken (\d+)", 1).cast("bigint")
+    return good.select("day", "journal", F.try_variant_get("record", "$.pos", "bigint").alias("pos"), F.lit(False).alias("bad")).unionByName(
+        bad.select("day", "journal", number.alias("pos"), F.lit(True).alias("bad"))
     )
 
 

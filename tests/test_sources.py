@@ -33,6 +33,24 @@ def test_journal(spark, tmp_path):
         assert bad.count() == 1
 
 
+def test_large_journals_end_at_their_last_newline(spark, tmp_path):
+    """An unterminated last line is ignored even if it is whole JSON; a terminated one counts, across splits and with a byte order mark."""
+    long = "".join(json.dumps({"id": i, "pad": "é" * (i % 50)}) + "\n" for i in range(4000))
+    files = {"whole": long, "open": long + '{"id": -1}', "mark": "\ufeff" + '{"id": 1}\n{"id": 2}', "marked": "\ufeff" + '{"id": 3}\n', "none": "", "blank": "\n\n", "cr": '{"id": 4}\r\n{"id": 5}\r\n', "lone": '{"id": 6}'}
+    for name, text in files.items():
+        (tmp_path / f"{name}.jsonl").write_bytes(text.encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        good, bad = journal.read_large_journal(spark, str(tmp_path))
+        got = {}
+        for r in good.select("file", F.try_variant_get("record", "$.id", "int").alias("i")).collect():
+            got.setdefault(r.file.rsplit("/", 1)[1].split(".")[0], []).append(r.i)
+        assert bad.count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {k: sorted(v) for k, v in got.items()} == {"whole": list(range(4000)), "open": list(range(4000)), "mark": [1], "marked": [3], "cr": [4, 5]}
+
+
 def test_subtitles(spark, tmp_path):
     srt = "1\r\n00:00:01,500 --> 00:00:02,250\r\n<i>Hello</i>\r\nagain\r\n\r\n2\r\n00:00:09,000 --> 00:00:08,000\r\nbackwards\r\n"
     vtt = "WEBVTT\n\nNOTE 00:01.000 --> 00:02.000 remark\n\nid\n01:02:03.004 --> 01:02:04.5 align:start\ncue\n"
