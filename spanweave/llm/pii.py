@@ -20,6 +20,8 @@ nothing is added; an empty table gives an empty table; other columns are kept (t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,24 +56,56 @@ COUNTER_CUES = r"(?i)version|release|order|invoice|isbn|sku|token|ref|build|seri
 NEAR = 32
 
 
+INTS = "cast(array() as array<int>)"
+SHORTEST, CHUNK = 4, 4096
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Inclusive running sums or maxima of an array of n numbers, in blocks of about the root of n: arrays are copied
+    when they grow, so a single fold would take time in proportion to the square of n."""
+    def one(part: Column) -> Column:
+        grow = lambda s, x: F.concat(s, F.array(F.when(F.size(s) == 0, x).otherwise(step(F.get(s, F.size(s) - 1), x))))
+        return F.aggregate(part, F.expr(INTS), grow)
+
+    def joined(blocks: Column) -> Column:
+        lasts = one(F.transform(blocks, lambda r: F.get(r, F.size(r) - 1)))
+        shift = lambda before: lambda r, i: F.transform(r, lambda x: F.when(i == 0, x).otherwise(step(F.get(before, i - 1), x)))
+        return _let(lasts, lambda before: F.flatten(F.transform(blocks, shift(before))))
+
+    def whole(v: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(v).cast("double"))).cast("int"), F.lit(8))
+        cut = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / w).cast("int")), lambda b: one(F.slice(v, b * w + 1, w)))
+        return F.when(F.size(v) == 0, F.expr(INTS)).otherwise(_let(width, lambda w: _let(cut(w), joined)))
+
+    return _let(values, whole)
+
+
 def _found(text: Column, pattern: str, sign: str) -> Column:
-    """(start, end, match) of every match; positions add up what lies between the matches."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    folded = F.aggregate(
-        F.arrays_zip(gaps.alias("gap"), matches.alias("match")),
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start: int, end: int, match: string>>)").alias("out")),
-        lambda s, x: F.when(x["match"].isNull(), s).otherwise(F.struct(
-            (s["at"] + x["gap"] + F.length(x["match"])).alias("at"),
-            F.concat(s["out"], F.array(F.struct(
-                (s["at"] + x["gap"]).alias("start"), (s["at"] + x["gap"] + F.length(x["match"])).alias("end"),
-                x["match"].alias("match"),
-            ))).alias("out"),
-        )),
-        lambda s: s["out"],
-    )
-    none = F.expr("cast(array() as array<struct<start: int, end: int, match: string>>)")
-    return F.when(text.rlike(sign), folded).otherwise(none)
+    """(start, end, match, before) of every match; positions add up what lies between the matches, and the text
+    before a match is put together from the last gaps and matches, each of which has ``SHORTEST`` characters at least."""
+    def listed(matches: Column, gaps: Column, ends: Column, pieces: Column) -> Column:
+        back = -(-NEAR // SHORTEST)
+
+        def one(m: Column, i: Column) -> Column:
+            earlier = F.array_join(F.slice(pieces, F.greatest(i - back, F.lit(0)) + 1, F.least(i, F.lit(back))), "")
+            before = F.substring(F.concat(earlier, F.get(gaps, i)), -NEAR, NEAR)
+            return F.struct((F.get(ends, i) - F.length(m)).alias("start"), F.get(ends, i).alias("end"), m.alias("match"), before.alias("before"))
+
+        return F.transform(matches, one)
+
+    def placed(matches: Column, gaps: Column) -> Column:
+        ends = _running(F.transform(matches, lambda m, i: F.length(F.get(gaps, i)) + F.length(m)), lambda a, b: a + b)
+        pieces = F.transform(matches, lambda m, i: F.concat(F.get(gaps, i), m))
+        return _let(ends, lambda e: _let(pieces, lambda p: listed(matches, gaps, e, p)))
+
+    none = F.expr("cast(array() as array<struct<start: int, end: int, match: string, before: string>>)")
+    found = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: _let(F.split(text, pattern, -1), lambda g: placed(m, g)))
+    return F.when(text.rlike(sign), found).otherwise(none)
 
 
 def _digits(text: Column) -> Column:
@@ -103,11 +137,10 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, "+").when(no, "-").otherwise("0")
 
 
-def _candidate(text: Column, kind: int, loose: bool, found: Column) -> Column:
-    match, digits = found["match"], _digits(found["match"])
+def _candidate(kind: int, loose: bool, found: Column) -> Column:
+    match, digits, before = found["match"], _digits(found["match"]), found["before"]
     valid = F.lit(False) if loose else _valid(kind, match)
     never = F.lit(False)
-    before = F.substring(text, F.greatest(found["start"] + 1 - NEAR, F.lit(1)), F.least(found["start"], F.lit(NEAR)))
     form = _vote(valid, never if loose else ~valid)
     gazetteer = {
         "email": _vote(match.rlike(DOMAINS), ~match.rlike(DOMAINS)),
@@ -138,7 +171,7 @@ def candidates(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
 
     def part(kind: int, loose: bool, pattern: str, sign: str) -> Column:
-        return F.transform(_found(text, pattern, sign), lambda x: _candidate(text, kind, loose, x))
+        return F.transform(_found(text, pattern, sign), lambda x: _candidate(kind, loose, x))
 
     return F.concat(*[part(*p) for p in patterns])
 
@@ -215,10 +248,24 @@ def spans(docs: DataFrame, weights: dict[str, float], text_col: str = "text") ->
     proposed = F.filter("__spans", lambda c: ~c["base"] & (F.substring(c["votes"], 1, 1) != "-"))
     listed = listed.withColumn("__spans", F.struct(base.alias("base"), proposed.alias("proposed")))
 
-    def free(c: Column) -> Column:
-        return ~F.exists("__spans.base", lambda b: (b["kind"] == c["kind"]) & (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    def blocks(b: Column) -> Column:
+        """The base spans in blocks, with the range of each, so that a proposal looks into few of them."""
+        width = F.greatest(F.ceil(F.sqrt(F.size(b).cast("double"))).cast("int"), F.lit(8))
+        each = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(b) - 1) / w).cast("int")), lambda i: F.slice(b, i * w + 1, w))
+        ranged = lambda part: F.struct(
+            F.array_min(F.transform(part, lambda c: c["start"])).alias("low"), F.array_max(F.transform(part, lambda c: c["end"])).alias("high"), part.alias("spans")
+        )
+        return F.transform(_let(width, each), ranged)
 
-    added = F.filter("__spans.proposed", lambda c: free(c) & likely(c))
+    def meets(a: Column, start: Column, end: Column) -> Column:
+        return (start < a["end"]) & (a["start"] < end)
+
+    def free(c: Column, of: Column) -> Column:
+        return ~F.exists(of, lambda p: meets(c, p["low"], p["high"]) & F.exists(p["spans"], lambda b: (b["kind"] == c["kind"]) & meets(c, b["start"], b["end"])))
+
+    some = F.col("__spans.base")
+    clear = _let(some, lambda b: _let(blocks(b), lambda of: F.filter("__spans.proposed", lambda c: free(c, of) & likely(c))))
+    added = F.when(F.size(some) == 0, F.filter("__spans.proposed", likely)).otherwise(clear)
     kept = F.transform(F.concat("__spans.base", added), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base")))
     return listed.withColumn("__spans", F.array_sort(kept))
 
@@ -235,11 +282,26 @@ def redact(text: Column, spans_: Column) -> Column:
     """The text with each span replaced by its kind in brackets; of overlapping spans the first names the place."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     ordered = F.array_sort(F.transform(spans_, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))))
-    folded = F.aggregate(
-        ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda s, c: F.when(c["start"] < s["at"], F.struct(F.greatest(s["at"], c["end"]).alias("at"), s["out"].alias("out"))).otherwise(
-            F.struct(c["end"].alias("at"), F.concat(s["out"], F.substring(text, s["at"] + 1, c["start"] - s["at"]), F.element_at(names, c["kind"] + 1)).alias("out"))
-        ),
-        lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))),
-    )
-    return F.when(F.size(spans_) > 0, folded).otherwise(text)
+
+    def between(chunks: Column, start: Column, end: Column) -> Column:
+        """A part of the text, from the chunks that hold it: finding a place in a string takes time in proportion to the place."""
+        first = F.floor(start / CHUNK).cast("int")
+        held = F.array_join(F.slice(chunks, first + 1, F.floor(end / CHUNK).cast("int") - first + 1), "")
+        return F.substring(held, start - first * CHUNK + 1, end - start)
+
+    def put(chunks: Column, c: Column, reach: Column) -> Column:
+        # reach[i] is how far the spans up to i go; a span behind all earlier ones names a place
+        def piece(x: Column, i: Column) -> Column:
+            before = F.when(i == 0, F.lit(0)).otherwise(F.get(reach, i - 1))
+            named = F.concat(between(chunks, before, x["start"]), F.element_at(names, x["kind"] + 1))
+            return F.when(x["start"] >= before, named).otherwise("")
+
+        rest = between(chunks, F.get(reach, F.size(reach) - 1), F.length(text))
+        return F.array_join(F.concat(F.transform(c, piece), F.array(rest)), "")
+
+    def redacted(c: Column) -> Column:
+        reach = _running(F.transform(c, lambda x: x["end"]), lambda a, b: F.greatest(a, b))
+        chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+        return _let(reach, lambda r: _let(chunks, lambda t: put(t, c, r)))
+
+    return F.when(F.size(spans_) > 0, _let(ordered, redacted)).otherwise(text)

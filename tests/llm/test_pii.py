@@ -1,5 +1,7 @@
 import hashlib
+import itertools
 import re
+import time
 
 from cases import SF, no_rows, odd_rows, texts
 from pyspark.sql import functions as F
@@ -81,6 +83,49 @@ def test_estimates_follow_the_votes(spark):
     assert worth["+++"] > 0.99 and worth["---"] < 0.01 and worth["0+0"] > 0.9 > 0.1 > worth["0-0"]
 
 
+def plain_redaction(text, spans):
+    out, at = [], 0
+    for a, b, kind in sorted(spans):
+        if a >= at:
+            out += [text[at:a], f"[{pii.KINDS[kind].upper()}]"]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
+def test_context_and_redaction_match_a_plain_walk(spark):
+    rows = spark.createDataFrame(list(enumerate([*TRICKY, *list(texts(spark).values())[:60]])), "doc_id bigint, text string")
+    found = pii.spans(rows, {"0|+00": 1.0, "3|+00": 1.0}).withColumn("redacted", pii.redact(F.col("text"), F.col("__spans")))
+    for r in found.collect():
+        assert r["redacted"] == plain_redaction(r["text"], [(s["start"], s["end"], s["kind"]) for s in r["__spans"]])
+    before = rows.select("text", F.explode(pii._found(F.col("text"), pii.PHONE, pii.PHONE_SIGN)).alias("f")).unionAll(
+        rows.select("text", F.explode(pii._found(F.col("text"), pii.EMAIL, pii.EMAIL_SIGN)).alias("f")))
+    seen = before.collect()
+    assert len(seen) > 10
+    for r in seen:
+        start, end, match, context = r["f"]
+        assert r["text"][start:end] == match and context == r["text"][max(0, start - pii.NEAR) : start]
+
+
+def test_running_sums_and_maxima(spark):
+    lists = [[], [5], [3, 1, 2], list(range(100, 0, -1)), [7] * 1000]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(lists)], "i int, v array<int>")
+    got = rows.select("i", pii._running(F.col("v"), lambda a, b: a + b).alias("s"), pii._running(F.col("v"), F.greatest).alias("m")).collect()
+    for r in got:
+        own = lists[r["i"]]
+        assert r["s"] == list(itertools.accumulate(own)) and r["m"] == list(itertools.accumulate(own, max))
+
+
+def test_a_text_with_a_hundred_thousand_addresses(spark):
+    n = 100_000
+    text = " ".join(f"someone{i}@mail.example.com" for i in range(n))
+    rows = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    begun = time.time()
+    found = pii.spans(rows, {}).select(F.col("__spans").alias("s"), pii.redact(F.col("text"), F.col("__spans")).alias("t")).collect()[0]
+    assert time.time() - begun < 120
+    assert len(found["s"]) == n and found["t"] == " ".join(["[EMAIL]"] * n)
+    assert all(text[s["start"] : s["end"]] == f"someone{i}@mail.example.com" for i, s in enumerate(found["s"]))
+
+
 def test_redaction_and_odd_rows(spark):
     docs = spark.createDataFrame([(1, "é a@b.de, +41 11 111 11 11 11 11 and 1.2.3.4!"), (2, "none")], "doc_id bigint, text string")
     found = pii.spans(docs, {}).select("doc_id", pii.redact(F.col("text"), F.col("__spans")).alias("text"))

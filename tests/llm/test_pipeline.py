@@ -2,6 +2,7 @@ import re
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from cases import SF, no_rows, odd_rows
 from test_jaccard import slow_classes
 from test_suffixes import slow as contaminated
@@ -64,6 +65,17 @@ def test_encoding_round_trips(stages):
     assert before.keys() == after.keys() and all(r["round_trip"] and r["ids"] for r in after.values() if r["text"])
 
 
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_columns_may_have_any_name(spark, name):
+    """Names that the operators give to columns of their own are left alone in the input."""
+    names = ["__score", "__found", "__spans", "__keeper", "__ids", "__whole", "ids", "round_trip", "id", "key", "component", "a.b", "other3"]
+    docs = odd_rows(spark).select("doc_id", "text", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    got = dict(corpus_pipeline.STAGES)[name](spark, docs, SF)
+    assert got.columns[: len(docs.columns)] == docs.columns
+    rows_ = got.collect()
+    assert rows_ and all(list(r)[2 : 2 + len(names)] == list(range(len(names))) for r in rows_)
+
+
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_odd_rows(spark, name):
     stage = dict(corpus_pipeline.STAGES)[name]
