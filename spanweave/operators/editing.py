@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.intervals import clip_edit_error
 from ..functions.scalars import truncate
-from .ordered import sliced_rank, time_slice
+from ..session import materialize
+from .ordered import global_rank, sliced_rank, sliced_running, time_slice
 
 TITLE_LENGTH = 120
 REASON_LENGTH = 300
@@ -93,6 +94,25 @@ def _suffixed(text, suffix: str) -> Column:
     return F.concat(F.left(F.col(text), F.lit(TITLE_LENGTH - len(suffix))), F.lit(suffix))
 
 
+def _free_numbers(highlights: DataFrame, parents: DataFrame) -> DataFrame:
+    """``parents`` (job_id, parent_id, _base) with ``_free``: of the numbers that no id of the family has, the one at the place of the parent.
+
+    The r-th free number is r more than the used numbers before it, which are those with fewer than r free ones below them;
+    a used number u at place i has u - i below it. So one running count per family finds all, in slices."""
+    family, block = ["job_id", "_base"], 10_000.0
+    placed = materialize(global_rank(parents, [F.col("job_id"), F.col("_base"), F.col("parent_id")], "_place"), "parents")
+    first = placed.groupBy(*family).agg(F.min("_place").alias("_from"))
+    turns = placed.join(first, family).select("job_id", "_base", "parent_id", (F.col("_place") - F.col("_from") + 1).alias("_at"))
+    number = F.when(F.col("_id") == F.col("_base"), F.lit(1)).otherwise(F.expr("try_cast(substring(_id, length(_base) + 2) AS int)"))
+    ids = highlights.select("job_id", F.col("highlight_id").alias("_id"), F.left(F.regexp_extract("highlight_id", r"^(.*_split)(?:_\d+)?$", 1), F.lit(74)).alias("_base"))
+    used = ids.join(first.select(*family), family, "left_semi").select(*family, number.cast("bigint").alias("_n")).filter("_n > 0").distinct()
+    ranked = sliced_rank(used, family, [F.col("_n")], time_slice("_n", block), "_i")
+    below = ranked.select(*family, F.lit(None).cast("string").alias("parent_id"), (F.col("_n") - F.col("_i") + 1).alias("_at"), F.lit(1).cast("bigint").alias("_one"))
+    both = turns.withColumn("_one", F.lit(0).cast("bigint")).unionByName(below)
+    counted = sliced_running(both, family, [F.col("_at"), F.col("_one").desc()], time_slice("_at", block), sums={"_before": F.col("_one")})
+    return counted.filter("parent_id IS NOT NULL").select(*family, "parent_id", (F.col("_at") + F.col("_before")).alias("_free"))
+
+
 def split_highlights(highlights: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(highlights after splits, rejected commands). ``commands``: job_id, highlight_id, split_sec,
     one per highlight. The new children of a family (one base id) take its free ids in order of their parents."""
@@ -107,22 +127,10 @@ def split_highlights(highlights: DataFrame, commands: DataFrame) -> tuple[DataFr
     # ids already used in the family of a split parent: base, base_2, base_3, ...
     base = F.concat(F.left("highlight_id", F.lit(68)), F.lit(CHILD_SUFFIX))
     parents = both.filter("_go").select("job_id", F.col("highlight_id").alias("parent_id"), base.alias("_base"))
-    parents = parents.withColumn("_turn", F.row_number().over(Window.partitionBy("job_id", "_base").orderBy("parent_id")))
-    number = F.when(F.col("_id") == F.col("_base"), F.lit(1)).otherwise(
-        F.expr("try_cast(substring(_id, length(left(_base, 74)) + 2) AS int)")
-    )
-    taken = (
-        highlights.select("job_id", F.col("highlight_id").alias("_id"), F.left(F.regexp_extract("highlight_id", r"^(.*_split)(?:_\d+)?$", 1), F.lit(74)).alias("_fam"))
-        .filter("_fam <> ''")
-        .join(parents.withColumn("_fam", F.left("_base", F.lit(74))), ["job_id", "_fam"])
-        .withColumn("_n", number).filter("_n IS NOT NULL")
-        .groupBy("job_id", "parent_id").agg(F.array_sort(F.collect_set("_n")).alias("_used"))
-    )
-    used = F.coalesce("_used", F.array().cast("array<int>"))
-    free = F.get(F.array_except(F.sequence(F.lit(1), F.size(used) + F.col("_turn")), used), F.col("_turn") - 1)
-    ids = parents.join(taken, ["job_id", "parent_id"], "left").select(
+    free = _free_numbers(highlights, parents)
+    ids = free.select(
         "job_id", F.col("parent_id").alias("highlight_id"),
-        F.when(free == 1, F.col("_base")).otherwise(F.concat_ws("_", F.left("_base", F.lit(74)), free.cast("string"))).alias("_child"),
+        F.when(F.col("_free") == 1, F.col("_base")).otherwise(F.concat_ws("_", F.left("_base", F.lit(74)), F.col("_free").cast("string"))).alias("_child"),
     )
     both = both.join(ids, key, "left")
     cut = F.round("split_sec", 3)
@@ -166,8 +174,8 @@ def merge_adjacency(highlights: DataFrame, targets: DataFrame, *, slice_sec: flo
 def merge_highlights(highlights: DataFrame, targets: DataFrame, *, slice_sec: float = 600.0) -> DataFrame:
     """One merged row per valid command: hull, best score with its type, distinct joined texts.
 
-    Texts are reduced to their first occurrences before they are listed, so a command over many
-    highlights gathers its distinct texts only."""
+    Texts are reduced to their first occurrences, and of these the first few that can reach into the kept length are
+    listed: of distinct texts one at most is empty."""
     key, command = ["job_id", "highlight_id"], ["job_id", "command_no"]
     valid = merge_adjacency(highlights, targets, slice_sec=slice_sec).filter("adjacent").select(*command)
     rows = targets.join(valid, command, "left_semi").join(highlights, key)
@@ -185,6 +193,8 @@ def merge_highlights(highlights: DataFrame, targets: DataFrame, *, slice_sec: fl
     merged = merged.filter(clip_edit_error("start_sec", "end_sec", "duration_sec").isNull())
     for column, separator, length in (("description", TITLE_SEPARATOR, TITLE_LENGTH), ("reason", REASON_SEPARATOR, REASON_LENGTH)):
         first = rows.groupBy(*command, column).agg(F.min(order).alias("_o"))
+        # the planner keeps so many per task before it shuffles
+        first = first.withColumn("_r", F.row_number().over(Window.partitionBy(*command).orderBy("_o"))).filter(F.col("_r") <= length + 2).drop("_r")
         listed = F.sort_array(F.collect_list(F.struct("_o", column)))
         text = F.left(F.trim(F.array_join(F.transform(listed, lambda x: x[column]), separator)), F.lit(length))  # noqa: B023
         merged = merged.join(first.groupBy(*command).agg(text.alias(column)), command)

@@ -235,3 +235,19 @@ def test_bulk_edits_are_all_or_nothing(spark):
     edited, rejected = ed.edit_ranges(h, c)
     assert rows(edited, "highlight_id", "end_sec") == [("c", 40.0)]
     assert rows(rejected, "command_no", "error") == [(1, "too_short"), (3, "unknown_highlight")]
+
+
+def test_children_of_a_large_family_take_free_numbers(spark):
+    """Hundreds of parents share a base; the used numbers have holes, and some lie far away."""
+    base = "h" * 68
+    used = [base + "_split", *(f"{base}_split_{n}" for n in (2, 3, 7, 8, 40, 41, 5000, 99_999_999))]
+    parents = [(1, base + f"x{i:04d}") for i in range(300)] + [(2, "a"), (2, "b")]
+    rows_ = parents + [(1, u) for u in used] + [(2, "a_split"), (2, "a_split_03")]
+    highlights = spark.createDataFrame([(j, h, 0.0, 10.0, "text", "none", 64.0) for j, h in rows_], "job_id long, highlight_id string, start_sec double, end_sec double, description string, review_status string, duration_sec double")
+    commands = spark.createDataFrame([(j, h, 5.0) for j, h in parents], "job_id long, highlight_id string, split_sec double")
+    out, rejected = ed.split_highlights(highlights.repartition(5), commands)
+    new = {(r.job_id, r.highlight_id) for r in out.collect()} - set(rows_)
+    taken = {1, 2, 3, 7, 8, 40, 41, 5000, 99_999_999}
+    free = [n for n in range(1, 400) if n not in taken][:300]
+    assert new == {(1, f"{base}_split_{n}") for n in free} | {(2, "a_split_2"), (2, "b_split")}
+    assert rejected.collect() == []
