@@ -50,21 +50,23 @@ def pair_files(videos: DataFrame, subtitles: DataFrame, batch: str = "batch") ->
     """(pairs, problems) of video and subtitle names within a batch.
 
     Names pair by lower-case base name. A batch of one video and one subtitle pairs whatever the
-    names are. Several subtitles for a name are ambiguous, subtitles without a video unmatched."""
+    names are. Several subtitles for a name are ambiguous, subtitles without a video unmatched.
+
+    No side is sent out whole: names that a caller generates are far more than the planner estimates."""
     base = F.lower(F.regexp_replace("name", r"\.[^.]+$", ""))
     v = videos.select(batch, F.col("name").alias("video"), base.alias("_base"))
     s = subtitles.select(batch, F.col("name").alias("subtitle"), base.alias("_base"))
     nv = v.groupBy(batch).agg(F.count(F.lit(1)).alias("_nv"), F.min("video").alias("_v1"))
     ns = s.groupBy(batch).agg(F.count(F.lit(1)).alias("_ns"), F.min("subtitle").alias("_s1"))
-    single = nv.join(ns, batch).filter((F.col("_nv") == 1) & (F.col("_ns") == 1))
+    single = nv.join(ns.hint("merge"), batch).filter((F.col("_nv") == 1) & (F.col("_ns") == 1))
     ones = single.select(batch, F.col("_v1").alias("video"), F.col("_s1").alias("subtitle"))
-    many_v = v.join(single.select(batch), batch, "left_anti")
-    many_s = s.join(single.select(batch), batch, "left_anti")
+    many_v = v.join(single.select(batch).hint("merge"), batch, "left_anti")
+    many_s = s.join(single.select(batch).hint("merge"), batch, "left_anti")
     per_base = many_s.groupBy(batch, "_base").agg(F.count(F.lit(1)).alias("_n"), F.min("subtitle").alias("subtitle"))
-    matched = many_v.join(per_base, [batch, "_base"], "left")
+    matched = many_v.join(per_base.hint("merge"), [batch, "_base"], "left")
     pairs = matched.filter(F.col("_n").isNull() | (F.col("_n") == 1)).select(batch, "video", "subtitle")
     ambiguous = matched.filter(F.col("_n") > 1).select(batch, F.col("video").alias("name"), F.lit("ambiguous").alias("problem"))
-    unmatched = many_s.join(many_v.select(batch, "_base").distinct(), [batch, "_base"], "left_anti").select(
+    unmatched = many_s.join(many_v.select(batch, "_base").distinct().hint("merge"), [batch, "_base"], "left_anti").select(
         batch, F.col("subtitle").alias("name"), F.lit("unmatched").alias("problem")
     )
     return ones.unionByName(pairs), ambiguous.unionByName(unmatched)

@@ -154,3 +154,15 @@ def test_folding_ignores_case_of_any_letter(spark):
     df = spark.createDataFrame(pairs, "text string, needle string")
     got = [r["hit"] for r in df.select(folded_contains("text", "needle").alias("hit")).collect()]
     assert got == [n.casefold() in t.casefold() for t, n in pairs] and got[7] is False
+
+
+def test_generated_names_are_not_sent_out_whole(spark):
+    """The planner takes generated rows to be as few as those they are made from, so it would send these out."""
+    names = lambda prefix: F.concat(F.lit(prefix), F.col("n").cast("string"), F.lit(".x")).alias("name")
+    many = spark.range(20).select(F.col("id").alias("batch"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("n"))
+    v, s = many.filter("n < 6").select("batch", names("V")), many.filter("n > 3").select("batch", names("v"))
+    pairs, problems = subtitles.pair_files(v, s)
+    for df in (pairs, problems):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert pairs.filter("subtitle IS NOT NULL").count() == 40
+    assert problems.groupBy("problem").count().collect() == [("unmatched", 80)]
