@@ -127,8 +127,9 @@ def window_dialogue(windows: DataFrame, dialogues: DataFrame, options: WindowOpt
         .select("video_id", F.col("start_sec").alias("_ds"), F.col("end_sec").alias("_de"), "source", "text")
         .withColumn("tile_no", F.explode(F.sequence(F.greatest(F.lit(0), lowest), F.greatest(F.lit(0), highest))))
     )
-    # windows without any line keep an empty list; lines are joined to the slim window rows only
-    hits = span.join(lines, ["video_id", "tile_no"]).filter((F.col("_ds") >= F.col("_hs")) & (F.col("_de") <= F.col("_he")))
+    # windows without any line keep an empty list; lines are joined to the slim window rows only. Neither side is sent out
+    # whole: both are generated, and the planner takes generated rows to be as few as those they are made from
+    hits = span.hint("merge").join(lines, ["video_id", "tile_no"]).filter((F.col("_ds") >= F.col("_hs")) & (F.col("_de") <= F.col("_he")))
     row = F.struct(
         F.round(F.col("_ds") - F.col("_rs"), 6).alias("start_sec"),
         F.round(F.col("_de") - F.col("_rs"), 6).alias("end_sec"),
@@ -137,7 +138,7 @@ def window_dialogue(windows: DataFrame, dialogues: DataFrame, options: WindowOpt
     )
     # one list per window: bounded by the speech of one history span
     grouped = hits.groupBy("video_id", "tile_no").agg(F.sort_array(F.collect_list(row)).alias("dialogue"))
-    return windows.join(grouped, ["video_id", "tile_no"], "left").withColumn(
+    return windows.join(grouped.hint("merge"), ["video_id", "tile_no"], "left").withColumn(
         "dialogue", F.coalesce("dialogue", F.array().cast(f"array<{LINE}>"))
     )
 

@@ -135,3 +135,12 @@ def test_compact_tail(spark):
 def test_reference_coverage(spark):
     v = spark.range(1).select(reference_coverage(F.lit(20.5), F.lit(36.0), F.lit(27.0), F.lit(31.5)).alias("c")).collect()[0].c
     assert v == 1.0
+
+
+def test_generated_windows_are_not_sent_out_whole(spark):
+    """The planner takes generated rows to be as few as those they are made from, so it would send these out."""
+    grid = tl.tiles(spark.range(5).select(F.col("id").alias("video_id"), F.lit(40.0).alias("duration_sec")), 10.0, 10.0)
+    lines = spark.range(3).selectExpr("id AS video_id", "12D AS start_sec", "14D AS end_sec", "'asr' AS source", "'x' AS text")
+    out = wn.window_dialogue(grid, lines, wn.WindowOptions(10.0, 10.0, 20.0))
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.video_id, r.tile_no) for r in out.filter(F.size("dialogue") > 0).collect()) == [(v, t) for v in range(3) for t in range(4)]
