@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -79,48 +80,114 @@ def allowed_metrics_stream(log: DataFrame, names: Sequence[str], prefixes: Seque
     return merge_metrics_stream(log.filter(is_allowed(names, prefixes)).withColumn("training", F.lit(False)))
 
 
+class _Remembered:
+    """Texts of one key with a number each, in slices by their hash that double with the texts: few texts take one call of the
+    state store to read and one to write, and of many only the slices are read that are asked for."""
+
+    SIZE = 256
+    SCHEMA = ("slice long", "texts array<string>, numbers array<double>")
+
+    def __init__(self, state, slices: int, count: int) -> None:
+        self.state, self.slices, self.count = state, slices, count
+
+    def _of(self, texts, slices: int) -> dict[int, list[str]]:
+        dealt: dict[int, list[str]] = {}
+        for text in texts:
+            dealt.setdefault(crc32(text.encode("utf-8", "surrogatepass")) % slices, []).append(text)
+        return dealt
+
+    def read(self, texts=None) -> dict[str, float]:
+        """What is remembered in the slices of these texts, or in all."""
+        asked = range(self.slices) if texts is None else self._of(texts, self.slices)
+        return {t: n for i in asked for t, n in zip(*(self.state.getValue((i,)) or ((), ())))}
+
+    def write(self, known: dict[str, float], more: dict[str, float], gone: Iterable[str] = ()) -> None:
+        """Add ``more`` to what ``read`` gave as ``known``, for the texts of both, and forget those of ``gone``."""
+        gone = set(gone)
+        self.count += len(more) - len(gone)
+        slices = self.slices
+        while self.count > self.SIZE * slices:
+            slices *= 2
+        touched = self._of([*more, *gone], self.slices)
+        if slices > self.slices:
+            known, touched = self.read(), None
+            for i in range(self.slices):
+                self.state.removeKey((i,))
+        kept = {t: n for t, n in (known | more).items() if t not in gone}
+        for i, texts in self._of(kept, slices).items():
+            if touched is None or i in touched:
+                self.state.updateValue((i,), (texts, [float(kept[t]) for t in texts]))
+        for i in set(touched or ()) - set(self._of(kept, slices)):
+            self.state.removeKey((i,))
+        self.slices = slices
+
+
 class Stagnation(StatefulProcessor):
     """Per run: facts seen so far, facts of the steps that are open, and the stagnant counter.
 
-    A step is open until the watermark passes its end; then its timer fires and it is closed, the steps of a run in order, whatever
-    the order in which their rows came."""
+    A step is open until the watermark passes its end; then it is closed, the steps of a run in order, whatever the order in which their
+    rows came. A run has one timer at a time that counts, for its earliest open step, and closes all that are due."""
 
     def __init__(self, step_sec: float) -> None:
         self.step_sec = step_sec
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getMapState("seen", "fact string", "step long")
-        self.open = handle.getMapState("open", "step long, fact string", "rows long")
-        self.steps = handle.getMapState("steps", "step long", "rows long")
-        self.counter = handle.getValueState("counter", "stagnant long")
+        self.seen = handle.getMapState("seen", *_Remembered.SCHEMA)
+        self.open = handle.getMapState("open", *_Remembered.SCHEMA)  # texts of a step and a fact
+        self.counter = handle.getValueState("counter", "stagnant long, steps array<long>, slices array<long>, facts array<long>")
+
+    def _end(self, step: int) -> int:
+        return int((step + 1) * self.step_sec * 1000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        found: dict[int, set[str]] = {}
         for batch in rows:
-            for step in set(batch["step"].astype(int)):
-                if not self.steps.containsKey((step,)):
-                    self.steps.updateValue((step,), (1,))
-                    self.handle.registerTimer(int((step + 1) * self.step_sec * 1000))
-            told = batch[batch["fact"].notna()]
-            for step, fact in set(zip(told["step"].astype(int), told["fact"])):
-                self.open.updateValue((step, fact), (1,))
-        yield pd.DataFrame({n: pd.Series(dtype="int64") for n in STAGNANT.names})
+            for step, fact, known in zip(batch["step"].astype(int), batch["fact"], batch["fact"].notna()):
+                facts = found.setdefault(step, set())
+                if known:
+                    facts.add(fact)
+        stagnant, steps, slices, facts = self.counter.get() or (0, [], [1, 1], [0, 0])
+        open_ = _Remembered(self.open, slices[1], facts[1])
+        told = {f"{step} {fact}": step for step, new in found.items() for fact in new}
+        known = open_.read(told)
+        more = {text: step for text, step in told.items() if text not in known}
+        if more:
+            open_.write(known, more)
+        now = sorted({*steps, *found})
+        if more or now != list(steps):
+            if not steps or now[0] < steps[0]:
+                self.handle.registerTimer(self._end(now[0]))
+            self.counter.update((stagnant, now, [slices[0], open_.slices], [facts[0], open_.count]))
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = round(expiredTimerInfo.getExpiryTimeInMs() / 1000 / self.step_sec) - 1
-        stagnant, out = self.counter.get()[0] if self.counter.exists() else 0, []
-        # timers of one batch may fire in any order: close what is due up to this one, the first steps first
-        for step in sorted(s for (s,) in self.steps.keys() if s <= due):
-            fresh = 0
-            for _, fact in [x for x in self.open.keys() if x[0] == step]:
-                if not self.seen.containsKey((fact,)):
-                    self.seen.updateValue((fact,), (step,))
-                    fresh += 1
-                self.open.removeKey((step, fact))
-            self.steps.removeKey((step,))
+        stagnant, steps, slices, facts = self.counter.get()
+        due = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        closed, left = [s for s in steps if self._end(s) <= due], [s for s in steps if self._end(s) > due]
+        if not closed:  # closed with an earlier one
+            return
+        open_, seen = (_Remembered(state, n, m) for state, n, m in zip((self.open, self.seen), reversed(slices), reversed(facts)))
+        waiting = open_.read()
+        gone = [text for text, step in waiting.items() if self._end(step) <= due]
+        told: dict[int, list[str]] = {}
+        for text in gone:
+            told.setdefault(int(waiting[text]), []).append(text.split(" ", 1)[1])
+        known = seen.read({f for new in told.values() for f in new})
+        more: dict[str, float] = {}
+        out = []
+        for step in closed:
+            fresh = [f for f in told.get(step, ()) if f not in known and f not in more]
+            more |= dict.fromkeys(fresh, step)
             stagnant = 0 if fresh else stagnant + 1
-            out.append((int(key[0]), step, fresh, stagnant))
-        self.counter.update((stagnant,))
+            out.append((int(key[0]), step, len(fresh), stagnant))
+        if gone:
+            open_.write(waiting, {}, gone)
+        if more:
+            seen.write(known, more)
+        if left:
+            self.handle.registerTimer(self._end(left[0]))
+        self.counter.update((stagnant, left, [seen.slices, open_.slices], [seen.count, open_.count]))
         yield pd.DataFrame(out, columns=STAGNANT.names)
 
     def close(self) -> None:

@@ -251,3 +251,41 @@ def test_children_of_a_large_family_take_free_numbers(spark):
     free = [n for n in range(1, 400) if n not in taken][:300]
     assert new == {(1, f"{base}_split_{n}") for n in free} | {(2, "a_split_2"), (2, "b_split")}
     assert rejected.collect() == []
+
+
+class Kept:
+    """A map state in memory that counts its calls."""
+
+    def __init__(self):
+        self.rows, self.calls = {}, 0
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.rows.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.rows[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        self.rows.pop(key, None)
+
+
+def test_remembered_texts_take_few_calls():
+    """Few texts are one value; many are slices, of which a batch reads and writes those of its texts."""
+    state, want, slices, count = Kept(), {}, 1, 0
+    for turn in range(60):
+        held = sm._Remembered(state, slices, count)
+        texts = {f"t{i}": float(turn) for i in range(turn * 90, turn * 90 + 100)}
+        known = held.read(texts)
+        assert known.keys() <= want.keys() and all(want[t] == n for t, n in known.items())
+        fresh = {t: n for t, n in texts.items() if t not in known}
+        gone = [t for t in sorted(known)[:5] if t not in fresh]
+        before = state.calls
+        held.write(known, fresh, gone)
+        assert turn or state.calls - before == 1
+        want = {t: n for t, n in (want | fresh).items() if t not in gone}
+        slices, count = held.slices, held.count
+        assert count == len(want) <= sm._Remembered.SIZE * slices
+    assert slices >= 16 and sm._Remembered(state, slices, count).read() == want
