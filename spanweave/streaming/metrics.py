@@ -21,42 +21,37 @@ STAGNANT = T.StructType([T.StructField(n, T.LongType()) for n in ("run", "step",
 
 
 class MetricMerge(StatefulProcessor):
-    """State per run and step: the newest training place and, per key, its place and value. A place is a
-    file and a position in it, later files come later.
+    """State per run and step, in one value as each call of the state store is a round trip: the newest training place, per key its
+    place and value, and the digest of the whole step as it was last sent. A place is a file and a position in it, later files
+    come later.
 
-    Rows of a batch may arrive in any order; places decide. What was last sent has a state of its own, the digest of the whole step: a
-    step is emitted, whole, only when its digest differs, so keys that a newer attempt no longer has disappear, and files
-    that are read again emit nothing."""
+    Rows of a batch may arrive in any order; places decide. A step is emitted, whole, only when its digest differs, so keys that a
+    newer attempt no longer has disappear, and files that are read again emit nothing."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.since = handle.getValueState("since", "file string, pos long")
-        self.values = handle.getMapState("values", "key string", "file string, pos long, value double")
-        self.sent = handle.getValueState("sent", "digest string")
+        self.step = handle.getValueState(
+            "step", "since_file string, since_pos long, names array<string>, files array<string>, places array<long>, values array<double>, digest string"
+        )
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        since = tuple(self.since.get()) if self.since.exists() else None
-        stored = {name: ((file, pos), value) for (name,), (file, pos, value) in self.values.iterator()}
-        newest = dict(stored)
+        since_file, since_pos, names, files, places, values, digest = before = tuple(self.step.get() or (None, None, [], [], [], [], None))
+        since = None if since_pos is None else (since_file, since_pos)
+        newest = {name: ((file, pos), value) for name, file, pos, value in zip(names, files, places, values)}
         for batch in rows:
-            places = list(zip(batch["file"], batch["pos"].astype(int)))
-            for place, training, name, value in zip(places, batch["training"], batch["key"], batch["value"]):
+            found = zip(batch["file"], batch["pos"].astype(int))
+            for place, training, name, value in zip(found, batch["training"], batch["key"], batch["value"]):
                 if training and (since is None or place > since):
                     since = place
                 if name not in newest or newest[name][0] <= place:
                     newest[name] = (place, float(value))
-        newest = {name: x for name, x in newest.items() if since is None or x[0] >= since}
-        if since is not None:
-            self.since.update(since)
-        for name in stored.keys() - newest.keys():
-            self.values.removeKey((name,))
-        for name, (place, value) in newest.items():
-            if stored.get(name) != (place, value):
-                self.values.updateValue((name,), (*place, value))
-        listed = sorted((name, value) for name, (_, value) in newest.items())
-        digest = hashlib.sha256(repr(listed).encode()).hexdigest()
-        if not self.sent.exists() or self.sent.get()[0] != digest:
-            self.sent.update((digest,))
-            yield pd.DataFrame([(int(key[0]), int(key[1]), *x) for x in listed], columns=["run", "step", "key", "value"])
+        listed = sorted((name, value, *place) for name, (place, value) in newest.items() if since is None or place >= since)
+        told = [(name, value) for name, value, _, _ in listed]
+        now = hashlib.sha256(repr(told).encode()).hexdigest()
+        after = (*(since or (None, None)), *(list(x) for x in ([r[0] for r in listed], [r[2] for r in listed], [int(r[3]) for r in listed], [r[1] for r in listed])), now)
+        if after != before:
+            self.step.update(after)
+        if now != digest:
+            yield pd.DataFrame([(int(key[0]), int(key[1]), *x) for x in told], columns=MERGED.names)
 
     def close(self) -> None:
         pass

@@ -289,3 +289,29 @@ def test_remembered_texts_take_few_calls():
         slices, count = held.slices, held.count
         assert count == len(want) <= sm._Remembered.SIZE * slices
     assert slices >= 16 and sm._Remembered(state, slices, count).read() == want
+
+
+def test_a_step_of_a_metric_stream_is_one_value():
+    """Two calls of the state store for a step, however many keys it has."""
+    import pandas as pd
+
+    class Value:
+        value, calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls += 1
+            self.value = value
+
+    class Handle:
+        def getValueState(self, *_):
+            return Value()
+
+    merge = sm.MetricMerge()
+    merge.init(Handle())
+    batch = pd.DataFrame({"file": "", "pos": range(300), "training": False, "key": [f"k{i}" for i in range(300)], "value": 1.0})
+    assert [len(x) for x in merge.handleInputRows((1, 2), iter([batch]), None)] == [300] and merge.step.calls == 2
+    assert list(merge.handleInputRows((1, 2), iter([batch]), None)) == [] and merge.step.calls == 3
