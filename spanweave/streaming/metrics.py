@@ -210,6 +210,9 @@ TRACED = T.StructType([
 REQUEST_KINDS = ("model", "clip_review", "perception_model")
 
 
+HOURS_TOGETHER = 256  # hours of one value of the state
+
+
 class TraceCounts(StatefulProcessor):
     """Counts per hour of one part of a job, over distinct rows that are not late.
 
@@ -220,28 +223,33 @@ class TraceCounts(StatefulProcessor):
         self.delay_sec = delay_sec
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.latest = handle.getValueState("latest", "t double")
-        self.ids = handle.getMapState("ids", "id string", "t double")
-        self.hours = handle.getMapState(
-            "hours", "hour long", ", ".join(f"{n} long" for n in COUNTS) + ", request_sec double, repeated long, late long"
-        )
+        self.latest = handle.getValueState("latest", "t double, slices long, ids long")
+        self.ids = handle.getMapState("ids", *_Remembered.SCHEMA)
+        self.hours = handle.getMapState("hours", "block long", "hours array<long>, counts array<array<long>>, request_sec array<double>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        latest = self.latest.get()[0] if self.latest.exists() else float("-inf")
+        latest, slices, n = self.latest.get() or (float("-inf"), 1, 0)
         behind = latest - self.delay_sec
+        ids = _Remembered(self.ids, slices, n)
+        known, more = ids.read(), {}
+        blocks: dict[int, dict[int, list]] = {}
         changed: dict[int, list] = {}
         for batch in rows:
             for ident, t, kind, error, empty, seconds in zip(*(batch[c] for c in ("id", "t", "kind", "error", "calls_empty", "elapsed_sec"))):
                 hour = int(t // 3600)
                 if hour not in changed:
-                    changed[hour] = list(self.hours.getValue((hour,))) if self.hours.containsKey((hour,)) else [0, 0, 0, 0, 0.0, 0, 0]
+                    block = hour // HOURS_TOGETHER
+                    if block not in blocks:
+                        stored = self.hours.getValue((block,)) or ((), (), ())
+                        blocks[block] = {h: [*c[:4], sec, *c[4:]] for h, c, sec in zip(*stored)}
+                    changed[hour] = blocks[block].setdefault(hour, [0, 0, 0, 0, 0.0, 0, 0])
                 found = changed[hour]
                 if t < behind:
                     found[6] += 1
-                elif self.ids.containsKey((ident,)):
+                elif ident in known or ident in more:
                     found[5] += 1
                 else:
-                    self.ids.updateValue((ident,), (float(t),))
+                    more[ident] = float(t)
                     timed = kind in REQUEST_KINDS and seconds is not None and seconds == seconds
                     found[0] += kind == "request_error"
                     found[1] += kind == "tool" and bool(error)
@@ -249,11 +257,14 @@ class TraceCounts(StatefulProcessor):
                     found[3] += timed
                     found[4] += float(seconds) if timed else 0.0
                 latest = max(latest, float(t))
-        self.latest.update((latest,))
-        for ident in [i for (i,), (t,) in self.ids.iterator() if t < latest - self.delay_sec]:
-            self.ids.removeKey((ident,))
-        for hour, found in changed.items():
-            self.hours.updateValue((hour,), tuple(map(int, found[:4])) + (float(found[4]), *found[5:]))
+        old = [ident for ident, t in known.items() if t < latest - self.delay_sec]
+        more = {ident: t for ident, t in more.items() if t >= latest - self.delay_sec}
+        if more or old:
+            ids.write(known, more, old)
+        self.latest.update((latest, ids.slices, ids.count))
+        for block, found in blocks.items():
+            counts = [[int(x) for x in (*c[:4], *c[5:])] for c in found.values()]
+            self.hours.updateValue((block,), (list(found), counts, [float(c[4]) for c in found.values()]))
         yield pd.DataFrame([(int(key[0]), int(key[1]), hour, *found) for hour, found in changed.items()], columns=TRACED.names)
 
     def close(self) -> None:
