@@ -3,8 +3,8 @@
 Three different matchings exist and are not interchangeable: maximum cardinality in a fixed
 traversal order, maximum weight among the maximum-cardinality matchings, and plain maximum weight.
 Spark makes the candidate edges between distinct spans, settles every edge whose two ends are single
-and have no other edge, and finds the connected components of the rest by star steps. A component is what reaches
-Python, streamed in sorted order through each partition. There copies are counts: a class of equal spans is one node with
+and have no other edge, and finds the connected components of the rest: of keys with few edges inside tasks, of others
+by star steps. A component is what reaches the matching, streamed in sorted order through each partition. There copies are counts: a class of equal spans is one node with
 its capacity, and the results say how many pairs an edge stands for and at which ranks of the two classes they
 begin. Spark then gives the pairs their numbers, by ranks and equi joins. Each matching has one
 algorithm, with copies or without.
@@ -15,6 +15,7 @@ from __future__ import annotations
 import heapq
 from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,10 @@ from ..session import materialize
 from .components import connected
 from .ordered import global_rank, sliced_lag, sliced_running, time_slice
 
+# a key with more edges is taken apart by star steps, one with fewer inside a task
+KEY_EDGES = 100_000
+# hashed cells of the count that looks for such keys
+CELLS = 1 << 16
 # one component: (p, t, similarity, copies of p, copies of t), the smallest p first
 Edge = tuple[int, int, float, int, int]
 # copies of a class that follow each other in the order of numbers
@@ -258,8 +263,8 @@ def weighted_matching(edges: list[Edge], p_runs: Runs = (), t_runs: Runs = ()) -
     return _flow(edges, False)
 
 
-def _solve_sorted(groups: list[str], solver: Solver) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """mapInPandas function over rows sorted by ``groups``: solve group by group, keep the chosen rows."""
+def _by_group(groups: list[str], work: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """mapInPandas function over rows sorted by ``groups``: ``work`` gets whole groups, and the number of the group of each row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # batches of a group that goes on are kept apart until it ends
@@ -276,18 +281,37 @@ def _solve_sorted(groups: list[str], solver: Solver) -> Callable[[Iterator[pd.Da
                     continue
             if open_group:
                 whole = pd.concat(open_group, ignore_index=True)
-                yield _solve_rows(whole, np.zeros(len(whole), dtype=np.int64), solver)
+                yield work(whole, np.zeros(len(whole), dtype=np.int64))
             cut = int(np.searchsorted(codes, codes[-1]))
             open_group = [batch.iloc[cut:]]
             if cut:
-                yield _solve_rows(batch.iloc[:cut], codes[:cut], solver)
+                yield work(batch.iloc[:cut], codes[:cut])
         if open_group:
             whole = pd.concat(open_group, ignore_index=True)
-            yield _solve_rows(whole, np.zeros(len(whole), dtype=np.int64), solver)
+            yield work(whole, np.zeros(len(whole), dtype=np.int64))
 
     return run
 
 
+def _with_roots(rows: pd.DataFrame, codes: np.ndarray) -> pd.DataFrame:
+    """``root`` of each edge of whole groups, the smallest prediction of its component, and the edges of its two ends."""
+    p, t = (rows.groupby([codes, c], sort=True).ngroup().to_numpy() for c in ("p_no", "t_no"))
+    root = np.arange(p.max() + 1)
+    while True:
+        least = np.full(t.max() + 1, len(root))
+        np.minimum.at(least, t, root[p])
+        lower = root.copy()
+        np.minimum.at(lower, p, least[t])
+        np.minimum.at(lower, root[p], least[t])
+        lower = lower[lower]
+        if (lower == root).all():
+            break
+        root = lower
+    number = np.empty(len(root), dtype=rows["p_no"].dtype)
+    number[p] = rows["p_no"].to_numpy()
+    return rows.assign(_dp=np.bincount(p)[p], _dt=np.bincount(t)[t], root=number[root[p]])
+
+
 def _solve_rows(rows: pd.DataFrame, codes: np.ndarray, solver: Solver) -> pd.DataFrame:
     kinds = rows["_kind"].to_numpy()
     whole = lambda c: rows[c].astype("int64").tolist()
@@ -318,6 +342,28 @@ def fold_copies(df: DataFrame, number: str, tag: str) -> DataFrame:
     return df.groupBy(*same).agg(F.min(number).alias(number), F.count(F.lit(1)).alias(f"{tag}_n"))
 
 
+def _placed(edges: DataFrame, base: list[str]) -> DataFrame:
+    """``root`` of the component of each edge, and how many edges its two ends have (``_dp``, ``_dt``).
+
+    Keys with few edges go to tasks whole, where their edges are counted and taken apart; the edges of a key with more are counted by
+    their ends and linked by star steps. One count over hashed cells tells whether there can be such keys at all."""
+    count = F.count(F.lit(1))
+    of_p, of_t = (Window.partitionBy(*base, c) for c in ("p_no", "t_no"))
+
+    kinds = [*edges.schema.fields, *[T.StructField(c, T.LongType()) for c in ("_dp", "_dt")], T.StructField("root", edges.schema["p_no"].dataType)]
+    in_tasks = lambda rows: rows.repartition(*base).sortWithinPartitions(*base).mapInPandas(_by_group(base, _with_roots), T.StructType(kinds))
+    cells = edges.groupBy(F.pmod(F.xxhash64(*base), F.lit(CELLS)).alias("_cell")).agg(count.alias("n"))
+    if (cells.agg(F.max("n")).first()[0] or 0) <= KEY_EDGES:
+        return in_tasks(edges)
+    large = materialize(edges.groupBy(*base).agg(count.alias("n")).filter(F.col("n") > KEY_EDGES).select(*base), "large_keys")
+    linked = edges.join(large, base, "left_semi").withColumn("_dp", count.over(of_p))
+    linked = materialize(linked.withColumns({"_dt": count.over(of_t), "_first_p": F.min("p_no").over(of_t)}), "large_edges")
+    # predictions that share a target are linked, so the components of predictions are those of the edges
+    roots = connected(linked.select(*base, F.col("p_no").alias("a"), F.col("_first_p").alias("b")), base)
+    rooted = linked.drop("_first_p").join(roots.withColumnRenamed("node", "p_no"), [*base, "p_no"], "left")
+    return in_tasks(edges.join(large, base, "left_anti")).unionByName(rooted.withColumn("root", F.coalesce("root", "p_no")))
+
+
 def match_edges(
     edges: DataFrame, keys: Sequence[str], solver: Solver, *, extra: Sequence[str] = (), predictions: DataFrame | None = None,
     targets: DataFrame | None = None,
@@ -325,7 +371,7 @@ def match_edges(
     """Chosen edges of a matching per (keys, extra), with ``units`` and, for the ordered matching, ``p_at`` and
     ``t_at``: pair i of an edge is member p_at - i of its prediction class and t_at + i of its target class.
 
-    ``edges`` (best written already, they are read three times): keys, extra (for example a threshold),
+    ``edges`` (best written already): keys, extra (for example a threshold),
     p_no, t_no, similarity, and p_n, t_n when their ends are folded copies. ``predictions`` and ``targets`` (the rows before
     folding) tell the ordered matching how copies of different classes lie among each other; how often the
     class changes along the numbers of a component is what a task holds of them.
@@ -335,36 +381,29 @@ def match_edges(
     ordered = solver is traversal_matching
     one = F.lit(1).cast("bigint")
     edges = edges.withColumns({c: one for c in ("p_n", "t_n") if c not in edges.columns})
-    p_degree = edges.groupBy(*base, "p_no").agg(F.count(F.lit(1)).alias("_dp"))
-    t_degree = edges.groupBy(*base, "t_no").agg(F.count(F.lit(1)).alias("_dt"), F.min("p_no").alias("_first_p"))
-    marked = edges.join(p_degree, [*base, "p_no"]).join(t_degree, [*base, "t_no"])
+    # edges without a key or a number meet nothing
+    edges = edges.filter(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in [*base, "p_no", "t_no"]]))
+    marked = materialize(_placed(edges, base), "edges")
     lone = (F.col("_dp") == 1) & (F.col("_dt") == 1)
     if ordered:
         lone = lone & (F.col("p_n") == 1) & (F.col("t_n") == 1)
-    marked = materialize(marked.select(*edges.columns, "_first_p", lone.alias("_lone")), "edges")
     no_rank = F.lit(None).cast("bigint")
-    settled = marked.filter("_lone").select(*edges.columns, F.least("p_n", "t_n").alias("units"), no_rank.alias("p_at"), no_rank.alias("t_at"))
-    open_edges = marked.filter("NOT _lone").drop("_lone")
-    # predictions that share a target are linked, so the components of predictions are those of the edges
-    roots = connected(open_edges.select(*base, F.col("p_no").alias("a"), F.col("_first_p").alias("b")), base)
-    placed = open_edges.drop("_first_p").join(
-        roots.withColumnRenamed("node", "p_no"), [*base, "p_no"], "left"
-    ).withColumn("root", F.coalesce("root", "p_no")).withColumns({"_kind": F.lit(0), "_seq": no_rank})
-    if ordered:
-        placed = materialize(placed, "placed")
-        folded = placed.filter("p_n > 1 OR t_n > 1").select(*base, "root").distinct()
-        if folded.take(1):
-            inside = placed.join(folded, [*base, "root"], "left_semi")
-            placed = placed.unionByName(_runs(inside, predictions, targets, base), allowMissingColumns=True)
-            # a column of whole numbers with nulls would reach pandas as floating point
-            placed = placed.na.fill(0, ["p_no", "t_no", "p_n", "t_n"])
+    settled = marked.filter(lone).select(*edges.columns, F.least("p_n", "t_n").alias("units"), no_rank.alias("p_at"), no_rank.alias("t_at"))
+    placed = marked.filter(~lone).drop("_dp", "_dt").withColumns({"_kind": F.lit(0), "_seq": no_rank})
+    copies = "p_n > 1 OR t_n > 1"
+    if ordered and marked.filter(copies).take(1):
+        folded = placed.filter(copies).select(*base, "root").distinct()
+        inside = placed.join(folded, [*base, "root"], "left_semi")
+        placed = placed.unionByName(_runs(inside, predictions, targets, base), allowMissingColumns=True)
+        # a column of whole numbers with nulls would reach pandas as floating point
+        placed = placed.na.fill(0, ["p_no", "t_no", "p_n", "t_n"])
     group = [*base, "root"]
     schema = T.StructType([*[T.StructField(c, placed.schema[c].dataType) for c in [*edges.columns]], T.StructField("root", placed.schema["root"].dataType), *[T.StructField(c, T.LongType()) for c in ("units", "p_at", "t_at")]])
     solved = (
         placed.select(*edges.columns, "root", "_kind", "_seq")
         .repartition(*group)
         .sortWithinPartitions(*group, "_kind", "_seq", "p_no", F.desc("similarity"), "t_no")
-        .mapInPandas(_solve_sorted(group, solver), schema)
+        .mapInPandas(_by_group(group, lambda rows, codes: _solve_rows(rows, codes, solver)), schema)
         .drop("root")
     )
     return settled.unionByName(solved)
@@ -468,5 +507,25 @@ def duplicates(predictions: DataFrame, edges: DataFrame, pairs: DataFrame, keys:
     return rows.join(pairs.select(*base, "p_no"), [*base, "p_no"], "left_anti")
 
 
+def members_of(rows: DataFrame, number: str, classes: DataFrame, base: Sequence[str]) -> DataFrame:
+    """(base, _class, number) of the rows that are copies of each other in ``classes`` (base, _class)."""
+    by = [c for c in base if c in rows.columns]
+    asked = rows.join(classes.select(*by).distinct(), by, "left_semi")
+    copies = _with_class(asked, number).filter("_copies > 1").select(*by, "_class", number)
+    return copies.join(classes, [*by, "_class"]).select(*base, "_class", number)
+
+
+def duplicate_numbers(predictions: DataFrame, edges: DataFrame, pairs: DataFrame, base: Sequence[str]) -> DataFrame:
+    """(base, p_no) of the rows that :func:`duplicates` gives, each number once.
+
+    ``edges`` are folded (p_n) and written already: a class of one is its number, and only those of more ask for their rows."""
+    near = edges.select(*base, "p_no", "p_n").distinct()
+    numbers = near.filter("p_n = 1 AND p_no IS NOT NULL").select(*base, "p_no")
+    if edges.filter("p_n > 1").take(1):
+        classes = near.filter("p_n > 1").select(*base, F.col("p_no").alias("_class"))
+        numbers = numbers.unionByName(members_of(predictions, "p_no", classes, base).select(*base, "p_no")).distinct()
+    return numbers.join(pairs.select(*base, "p_no"), [*base, "p_no"], "left_anti")
+
+
 def unmatched(rows: DataFrame, pairs: DataFrame, keys: Sequence[str], number: str) -> DataFrame:
     return rows.join(pairs.select(*keys, number), [*keys, number], "left_anti")

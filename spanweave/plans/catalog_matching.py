@@ -155,10 +155,10 @@ EXCEPT (SELECT video_id, p_no FROM m_used UNION ALL SELECT video_id, p_no FROM o
 )
 def _(spark, sf):
     p, required, optional = required_and_optional(spark, sf)
-    first, second = sg.two_stage(p, required, optional, KEYS, 0.3)
-    pairs = materialize(first.select("video_id", "p_no").unionByName(second.select("video_id", "p_no")), "pairs")
-    both = sg.folded_edges(p, required, KEYS, 0.3).unionByName(sg.folded_edges(p, optional, KEYS, 0.3))
-    return mt.duplicates(p, both, pairs, KEYS).select("video_id", "p_no")
+    edges = sg.stage_edges(p, required, optional, KEYS, 0.3)
+    first, second = sg.two_stage(p, required, optional, KEYS, 0.3, edges=edges)
+    pairs = first.select("video_id", "p_no").unionByName(second.select("video_id", "p_no"))
+    return mt.duplicate_numbers(p, edges, pairs, KEYS)
 
 
 HALF_SQL = [EDGES_SQL, near_sql("near", "similarity >= 0.5"), matching_sql("m", "near")]

@@ -72,15 +72,50 @@ def match_spans(predictions: DataFrame, targets: DataFrame, keys: Sequence[str],
     if thresholds:
         edges, extra = mt.at_thresholds(edges, thresholds), ["threshold", *extra]
     edges = materialize(slim(edges, keys, *extra, *keep), "pair_edges")
+    return row_pairs(edges, predictions, targets, keys, solver, extra)
+
+
+def row_pairs(edges: DataFrame, predictions: DataFrame, targets: DataFrame, keys: Sequence[str], solver, extra: Sequence[str] = ()) -> DataFrame:
+    """Row-level pairs of a matching over folded edges."""
     pairs = mt.match_edges(edges, keys, solver, extra=extra, predictions=predictions, targets=targets)
     return mt.expand_pairs(materialize(pairs, "pairs"), predictions, targets, keys, extra=extra)
 
 
-def two_stage(predictions: DataFrame, required: DataFrame, optional: DataFrame, keys: Sequence[str], threshold: float, *, keep: Sequence[str] = (), build=iou_edges) -> tuple[DataFrame, DataFrame]:
-    """Required targets first; predictions left over are then matched to optional targets."""
-    first = materialize(match_spans(predictions, required, keys, mt.traversal_matching, threshold, keep=keep, build=build), "first_stage")
-    rest = predictions.join(first.select(*keys, "p_no"), [*keys, "p_no"], "left_anti")
-    return first, match_spans(rest, optional, keys, mt.traversal_matching, threshold, keep=keep, build=build)
+def stage_edges(predictions: DataFrame, required: DataFrame, optional: DataFrame, keys: Sequence[str], threshold: float, *, keep: Sequence[str] = (), build=iou_edges) -> DataFrame:
+    """Folded edges to the required and to the optional targets (``is_optional``), from one join."""
+    marked = [df.withColumn("is_optional", F.lit(on)) for df, on in ((required, False), (optional, True))]
+    return materialize(slim(folded_edges(predictions, marked[0].unionByName(marked[1]), keys, threshold, build), keys, "is_optional", *keep), "stage_edges")
+
+
+def left_over_edges(edges: DataFrame, predictions: DataFrame, taken: DataFrame, base: Sequence[str]) -> DataFrame:
+    """Folded edges of the predictions that are not ``taken`` (base, p_no).
+
+    A class of copies of which some are taken goes on under the first number that is left, with the copies left."""
+    base = list(base)
+    rest = edges.filter("p_n = 1").join(taken, [*base, "p_no"], "left_anti")
+    folded = edges.filter("p_n > 1")
+    if not folded.take(1):
+        return rest
+    asked = folded.select(*base, F.col("p_no").alias("_class")).distinct()
+    members = mt.members_of(predictions, "p_no", asked, base).join(taken, [*base, "p_no"], "left_anti")
+    left = members.groupBy(*base, "_class").agg(F.min("p_no").alias("_first"), F.count(F.lit(1)).alias("_left"))
+    kept = folded.withColumnRenamed("p_no", "_class").join(left, [*base, "_class"]).withColumns({"p_no": F.col("_first"), "p_n": F.col("_left")})
+    return rest.unionByName(kept.select(*edges.columns))
+
+
+def two_stage(predictions: DataFrame, required: DataFrame, optional: DataFrame, keys: Sequence[str], threshold: float, *, keep: Sequence[str] = (), build=iou_edges, edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Required targets first; predictions left over are then matched to optional targets.
+
+    ``edges``: those of :func:`stage_edges`, when they are there already."""
+    keys = list(keys)
+    if edges is None:
+        edges = stage_edges(predictions, required, optional, keys, threshold, keep=keep, build=build)
+    part = lambda on: edges.filter(F.col("is_optional") == on).drop("is_optional")
+    first = materialize(row_pairs(part(False), predictions, required, keys, mt.traversal_matching), "first_stage")
+    taken = first.select(*keys, "p_no")
+    rest = predictions.join(taken, [*keys, "p_no"], "left_anti")
+    spare = materialize(left_over_edges(part(True), predictions, taken, keys), "spare_edges")
+    return first, row_pairs(spare, rest, optional, keys, mt.traversal_matching)
 
 
 # --- answers of one window -----------------------------------------------------------------------
@@ -181,47 +216,52 @@ def score_events(items: DataFrame, predictions: DataFrame, targets: DataFrame, o
     live = lambda df: df.join(done, keys, "left_semi")
     low = min(thresholds)
     roles = {"required": predictions, "candidate": candidates, "verified": verified}
-    shaped = [
-        live(df).select(*keys, "p_no", "p_start", "p_end", F.lit(role).alias("role")) for role, df in roles.items()
-    ]
-    # one edge build and one matching for the three roles; roles never meet in a group
-    spans = materialize(reduce(lambda a, b: a.unionByName(b), shaped), "event_spans")
-    edges = materialize(
-        slim(mt.at_thresholds(folded_edges(spans, targets, keys, low, event_edges), thresholds), base, "role", "decisive"), "event_edges"
-    )
+    shaped = [df.select(*keys, "p_no", "p_start", "p_end", F.lit(role).alias("role")) for role, df in roles.items()]
+    spans = reduce(lambda a, b: a.unionByName(b), shaped)
+    wanted = [df.withColumn("is_optional", F.lit(on)) for df, on in ((targets, False), (optional, True))]
+    # one edge build for the three roles and both kinds of targets, between folded sides that are written once; roles never
+    # meet in a group, and only required predictions look for optional targets
+    folded_p = materialize(mt.fold_copies(live(spans), "p_no", "p"), "event_spans")
+    folded_t = materialize(mt.fold_copies(wanted[0].unionByName(wanted[1]), "t_no", "t"), "event_targets")
+    near = event_edges(folded_p, folded_t, keys, low).filter("role = 'required' OR NOT is_optional")
+    edges = materialize(slim(mt.at_thresholds(near, thresholds), base, "role", "is_optional", "decisive"), "event_edges")
+    part = lambda on: edges.filter(F.col("is_optional") == on).drop("is_optional")
+    # rows are asked for where copies meet edges only
+    folded = materialize(edges.filter("p_n > 1 OR t_n > 1").select(*keys).distinct(), "folded_keys")
+    if folded.take(1):
+        spans = materialize(live(spans.join(folded, keys, "left_semi")), "folded_spans")
+        targets, optional = (df.join(folded, keys, "left_semi") for df in (targets, optional))
     role_keys = ["threshold", "role"]
-    chosen = materialize(mt.match_edges(edges, keys, mt.traversal_matching, extra=role_keys, predictions=spans, targets=targets), "event_pairs")
+    chosen = materialize(mt.match_edges(part(False), keys, mt.traversal_matching, extra=role_keys, predictions=spans, targets=targets), "event_pairs")
     # totals need units only; single rows are needed to tell which predictions are left over
-    first = mt.expand_pairs(chosen.filter("role = 'required'"), spans.filter("role = 'required'"), targets, keys, extra=role_keys)
+    mine = spans.filter("role = 'required'")
+    first = mt.expand_pairs(chosen.filter("role = 'required'"), mine, targets, keys, extra=role_keys)
     required = materialize(first.select(*base, "p_no"), "required_pairs")
     # what is left over differs by threshold, so the second stage is keyed by it as well
+    mine = mine.drop("role")
     at_each = F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("threshold")
-    mine = spans.filter("role = 'required'").drop("role")
     left_over = mine.select("*", at_each).join(required, [*base, "p_no"], "left_anti")
     spare_targets = optional.select("*", at_each)
-    spare = folded_edges(left_over, spare_targets, base, low, event_edges).filter(F.col("similarity") >= F.col("threshold"))
-    spare = materialize(slim(spare, base), "optional_edges")
+    spare = materialize(left_over_edges(part(True).drop("role", "decisive"), mine, required, base), "optional_edges")
     spare_pairs = materialize(mt.match_edges(spare, base, mt.traversal_matching, predictions=left_over, targets=spare_targets), "optional_pairs")
     second = mt.expand_pairs(spare_pairs, left_over, spare_targets, base).select(*base, "p_no")
     # unmatched after both stages and next to some target
-    near_required = mt.duplicates(mine, edges.filter("role = 'required'"), required.unionByName(second), keys, extra=["threshold"])
-    near_optional = mt.duplicates(left_over, spare, second, base)
-    repeated = near_required.select(*base, "p_no").unionByName(near_optional.select(*base, "p_no")).distinct()
-    part = lambda r, value: F.coalesce(F.sum(F.when(F.col("role") == r, value)), F.lit(0))
+    repeated = mt.duplicate_numbers(mine, edges.filter("role = 'required'"), required.unionByName(second), base)
+    value_of = lambda r, value: F.coalesce(F.sum(F.when(F.col("role") == r, value)), F.lit(0))
     units, known = F.col("units"), F.col("decisive").isNotNull()
     matched = chosen.groupBy(*base).agg(
-        part("required", units).alias("hits"),
-        part("candidate", units).alias("candidate_hits"),
-        part("verified", units).alias("verified_hits"),
+        value_of("required", units).alias("hits"),
+        value_of("candidate", units).alias("candidate_hits"),
+        value_of("verified", units).alias("verified_hits"),
         F.sum(F.when(F.col("role") == "required", F.col("decisive") * units)).alias("decisive_sum"),
-        part("required", F.when(known, units)).alias("decisive_n"),
+        value_of("required", F.when(known, units)).alias("decisive_n"),
     )
     optional_hits = spare_pairs.groupBy(*base).agg(F.sum("units").alias("optional_hits"))
     duplicate_count = repeated.groupBy(*base).agg(F.count(F.lit(1)).alias("duplicate_count"))
-    n_p = live(predictions).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("output_count"), F.sum(F.col("p_end") - F.col("p_start")).alias("output_sec")
+    n_p = folded_p.filter("role = 'required'").groupBy(*keys).agg(
+        F.sum("p_n").alias("output_count"), F.sum((F.col("p_end") - F.col("p_start")) * F.col("p_n")).alias("output_sec")
     )
-    n_t = targets.groupBy(*keys).agg(F.count(F.lit(1)).alias("targets"))
+    n_t = folded_t.filter("NOT is_optional").groupBy(*keys).agg(F.sum("t_n").alias("targets"))
     grid = items.join(n_p, keys, "left").join(n_t, keys, "left").withColumn(
         "threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
     )
