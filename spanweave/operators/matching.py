@@ -516,14 +516,14 @@ def members_of(rows: DataFrame, number: str, classes: DataFrame, base: Sequence[
 
 
 def duplicate_numbers(predictions: DataFrame, edges: DataFrame, pairs: DataFrame, base: Sequence[str]) -> DataFrame:
-    """(base, p_no) of the rows that :func:`duplicates` gives, each number once.
+    """(base, p_no) of the rows that :func:`duplicates` gives; rows that share a number all stay.
 
     ``edges`` are folded (p_n) and written already: a class of one is its number, and only those of more ask for their rows."""
     near = edges.select(*base, "p_no", "p_n").distinct()
     numbers = near.filter("p_n = 1 AND p_no IS NOT NULL").select(*base, "p_no")
     if edges.filter("p_n > 1").take(1):
         classes = near.filter("p_n > 1").select(*base, F.col("p_no").alias("_class"))
-        numbers = numbers.unionByName(members_of(predictions, "p_no", classes, base).select(*base, "p_no")).distinct()
+        numbers = numbers.unionByName(members_of(predictions, "p_no", classes, base).select(*base, "p_no"))
     return numbers.join(pairs.select(*base, "p_no"), [*base, "p_no"], "left_anti")
 
 

@@ -246,7 +246,7 @@ def score_events(items: DataFrame, predictions: DataFrame, targets: DataFrame, o
     spare_pairs = materialize(mt.match_edges(spare, base, mt.traversal_matching, predictions=left_over, targets=spare_targets), "optional_pairs")
     second = mt.expand_pairs(spare_pairs, left_over, spare_targets, base).select(*base, "p_no")
     # unmatched after both stages and next to some target
-    repeated = mt.duplicate_numbers(mine, edges.filter("role = 'required'"), required.unionByName(second), base)
+    repeated = mt.duplicate_numbers(mine, edges.filter("role = 'required'"), required.unionByName(second), base).distinct()
     value_of = lambda r, value: F.coalesce(F.sum(F.when(F.col("role") == r, value)), F.lit(0))
     units, known = F.col("units"), F.col("decisive").isNotNull()
     matched = chosen.groupBy(*base).agg(
