@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.intervals import hull, is_finite
+from ..session import materialize
 from .ordered import sliced_running, time_slice
 
 
@@ -152,6 +153,9 @@ def frame_timeline(packets: DataFrame, streams: DataFrame, keys: Sequence[str],
     Discarded packets and packets before the declared start are dropped, equal times keep the
     last packet, times count from the first frame. ``packets``: keys, packet_no, pts, hold_sec,
     flags. ``streams``: keys, declared_start, declared_duration, fps.
+
+    The kept packets are written once: ends, numbers and origins all follow the same keys, and the planner would put
+    the join and the sorts of the packets into one task again for each of them.
     """
     keys = list(keys)
     declared = F.coalesce("declared_start", F.lit(float("-inf")))
@@ -161,6 +165,7 @@ def frame_timeline(packets: DataFrame, streams: DataFrame, keys: Sequence[str],
         .groupBy(*keys, "pts")
         .agg(F.max_by(F.coalesce("hold_sec", F.lit(0.0)), "packet_no").alias("hold_sec"))
     )
+    usable = materialize(usable, "packets")
     ends = usable.groupBy(*keys).agg(
         F.min("pts").alias("origin"), F.max(F.struct("pts", "hold_sec")).alias("_last")
     )

@@ -144,3 +144,17 @@ def test_generated_windows_are_not_sent_out_whole(spark):
     out = wn.window_dialogue(grid, lines, wn.WindowOptions(10.0, 10.0, 20.0))
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.video_id, r.tile_no) for r in out.filter(F.size("dialogue") > 0).collect()) == [(v, t) for v in range(3) for t in range(4)]
+
+
+def test_frames_are_made_from_packets_that_were_read_once(spark):
+    """Neither frames nor ends join, sort and group the packets again."""
+    packets = spark.createDataFrame(
+        [("a", 0, 1.0, 0.5, "K_"), ("a", 1, 3.0, 0.5, "K_"), ("a", 2, 3.0, None, "K_"), ("a", 3, 4.0, 0.5, "_D"), ("a", 4, 0.0, 0.5, "K_"), ("b", 5, 700.0, 2.0, None), ("b", 6, 5.0, 0.0, "K_"), ("c", 7, None, 1.0, "K_")],
+        "job string, packet_no long, pts double, hold_sec double, flags string",
+    )
+    streams = spark.createDataFrame([("a", 1.0, 9.0, 25.0), ("b", None, None, 25.0), ("c", 0.0, 1.0, 25.0)], "job string, declared_start double, declared_duration double, fps double")
+    frames, ends = tl.frame_timeline(packets, streams, ["job"])
+    assert rows(frames) == [("a", 0, 0.0), ("a", 1, 2.0), ("b", 0, 0.0), ("b", 1, 695.0)]
+    assert rows(ends) == [("a", 1.0, 9.0), ("b", 5.0, 697.0)]
+    for made in (frames, ends):
+        assert "packet_no" not in made._jdf.queryExecution().optimizedPlan().toString()
