@@ -98,7 +98,10 @@ def _free_numbers(highlights: DataFrame, parents: DataFrame) -> DataFrame:
     """``parents`` (job_id, parent_id, _base) with ``_free``: of the numbers that no id of the family has, the one at the place of the parent.
 
     The r-th free number is r more than the used numbers before it, which are those with fewer than r free ones below them;
-    a used number u at place i has u - i below it. So one running count per family finds all, in slices."""
+    a used number u at place i has u - i below it. So one running count per family finds all, in slices.
+
+    Used numbers and both kinds of rows are written before they are counted: a count reads its rows twice, and as all follow the
+    family, the planner would put every join and sort before it into the same task again for each."""
     family, block = ["job_id", "_base"], 10_000.0
     placed = materialize(global_rank(parents, [F.col("job_id"), F.col("_base"), F.col("parent_id")], "_place"), "parents")
     first = placed.groupBy(*family).agg(F.min("_place").alias("_from"))
@@ -106,9 +109,10 @@ def _free_numbers(highlights: DataFrame, parents: DataFrame) -> DataFrame:
     number = F.when(F.col("_id") == F.col("_base"), F.lit(1)).otherwise(F.expr("try_cast(substring(_id, length(_base) + 2) AS int)"))
     ids = highlights.select("job_id", F.col("highlight_id").alias("_id"), F.left(F.regexp_extract("highlight_id", r"^(.*_split)(?:_\d+)?$", 1), F.lit(74)).alias("_base"))
     used = ids.join(first.select(*family), family, "left_semi").select(*family, number.cast("bigint").alias("_n")).filter("_n > 0").distinct()
+    used = materialize(used, "used_numbers")
     ranked = sliced_rank(used, family, [F.col("_n")], time_slice("_n", block), "_i")
     below = ranked.select(*family, F.lit(None).cast("string").alias("parent_id"), (F.col("_n") - F.col("_i") + 1).alias("_at"), F.lit(1).cast("bigint").alias("_one"))
-    both = turns.withColumn("_one", F.lit(0).cast("bigint")).unionByName(below)
+    both = materialize(turns.withColumn("_one", F.lit(0).cast("bigint")).unionByName(below), "family_numbers")
     counted = sliced_running(both, family, [F.col("_at"), F.col("_one").desc()], time_slice("_at", block), sums={"_before": F.col("_one")})
     return counted.filter("parent_id IS NOT NULL").select(*family, "parent_id", (F.col("_at") + F.col("_before")).alias("_free"))
 

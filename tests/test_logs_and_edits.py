@@ -253,6 +253,15 @@ def test_children_of_a_large_family_take_free_numbers(spark):
     assert rejected.collect() == []
 
 
+def test_numbers_of_a_family_are_read_once(spark):
+    """The ids are not taken apart again for each count over them."""
+    h = spark.createDataFrame(HL, HIGHLIGHT).withColumn("duration_sec", F.lit(40.0))
+    cuts = spark.createDataFrame([(1, "a", 5.0), (1, "b", 15.0)], "job_id long, highlight_id string, split_sec double")
+    after, _ = ed.split_highlights(h, cuts)
+    assert rows(after, "highlight_id") == [("a",), ("a_split",), ("b",), ("b_split",), ("c",), ("z",)]
+    assert "regexp_extract" not in after._jdf.queryExecution().optimizedPlan().toString()
+
+
 class Kept:
     """A map state in memory that counts its calls."""
 
