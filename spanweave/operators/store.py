@@ -162,33 +162,35 @@ def eval_dataset_violations(manifest: DataFrame, annotations: DataFrame, events:
 
     ``annotations``: video_id, annotation_status. ``events``: video_id, event_id, start_sec, end_sec.
     """
-    repeated = annotations.groupBy("video_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
-        "video_id", F.lit("duplicate_annotation").alias("reason")
+    # one row per video from each table, so that a task holds sums and not the joined events
+    labels = annotations.groupBy("video_id").agg(
+        F.count(F.lit(1)).alias("_labels"), F.bool_or(F.coalesce(F.col("annotation_status").isin(*allowed), F.lit(False))).alias("_allowed")
     )
-    labels = annotations.filter(F.col("annotation_status").isin(*allowed)).select("video_id").distinct()
-    chosen = manifest.join(labels, "video_id", "left_semi")
-    twice = chosen.groupBy("video_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
-        "video_id", F.lit("duplicate_video").alias("reason")
+    length = F.col("duration_sec")
+    videos = manifest.groupBy("video_id").agg(
+        F.count(F.lit(1)).alias("_videos"), F.min(length).alias("_shortest"), F.bool_or(length.isNull()).alias("_unknown"),
+        F.bool_or(F.coalesce(~is_finite("duration_sec") | (length <= 0), F.lit(False))).alias("_bad_length"),
     )
-    missing = labels.join(manifest, "video_id", "left_anti").select("video_id", F.lit("missing_from_manifest").alias("reason"))
-    bad_length = chosen.filter(~is_finite("duration_sec") | (F.col("duration_sec") <= 0)).select(
-        "video_id", F.lit("invalid_duration").alias("reason")
-    )
-    used = events.join(labels, "video_id", "left_semi").join(chosen.select("video_id", "duration_sec").distinct(), "video_id")
-    ok = (
-        is_finite("start_sec") & is_finite("end_sec") & (F.col("start_sec") >= 0)
-        & (F.col("start_sec") < F.col("end_sec")) & (F.col("end_sec") <= F.col("duration_sec") + 0.1)
-    )
-    bad_range = used.filter(~F.coalesce(ok, F.lit(False))).select("video_id", F.lit("invalid_interval").alias("reason"))
+    ok = is_finite("start_sec") & is_finite("end_sec") & (F.col("start_sec") >= 0) & (F.col("start_sec") < F.col("end_sec"))
+    ranges = events.groupBy("video_id").agg(F.bool_or(~F.coalesce(ok, F.lit(False))).alias("_bad_range"), F.max("end_sec").alias("_end"))
     same_event = (
-        used.filter(F.col("event_id").isNotNull()).groupBy("video_id", "event_id").agg(F.count(F.lit(1)).alias("n"))
-        .filter("n > 1").select("video_id", F.lit("duplicate_event_id").alias("reason"))
-    )
-    parts = [repeated, twice, missing, bad_length, bad_range, same_event]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.distinct()
+        events.filter(F.col("event_id").isNotNull()).groupBy("video_id", "event_id").agg(F.count(F.lit(1)).alias("n"))
+        .filter("n > 1").select("video_id").distinct().withColumn("_same_event", F.lit(True))
+    )
+    found = labels.join(videos, "video_id", "left").join(ranges, "video_id", "left").join(same_event, "video_id", "left")
+    listed = F.col("_videos").isNotNull()
+    # the shortest of several durations is the one an event breaks first
+    beyond = F.col("_bad_range") | F.col("_unknown") | (F.col("_end") > F.col("_shortest") + 0.1)
+    checks = {
+        "duplicate_annotation": F.col("_labels") > 1,
+        "duplicate_video": F.col("_allowed") & (F.col("_videos") > 1),
+        "missing_from_manifest": F.col("_allowed") & ~listed,
+        "invalid_duration": F.col("_allowed") & F.col("_bad_length"),
+        "invalid_interval": F.col("_allowed") & listed & beyond,
+        "duplicate_event_id": F.col("_allowed") & listed & F.col("_same_event"),
+    }
+    reasons = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in checks.items()]))
+    return found.select("video_id", F.explode(reasons).alias("reason"))
 
 
 def group_leaks(videos: DataFrame) -> DataFrame:

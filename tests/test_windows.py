@@ -158,3 +158,24 @@ def test_frames_are_made_from_packets_that_were_read_once(spark):
     assert rows(ends) == [("a", 1.0, 9.0), ("b", 5.0, 697.0)]
     for made in (frames, ends):
         assert "packet_no" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_an_evaluation_set_is_checked_by_sums(spark):
+    """Each table is one row per video before it is joined, so no task holds the joined events."""
+    manifest = spark.createDataFrame(
+        [("a", 10.0), ("b", 10.0), ("b", 5.0), ("c", None), ("d", float("nan")), ("e", 0.0), ("f", 9.0), (None, 9.0)], "video_id string, duration_sec double"
+    )
+    annotations = spark.createDataFrame(
+        [(v, "ok") for v in "abcde"] + [("a", "draft"), ("f", "draft"), ("x", "ok"), ("x", None), (None, "ok"), ("y", None)], "video_id string, annotation_status string"
+    )
+    events = spark.createDataFrame(
+        [("a", 1, 2.0, 10.1), ("a", None, 0.0, 1.0), ("a", None, 0.0, 1.0), ("b", 1, 0.0, 6.0), ("b", 1, 0.0, 4.0), ("c", 1, 0.0, 1.0), ("d", 1, 0.0, 99.0), ("e", 1, 0.0, None), ("f", 1, 5.0, 4.0), ("f", 1, 5.0, 4.0), ("x", 1, 5.0, 4.0)],
+        "video_id string, event_id int, start_sec double, end_sec double",
+    )
+    out = store.eval_dataset_violations(manifest, annotations, events, ["ok"])
+    assert rows(out) == sorted([
+        ("a", "duplicate_annotation"), ("x", "duplicate_annotation"), ("b", "duplicate_video"), ("x", "missing_from_manifest"), (None, "missing_from_manifest"),
+        ("c", "invalid_duration"), ("d", "invalid_duration"), ("e", "invalid_duration"), ("b", "invalid_interval"), ("c", "invalid_interval"), ("e", "invalid_interval"),
+        ("b", "duplicate_event_id"),
+    ], key=repr)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 3
