@@ -11,6 +11,7 @@ from ..functions.intervals import midpoint, overlap, owned_by
 from ..operators.intervalsets import TOLERANCE, covered_seconds, union_spans
 from ..operators.rangejoin import overlap_semi
 from ..operators.tiles import tiles, with_bounds
+from ..session import materialize
 
 POINT = "struct<start_sec:double,end_sec:double>"
 LINE = "struct<start_sec:double,end_sec:double,source:string,text:string>"
@@ -212,10 +213,12 @@ def history_regions(segments: DataFrame, past: DataFrame) -> DataFrame:
 
     ``past``: video_id, start_sec, end_sec of the scan's positives."""
     spans = past.select("video_id", "start_sec", "end_sec").distinct()
-    rest = covered_seconds(
+    covered = covered_seconds(
         spans, segments.filter(F.col("kind") == "negative"), ["video_id"],
         ["video_id", "start_sec", "end_sec"], name="_neg",
-    ).filter(F.col("end_sec") - F.col("start_sec") - F.col("_neg") <= TOLERANCE).drop("_neg")
+    )
+    # written once: the join below counts its rows, joins them and takes them again
+    rest = materialize(covered.filter(F.col("end_sec") - F.col("start_sec") - F.col("_neg") <= TOLERANCE).drop("_neg"), "negative_spans")
     positive = union_spans(
         segments.filter(F.col("kind") == "positive").select(
             "video_id", F.col("start_sec").alias("r_start_sec"), F.col("end_sec").alias("r_end_sec")
@@ -228,9 +231,11 @@ def history_regions(segments: DataFrame, past: DataFrame) -> DataFrame:
 
 def focus_windows(windows: DataFrame, regions: DataFrame) -> DataFrame:
     """Windows whose core overlaps a history region (regions are disjoint per video)."""
-    right = regions.select(
-        "video_id", F.col("start_sec").alias("r_start_sec"), F.col("end_sec").alias("r_end_sec")
+    right = materialize(
+        regions.select("video_id", F.col("start_sec").alias("r_start_sec"), F.col("end_sec").alias("r_end_sec")), "regions"
     )
+    # windows of videos without a region are left out before they are dealt to buckets
+    near = windows.join(right.select("video_id").distinct(), "video_id", "left_semi")
     return overlap_semi(
-        windows, right, ["video_id"], ["video_id", "tile_no"], left_span=("core_start", "core_end")
+        near, right, ["video_id"], ["video_id", "tile_no"], left_span=("core_start", "core_end")
     )

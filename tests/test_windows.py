@@ -179,3 +179,13 @@ def test_an_evaluation_set_is_checked_by_sums(spark):
         ("b", "duplicate_event_id"),
     ], key=repr)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 3
+
+
+def test_regions_are_made_once_for_the_windows(spark, eighty):
+    """Neither the regions nor windows of videos without any are made again for the count and the join."""
+    _, seg, _ = eighty
+    past = spark.createDataFrame([("v", 30.0, 34.0), ("v", 31.0, 35.0), ("v", 31.0, 35.0), (None, 31.0, 35.0), ("v", None, 35.0)], "video_id string, start_sec double, end_sec double")
+    videos = spark.createDataFrame([("v", 80.0), ("w", 80.0), (None, 80.0)], "video_id string, duration_sec double")
+    out = wn.focus_windows(tl.tiles(videos, 10.0), wn.history_regions(seg, past))
+    assert rows(out, "video_id", "tile_no") == [("v", 3)]
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
