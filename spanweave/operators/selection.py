@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .ordered import sliced_lag, time_slice
 
 BUDGET_TOLERANCE = 1e-9
@@ -43,12 +44,15 @@ def decision_violations(plans: DataFrame, decisions: DataFrame, budgets: DataFra
     """
     key = ["job_id", "event_id"]
     once = decisions.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.bool_or("selected").alias("selected"))
-    cover = plans.select(*key, F.lit(True).alias("_plan")).join(once, key, "full")
-    uncovered = cover.filter(F.col("_plan").isNull() | F.col("_n").isNull() | (F.col("_n") > 1)).select(
-        "job_id", F.lit("decisions_do_not_cover").alias("reason")
+    plan = plans.select(*key, "start_sec", "end_sec", "status", F.lit(True).alias("_plan"))
+    # one join of plans and decisions, written: every check below reads it
+    judged = materialize(plan.join(once, key, "full"), "judged")
+    picked = judged.filter(F.col("_plan") & F.col("selected")).drop("_plan", "_n", "selected")
+    uncovered = F.col("_plan").isNull() | F.col("_n").isNull() | (F.col("_n") > 1)
+    infeasible = F.col("_plan") & F.col("selected") & (F.col("status") == "infeasible_duration")
+    single = judged.select(
+        "job_id", _reasons(F.when(uncovered, "decisions_do_not_cover"), F.when(infeasible, "infeasible_selected"))
     )
-    picked = plans.join(once.filter("selected").select(*key), key, "left_semi")
-    infeasible = picked.filter(F.col("status") == "infeasible_duration").select("job_id", F.lit("infeasible_selected").alias("reason"))
     dangling = (
         decisions.filter(F.col("duplicate_of").isNotNull())
         .join(picked.select("job_id", F.col("event_id").alias("duplicate_of")), ["job_id", "duplicate_of"], "left_anti")
@@ -57,16 +61,25 @@ def decision_violations(plans: DataFrame, decisions: DataFrame, budgets: DataFra
     sums = picked.groupBy("job_id").agg(
         F.count(F.lit(1)).alias("_c"), F.sum(F.col("end_sec") - F.col("start_sec")).alias("_s")
     ).join(budgets, "job_id")
-    many = sums.filter(F.col("_c") > F.col("max_count")).select("job_id", F.lit("count_budget").alias("reason"))
-    long = sums.filter(F.col("_s") > F.col("max_seconds") + BUDGET_TOLERANCE).select("job_id", F.lit("seconds_budget").alias("reason"))
+    over = sums.select(
+        "job_id",
+        _reasons(
+            F.when(F.col("_c") > F.col("max_count"), "count_budget"),
+            F.when(F.col("_s") > F.col("max_seconds") + BUDGET_TOLERANCE, "seconds_budget"),
+        ),
+    )
     strict = picked.join(budgets.filter(~F.col("allow_overlap")).select("job_id"), "job_id", "left_semi")
     touching = consecutive_overlaps(strict, ["job_id"], ["event_id"], slice_sec=slice_sec).select(
         "job_id", F.lit("overlap").alias("reason")
     )
-    parts = [uncovered, infeasible, dangling, many, long, touching]
+    parts = [single, dangling, over, touching]
     return reduce(lambda a, b: a.unionByName(b), parts).distinct()
 
 
+def _reasons(*reasons: Column) -> Column:
+    return F.explode(F.array_compact(F.array(*reasons))).alias("reason")
+
+
 def consecutive_overlaps(spans: DataFrame, keys: list[str], ties: list[str], *, slice_sec: float = 600.0) -> DataFrame:
     """Rows that start before their chronological predecessor ends, with ``prev_end``."""
     order = [F.col("start_sec"), *[F.col(c) for c in ties]]

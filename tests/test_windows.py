@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spanweave.functions.intervals import edge_demote, reference_coverage
 from spanweave.operators import metrics as me
 from spanweave.operators import sampling as sm
+from spanweave.operators import selection as sel
 from spanweave.operators import store
 from spanweave.operators import tiles as tl
 from spanweave.plans import windows as wn
@@ -189,3 +190,22 @@ def test_regions_are_made_once_for_the_windows(spark, eighty):
     out = wn.focus_windows(tl.tiles(videos, 10.0), wn.history_regions(seg, past))
     assert rows(out, "video_id", "tile_no") == [("v", 3)]
     assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_decisions_meet_their_plans_once(spark):
+    """Plans and decisions are not joined again for each check."""
+    plans = spark.createDataFrame(
+        [(1, "a", 0.0, 9.0, "ready"), (1, "b", 8.0, 20.0, "ready"), (1, "b", 8.0, 20.0, "ready"), (2, "a", 0.0, 5.0, "infeasible_duration"), (2, "b", 0.0, 5.0, "infeasible_duration"), (None, "a", 0.0, 1.0, "ready"), (3, "a", 0.0, 1.0, None)],
+        "job_id int, event_id string, start_sec double, end_sec double, status string",
+    )
+    decisions = spark.createDataFrame(
+        [(1, "a", True, None), (1, "b", True, "a"), (2, "a", True, "b"), (2, "b", False, None), (2, "c", True, None), (3, "a", None, None), (3, "a", True, "a")],
+        "job_id int, event_id string, selected boolean, duplicate_of string",
+    )
+    budgets = spark.createDataFrame([(1, 2, 30.0, False), (2, 2, 4.0, True), (3, None, None, None)], "job_id int, max_count int, max_seconds double, allow_overlap boolean")
+    out = sel.decision_violations(plans, decisions, budgets)
+    assert rows(out) == sorted([
+        (1, "count_budget"), (1, "seconds_budget"), (1, "overlap"), (2, "infeasible_selected"), (2, "duplicate_of_unselected"), (2, "seconds_budget"),
+        (2, "decisions_do_not_cover"), (3, "decisions_do_not_cover"), (None, "decisions_do_not_cover"),
+    ], key=repr)
+    assert "FullOuter" not in out._jdf.queryExecution().optimizedPlan().toString()
