@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.intervals import owned_by
 from ..functions.scalars import strip_space
+from ..session import materialize
 from .ordered import sliced_lag, sliced_running, time_slice
 from .rangejoin import overlap_join
 
@@ -173,36 +174,31 @@ def replace_core(
     core_start, core_end). Keys without a review are left as they are."""
     keys = list(keys)
     bounds = [F.col("core_start"), F.col("core_end")]
-    tagged = current.join(core, keys, "left")
-    owned = F.coalesce(owned_by("start_sec", "end_sec", *bounds), F.lit(False))
-    kept = tagged.filter((F.col("kind") == "positive") & ~owned).select(*current.columns)
+    columns = current.columns
+    s, e, positive = F.col("start_sec"), F.col("end_sec"), F.col("kind") == "positive"
+    owned = owned_by("start_sec", "end_sec", *bounds)
+    cut = (s < F.col("core_end")) & (F.col("core_start") < e)
+    piece = lambda start, end: F.struct(start.alias("s"), end.alias("e"))
+    whole = F.array(piece(s, e))
     # a single cut per key: the trimmed rest is at most two pieces, no range join needed
-    others = tagged.filter(F.col("kind") != "positive")
-    cut = (F.col("start_sec") < F.col("core_end")) & (F.col("core_start") < F.col("end_sec"))
-    whole = F.array(F.struct(F.col("start_sec").alias("s"), F.col("end_sec").alias("e")))
-    parts = F.array(
-        F.struct(F.col("start_sec").alias("s"), F.least("end_sec", "core_start").alias("e")),
-        F.struct(F.greatest("start_sec", "core_end").alias("s"), F.col("end_sec").alias("e")),
+    parts = F.filter(
+        F.array(piece(s, F.least("end_sec", "core_start")), piece(F.greatest("start_sec", "core_end"), e)), lambda x: x["s"] < x["e"]
     )
-    trimmed = (
-        others.withColumn("_p", F.explode(F.when(F.coalesce(cut, F.lit(False)), parts).otherwise(whole)))
-        .filter(F.col("_p.s") < F.col("_p.e"))
-        .withColumns({"start_sec": F.col("_p.s"), "end_sec": F.col("_p.e")})
-        .select(*current.columns)
+    old = F.when(positive & ~F.coalesce(owned, F.lit(False)), whole).when(
+        ~positive, F.when(F.coalesce(cut, F.lit(False)), parts).when(s < e, whole)
     )
-    fresh = reviewed.join(core, keys)
-    new_positive = fresh.filter(
-        (F.col("kind") == "positive") & owned_by("start_sec", "end_sec", *bounds)
-    ).select(*current.columns)
-    new_other = (
-        fresh.filter((F.col("kind") != "positive") & cut)
-        .withColumns(
-            {"start_sec": F.greatest("core_start", "start_sec"), "end_sec": F.least("core_end", "end_sec")}
-        )
-        .select(*current.columns)
+    new = F.when(positive & owned, whole).when(
+        ~positive & cut, F.array(piece(F.greatest("core_start", "start_sec"), F.least("core_end", "end_sec")))
+    )
+    # both lists meet the cores in one join, and what is left is written: every overlay reads it several times
+    both = current.withColumn("_new", F.lit(False)).unionByName(reviewed.select(*columns).withColumn("_new", F.lit(True)))
+    merged = (
+        both.join(core.select(*keys, "core_start", "core_end"), keys, "left")
+        .withColumn("_p", F.explode(F.when(F.col("_new"), new).otherwise(old)))
+        .withColumns({"start_sec": F.col("_p.s"), "end_sec": F.col("_p.e")})
+        .select(*columns)
     )
-    merged = kept.unionByName(trimmed).unionByName(new_positive).unionByName(new_other)
-    return overlay_by_priority(merged, keys, **options)
+    return overlay_by_priority(materialize(merged, "replaced"), keys, **options)
 
 
 def dedup_spans(df: DataFrame, keys: Sequence[str]) -> DataFrame:

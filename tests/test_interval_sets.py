@@ -195,3 +195,19 @@ def test_replace_core(spark):
     core = spark.createDataFrame([("v", 10.0, 20.0)], "k string, core_start double, core_end double")
     got = rows(ivs.replace_core(now, core, new, ["k"]), "kind", "start_sec", "end_sec")
     assert got == [("negative", 10.0, 14.0), ("negative", 22.0, 30.0), ("negative", 6.0, 10.0), ("positive", 0.0, 6.0), ("positive", 14.0, 22.0)]
+
+
+def test_cores_are_replaced_before_the_overlay(spark):
+    """Labels meet their cores once, not again for each overlay that reads them."""
+    schema = "k string, kind string, start_sec double, end_sec double"
+    now = spark.createDataFrame(
+        [("v", "negative", 5.0, 25.0), ("v", "uncertain", 10.0, 20.0), ("v", "positive", 14.0, 15.0), ("v", "positive", 6.0, 5.0), ("v", "negative", 5.0, 5.0), ("w", "negative", 12.0, 14.0), ("w", "negative", 12.0, 14.0), (None, "positive", 12.0, 14.0), ("v", None, 0.0, 1.0)], schema,
+    )
+    new = spark.createDataFrame([("v", "uncertain", 8.0, 12.0), ("v", "negative", 11.0, 13.0), ("v", "positive", None, 13.0), ("w", "positive", 12.0, 14.0)], schema)
+    core = spark.createDataFrame([("v", 10.0, 20.0), (None, 10.0, 20.0)], "k string, core_start double, core_end double")
+    out = ivs.replace_core(now, core, new, ["k"])
+    assert rows(out) == sorted([
+        ("v", "negative", 5.0, 10.0), ("v", "negative", 20.0, 25.0), ("v", "negative", 12.0, 13.0), ("v", "uncertain", 10.0, 12.0), ("v", "positive", 6.0, 5.0),
+        ("w", "negative", 12.0, 14.0), ("w", "negative", 12.0, 14.0), (None, "positive", 12.0, 14.0),
+    ], key=repr)
+    assert "core_start" not in out._jdf.queryExecution().optimizedPlan().toString()
