@@ -1,3 +1,4 @@
+import random
 import re
 
 import corpus_pipeline
@@ -7,7 +8,7 @@ from cases import SF, no_rows, odd_rows
 from test_jaccard import slow_classes
 from test_suffixes import slow as contaminated
 
-from spanweave.llm import pii
+from spanweave.llm import pii, simhash
 
 
 @pytest.fixture(scope="module")
@@ -45,6 +46,28 @@ def test_one_of_each_class_stays(stages):
     assert set(after) == {k for k, root in classes.items() if k == root} and all(before[k] == r for k, r in after.items())
 
 
+def test_copies_that_only_fingerprints_link_go(spark):
+    """Copies under four fifths of common 5-word shingles whose fingerprints differ in at most 2 bits, and chains over links of both kinds."""
+    draw, rows_, gone, bits = random.Random(11), [(None, "loose"), (1, "alone"), (2, None)], set(), lambda t: simhash.fingerprint(t.encode())
+    while len(gone) < 12:
+        base = [f"w{draw.randrange(10**6)}" for _ in range(160)]
+        for _ in range(60):
+            now = list(base)
+            for place in draw.sample(range(5, 150), 5):
+                now[place] = f"w{draw.randrange(10**6)}"
+            texts_ = [" ".join(base), " ".join(now), " ".join([*now, "end"])]
+            if (bits(texts_[0]) ^ bits(texts_[1])).bit_count() <= 2:
+                a, b, c = slow_classes(enumerate(texts_)).values()
+                assert a != b == c  # the shingles link only the last two
+                at = len(rows_) * 10
+                rows_ += [(at + 2, texts_[0]), (at + 1, texts_[1]), (at, texts_[2])]
+                gone |= {at + 2, at + 1}
+                break
+    docs = spark.createDataFrame(rows_, "doc_id bigint, text string").repartition(3)
+    kept = [r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, SF).collect()]
+    assert sorted(kept, key=str) == sorted([k for k, _ in rows_ if k not in gone], key=str)
+
+
 def test_contaminated_documents_go(spark, stages):
     before, after = map(rows, stages["decontaminate"])
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
