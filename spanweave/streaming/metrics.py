@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import repeat
 from zlib import crc32
 
 import pandas as pd
@@ -20,38 +22,56 @@ MERGED = T.StructType(
 STAGNANT = T.StructType([T.StructField(n, T.LongType()) for n in ("run", "step", "new_facts", "stagnant_steps")])
 
 
+SLOTS = 1 << 10  # steps are dealt to so many values of the state
+
+
 class MetricMerge(StatefulProcessor):
-    """State per run and step, in one value as each call of the state store is a round trip: the newest training place, per key its
-    place and value, and the digest of the whole step as it was last sent. A place is a file and a position in it, later files
-    come later.
+    """State per slot of steps, in one value as each call of the state store is a round trip. For each step of the slot: the newest
+    training place, per key its place and value, and the digest of the whole step as it was last sent. A place is a file and a position
+    in it, later files come later.
 
     Rows of a batch may arrive in any order; places decide. A step is emitted, whole, only when its digest differs, so keys that a
-    newer attempt no longer has disappear, and files that are read again emit nothing."""
+    newer attempt no longer has disappear, and files that are read again emit nothing.
+
+    A key is a slot, whose rows name their run and step (see :func:`merge_metrics_stream`), or the run and step of all its rows."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.step = handle.getValueState(
-            "step", "since_file string, since_pos long, names array<string>, files array<string>, places array<long>, values array<double>, digest string"
-        )
+        # pickled {(run, step): (since, {name: (place, value)}, digest)}: a slot has thousands of values, and as columns each would be converted apart
+        self.step = handle.getValueState("slot", "steps binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        since_file, since_pos, names, files, places, values, digest = before = tuple(self.step.get() or (None, None, [], [], [], [], None))
-        since = None if since_pos is None else (since_file, since_pos)
-        newest = {name: ((file, pos), value) for name, file, pos, value in zip(names, files, places, values)}
+        stored = self.step.get()
+        steps = pickle.loads(stored[0]) if stored else {}
+        lacks = int(key[0]) // SLOTS if len(key) == 1 else 0
+        changed: dict[tuple[int, int], list] = {}
         for batch in rows:
-            found = zip(batch["file"], batch["pos"].astype(int))
-            for place, training, name, value in zip(found, batch["training"], batch["key"], batch["value"]):
-                if training and (since is None or place > since):
-                    since = place
-                if name not in newest or newest[name][0] <= place:
-                    newest[name] = (place, float(value))
-        listed = sorted((name, value, *place) for name, (place, value) in newest.items() if since is None or place >= since)
-        told = [(name, value) for name, value, _, _ in listed]
-        now = hashlib.sha256(repr(told).encode()).hexdigest()
-        after = (*(since or (None, None)), *(list(x) for x in ([r[0] for r in listed], [r[2] for r in listed], [int(r[3]) for r in listed], [r[1] for r in listed])), now)
-        if after != before:
-            self.step.update(after)
-        if now != digest:
-            yield pd.DataFrame([(int(key[0]), int(key[1]), *x) for x in told], columns=MERGED.names)
+            named = [batch[n].tolist() if n in batch else repeat(int(key[i])) for i, n in enumerate(("run", "step"))]
+            places = zip(batch["file"].tolist(), batch["pos"].astype(int).tolist())
+            for run, step, place, training, name, value in zip(*named, places, *(batch[n].tolist() for n in ("training", "key", "value"))):
+                ident = (run, step)
+                since, newest, digest = now = changed.get(ident) or steps.get(ident) or (None, {}, None)
+                if since is not None and place < since:
+                    continue
+                later, before = training and not lacks and since != place, newest.get(name)
+                if later or before is None or before[0] <= place and before != (place, float(value)):
+                    if ident not in changed:
+                        changed[ident] = now = [since, dict(newest), digest]
+                    if later:
+                        now[0] = place
+                    if before is None or before[0] <= place:
+                        now[1][name] = (place, float(value))
+        told = []
+        for (run, step), (since, newest, digest) in changed.items():
+            alive = {name: x for name, x in newest.items() if since is None or x[0] >= since}
+            listed = sorted(((name, value) for name, (_, value) in alive.items()), key=lambda x: (x[0] is not None, x[0] or ""))
+            now = hashlib.sha256(repr(listed).encode("utf-8", "surrogatepass")).digest()
+            steps[run, step] = (since, alive, now)
+            if now != digest:
+                told += [(None if lacks & 1 else run, None if lacks & 2 else step, *x) for x in listed]
+        if changed:
+            self.step.update((pickle.dumps(steps, pickle.HIGHEST_PROTOCOL),))
+        if told:
+            yield pd.DataFrame(told, columns=MERGED.names)
 
     def close(self) -> None:
         pass
@@ -60,13 +80,15 @@ class MetricMerge(StatefulProcessor):
 def merge_metrics_stream(log: DataFrame) -> DataFrame:
     """Whole changed steps in update mode: merge and emit-when-changed; read with ``newest_groups`` by (run, step).
 
-    ``log``: run, pos, step, training, key, value and, if places are told apart by file, file.
-    State is keyed by (run, step), so one long run spreads over many tasks."""
-    if "file" not in log.columns:
-        log = log.withColumn("file", F.lit(""))
-    return log.groupBy("run", "step").transformWithStateInPandas(
-        MetricMerge(), outputStructType=MERGED, outputMode="Update", timeMode="None"
+    ``log``: run, pos, step, training, key, value and, if places are told apart by file, file. As in
+    :func:`~spanweave.operators.telemetry.merge_metrics`, steps without a run or number replace nothing.
+    State is keyed by slots of the hashed (run, step), so one long run spreads over many tasks; a task holds one slot."""
+    lacks = F.col("run").isNull().cast("int") + 2 * F.col("step").isNull().cast("int")
+    rows = log.select(
+        (F.pmod(F.xxhash64("run", "step"), F.lit(SLOTS)) + SLOTS * lacks).alias("slot"), *[F.coalesce(F.col(c).cast("bigint"), F.lit(0)).alias(c) for c in ("run", "step")],
+        (F.col("file") if "file" in log.columns else F.lit("")).alias("file"), "pos", F.coalesce("training", F.lit(False)).alias("training"), "key", "value",
     )
+    return rows.groupBy("slot").transformWithStateInPandas(MetricMerge(), outputStructType=MERGED, outputMode="Update", timeMode="None")
 
 
 def allowed_metrics_stream(log: DataFrame, names: Sequence[str], prefixes: Sequence[str] = PREFIXES) -> DataFrame:

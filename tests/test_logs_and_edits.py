@@ -324,3 +324,22 @@ def test_a_step_of_a_metric_stream_is_one_value():
     batch = pd.DataFrame({"file": "", "pos": range(300), "training": False, "key": [f"k{i}" for i in range(300)], "value": 1.0})
     assert [len(x) for x in merge.handleInputRows((1, 2), iter([batch]), None)] == [300] and merge.step.calls == 2
     assert list(merge.handleInputRows((1, 2), iter([batch]), None)) == [] and merge.step.calls == 3
+
+
+def test_many_steps_of_a_metric_stream_share_a_value():
+    """Two calls of the state store for a slot, however many steps it has; only steps that change are told, whole."""
+    import pandas as pd
+
+    state = Kept()
+    state.get, state.update = lambda: state.getValue(0), lambda value: state.updateValue(0, value)
+    merge = sm.MetricMerge()
+    merge.init(type("Handle", (), {"getValueState": lambda *_: state}))
+    made = [(run, step, "", 10 * step + i, i == 1, name, float(run)) for run in range(20) for step in range(30) for i, name in enumerate((None, "b", "c"))]
+    frames = lambda rows_: iter([pd.DataFrame(rows_[i : i + 500], columns=["run", "step", "file", "pos", "training", "key", "value"]) for i in range(0, len(rows_), 500)])
+    tell = lambda rows_: sorted(tuple(r) for out in merge.handleInputRows((7,), frames(rows_), None) for r in out.itertuples(index=False))
+    # the training row at place 1 of each step replaces that of place 0
+    assert tell(made) == [(run, step, name, float(run)) for run in range(20) for step in range(30) for name in "bc"]
+    assert state.calls == 2
+    assert tell(made) == [] and state.calls == 3
+    more = [(3, 4, "", 99, False, "a", 0.5), (5, 6, "", 60, False, "b", 9.0), (5, 7, "", 72, False, "c", 5.0)]
+    assert tell(more) == [(3, 4, "a", 0.5), (3, 4, "b", 3.0), (3, 4, "c", 3.0)] and state.calls == 5
