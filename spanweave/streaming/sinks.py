@@ -64,4 +64,5 @@ def newest_groups(spark: SparkSession, target: str, schema: T.StructType, keys:
     """Rows of the newest batch of each key, for streams that emit whole groups."""
     rows = read_batches(spark, target, schema)
     last = rows.groupBy(*keys).agg(F.max("batch").alias("batch"))
-    return rows.join(last, [*keys, "batch"], "left_semi").drop("batch")
+    on = [rows[k].eqNullSafe(last[k]) for k in keys]
+    return rows.join(last, [*on, rows["batch"] == last["batch"]], "left_semi").drop("batch")

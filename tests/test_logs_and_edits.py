@@ -343,3 +343,16 @@ def test_many_steps_of_a_metric_stream_share_a_value():
     assert tell(made) == [] and state.calls == 3
     more = [(3, 4, "", 99, False, "a", 0.5), (5, 6, "", 60, False, "b", 9.0), (5, 7, "", 72, False, "c", 5.0)]
     assert tell(more) == [(3, 4, "a", 0.5), (3, 4, "b", 3.0), (3, 4, "c", 3.0)] and state.calls == 5
+
+
+def test_metric_stream_takes_rows_without_run_step_or_key(spark, tmp_path):
+    big = 1 << 60
+    log = spark.createDataFrame(
+        [(big + 1, 0, 1, True, "a", 1.0), (big + 1, 1, 1, True, None, 2.0), (big, 2, None, True, "a", 3.0), (big, 3, None, True, "b", 4.0), (None, 4, 1, True, "a", 5.0),
+         (None, 5, None, None, None, 6.0), (big, 6, 1, None, "a", None), (big, 7, 1, None, None, 7.0), (0, 8, 0, True, "a", 8.0), (None, 9, 1, True, "b", 9.0)], LOG,
+    )
+    out = sinks.run_in_parts([log.filter("pos % 2 = 1"), log.filter("pos % 2 = 0")], sm.merge_metrics_stream, str(tmp_path))
+    got = sinks.newest_groups(spark, out, sm.MERGED, ["run", "step"])
+    cols = ["run", "step", "key", "value"]
+    assert rows(got, *cols) == rows(tm.merge_metrics(log), *cols)
+    assert rows(got.filter(f"run = {big + 1}"), *cols) == [(big + 1, 1, None, 2.0)] and got.filter("run IS NULL").count() == 3
